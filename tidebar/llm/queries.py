@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, url_filter
+from . import bpe, chat, langid, media, toxicity, url_filter, warc
 from .common import table
 
 #: The url rules of the production query, in the order given.
@@ -19,6 +19,14 @@ URL_RULES = [
 ]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -32,14 +40,72 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniffed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_tokenizer(), keep_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_url_filters, op7_chat_formatting, op8_media_columns, op10_bpe]
+    found = [op3_language_id, op4_warc, op5_url_filters, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+URL_SQL = """
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (
+  SELECT u.*, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN r ON (u.host = rhost OR ends_with(u.host, '.' || rhost)) AND starts_with(u.path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS cost,
+         regexp_replace(text, '([<\[]\\*)(/?INST|/?s>)', '\1\\\2', 'g') AS esc,
+         replace(replace(regexp_replace(role, '([<\[]\\*)(/?INST|/?s>)', '\1\\\2', 'g'), '%', '%25'), ']', '%5D') AS rol
+  FROM c),
+s AS (
+  SELECT *, length('[INST ' || rol || '] ' || esc || ' [/INST]</s>') AS shown,
+         coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         first_value(role) OVER w = 'system' AS has_system
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+o AS (SELECT *, CAST(start // 384 AS BIGINT) * 2 + CASE WHEN cost > 384 THEN 1 ELSE 0 END AS own FROM s),
+b AS (SELECT conv_id, own AS win, min(start) AS begin, sum(shown) AS chars FROM o GROUP BY 1, 2),
+lead AS (SELECT conv_id, shown AS lead_chars FROM o WHERE start = 0 AND has_system),
+h AS (
+  SELECT b.conv_id, b.win, sum(o.shown) AS chars FROM b JOIN o ON o.conv_id = b.conv_id AND o.own % 2 = 0 AND o.own IN (b.win - 1, b.win - 2)
+  WHERE o.start < b.begin AND o.start >= b.begin - 256 AND NOT (has_system AND start = 0) GROUP BY 1, 2),
+f AS (
+  SELECT b.conv_id, CAST(sum(b.chars + coalesce(h.chars, 0) + CASE WHEN b.begin > 0 THEN coalesce(lead_chars, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
+  FROM b LEFT JOIN h USING (conv_id, win) LEFT JOIN lead USING (conv_id) GROUP BY 1),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+  FROM c GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op7_chat_formatting": CHAT_SQL}
