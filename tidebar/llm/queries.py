@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, media, toxicity, url_filter, warc
+from . import bpe, chat, langid, media, minhash, toxicity, url_filter, warc
 from .common import table
 
 #: The url rules of the production query, in the order given.
@@ -31,6 +31,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_language_id, op4_warc, op5_url_filters, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
+    found = [op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
@@ -75,6 +79,21 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS low FROM s UNION SELECT p.b, r.low FROM r JOIN p ON p.a = r.node AND r.low < p.b),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.node = doc_id
+"""
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -108,4 +127,4 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {"op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op7_chat_formatting": CHAT_SQL}
