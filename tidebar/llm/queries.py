@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, media, minhash, toxicity, url_filter, warc
+from . import bpe, chat, embed, langid, media, minhash, toxicity, url_filter, warc
 from .common import table
 
 #: The url rules of the production query, in the order given.
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.group_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -53,10 +57,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
+    found = [op1_embeddings, op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
+EMBED_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+n AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT p.b, r.low FROM r JOIN p ON p.a = r.node AND r.low < p.b),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
@@ -127,4 +144,4 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {"op1_embeddings": EMBED_SQL, "op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op7_chat_formatting": CHAT_SQL}
