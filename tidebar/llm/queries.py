@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, langid, media, minhash, toxicity, url_filter, warc
+from . import bpe, chat, embed, langid, media, minhash, mixing, toxicity, url_filter, warc
 from .common import table
 
 #: The url rules of the production query, in the order given.
@@ -23,6 +23,10 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.group_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_embeddings, op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
+    found = [op1_embeddings, op2_mixing, op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
