@@ -8,24 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
-ROW = F.row_number().over(BY_DATE)
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def row_no() -> Column:
+    return F.row_number().over(by_date())
 
 
 def frame(lo: int, hi: int = 0):
-    return BY_DATE.rowsBetween(lo, hi)
+    return by_date().rowsBetween(lo, hi)
 
 
 def lag(c: str | Column, n: int = 1) -> Column:
-    return F.lag(c, n).over(BY_DATE)
+    return F.lag(c, n).over(by_date())
 
 
 def strict(value: Column, rows: int) -> Column:
     """``value`` from row number ``rows`` on, null before."""
-    return F.when(ROW >= rows, value)
+    return F.when(row_no() >= rows, value)
 
 
 def mean_rows(c: str | Column, lo: int, hi: int = 0) -> Column:

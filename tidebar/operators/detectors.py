@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import ROW, frame, lag, max_rows, mean_rows, min_rows, settled, strict
+from ..functions.series import row_no, frame, lag, max_rows, mean_rows, min_rows, settled, strict
 
 SHORT, SWING, MEDIUM = "short_term", "swing", "medium_term"
 
@@ -30,7 +30,7 @@ def frames(bars: DataFrame) -> DataFrame:
     c, v = F.col("close"), F.col("volume")
     sd = strict(F.stddev_samp("close").over(frame(-19)), 20)
     b = bars.select(
-        "symbol", "date", "open", "high", "low", "close", "volume", ROW.alias("rn"), (c / lag("close") - 1).alias("ret1"), lag("close").alias("c1"), lag("high").alias("h1"), lag("low").alias("l1"),
+        "symbol", "date", "open", "high", "low", "close", "volume", row_no().alias("rn"), (c / lag("close") - 1).alias("ret1"), lag("close").alias("c1"), lag("high").alias("h1"), lag("low").alias("l1"),
         (lag("close") / lag("close", 2) - 1).alias("yret"), (c / lag("close", 5) - 1).alias("ret5"),
         ratio(v, mean_rows("volume", -4, -2)).alias("vr_limit"), ratio(v, mean_rows("volume", -5, -1)).alias("vr5"),
         ratio(mean_rows("volume", -2), mean_rows("volume", -7, -3)).alias("vr_cross"), ratio(mean_rows("volume", -2), mean_rows("volume", -19, -3)).alias("vr_platform"),

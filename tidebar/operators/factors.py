@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import ROW, clamp, frame, lag, mean_rows, scaled
+from ..functions.series import row_no, clamp, frame, lag, mean_rows, scaled
 from .indicators import rsi_window
 
 MIN_ROWS, MIN_VOLUME, BELOW_COST, OVERSOLD = 125, 1e5, 0.12, 20.0
@@ -17,7 +17,7 @@ def past_return(n: int) -> Column:
 
 
 def momentum() -> Column:
-    support = F.when(ROW >= 20, clamp(0.5 + (mean_rows("volume", -9) / (mean_rows("volume", -19, -10) + 1e-8) - 1) * 0.5)).otherwise(0.5)
+    support = F.when(row_no() >= 20, clamp(0.5 + (mean_rows("volume", -9) / (mean_rows("volume", -19, -10) + 1e-8) - 1) * 0.5)).otherwise(0.5)
     base = 0.25 * scaled(past_return(5), -0.08, 0.08) + 0.45 * scaled(past_return(20), -0.15, 0.15) + 0.30 * scaled(past_return(60), -0.30, 0.30)
     return clamp(base + F.when(support > 0.6, 0.05).when(support < 0.4, -0.05).otherwise(0.0))
 
@@ -29,7 +29,7 @@ def turnover() -> Column:
         .when(ratio > 2.5, F.greatest(F.lit(0.3), 1 - (ratio - 2.5) * 0.15)).otherwise(F.greatest(F.lit(0.0), ratio / 1.2 * 0.5))
     )
     rising = mean_rows("volume", -4) > mean_rows("volume", -9, -5) * 1.05
-    return F.when(ROW >= 20, F.when(rising, F.least(F.lit(1.0), level + 0.1)).otherwise(level)).otherwise(0.5)
+    return F.when(row_no() >= 20, F.when(rising, F.least(F.lit(1.0), level + 0.1)).otherwise(level)).otherwise(0.5)
 
 
 def trend() -> Column:
@@ -38,7 +38,7 @@ def trend() -> Column:
         0.25 * (c > m5).cast("int") + 0.25 * (m5 > m20).cast("int") + 0.20 * (m20 > m60).cast("int") + 0.15 * (c > m20).cast("int") + 0.15 * (c > m60).cast("int")
     )
     away = (c - m20) / (m20 + 1e-8)
-    return F.when(ROW >= 120, F.when((away >= 0.02) & (away <= 0.08), F.least(F.lit(1.0), base + 0.05)).otherwise(base)).otherwise(0.5)
+    return F.when(row_no() >= 120, F.when((away >= 0.02) & (away <= 0.08), F.least(F.lit(1.0), base + 0.05)).otherwise(base)).otherwise(0.5)
 
 
 def rsi_band(x: Column) -> Column:
@@ -50,7 +50,7 @@ def rsi_band(x: Column) -> Column:
 
 def vol_price() -> Column:
     """Needs ``up_with`` and ``down_with``: rises and falls on rising volume, as 0 or 1."""
-    return F.when(ROW >= 11, clamp(0.5 + 0.5 * (F.sum(F.col("up_with") - F.col("down_with")).over(frame(-9))) / 10)).otherwise(0.5)
+    return F.when(row_no() >= 11, clamp(0.5 + 0.5 * (F.sum(F.col("up_with") - F.col("down_with")).over(frame(-9))) / 10)).otherwise(0.5)
 
 
 def cost() -> Column:
@@ -60,7 +60,7 @@ def cost() -> Column:
         F.when((x >= 0.05) & (x <= 0.20), 1.0).when((x > 0.20) & (x <= 0.35), 0.70).when(x > 0.35, 0.30)
         .when((x >= 0) & (x < 0.05), 0.85).when((x >= -0.05) & (x < 0), 0.60).otherwise(0.20)
     )
-    return F.when(ROW >= 120, band).otherwise(0.5)
+    return F.when(row_no() >= 120, band).otherwise(0.5)
 
 
 def parts(bars: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def parts(bars: DataFrame) -> DataFrame:
         "symbol", "date", "close", "volume", F.coalesce(dc, F.lit(0.0)).alias("d"), F.coalesce(((dc > 0) & (dv > 0)).cast("int"), F.lit(0)).alias("up_with"),
         F.coalesce(((dc < 0) & (dv > 0)).cast("int"), F.lit(0)).alias("down_with"))
     b = b.select(
-        "symbol", "date", "close", ROW.alias("rn"), rsi_window().alias("rsi_w"), F.when(ROW >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
+        "symbol", "date", "close", row_no().alias("rn"), rsi_window().alias("rsi_w"), F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
         mean_rows("close", -119).alias("ma120"), momentum().alias("momentum"), turnover().alias("turnover"), trend().alias("trend"), vol_price().alias("vol_price"), cost().alias("cost"))
     fail = (
         F.when(F.col("rn") < MIN_ROWS, "short_history").when(F.col("vol20") < MIN_VOLUME, "low_volume")

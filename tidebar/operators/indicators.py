@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import BY_DATE, ROW, change, fold_series, frame, lag, max_rows, mean_rows, min_rows, settled, strict
+from ..functions.series import by_date, row_no, change, fold_series, frame, lag, max_rows, mean_rows, min_rows, settled, strict
 
 DAYS = 252
 
@@ -66,7 +66,7 @@ def rsi_window(period: int = 14) -> Column:
     weights = F.array(*[F.lit(q ** (n - period) / period if k < period else q ** (n - 1 - k) / period) for k in range(n)])
     weigh = lambda c: F.aggregate(F.zip_with(F.collect_list(c).over(frame(1 - n)), weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     gain, loss = weigh(F.greatest("d", F.lit(0.0))), weigh(F.greatest(-F.col("d"), F.lit(0.0)))
-    return F.when(ROW < n + 1, None).when(loss < 1e-10, 100.0).otherwise(100 - 100 / (1 + gain / loss))
+    return F.when(row_no() < n + 1, None).when(loss < 1e-10, 100.0).otherwise(100 - 100 / (1 + gain / loss))
 
 
 def rsi_windowed(bars: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
     rsi = F.when((F.col("gain") == 0) & (F.col("loss") == 0), 50.0).otherwise(100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-10)))
     return s.select(
         "symbol", "date", "ema12", "ema26", (F.col("ema12") - F.col("ema26")).alias("macd"), "signal", (F.col("ema12") - F.col("ema26") - F.col("signal")).alias("hist"),
-        F.when(ROW == 1, 50.0).otherwise(rsi).alias("rsi14"), "k", "d", (3 * F.col("k") - 2 * F.col("d")).alias("j"), F.col("atr").alias("atr14"))
+        F.when(row_no() == 1, 50.0).otherwise(rsi).alias("rsi14"), "k", "d", (3 * F.col("k") - 2 * F.col("d")).alias("j"), F.col("atr").alias("atr14"))
 
 
 def calculate_all(bars: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def crossing(a: str, b: str) -> tuple[Column, Column]:
 
 
 def first_rule(*rules: tuple[Column, str]) -> Column:
-    out = F.when(ROW == 1, "neutral")
+    out = F.when(row_no() == 1, "neutral")
     for test, name in rules:
         out = out.when(test, name)
     return out.otherwise("neutral")
@@ -160,8 +160,8 @@ def adjust_prices(bars: DataFrame, mode: str = "backward", low: float = 0.88, hi
     ratio = F.when(prev > 0, F.col("open") / prev)
     b = bars.withColumn("f", F.when((ratio < low) | (ratio > high), ratio).otherwise(1.0))
     if mode == "backward":
-        factor = F.exp(F.coalesce(F.sum(F.log("f")).over(BY_DATE.rowsBetween(1, 2**31 - 1)), F.lit(0.0)))
+        factor = F.exp(F.coalesce(F.sum(F.log("f")).over(by_date().rowsBetween(1, 2**31 - 1)), F.lit(0.0)))
     else:
-        factor = F.exp(-F.sum(F.log("f")).over(BY_DATE.rowsBetween(-(2**31) + 1, 0)))
+        factor = F.exp(-F.sum(F.log("f")).over(by_date().rowsBetween(-(2**31) + 1, 0)))
     b = b.withColumn("adjust", factor)
     return b.select("symbol", "date", *[settled(F.col(c) * F.col("adjust"), 4).alias(c) for c in ("open", "high", "low", "close")], "volume", "adjust")

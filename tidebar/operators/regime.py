@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import ROW, clamp, frame, lag, mean_rows, signed_share
+from ..functions.series import row_no, clamp, frame, lag, mean_rows, signed_share
 
 MIN_ROWS = 130
 #: Greatest position and number of positions by regime.
@@ -38,7 +38,7 @@ def volume_score() -> Column:
     )
     trend = (now - before) / (before + 1e-8)
     moved = F.when(trend > 0.1, F.least(F.lit(1.0), level + 0.05)).when(trend < -0.1, F.greatest(F.lit(0.0), level - 0.05)).otherwise(level)
-    return F.when(ROW >= 30, moved).otherwise(0.5)
+    return F.when(row_no() >= 30, moved).otherwise(0.5)
 
 
 def momentum_score() -> Column:
@@ -52,14 +52,14 @@ def breadth_score() -> Column:
 def risk_score() -> Column:
     """Needs the column ``day_ret``, the return over one row with a small constant in its denominator."""
     ret = F.col("close") / F.coalesce(lag("close", 19), F.first("close").over(frame(-19))) - 1
-    vol = F.when(ROW >= 31, F.stddev_pop("day_ret").over(frame(-28)) * (252**0.5)).otherwise(0.0)
+    vol = F.when(row_no() >= 31, F.stddev_pop("day_ret").over(frame(-28)) * (252**0.5)).otherwise(0.0)
     return F.when(ret < -0.08, 0.1).when(ret > 0.15, 0.8).otherwise(clamp(0.7 - vol * 0.5, 0.1, 0.9))
 
 
 def scores(bars: DataFrame) -> DataFrame:
     b = bars.withColumn("day_ret", (F.col("close") - lag("close")) / (lag("close") + 1e-8))
     return b.select(
-        "symbol", "date", ROW.alias("rn"), trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"),
+        "symbol", "date", row_no().alias("rn"), trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"),
         breadth_score().alias("breadth"), risk_score().alias("risk"))
 
 

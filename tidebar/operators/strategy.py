@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.series import ROW, clamp, frame, lag, settled
+from ..functions.series import row_no, clamp, frame, lag, settled
 from . import factors, indicators, regime
 
 MIN_SERIES = 30
@@ -54,9 +54,9 @@ def presets(spark: SparkSession) -> DataFrame:
 def price_frames(bars: DataFrame, lookback: int = 30) -> DataFrame:
     """What a signal reads of prices and volumes at each bar. Frames are as long as the history allows."""
     b = bars.withColumn("tr", indicators.true_range())
-    vol_base = F.when(ROW >= 20, F.avg("volume").over(frame(-19, -5))).otherwise(F.avg("volume").over(frame(-19)))
+    vol_base = F.when(row_no() >= 20, F.avg("volume").over(frame(-19, -5))).otherwise(F.avg("volume").over(frame(-19)))
     return b.select(
-        "symbol", "date", "close", ROW.alias("n"), F.avg("tr").over(frame(-13)).alias("atr"), F.min("low").over(frame(-4)).alias("low5"),
+        "symbol", "date", "close", row_no().alias("n"), F.avg("tr").over(frame(-13)).alias("atr"), F.min("low").over(frame(-4)).alias("low5"),
         F.max("high").over(frame(-lookback, -1)).alias("prev_high"), F.max("high").over(frame(-60, -1)).alias("high60"),
         (F.avg("volume").over(frame(-4)) / (vol_base + 1e-8)).alias("vr"), F.coalesce(F.col("close") / lag("close", 5) - 1, F.lit(0.0)).alias("ret5"))
 

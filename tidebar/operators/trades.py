@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import BY_DATE, ROW, settled
+from ..functions.series import by_date, row_no, settled
 from . import detectors, strategy
 from .strategy import BASE, Preset
 
@@ -15,14 +15,14 @@ WARM_UP, GRID, MIN_HOLD = 130, 10, 3
 def indexed(bars: DataFrame, limit: Column | None = None) -> DataFrame:
     """Bars with the 0-based index ``i`` and limit flags."""
     flags = detectors.limit_flags(bars, limit)
-    return bars.join(flags, ["symbol", "date"]).withColumn("i", (ROW - 1).cast("long"))
+    return bars.join(flags, ["symbol", "date"]).withColumn("i", (row_no() - 1).cast("long"))
 
 
 def candidates(bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
     """Possible entries: bar i trades on the prices of bar i - 1 and on regime and score of the last grid bar."""
     rows = indexed(bars, limit)
-    prices = strategy.price_frames(bars, p.target_lookback).withColumn("i", ROW.cast("long")).drop("date")
-    ctx = strategy.context(bars).withColumn("k", ROW.cast("long")).where(F.col("k") % GRID == 0).drop("date")
+    prices = strategy.price_frames(bars, p.target_lookback).withColumn("i", row_no().cast("long")).drop("date")
+    ctx = strategy.context(bars).withColumn("k", row_no().cast("long")).where(F.col("k") % GRID == 0).drop("date")
     at = rows.where((F.col("i") >= WARM_UP) & ~F.col("limit_up")).select("symbol", "date", "i", (F.floor(F.col("i") / GRID) * GRID).cast("long").alias("k"))
     full = at.join(prices, ["symbol", "i"]).join(ctx, ["symbol", "k"])
     return strategy.with_signal(full, p).where("valid").select("symbol", "date", "i", "entry", "stop", "target", "position_pct", "signal_type", "confidence")
@@ -85,7 +85,7 @@ def ledger(paths: DataFrame, capital: float = 100_000.0, p: Preset = BASE) -> Da
 
 def equity(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Cash, position value and total of each symbol's account at each bar from the warm-up on; closes at the end of data come after the last point."""
-    rows = bars.select("symbol", "date", "close", (ROW - 1).cast("long").alias("i")).where(F.col("i") >= WARM_UP)
+    rows = bars.select("symbol", "date", "close", (row_no() - 1).cast("long").alias("i")).where(F.col("i") >= WARM_UP)
     opened = trades.select("symbol", F.col("i").alias("i"), F.struct(F.lit(1).alias("kind"), F.col("cash_in").alias("cash"), F.col("quantity").alias("held")).alias("e"))
     closed = trades.where("exit_reason <> 'end_of_backtest'").select("symbol", F.col("exit_i").alias("i"), F.struct(F.lit(0).alias("kind"), F.col("cash_out").alias("cash"), F.lit(0).cast("long").alias("held")).alias("e"))
     events = opened.unionByName(closed).groupBy("symbol", "i").agg(F.max("e").alias("e"))
@@ -99,7 +99,7 @@ def equity(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0) -> Da
 
 def pyramid_adds(entries: DataFrame, bars: DataFrame, gain: float = 0.05, max_hold: int = 20) -> DataFrame:
     """The first bar of each entry's path with a profit of ``gain`` or more: a candidate to add to the position."""
-    rows = bars.select("symbol", F.col("date").alias("add_date"), F.col("close").alias("add_price"), (ROW - 1).cast("long").alias("j"))
+    rows = bars.select("symbol", F.col("date").alias("add_date"), F.col("close").alias("add_price"), (row_no() - 1).cast("long").alias("j"))
     path = entries.select("symbol", "i", "entry", F.explode(F.sequence(F.col("i") + 1, F.col("i") + max_hold)).alias("j")).join(rows, ["symbol", "j"])
     found = path.where((F.col("add_price") - F.col("entry")) / F.col("entry") >= gain)
     first = found.groupBy("symbol", "i").agg(F.min(F.struct("j", "add_date", "add_price")).alias("x"), F.first("entry").alias("entry"))
@@ -108,9 +108,9 @@ def pyramid_adds(entries: DataFrame, bars: DataFrame, gain: float = 0.05, max_ho
 
 def breaker(curve: DataFrame, limit_pct: float = 8.0) -> DataFrame:
     """Drawdown of each equity point and a flag that stays once the drawdown has reached the limit."""
-    peak = F.max("total").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("total").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     c = curve.select("symbol", "date", "total", ((peak - F.col("total")) / peak * 100).alias("drawdown"))
-    return c.withColumn("broken", F.max(F.col("drawdown") >= limit_pct).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    return c.withColumn("broken", F.max(F.col("drawdown") >= limit_pct).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def loss_streaks(trades: DataFrame, order: str = "exit_i", key: str = "symbol") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import ROW, settled
+from ..functions.series import row_no, settled
 
 TRAIN, VALID, STEP = 200, 130, 50
 
@@ -42,7 +42,7 @@ def window_metrics(windows: DataFrame, trades: DataFrame, curve: DataFrame) -> D
 def split_sample(bars: DataFrame, out_share: float = 0.3) -> DataFrame:
     """Marks each bar as in or out of the sample, by row count."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    return bars.select("symbol", "date", F.when(ROW <= F.floor(n * (1 - out_share) + 1e-9), "in").otherwise("out").alias("part"))
+    return bars.select("symbol", "date", F.when(row_no() <= F.floor(n * (1 - out_share) + 1e-9), "in").otherwise("out").alias("part"))
 
 
 def t_statistics(rets: DataFrame, key: str = "symbol") -> DataFrame:

@@ -138,12 +138,12 @@ on_bars("a8_coverage_ratio", lambda b: b.groupBy("symbol").agg(F.max((F.col("dat
 
 # Trailing windows
 on_bars("w1_moving_averages", indicators.moving_averages, query("b", "SELECT symbol, date, " + ", ".join(f"round({rows('avg(close)', 1 - p)} + 1e-9, 6) AS ma{p}" for p in (5, 10, 20, 60, 120)) + " FROM b"))
-on_bars("w2_partial_averages", indicators.partial_averages, query("b", "SELECT symbol, date, " + ", ".join(f"round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) AS MA{p}" for p in (5, 10, 20, 60)) + " FROM b"))
+on_bars("w2_partial_averages", indicators.partial_averages, query("b", "SELECT symbol, date, " + ", ".join(f"round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT row_no()) + 1e-9, 6) AS MA{p}" for p in (5, 10, 20, 60)) + " FROM b"))
 on_bars("w4_returns", indicators.returns, query("b", "SELECT symbol, date, close, c1 AS prev_close, round(close / nullif(c1, 0) - 1, 6) AS ret FROM b"))
-on_bars("w5_volatility", indicators.volatility, query("b", "SELECT symbol, date, round(CASE WHEN count(r) OVER v >= 2 THEN stddev_samp(r) OVER v * sqrt(252) END, 6) AS volatility FROM (SELECT symbol, date, close / c1 - 1 AS r FROM b) WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
+on_bars("w5_volatility", indicators.volatility, query("b", "SELECT symbol, date, round(CASE WHEN count(r) OVER v >= 2 THEN stddev_samp(r) OVER v * sqrt(252) END, 6) AS volatility FROM (SELECT symbol, date, close / c1 - 1 AS r FROM b) WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT row_no())"))
 on_bars("w6_rsi_simple", indicators.rsi_simple, query("t", f"SELECT symbol, date, round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi_simple FROM (SELECT symbol, date, {rows('avg(greatest(d, 0))', -13)} AS g, {rows('avg(greatest(-d, 0))', -13)} AS l FROM t)"))
 on_bars("w7_bollinger", indicators.bollinger, query("bb", "SELECT symbol, date, close, round(mid + 1e-9, 6) AS mid, round(mid + 2 * sd + 1e-9, 6) AS upper, round(mid - 2 * sd + 1e-9, 6) AS lower, round(4 * sd / (mid + 1e-10), 6) AS width, round((close - (mid - 2 * sd)) / (4 * sd + 1e-10), 6) AS pct_b FROM bb"))
-on_bars("w9_atr_sma", indicators.atr_sma, query("t", "SELECT symbol, date, round(tr + 1e-9, 6) AS tr, round(avg(tr) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS atr_sma FROM t"))
+on_bars("w9_atr_sma", indicators.atr_sma, query("t", "SELECT symbol, date, round(tr + 1e-9, 6) AS tr, round(avg(tr) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT row_no()) + 1e-9, 6) AS atr_sma FROM t"))
 on_bars("w11_rsv", lambda b: b.select("symbol", "date", indicators.rsv().alias("rsv")), query("t", "SELECT symbol, date, round(rsv + 1e-9, 6) AS rsv FROM x"))
 on_bars("w12_lagged_returns", lambda b: b.select("symbol", "date", *[(F.col("close") / lag("close", n) - 1).alias(f"ret{n}") for n in (5, 19, 20, 60)]),
         query("b", "SELECT symbol, date, " + ", ".join(f"round(close / lag(close, {n}) OVER w - 1, 6) AS ret{n}" for n in (5, 19, 20, 60)) + " FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)"))
@@ -363,7 +363,7 @@ register("f10_strategy_id", lambda spark, sf: src.read_table(spark, sf, "part").
 # Text, JSON, calendar
 register("f7_trading_days", lambda spark, sf: quality.trading_days(src.read_table(spark, sf, "events").agg(F.min("ts").cast("date").alias("lo"), F.max("ts").cast("date").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))),
          "WITH d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)), o AS (SELECT day, dayofweek(day) NOT IN (0, 6) AND strftime(day, '%Y-%m-%d') NOT IN ("
-         + ", ".join(f"'{h}'" for h in quality.HOLIDAYS) + ") AS open FROM d) SELECT day, open, max(CASE WHEN open THEN day END) OVER (ORDER BY day ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS last_open FROM o")
+         + ", ".join(f"'{h}'" for h in quality.HOLIDAYS) + ") AS open FROM d) SELECT day, open, max(CASE WHEN open THEN day END) OVER (ORDER BY day ROWS BETWEEN 10 PRECEDING AND CURRENT row_no()) AS last_open FROM o")
 register("f8_codes_in_text", lambda spark, sf: quality.codes_in_text(src.read_table(spark, sf, "documents"), r"[0-9]{6}"),
          "SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{6}')) AS code FROM documents) GROUP BY 1, 2")
 register("f9_links", lambda spark, sf: quality.link_texts(src.read_table(spark, sf, "pages")), "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
