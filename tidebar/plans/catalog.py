@@ -205,7 +205,8 @@ on_bars("tp1_candidates", trades.candidates, query("ca", "SELECT symbol, date, i
 
 
 def paths(b: DataFrame) -> DataFrame:
-    return trades.first_exits(trades.candidates(b), b)
+    """Candidates and their exits, kept while the query runs: the join of exits and the ledger read each twice."""
+    return trades.first_exits(trades.candidates(b).persist(), b).persist()
 
 
 def book(b: DataFrame) -> DataFrame:
