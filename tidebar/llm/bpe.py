@@ -30,10 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_small_batches
+
 #: Chunks have 2 ** CUT_BITS code points on average; the rolling hash sees 2 ** WINDOW_BITS.
 CUT_BITS, WINDOW_BITS = 9, 4
 #: Entries of the two memos of a task.
-MEMO_PIECES, MEMO_CHUNKS = 1_000_000, 15_000
+MEMO_PIECES, MEMO_CHUNKS = 700_000, 8_000
 BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -124,24 +126,28 @@ class Encoder:
             yield ",".join(map(self.pieces.__getitem__, parts)), "".join(back)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """The Python worker's encoder: tasks that run in one worker after another share its memos."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, memo_pieces)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, memo_pieces)
+    return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """One row per document: ``doc_id, ids (array of int, if keep_ids), decoded, n_tokens, ids_sha256, decoded_sha256``."""
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = False,
+    memo_pieces: int = MEMO_PIECES,
+) -> DataFrame:
+    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and on demand ``ids`` (array of int) and ``decoded`` (the text read back)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = encoder(tokenizer_path)
+        tok = encoder(tokenizer_path, memo_pieces)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), 128):
+                part = batch.iloc[at : at + 128]
                 rows = list(tok.encode([t if isinstance(t, str) else "" for t in part["text"]]))
                 out = pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy(),
@@ -150,9 +156,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     "decoded_sha256": [sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows],
                 })
                 if keep_ids:
-                    out["ids"] = [np.array(ids.split(","), dtype=np.int32) if ids else np.array([], dtype=np.int32) for ids, _ in rows]
+                    out["ids"] = [np.fromstring(ids, dtype=np.int32, sep=",") for ids, _ in rows]
+                if keep_text:
                     out["decoded"] = [back for _, back in rows]
                 yield out
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")
+    return with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)

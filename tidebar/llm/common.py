@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that carries whole texts to Python.
+TEXT_ROWS = 1000
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, after seeing to it that the session sends at most TEXT_ROWS rows to Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, LOWER)

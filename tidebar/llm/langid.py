@@ -28,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, with_small_batches
 
 UNDETERMINED = "und"
 #: Bounds of the training sample and of the trees; ids with crc32 mod 4 = 2 are held out.
 SAMPLE_PER_LANGUAGE, MAX_CONTEXTS, ORDER = 400, 12_000, 3
 FOLDS, HELD_OUT = 4, 2
 UNIT = 1024
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def text_bytes(text: str) -> bytes:
@@ -150,7 +150,7 @@ def build_model(counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS) -> Model
             seen = n / np.maximum(np.where(rest > 0, total + kinds, total), 1)
             p[first[order] : first[order + 1]] = np.where(total > 0, seen + escape * left / np.where(rest > 0, rest, 1), lower)
         p[:, 0] /= unseen or 1  # one unseen byte's share of its column
-        cost.append(np.rint(-np.log2(np.maximum(p, 1e-12)) * UNIT).astype(np.int32).ravel())
+        cost.append(np.rint(-np.log2(np.maximum(p, 1e-12)) * UNIT).astype(np.uint16).ravel())
 
     nodes = np.zeros(width**ORDER, dtype=np.int32)
     for order in range(1, ORDER + 1):
@@ -195,7 +195,7 @@ def with_language(docs: DataFrame, model: Model | None, name: str = "language")
                 "bits_per_byte": np.where(lettered, bits.min(axis=1) / size, 0.0),
             })
 
-    return docs.withColumn(name, predict("text"))
+    return with_small_batches(docs).withColumn(name, predict("text"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_small_batches
+
 UNKNOWN = "application/octet-stream"
 BLOCK, SAMPLE_RATE = 64, 8000
 
@@ -262,7 +264,7 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "media": [wav_of(b + bytes(-len(b) % BLOCK if b else BLOCK)) for b in raw],
                 })
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         run, "doc_id long, n_bytes long, declared string, media binary")
 
 

@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_small_batches, written
 from .toxicity import WORDS, learn_lexicon
 
 SAMPLE_ROWS, RIDGE, STEPS, TOLERANCE = 20_000, 0.002, 25, 0.004
@@ -74,7 +74,7 @@ def with_profile(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         for texts in batches:
             yield pd.Series([profile(t if isinstance(t, str) else "", terms) for t in texts], dtype=object)
 
-    return docs.withColumn(PREFIX + "profile", profiles("text"))
+    return with_small_batches(docs).withColumn(PREFIX + "profile", profiles("text"))
 
 
 def features() -> Column:

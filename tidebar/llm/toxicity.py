@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, with_small_batches, written
 
 #: Bounds of the sample and of the lexicon; folds of the id's crc32 (fold 0 is held out).
 SAMPLE_ROWS, LEXICON_TERMS, FOLDS = 20_000, 1_500, 5
@@ -73,7 +73,7 @@ def text_features(text: str, lexicon: dict[str, float], known: dict[str, float])
     for w, c in counts.items():
         x = known.get(w)
         if x is None:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             x = known[w] = weight_of(w, lexicon)
         if x:
@@ -105,7 +105,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         for texts in batches:
             yield pd.Series([text_features(t if isinstance(t, str) else "", lexicon, known) for t in texts], dtype=object)
 
-    return docs.withColumn(VECTOR, array_to_vector(features("text")))
+    return with_small_batches(docs).withColumn(VECTOR, array_to_vector(features("text")))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:

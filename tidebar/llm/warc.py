@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, with_small_batches
 
 CHUNK_CHARS, ROWS_PER_FILE, MIN_REVISIT = 16_384, 2_000, 100
 DATE = "2024-01-01T00:00:00Z"
@@ -106,7 +106,7 @@ def write_archive(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, r
                         out, held = [], 0
             yield pd.DataFrame({"value": out}, dtype=object)
 
-    records = plan_records(pages).select("page_id", "row_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
+    records = plan_records(with_small_batches(pages)).select("page_id", "row_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
     records.mapInPandas(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
