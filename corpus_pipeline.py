@@ -11,6 +11,10 @@ from tidebar.llm import bpe, langid, minhash, mixing, toxicity
 from tidebar.llm.common import table, written
 
 
+#: Pieces that a worker remembers; fewer than in the query of its own, as the workers run the other stages too.
+MEMO_PIECES = 150_000
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated classifier calls toxic go."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -33,7 +37,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining document."""
-    return bpe.encode_documents(docs, bpe.default_tokenizer()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return bpe.encode_documents(docs, bpe.default_tokenizer(), memo_pieces=MEMO_PIECES).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [
