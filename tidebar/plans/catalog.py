@@ -18,7 +18,7 @@ QUERIES: dict[str, Build] = {}
 ORACLE: dict[str, str] = {}
 #: Queries whose plans read the bars in several branches.
 SHARED = set("""
-e7_calculate_all i6_signals sg6_signals sg9_actions tp1_candidates tp2_first_exits tp3_ledger tp6_equity tp7_pyramid_adds tp8_circuit_breaker tp9_cooldowns a9_exit_reasons
+e7_calculate_all i6_signals sg6_signals sg9_actions sg10_scan tp1_candidates tp2_first_exits tp3_ledger tp6_equity tp7_pyramid_adds tp8_circuit_breaker tp9_cooldowns a9_exit_reasons
 m5_curve_metrics m6_trade_metrics m7_backtest_rows m8_batch_summary w19_loss_streaks v2_window_metrics v6_consistency v7_judge mo1_rolling_metrics mo4_snapshot re5_recommended re6_rotation
 """.split())
 #: A limit that the test bars do reach.
@@ -385,3 +385,33 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 register("st1_streamed_bars", streamed_bars, ORACLE["a14_bars_from_ticks"])
 
+
+# Set operations, orders and slices
+EARLY, LATE = "date < '1995-03-01'", "date >= '2001-11-02'"
+on_bars("u1_union", lambda b: b.where(EARLY).select("symbol", "date").unionByName(b.where(LATE).select("symbol", "date")), query("b", f"SELECT symbol, date FROM b WHERE {EARLY} UNION ALL SELECT symbol, date FROM b WHERE {LATE}"))
+on_bars("u3_set_difference", lambda b: b.select("symbol").subtract(b.where(LATE).select("symbol")), query("b", f"SELECT DISTINCT symbol FROM b EXCEPT SELECT symbol FROM b WHERE {LATE}"))
+on_bars("u4_intersection", lambda b: b.where(EARLY).select("symbol").intersect(b.where(LATE).select("symbol")), query("b", f"SELECT symbol FROM b WHERE {EARLY} INTERSECT SELECT symbol FROM b WHERE {LATE}"))
+on_bars("k8_priority_cap", lambda b: b.groupBy("symbol").agg(F.max("date").alias("last"), F.count("*").alias("n")).orderBy(F.when(F.col("n") >= 530, 0).otherwise(1), "symbol").limit(20),
+        query("b", "SELECT symbol, max(date) AS last, count(*) AS n FROM b GROUP BY 1 ORDER BY CASE WHEN count(*) >= 530 THEN 0 ELSE 1 END, symbol LIMIT 20"))
+on_bars("w17_crossings", lambda b: b.select("symbol", "date", F.avg("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-4, 0)).alias("m5"), F.avg("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0)).alias("m20")).select(
+    "symbol", "date", *[F.coalesce(x, F.lit(False)).alias(n) for x, n in zip(indicators.crossing("m5", "m20"), ("up", "down"))]).where("up or down"),
+    query("b", """SELECT symbol, date, p <= q AND m > n AS up, p >= q AND m < n AS down FROM (SELECT symbol, date, m, n, lag(m) OVER w AS p, lag(n) OVER w AS q FROM (
+      SELECT symbol, date, avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM b) WINDOW w AS (PARTITION BY symbol ORDER BY date))
+      WHERE (p <= q AND m > n) OR (p >= q AND m < n)"""))
+on_bars("w20_last_rows", lambda b: b.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("back <= 5").select("symbol", "date", "close"),
+        query("b", "SELECT symbol, date, close FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 5"))
+on_bars("s16_backfill_date", lambda b: src.upsert(b.where("date <> '1997-06-02'"), b.where("date = '1997-06-02'").join(b.select("symbol").distinct(), "symbol", "left_semi"), ["symbol", "date"]), query("b", f"SELECT {BARS} FROM b"))
+
+
+def regime_grid(b: DataFrame) -> DataFrame:
+    """Each bar with the regime of the last bar before it on a grid of ten: an equi-join on the grid index."""
+    r = regime.detect(b).select("symbol", F.col("rn").cast("long").alias("rn"), "regime").persist()
+    bar = r.select("symbol", (F.col("rn") - 1).alias("i"), (F.floor((F.col("rn") - 1) / 10) * 10).cast("long").alias("k"))
+    return bar.join(r.select("symbol", F.col("rn").alias("k"), F.col("regime").alias("grid")), ["symbol", "k"]).select("symbol", "i", "grid")
+
+
+on_bars("j5_regime_grid", regime_grid, query("rg", "SELECT a.symbol, a.rn - 1 AS i, g.regime AS grid FROM rg a JOIN rg g ON g.symbol = a.symbol AND g.rn = (a.rn - 1) // 10 * 10"))
+on_bars("a13_count_by_status", lambda b: strategies_of(b).groupBy("status").agg(F.count("*").alias("n")), query("b", "SELECT status, count(*) AS n FROM sr GROUP BY 1", STRATS))
+on_bars("re4_active", lambda b: strategies_of(b).where("status = 'active'").select("strategy_id", "status"), query("b", "SELECT strategy_id, status FROM sr WHERE status = 'active'", STRATS))
+on_bars("sg10_scan", lambda b: factors.last_bars(strategy.actions(b)).where("action in ('BUY', 'WATCH') and grade <= 'B'").select("symbol", "date", "action", "total_score", "grade"),
+        query("sg s", f"SELECT symbol, date, action, total_score, grade FROM (SELECT a.*, total_score, grade FROM ({ACTION}) a JOIN sg USING (symbol, date) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE action IN ('BUY', 'WATCH') AND grade <= 'B'"))
