@@ -184,6 +184,25 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.drop_copies(docs_of(spark, texts)).count() == len(set(low))
 
 
+def test_minhash_finds_every_link_of_long_lists(spark):
+    rng = random.Random(9)
+    new = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    head, base, line = ([new() for _ in range(n)] for n in (7, 95, 180))
+    # All alike only through the bare passage; then larger sets than a sketch; then a group that drifts.
+    texts = [" ".join([*head, new()]) for _ in range(100)] + [" ".join(head)]
+    texts += [" ".join(base + [new() for _ in range(30)]) for _ in range(70)] + [" ".join(base)]
+    texts += [" ".join(line[k : k + 60]) for k in rng.sample(range(120), 120)]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    low = list(range(len(texts)))
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert len(set(low)) == 3
+    got = {r["doc_id"]: r["component_id"] for r in minhash.group_documents(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == low
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -12,9 +12,10 @@ lists (value, document). No list emits all its pairs at first:
 1. Each list links its members to its smallest member. Per member only the leader with the greatest
    overlap, two lists or more, goes on. Components are formed.
 2. Lists of at most ``SMALL_LIST`` members emit the pairs that lie in different components; a pair
-   needs an overlap of three lists (similar sets that differ share three values at least). Longer lists that hold more than one component are split: their members are listed anew
-   under runs of ``RUN`` consecutive retained values, which passages shared by unlike texts seldom fill; these
-   lists emit pairs across components if small, else again links to their smallest member.
+   needs an overlap of three lists (similar sets that differ share three values at least).
+3. Longer lists that hold more than one component are compared in full, in bands of size and blocks of ``BLOCK`` members, by whole
+   sketches. Sets no larger than a sketch are decided there. Of other pairs a forest of the likeliest is verified
+   first; then all pairs that still lie in different components are.
 
 Union-sketch estimates drop pairs that are clearly apart (``MARGIN`` is over four standard deviations).
 
@@ -27,6 +28,7 @@ kept with a null component. Empty tables give empty results; extra columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -39,7 +41,10 @@ from .common import with_small_batches, written
 from .graph import components
 
 WORDS_PER_SHINGLE, PERCENT = 5, 75
-SKETCH, LISTED, SMALL_LIST, RUN, MARGIN, BATCH = 64, 16, 32, 3, 0.25, 256
+SKETCH, LISTED, SMALL_LIST, MARGIN, BATCH = 64, 16, 32, 0.25, 256
+#: Members of a block of a long list; ratio of sizes in a band, over 100 / PERCENT; filler of short sketches.
+BLOCK, BAND, PAD = 512, 1.34, np.iinfo(np.int64).max
+NO_PAIRS = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sure": np.empty(0, bool)})
 
 _RANDOM = np.random.default_rng(20240101)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -165,6 +170,140 @@ def listed(reps: DataFrame, keys: Column) -> DataFrame:
     return rows.join(heads, "key")
 
 
+def cells(lists: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """The long lists that span several components, in blocks: ``key, band, i, j, side, own, doc, component, n, sketch``.
+
+    Sizes of similar sets lie in one band or in neighbouring ones, so a cell holds a band (``own``) and the next one. A cell of
+    several blocks has a group for each pair of them.
+    """
+    placed = lists.where(F.col("size") > SMALL_LIST).select("key", "doc").join(parts.withColumnRenamed("node", "doc"), "doc")
+    sizes = reps.select(F.col("doc_id").alias("doc"), F.floor(F.log("n_shingles") / math.log(BAND)).cast("int").alias("band"))
+    banded = placed.join(sizes, "doc")
+    both = banded.withColumn("own", F.lit(True)).unionByName(banded.withColumn("band", F.col("band") - 1).withColumn("own", F.lit(False)))
+    shape = both.groupBy("key", "band").agg(F.count("*").alias("members"), F.max("own").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shape = shape.where("any and low <> high").select("key", "band", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    dealt = both.join(shape, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "own", "doc", "component")
+    return dealt.join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch"), "doc")
+
+
+def common_values(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Counts of common sketch values of all rows of two padded matrices."""
+    u, v = np.unique(one), np.unique(two)
+    vocabulary = np.intersect1d(u, v, assume_unique=True)
+    vocabulary = vocabulary[vocabulary != PAD]
+    found = np.zeros((len(one), len(two)), dtype=np.float32)
+    for at in range(0, len(vocabulary), 2048):
+        words = vocabulary[at : at + 2048]
+
+        def marks(rows: np.ndarray) -> np.ndarray:
+            place = np.minimum(np.searchsorted(words, rows), len(words) - 1)
+            r, c = np.nonzero(words[place] == rows)
+            out = np.zeros((len(rows), len(words)), dtype=np.float32)
+            out[r, place[r, c]] = 1
+            return out
+
+        found += marks(one) @ marks(two).T
+    return found
+
+
+def estimates(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``estimated`` of the rows of two padded matrices."""
+    out = []
+    for at in range(0, len(one), 4096):
+        both = np.sort(np.concatenate([one[at : at + 4096], two[at : at + 4096]], axis=1), axis=1)
+        again = np.zeros(both.shape, dtype=bool)
+        again[:, 1:] = both[:, 1:] == both[:, :-1]
+        inside = (both != PAD) & (np.cumsum(~again, axis=1) <= SKETCH)
+        out.append((inside & again).sum(axis=1) / (inside & ~again).sum(axis=1))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the pairs that join two trees, taken in their order."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return kept
+
+
+def pairs_in_cells(placed: DataFrame, whole: bool) -> DataFrame:
+    """``a, b, sure``: pairs of different components that a cell's sketches do not rule out; ``sure`` where the sketches are the whole sets.
+
+    Of sure pairs a spanning forest of the components is enough. Of the others all are given if ``whole``, else a forest of the likeliest.
+    """
+
+    def judged(part: pd.DataFrame) -> pd.DataFrame:
+        doc, comp, n, own = (part[c].to_numpy() for c in ("doc", "component", "n", "own"))
+        padded = np.full((len(part), SKETCH), PAD, dtype=np.int64)
+        for row, sketch in zip(padded, part["sketch"]):
+            row[: len(sketch)] = sketch
+        side = part["side"].to_numpy()
+        same = part["i"].iloc[0] == part["j"].iloc[0]
+        one, two = (np.arange(len(part)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+        if not len(one) or not len(two):
+            return NO_PAIRS
+        c = common_values(padded[one], padded[two])
+        x, y = n[one][:, None], n[two][None, :]
+        fits = (comp[one][:, None] != comp[two][None, :]) & (own[one][:, None] | own[two][None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+        fits &= c >= (PERCENT / 100 - MARGIN) * np.minimum(SKETCH, np.maximum(x, y))
+        if same:
+            fits &= doc[one][:, None] < doc[two][None, :]
+        r, s = np.nonzero(fits)
+        c, p, q = c[r, s].astype(np.int64), one[r], two[s]
+        exact = np.maximum(n[p], n[q]) <= SKETCH
+        p1, q1 = p[exact], q[exact]
+        linked = 100 * c[exact] >= PERCENT * (n[p1] + n[q1] - c[exact])
+        p1, q1 = p1[linked], q1[linked]
+        chosen = forest(comp[p1], comp[q1])
+        p1, q1 = p1[chosen], q1[chosen]
+        p2, q2 = p[~exact], q[~exact]
+        close = estimates(padded[p2], padded[q2])
+        likely = close >= PERCENT / 100 - MARGIN
+        p2, q2, close = p2[likely], q2[likely], close[likely]
+        if not whole:
+            order = np.argsort(-close, kind="stable")
+            order = order[forest(comp[p2[order]], comp[q2[order]])]
+            p2, q2 = p2[order], q2[order]
+        left, right = np.r_[p1, p2], np.r_[q1, q2]
+        return pd.DataFrame({"a": np.minimum(doc[left], doc[right]), "b": np.maximum(doc[left], doc[right]), "sure": np.arange(len(left)) < len(p1)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            for name, part in batch.groupby(["key", "band", "i", "j"], sort=False):
+                if name != last and rest:
+                    yield judged(pd.concat(rest, ignore_index=True))
+                    rest = []
+                last = name
+                rest.append(part)
+        if rest:
+            yield judged(pd.concat(rest, ignore_index=True))
+
+    cell = ["key", "band", "i", "j"]
+    return placed.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def joined_parts(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` of all representatives."""
+    everyone = reps.select(F.col("doc_id").alias("node"))
+    return written(everyone.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+
+
 def duplicate_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Verified links (a, b) that join every component of representatives."""
     lists = written(listed(reps, F.slice("sketch", 1, LISTED)), "lists")
@@ -172,25 +311,17 @@ def duplicate_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     best = met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     edges = written(verified(likely(best, reps).select("a", "b"), docs), "links")
 
-    everyone = reps.select(F.col("doc_id").alias("node"))
-    parts = written(everyone.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
-    small = pairs_across(lists.where(F.col("size") <= SMALL_LIST).select("key", "doc"), parts, 3)
-
-    mixed = (
-        lists.where(F.col("size") > SMALL_LIST).join(parts, lists.doc == parts.node)
-        .groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    )
-    residual = lists.join(mixed, "key", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    length = F.least(F.lit(RUN), F.size("sketch"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - length + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("sketch"), i, length), ",")))
-    runs = F.array_distinct(runs)
-    split = written(listed(reps.join(residual, "doc_id", "left_semi"), runs), "run-lists")
-    across = pairs_across(split.where(F.col("size") <= SMALL_LIST).select("key", "doc"), parts, 1)
-    hub = split.where((F.col("size") > SMALL_LIST) & (F.col("doc") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    one, two = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    hub = hub.join(one, "a").join(two, "b").where("ca <> cb").select("a", "b")
-    late = likely(small.unionByName(across).unionByName(hub).distinct(), reps).select("a", "b")
-    return edges.unionByName(written(verified(late, docs), "late-links"))
+    parts = joined_parts(reps, edges)
+    small = likely(pairs_across(lists.where(F.col("size") <= SMALL_LIST).select("key", "doc"), parts, 3), reps).select("a", "b")
+    first = written(pairs_in_cells(cells(lists, reps, parts), whole=False), "cell-pairs")
+    asked = small.unionByName(first.where("not sure").select("a", "b")).distinct()
+    edges = edges.unionByName(first.where("sure").select("a", "b")).unionByName(written(verified(asked, docs), "late-links"))
+    if not first.limit(1).count():
+        return edges
+    # What the forests left apart is compared in full.
+    rest = written(pairs_in_cells(cells(lists, reps, joined_parts(reps, edges)), whole=True), "cell-pairs")
+    asked = rest.where("not sure").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return edges.unionByName(rest.where("sure").select("a", "b")).unionByName(written(verified(asked, docs), "late-links"))
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
