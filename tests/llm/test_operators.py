@@ -275,6 +275,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs.withColumn("score", F.lit(1)), labels).columns == [*docs.columns, "score"]
 
 
+def test_toxicity_calibrates_on_rows_of_its_own(spark, monkeypatch):
+    docs, labels, _ = toxic_corpus(spark)
+    seen, learn, fit = {}, toxicity.learn_lexicon, toxicity.IsotonicRegression.fit
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda df, *a: seen.update(learnt={r["text"] for r in df.select("text").collect()}) or learn(df, *a))
+    monkeypatch.setattr(toxicity.IsotonicRegression, "fit", lambda self, df, *a: seen.update(calibrated=df.count()) or fit(self, df, *a))
+    toxicity.train(docs, labels)
+    rows = toxicity.labelled_sample(docs, labels, 20_000).collect()
+    apart = {r["text"] for r in rows if r["part"] == 0}
+    assert {r["part"] for r in rows} == {0, 1, 2, 3, 4}
+    assert seen["learnt"] == {r["text"] for r in rows} - apart and seen["calibrated"] == len(apart) > 50
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3, 0.3, 0.1], 500)

@@ -2,7 +2,8 @@
 
 Learning. Labels come from the label table, texts from the documents. A bounded sample of labelled
 rows (``SAMPLE_ROWS``, by hash of the id; the whole table if it is smaller) gives the lexicon, the
-trees and the calibration: four parts in five grow the trees, the fifth calibrates them. The lexicon holds words
+trees and the calibration: four parts in five make the lexicon and grow the trees, the fifth calibrates them (by hash of the text, so
+copies stay together; a sample too small for both classes in a part is used whole there). The lexicon holds words
 and word beginnings whose share of toxic texts, shrunk to the base rate, is high; exact copies of a
 text count once there.
 
@@ -115,7 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     share = min(1.0, rows / max(1, n))
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select("doc_id", "text")
-    return texts.join(picked, "doc_id").withColumn("part", crc_mod("doc_id", 25) % 5)
+    return texts.join(picked, "doc_id").withColumn("part", F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)))
 
 
 def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, float]:
@@ -165,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: i
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return ToxicityModel({}, constant=float(next(iter(classes), 0)))
-    lexicon = learn_lexicon(sample)
-    ready = written(with_features(sample, lexicon).select(F.col("toxic").cast("double").alias("toxic"), "part", VECTOR).repartition(4), "toxicity-features")
     both = lambda df: df.select("toxic").distinct().count() == 2
+    learnt = sample.where("part != 0")
+    lexicon = learn_lexicon(learnt if both(learnt) else sample)
+    ready = written(with_features(sample, lexicon).select(F.col("toxic").cast("double").alias("toxic"), "part", VECTOR).repartition(4), "toxicity-features")
     grown, tested = ready.where("part != 0"), ready.where("part = 0")
     grown, tested = (grown if both(grown) else ready), (tested if both(tested) else ready)
     names = {"rawPredictionCol": PREFIX + "raw", "probabilityCol": PREFIX + "probability", "predictionCol": PREFIX + "class"}
