@@ -40,3 +40,11 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert comparable(got) == comparable(want)
     spark.catalog.clearCache()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bootstrap_takes_the_replicates_of_the_reference(spark, monkeypatch):
+    seen, real = [], catalog.validation.bootstrap
+    monkeypatch.setattr(catalog.validation, "bootstrap", lambda rets, replicates=200: seen.append(replicates) or real(rets, 1))
+    catalog.QUERIES["v5_bootstrap"](spark, SF)
+    assert seen == [2000]

@@ -264,7 +264,7 @@ on_bars("v2_window_metrics", windows_of, query("eq", "SELECT * FROM wm", WINDOWS
 on_bars("v3_split_sample", validation.split_sample, query("b", "SELECT symbol, date, CASE WHEN rn <= floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE + 1e-9) THEN 'in' ELSE 'out' END AS part FROM b"))
 on_bars("v4_t_statistics", lambda b: validation.t_statistics(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r"))),
         query("b", "SELECT symbol, n, round(mu, 8) AS mu, round(t, 4) AS tstat, round(greatest(0, 0.5 * (1 - tanh(t / sqrt(2)))), 4) AS pvalue FROM (SELECT symbol, count(r) AS n, avg(r) AS mu, avg(r) / (stddev_samp(r) / sqrt(count(r)) + 1e-10) AS t FROM (SELECT symbol, close / c1 - 1 AS r FROM b) GROUP BY 1)").replace("round(mu, 8)", "round(round(mu, 8), 6)"))
-on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 50))
+on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 2000))
 CONSIST = WINDOWS + """,
 vc AS (SELECT symbol, count(*) AS n_windows, CAST(sum(trades) AS BIGINT) AS out_trades, count(*) FILTER (trades >= 2) AS n_valid, round(coalesce(avg((ret_pct > 0)::INT) FILTER (trades >= 2), 0), 6) AS consistency,
   round(coalesce(avg(ret_pct) FILTER (trades >= 2), 0), 6) AS avg_out_ret, round(coalesce(avg(sharpe) FILTER (trades >= 2), 0), 6) AS avg_out_sharpe, round(coalesce(avg(win_rate) FILTER (trades >= 2), 0), 6) AS avg_out_win_rate FROM wm WHERE part = 'out' GROUP BY 1)"""
