@@ -6,29 +6,32 @@ shingles, each hashed once to 63 bits; a text with fewer words gives its whole s
 Classes. Texts with equal sets (128-bit digest of the sorted set) form a class; its smallest id represents it. From
 here on only representatives take part, so exact copies never meet each other.
 
-Candidates. A sketch holds the ``SKETCH`` smallest hashes. The ``LISTED`` smallest are put into inverted
-lists (value, document). No list emits all its pairs at first:
-
-1. Each list links its members to its smallest member. Per member only the leader with the greatest
-   overlap, two lists or more, goes on. Components are formed.
-2. Lists of at most ``SMALL_LIST`` members emit the pairs that lie in different components; a pair
-   needs an overlap of three lists (similar sets that differ share three values at least).
-3. Longer lists that hold more than one component are compared in full, in bands of size and blocks of ``BLOCK`` members, by whole
-   sketches. Sets no larger than a sketch are decided there. Of other pairs a forest of the likeliest is verified
-   first; then all pairs that still lie in different components are.
-
-Union-sketch estimates drop pairs that are clearly apart (``MARGIN`` is over four standard deviations).
+Candidates. A sketch holds the ``SKETCH`` smallest hashes. Sets of ``n`` shingles that are similar share at least
+``shared(n)`` values of their sketches: by counting for sets up to 96, and for larger ones but for a chance of about
+1e-5 at a similarity of exactly 0.75 (``LEAST`` is 4.6 standard deviations below the mean of the worst case, less likely
+above it). So with all sketches put in one order, the first ``size - shared + k`` values of both hold ``k`` common ones. The order
+is: values that few documents have, then frequent ones (``FREQUENT``), each by hash. These prefixes are the inverted lists;
+a passage that many documents repeat enters the prefix of those alone whose sketch it nearly fills.
+
+1. Each list links its members to its smallest member, long ones to their greatest as well; per member the leader with the greatest overlap goes on.
+2. Lists of at most ``SMALL_LIST`` members emit the pairs that lie in different components; ``k`` lists in common are needed.
+3. Longer lists are compared in blocks of about ``BLOCK`` members, each pair of blocks as one group. Left out are pairs inside
+   one component, and pairs that meet in another long list anyway, as both have the same first one.
+   Here a text stands by its ``DEEP`` smallest hashes; sets no larger than that are decided at once. Of other
+   pairs a forest of the likeliest is verified first, then all that still lie in different components.
+
+Union-sketch estimates drop pairs that are clearly apart (``MARGIN`` and ``SIGMAS``: over 4.6 standard deviations).
 
 Verification. Exact Jaccard on the full sets, rebuilt from the whole texts. A leader's text is sent once to every
 batch of its members (``BATCH`` at most), so hot leaders are spread and no pair carries two texts.
 
-Edge cases. Null, empty and blank texts have an empty set and are linked with nothing. Equal ids are one node. Null ids are
-kept with a null component. Empty tables give empty results; extra columns are ignored.
+Edge cases. Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat an id are one
+node, linked by any of their texts; each row has its own ``n_shingles``. Null ids are kept with a null component and take no part. Ids may be
+any long. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,13 +40,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_small_batches, written
+from .common import discard, with_small_batches, written
 from .graph import components
 
 WORDS_PER_SHINGLE, PERCENT = 5, 75
-SKETCH, LISTED, SMALL_LIST, MARGIN, BATCH = 64, 16, 32, 0.25, 256
-#: Members of a block of a long list; ratio of sizes in a band, over 100 / PERCENT; filler of short sketches.
-BLOCK, BAND, PAD = 512, 1.34, np.iinfo(np.int64).max
+SKETCH, LEAST, MARGIN, BATCH = 64, 32, 0.25, 256
+#: Members of a list that emits pairs; documents from which on a value is frequent; at most so many frequent values are told apart.
+SMALL_LIST, FREQUENT, FREQUENT_VALUES = 32, 32, 500_000
+#: Members of a block of a long list, values that stand for a text there, and bound of its estimates.
+BLOCK, DEEP, SIGMAS = 1024, 256, 5.0
 NO_PAIRS = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sure": np.empty(0, bool)})
 
 _RANDOM = np.random.default_rng(20240101)
@@ -93,22 +98,87 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique((mix(h) >> np.uint64(1)).astype(np.int64))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch`` of every document."""
+def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        rows = []
+        for text in texts:
+            s = shingle_set(text)
+            rows.append((len(s), blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:SKETCH].copy()))
+        yield pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                sets = [shingle_set(t) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "n_shingles": [len(s) for s in sets],
-                    "digest": [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "sketch": [s[:SKETCH] for s in sets],
-                })
 
-    return with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+def deep_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        sets = [shingle_set(t) for t in texts]
+        yield pd.DataFrame({"n": [len(s) for s in sets], "deep": [s[:DEEP].copy() for s in sets]})
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, digest, sketch`` of every document. The id stays in the JVM."""
+    rows = with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.pandas_udf(sketched, "n_shingles long, digest binary, sketch array<long>")(text_col).alias("s"))
+    return rows.select("doc_id", "s.n_shingles", "s.digest", "s.sketch")
+
+
+def shared(n: int) -> int:
+    """Sketch values that a set of ``n`` shingles shares at least with any similar one."""
+    # A partner has up to 4 n / 3 shingles; the values that its sketch leaves out may be common ones.
+    whole = -(-PERCENT * n // 100)
+    return whole if 100 * n <= PERCENT * SKETCH else min(whole, max(LEAST, SKETCH - (100 - PERCENT) * n // PERCENT - 1))
+
+
+def needed(n: int) -> int:
+    """Lists in common (``k``) that a pair of small lists needs by the set of ``n`` shingles."""
+    return max(1, shared(n) // 8)
+
+
+def frequent_values(reps: DataFrame) -> np.ndarray:
+    """The values in the sketches of over ``FREQUENT`` representatives, sorted. Where there are more than ``FREQUENT_VALUES``, the bound is doubled
+    until they fit; that moves work between the kinds of lists and changes no result."""
+    counts = written(reps.select(F.explode("sketch").alias("key")).groupBy("key").count().where(F.col("count") > FREQUENT), "frequent")
+    level = F.floor(F.log2(F.col("count") / FREQUENT)).cast("int")
+    sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("count")).collect()}
+    lowest = max(sizes, default=0)
+    held = 0
+    while lowest >= 0 and held + sizes.get(lowest, 0) <= FREQUENT_VALUES:
+        held += sizes.get(lowest, 0)
+        lowest -= 1
+    kept = counts.where(level > lowest).select("key").limit(FREQUENT_VALUES).toPandas()
+    discard(counts)
+    return np.sort(kept["key"].to_numpy(dtype=np.int64))
+
+
+def prefixes(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``doc, n, k, key, rare``: the prefix of every representative."""
+    known = reps.sparkSession.sparkContext.broadcast(frequent)
+
+    @F.pandas_udf("k int, rare int, keys array<long>")
+    def chosen(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for sizes, values in batches:
+            rows = []
+            for n, s in zip(sizes.tolist(), values):
+                s = np.asarray(s, dtype=np.int64)
+                at = np.searchsorted(known.value, s)
+                often = at < len(known.value)
+                often[often] = known.value[at[often]] == s[often]
+                k = needed(n)
+                keys = np.concatenate([s[~often], s[often]])[: min(len(s), len(s) - shared(n) + k)]
+                rows.append((k, min(len(keys), int((~often).sum())), keys))
+            yield pd.DataFrame(rows, columns=["k", "rare", "keys"]).astype({"k": "int32", "rare": "int32"})
+
+    rows = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), chosen("n_shingles", "sketch").alias("p"))
+    rows = rows.select("doc", "n", F.col("p.k").alias("k"), F.col("p.rare").alias("n_rare"), F.posexplode("p.keys").alias("at", "key"))
+    return rows.select("doc", "n", "k", "key", (F.col("at") < F.col("n_rare")).alias("rare"))
+
+
+def listed(reps: DataFrame) -> DataFrame:
+    """Inverted lists with two members or more: ``key, doc, n, k, size, leader, other_leader``.
+
+    Heads of frequent values are bounded in number and sent to the rows, so that no long list passes through one task.
+    """
+    rows = prefixes(reps, frequent_values(reps))
+    heads = lambda df: df.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("leader"), F.max("doc").alias("other_leader")).where("size > 1")
+    rare, often = rows.where("rare"), rows.where("not rare")
+    return rare.join(heads(rare), "key").unionByName(often.join(F.broadcast(heads(often)), "key")).drop("rare")
 
 
 def estimated(a: Column, b: Column) -> Column:
@@ -117,112 +187,132 @@ def estimated(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
+def similar_size(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, estimate`` of the pairs that sizes and sketches do not rule out."""
+    """``a, b`` of the pairs that sizes and sketches do not rule out."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", estimated(F.col("s_a"), F.col("s_b")).alias("estimate")).where(F.col("estimate") >= PERCENT / 100 - MARGIN)
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(similar_size("n_a", "n_b"))
+    return sized.where(estimated(F.col("s_a"), F.col("s_b")) >= PERCENT / 100 - MARGIN).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= PERCENT * union."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leader, whole = None, None
+        leader, wholes = None, []
         for batch in batches:
             out = []
-            for a, b, text in zip(batch["a"], batch["b"], batch["text"]):
-                if b < 0:
-                    leader, whole = a, shingle_set(text)
+            for a, b, member, text in zip(batch["a"], batch["b"], batch["member"], batch["text"]):
+                own = shingle_set(text)
+                if not member:
+                    wholes = [*wholes, own] if leader == (a, False) else [own]
+                    leader = (a, False)
                     continue
-                if leader != a:
+                if leader is None or leader[0] != a:
                     raise ValueError(f"document {a} has no text")
-                own = shingle_set(text)
-                common = len(np.intersect1d(own, whole, assume_unique=True))
-                if common and 100 * common >= PERCENT * (len(own) + len(whole) - common):
-                    out.append((a, b))
+                leader = (a, True)
+                for whole in wholes:
+                    common = len(np.intersect1d(own, whole, assume_unique=True))
+                    if common and 100 * common >= PERCENT * (len(own) + len(whole) - common):
+                        out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     # Members of one leader are dealt in batches; the leader's text comes first in each.
     sizes = pairs.groupBy("a").agg(F.count("*").alias("members"))
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / BATCH))).select("a", "b", "salt")
     wanted = written(dealt, "pairs")
-    roles = wanted.select(F.col("b").alias("doc_id"), "a", "b", "salt").unionByName(
-        wanted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", F.lit(-1).cast("long").alias("b"), "salt"))
+    if not wanted.limit(1).count():
+        return wanted.select("a", "b")
+    roles = wanted.select(F.col("b").alias("doc_id"), "a", "b", "salt", F.lit(True).alias("member")).unionByName(
+        wanted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", F.col("a").alias("b"), "salt", F.lit(False).alias("member")))
     # Texts are dealt by id at every size; the pairs grow with the corpus and are not broadcast.
     texts = docs.select("doc_id", "text").join(roles.hint("merge"), "doc_id")
-    first = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return first.select("a", "b", "text").mapInPandas(run, "a long, b long").distinct()
-
-
-def pairs_across(lists: DataFrame, parts: DataFrame, overlap: int) -> DataFrame:
-    """Pairs (a < b) of different components that meet in at least ``overlap`` lists of (key, doc)."""
-    placed = lists.join(parts, lists.doc == parts.node).select("key", "doc", "component")
-    other = placed.select("key", F.col("doc").alias("doc2"), F.col("component").alias("component2"))
-    met = placed.join(other, "key").where("doc < doc2 and component <> component2")
-    return met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("a", "b")
+    first = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "b")
+    found = written(first.select("a", "b", "member", "text").mapInPandas(run, "a long, b long").distinct(), "links")
+    discard(wanted)
+    return found
 
 
-def listed(reps: DataFrame, keys: Column) -> DataFrame:
-    """Inverted lists with two members or more: ``key, doc, size, leader``."""
-    rows = reps.select(F.explode(keys).alias("key"), F.col("doc_id").alias("doc"))
-    heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    return rows.join(heads, "key")
+def pairs_across(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components and similar sizes that meet in enough of the small lists."""
+    placed = lists.where(F.col("size") <= SMALL_LIST).join(parts.withColumnRenamed("node", "doc"), "doc").select("key", "doc", "n", "k", "component")
+    other = placed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc", "n", "k", "component")])
+    met = placed.join(other, "key").where("doc < doc_2 and component <> component_2").where(similar_size("n", "n_2"))
+    enough = met.groupBy(F.col("doc").alias("a"), F.col("doc_2").alias("b")).agg(F.count("*").alias("lists"), F.min(F.least("k", "k_2")).alias("k"))
+    return enough.where("lists >= k").select("a", "b")
 
 
-def cells(lists: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
-    """The long lists that span several components, in blocks: ``key, band, i, j, side, own, doc, component, n, sketch``.
+def block_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The long lists that span several components, as pairs of blocks: ``key, i, j, second, doc, component``.
 
-    Sizes of similar sets lie in one band or in neighbouring ones, so a cell holds a band (``own``) and the next one. A cell of
-    several blocks has a group for each pair of them.
+    A list's members fall into kinds by two marks: their component, if many of the list have it, and their first long list, if
+    that is another list and many have it. Kinds that agree in a mark need not meet here. Kinds are cut into blocks by
+    hash; each pair of blocks is one group.
     """
-    placed = lists.where(F.col("size") > SMALL_LIST).select("key", "doc").join(parts.withColumnRenamed("node", "doc"), "doc")
-    sizes = reps.select(F.col("doc_id").alias("doc"), F.floor(F.log("n_shingles") / math.log(BAND)).cast("int").alias("band"))
-    banded = placed.join(sizes, "doc")
-    both = banded.withColumn("own", F.lit(True)).unionByName(banded.withColumn("band", F.col("band") - 1).withColumn("own", F.lit(False)))
-    shape = both.groupBy("key", "band").agg(F.count("*").alias("members"), F.max("own").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
-    shape = shape.where("any and low <> high").select("key", "band", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    dealt = both.join(shape, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "own", "doc", "component")
-    return dealt.join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch"), "doc")
-
-
-def common_values(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Counts of common sketch values of all rows of two padded matrices."""
-    u, v = np.unique(one), np.unique(two)
-    vocabulary = np.intersect1d(u, v, assume_unique=True)
-    vocabulary = vocabulary[vocabulary != PAD]
+    long = lists.where(F.col("size") > SMALL_LIST).select("key", "doc")
+    placed = long.join(long.groupBy("doc").agg(F.min("key").alias("first")), "doc").join(parts.withColumnRenamed("node", "doc"), "doc")
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    placed = written(placed.join(spread, "key"), "members")
+    big = placed.groupBy("key", "component").agg(F.count("*").alias("n_component")).where(F.col("n_component") >= BLOCK)
+    again = placed.where("first <> key").groupBy("key", "first").agg(F.count("*").alias("n_first")).where(F.col("n_first") >= BLOCK)
+    mark = lambda n, of: F.when(F.col(n).isNotNull(), F.array(of)).otherwise(F.array().cast("array<long>"))
+    kinds = placed.join(big, ["key", "component"], "left").join(again, ["key", "first"], "left").select(
+        "key", "doc", "component", F.struct(mark("n_component", "component").alias("component"), mark("n_first", "first").alias("first")).alias("kind"))
+    sizes = kinds.groupBy("key", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    blocks = sizes.select("key", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    mine, other = (blocks.select("key", F.struct("kind", "block").alias(x)) for x in ("i", "j"))
+    agree = F.arrays_overlap("i.kind.component", "j.kind.component") | F.arrays_overlap("i.kind.first", "j.kind.first")
+    asked = mine.join(other, "key").where((F.col("i") <= F.col("j")) & ~agree)
+    seats = asked.select("key", "i", "j", F.col("i").alias("own"), F.lit(False).alias("second")).unionByName(
+        asked.where("i <> j").select("key", "i", "j", F.col("j").alias("own"), F.lit(True).alias("second")))
+    dealt = kinds.join(sizes, ["key", "kind"]).withColumn("own", F.struct("kind", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("n_blocks")).alias("block")))
+    return dealt.select("key", "own", "doc", "component").join(seats, ["key", "own"]).select("key", "i", "j", "second", "doc", "component")
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common values of all rows of two lists of sorted arrays."""
+
+    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order = np.argsort(values, kind="stable")
+        return values[order], row[order]
+
     found = np.zeros((len(one), len(two)), dtype=np.float32)
-    for at in range(0, len(vocabulary), 2048):
-        words = vocabulary[at : at + 2048]
-
-        def marks(rows: np.ndarray) -> np.ndarray:
-            place = np.minimum(np.searchsorted(words, rows), len(words) - 1)
-            r, c = np.nonzero(words[place] == rows)
-            out = np.zeros((len(rows), len(words)), dtype=np.float32)
-            out[r, place[r, c]] = 1
+    (v1, r1), (v2, r2) = flat(one), flat(two)
+    u1, at1, n1 = np.unique(v1, return_index=True, return_counts=True)
+    u2, at2, n2 = np.unique(v2, return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(u1, u2, assume_unique=True, return_indices=True)
+    at1, n1, at2, n2 = at1[x], n1[x], at2[y], n2[y]
+    # Values that many rows hold are counted by matrix products, the others row by row.
+    dense = np.flatnonzero(n1 * n2 > 2048)
+    for lo in range(0, len(dense), 1024):
+        words = dense[lo : lo + 1024]
+
+        def marks(at: np.ndarray, n: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+            out = np.zeros((size, len(words)), dtype=np.float32)
+            for k, w in enumerate(words):
+                out[row[at[w] : at[w] + n[w]], k] = 1
             return out
 
-        found += marks(one) @ marks(two).T
+        found += marks(at1, n1, r1, len(one)) @ marks(at2, n2, r2, len(two)).T
+    sparse = np.flatnonzero(n1 * n2 <= 2048)
+    for lo in range(0, len(sparse), 1024):
+        w = sparse[lo : lo + 1024]
+        a, b = n1[w], n2[w]
+        inside = np.arange(int((a * b).sum())) - np.repeat(np.cumsum(a * b) - a * b, a * b)
+        width = np.repeat(b, a * b)
+        p = r1[np.repeat(at1[w], a * b) + inside // width]
+        q = r2[np.repeat(at2[w], a * b) + inside % width]
+        found += np.bincount(p * len(two) + q, minlength=found.size).reshape(found.shape)
     return found
 
 
-def estimates(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """``estimated`` of the rows of two padded matrices."""
-    out = []
-    for at in range(0, len(one), 4096):
-        both = np.sort(np.concatenate([one[at : at + 4096], two[at : at + 4096]], axis=1), axis=1)
-        again = np.zeros(both.shape, dtype=bool)
-        again[:, 1:] = both[:, 1:] == both[:, :-1]
-        inside = (both != PAD) & (np.cumsum(~again, axis=1) <= SKETCH)
-        out.append((inside & again).sum(axis=1) / (inside & ~again).sum(axis=1))
-    return np.concatenate(out) if out else np.empty(0)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of the pairs that join two trees, taken in their order."""
-    up: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray, up: dict[int, int]) -> list[int]:
+    """Places of the pairs that join two trees of ``up``, taken in their order."""
 
     def top(x: int) -> int:
         while up.setdefault(x, x) != x:
@@ -238,46 +328,50 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def pairs_in_cells(placed: DataFrame, whole: bool) -> DataFrame:
-    """``a, b, sure``: pairs of different components that a cell's sketches do not rule out; ``sure`` where the sketches are the whole sets.
-
-    Of sure pairs a spanning forest of the components is enough. Of the others all are given if ``whole``, else a forest of the likeliest.
-    """
-
-    def judged(part: pd.DataFrame) -> pd.DataFrame:
-        doc, comp, n, own = (part[c].to_numpy() for c in ("doc", "component", "n", "own"))
-        padded = np.full((len(part), SKETCH), PAD, dtype=np.int64)
-        for row, sketch in zip(padded, part["sketch"]):
-            row[: len(sketch)] = sketch
-        side = part["side"].to_numpy()
-        same = part["i"].iloc[0] == part["j"].iloc[0]
-        one, two = (np.arange(len(part)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
-        if not len(one) or not len(two):
-            return NO_PAIRS
-        c = common_values(padded[one], padded[two])
-        x, y = n[one][:, None], n[two][None, :]
-        fits = (comp[one][:, None] != comp[two][None, :]) & (own[one][:, None] | own[two][None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
-        fits &= c >= (PERCENT / 100 - MARGIN) * np.minimum(SKETCH, np.maximum(x, y))
-        if same:
-            fits &= doc[one][:, None] < doc[two][None, :]
+def judged(part: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """``a, b, sure`` of one pair of blocks."""
+    doc, comp, n, values = (part[c].to_numpy() for c in ("doc", "component", "n", "deep"))
+    second = part["second"].to_numpy()
+    same = not second.any()
+    one, two = (np.arange(len(part)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+    if not len(one) or not len(two):
+        return NO_PAIRS
+    c = common_counts([values[k] for k in one], [values[k] for k in two])
+    x, y = n[one][:, None], n[two][None, :]
+    fits = (comp[one][:, None] != comp[two][None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (c > 0)
+    if same:
+        fits &= doc[one][:, None] < doc[two][None, :]
+    both = (x <= DEEP) & (y <= DEEP)
+    r, s = np.nonzero(fits & both & (100 * c >= PERCENT * (x + y - c)))
+    p1, q1 = one[r], two[s]
+    up: dict[int, int] = {}
+    chosen = forest(comp[p1], comp[q1], up)
+    p1, q1 = p1[chosen], q1[chosen]
+    # Larger sets: all that is known of both ends where the lower of the two sketches ends.
+    fits &= ~both
+    p2, q2 = np.empty(0, np.int64), np.empty(0, np.int64)
+    if fits.any():
+        last = lambda rows: np.array([values[k][-1] if n[k] > DEEP else np.iinfo(np.int64).max for k in rows])
+        e1, e2 = last(one), last(two)
+        up_to = lambda rows, ends: np.stack([np.searchsorted(values[k], ends, side="right") for k in rows])
+        size = np.minimum(up_to(one, e2), [[len(values[k])] for k in one]) + np.minimum(up_to(two, e1), [[len(values[k])] for k in two]).T - c
+        t = PERCENT / 100
+        fits &= c >= t * size - SIGMAS * np.sqrt(t * (1 - t) * size)
         r, s = np.nonzero(fits)
-        c, p, q = c[r, s].astype(np.int64), one[r], two[s]
-        exact = np.maximum(n[p], n[q]) <= SKETCH
-        p1, q1 = p[exact], q[exact]
-        linked = 100 * c[exact] >= PERCENT * (n[p1] + n[q1] - c[exact])
-        p1, q1 = p1[linked], q1[linked]
-        chosen = forest(comp[p1], comp[q1])
-        p1, q1 = p1[chosen], q1[chosen]
-        p2, q2 = p[~exact], q[~exact]
-        close = estimates(padded[p2], padded[q2])
-        likely = close >= PERCENT / 100 - MARGIN
-        p2, q2, close = p2[likely], q2[likely], close[likely]
+        p2, q2, close = one[r], two[s], (c / np.maximum(size, 1))[r, s]
         if not whole:
             order = np.argsort(-close, kind="stable")
-            order = order[forest(comp[p2[order]], comp[q2[order]])]
+            order = order[forest(comp[p2[order]], comp[q2[order]], up)]
             p2, q2 = p2[order], q2[order]
-        left, right = np.r_[p1, p2], np.r_[q1, q2]
-        return pd.DataFrame({"a": np.minimum(doc[left], doc[right]), "b": np.maximum(doc[left], doc[right]), "sure": np.arange(len(left)) < len(p1)})
+    left, right = np.r_[p1, p2], np.r_[q1, q2]
+    return pd.DataFrame({"a": np.minimum(doc[left], doc[right]), "b": np.maximum(doc[left], doc[right]), "sure": np.arange(len(left)) < len(p1)})
+
+
+def pairs_in_blocks(lists: DataFrame, parts: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """``a, b, sure``: pairs of different components in the long lists that sketches do not rule out; ``sure`` where they are the whole sets.
+
+    Of sure pairs a spanning forest of the components is enough. Of the others all are given if ``whole``, else a forest of the likeliest.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -285,62 +379,79 @@ def pairs_in_cells(placed: DataFrame, whole: bool) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            for name, part in batch.groupby(["key", "band", "i", "j"], sort=False):
+            for name, part in batch.groupby("cell", sort=False):
                 if name != last and rest:
-                    yield judged(pd.concat(rest, ignore_index=True))
+                    yield judged(pd.concat(rest, ignore_index=True), whole)
                     rest = []
                 last = name
                 rest.append(part)
         if rest:
-            yield judged(pd.concat(rest, ignore_index=True))
-
-    cell = ["key", "band", "i", "j"]
-    return placed.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+            yield judged(pd.concat(rest, ignore_index=True), whole)
+
+    asked = written(block_pairs(lists, parts), "blocks")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(asked.select("doc").distinct().hint("merge"), "doc")
+    deep = written(texts.select("doc", F.pandas_udf(deep_sketch, "n long, deep array<long>")("text").alias("d")).select("doc", "d.n", "d.deep").where("n > 0").distinct(), "deep")
+    cells = asked.join(deep.hint("merge"), "doc").select(F.to_json(F.struct("key", "i", "j")).alias("cell"), "second", "doc", "component", "n", "deep")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    found = written(dealt.mapInPandas(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "block-pairs")
+    discard(asked, deep)
+    return found
 
 
 def joined_parts(reps: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component`` of all representatives."""
-    everyone = reps.select(F.col("doc_id").alias("node"))
+    everyone = reps.select(F.col("doc_id").alias("node")).distinct()
     return written(everyone.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
 
 
 def duplicate_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Verified links (a, b) that join every component of representatives."""
-    lists = written(listed(reps, F.slice("sketch", 1, LISTED)), "lists")
-    met = lists.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= 2)
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    edges = written(verified(likely(best, reps).select("a", "b"), docs), "links")
+    lists = written(listed(reps), "lists")
 
+    def best(leader: str, rows: DataFrame) -> DataFrame:
+        met = rows.where(F.col("doc") != F.col(leader)).groupBy(F.col(leader).alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+        return met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+
+    tried = best("leader", lists).unionByName(best("other_leader", lists.where(F.col("size") > SMALL_LIST)))
+    edges = verified(likely(tried, reps), docs)
+
+    parts = joined_parts(reps, edges)
+    edges = edges.unionByName(verified(likely(pairs_across(lists, parts), reps), docs))
+    if not lists.where(F.col("size") > SMALL_LIST).limit(1).count():
+        return edges
     parts = joined_parts(reps, edges)
-    small = likely(pairs_across(lists.where(F.col("size") <= SMALL_LIST).select("key", "doc"), parts, 3), reps).select("a", "b")
-    first = written(pairs_in_cells(cells(lists, reps, parts), whole=False), "cell-pairs")
-    asked = small.unionByName(first.where("not sure").select("a", "b")).distinct()
-    edges = edges.unionByName(first.where("sure").select("a", "b")).unionByName(written(verified(asked, docs), "late-links"))
-    if not first.limit(1).count():
+    first = pairs_in_blocks(lists, parts, docs, whole=False)
+    asked = first.where("not sure").select("a", "b")
+    edges = edges.unionByName(first.where("sure").select("a", "b"))
+    if not asked.limit(1).count():
         return edges
+    edges = edges.unionByName(verified(asked, docs))
     # What the forests left apart is compared in full.
-    rest = written(pairs_in_cells(cells(lists, reps, joined_parts(reps, edges)), whole=True), "cell-pairs")
-    asked = rest.where("not sure").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return edges.unionByName(rest.where("sure").select("a", "b")).unionByName(written(verified(asked, docs), "late-links"))
+    rest = pairs_in_blocks(lists, joined_parts(reps, edges), docs, whole=True)
+    again = rest.where("not sure").select("a", "b").join(asked, ["a", "b"], "left_anti")
+    return edges.unionByName(rest.where("sure").select("a", "b")).unionByName(verified(again, docs))
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(sketches(docs), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = (
-        rows.where("n_shingles > 0").join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
-    )
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = known.join(classes, "digest").where("doc_id = rep").dropDuplicates(["digest"]).select("doc_id", "n_shingles", "sketch")
     reps = written(reps, "representatives")
-    found = components(duplicate_links(docs, reps))
-    placed = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    # An id with several texts joins their classes.
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    own = known.select("doc_id", "digest").join(several, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(duplicate_links(docs, reps).unionByName(own))
+    placed = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    placed = placed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     placed = placed.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns unchanged. Rows without an id all stay; of rows with one id one stays."""
+    """One document of each group, with its columns unchanged. Rows without an id all stay; of rows that repeat the kept id and its text one stays."""
     kept = group_documents(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    chosen = docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
