@@ -17,10 +17,10 @@ a passage that many documents repeat enters the prefix of those alone whose sket
 2. Lists of at most ``SMALL_LIST`` members emit the pairs that lie in different components; ``k`` lists in common are needed.
 3. Longer lists are compared in blocks of about ``BLOCK`` members, each pair of blocks as one group. Left out are pairs inside
    one component, and pairs that meet in another long list anyway, as both have the same first one.
-   Here a text stands by its ``DEEP`` smallest hashes; sets no larger than that are decided at once. Of other
-   pairs a forest of the likeliest is verified first, then all that still lie in different components.
+   Blocks hold a bounded number of hashes and carry the full sets, so each pair is decided there; a group gives a forest of links
+   between components, not its pairs.
 
-Union-sketch estimates drop pairs that are clearly apart (``MARGIN`` and ``SIGMAS``: over 4.6 standard deviations).
+Union-sketch estimates drop pairs that are clearly apart (``MARGIN`` is over 4.6 standard deviations).
 
 Verification. Exact Jaccard on the full sets, rebuilt from the whole texts. A leader's text is sent once to every
 batch of its members (``BATCH`` at most), so hot leaders are spread and no pair carries two texts.
@@ -47,9 +47,9 @@ WORDS_PER_SHINGLE, PERCENT = 5, 75
 SKETCH, LEAST, MARGIN, BATCH = 64, 32, 0.25, 256
 #: Members of a list that emits pairs; documents from which on a value is frequent; at most so many frequent values are told apart.
 SMALL_LIST, FREQUENT, FREQUENT_VALUES = 32, 32, 500_000
-#: Members of a block of a long list, values that stand for a text there, and bound of its estimates.
-BLOCK, DEEP, SIGMAS = 1024, 256, 5.0
-NO_PAIRS = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sure": np.empty(0, bool)})
+#: Members and hashes of a block of a long list, about.
+BLOCK, BLOCK_HASHES = 1024, 1 << 18
+NO_PAIRS = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
 _RANDOM = np.random.default_rng(20240101)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -107,10 +107,9 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch"])
 
 
-def deep_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def whole_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        sets = [shingle_set(t) for t in texts]
-        yield pd.DataFrame({"n": [len(s) for s in sets], "deep": [s[:DEEP].copy() for s in sets]})
+        yield pd.Series([shingle_set(t) for t in texts], dtype=object)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +251,7 @@ def block_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
     that is another list and many have it. Kinds that agree in a mark need not meet here. Kinds are cut into blocks by
     hash; each pair of blocks is one group.
     """
-    long = lists.where(F.col("size") > SMALL_LIST).select("key", "doc")
+    long = lists.where(F.col("size") > SMALL_LIST).select("key", "doc", "n")
     placed = long.join(long.groupBy("doc").agg(F.min("key").alias("first")), "doc").join(parts.withColumnRenamed("node", "doc"), "doc")
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     placed = written(placed.join(spread, "key"), "members")
@@ -260,8 +259,8 @@ def block_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
     again = placed.where("first <> key").groupBy("key", "first").agg(F.count("*").alias("n_first")).where(F.col("n_first") >= BLOCK)
     mark = lambda n, of: F.when(F.col(n).isNotNull(), F.array(of)).otherwise(F.array().cast("array<long>"))
     kinds = placed.join(big, ["key", "component"], "left").join(again, ["key", "first"], "left").select(
-        "key", "doc", "component", F.struct(mark("n_component", "component").alias("component"), mark("n_first", "first").alias("first")).alias("kind"))
-    sizes = kinds.groupBy("key", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+        "key", "doc", "n", "component", F.struct(mark("n_component", "component").alias("component"), mark("n_first", "first").alias("first")).alias("kind"))
+    sizes = kinds.groupBy("key", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES)).alias("n_blocks"))
     blocks = sizes.select("key", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     mine, other = (blocks.select("key", F.struct("kind", "block").alias(x)) for x in ("i", "j"))
     agree = F.arrays_overlap("i.kind.component", "j.kind.component") | F.arrays_overlap("i.kind.first", "j.kind.first")
@@ -311,8 +310,9 @@ def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def forest(a: np.ndarray, b: np.ndarray, up: dict[int, int]) -> list[int]:
-    """Places of the pairs that join two trees of ``up``, taken in their order."""
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the pairs that join two trees, taken in their order."""
+    up: dict[int, int] = {}
 
     def top(x: int) -> int:
         while up.setdefault(x, x) != x:
@@ -328,50 +328,26 @@ def forest(a: np.ndarray, b: np.ndarray, up: dict[int, int]) -> list[int]:
     return kept
 
 
-def judged(part: pd.DataFrame, whole: bool) -> pd.DataFrame:
-    """``a, b, sure`` of one pair of blocks."""
-    doc, comp, n, values = (part[c].to_numpy() for c in ("doc", "component", "n", "deep"))
+def judged(part: pd.DataFrame) -> pd.DataFrame:
+    """Links of one pair of blocks: a forest of its components."""
+    doc, comp, values = (part[c].to_numpy() for c in ("doc", "component", "hashes"))
     second = part["second"].to_numpy()
     same = not second.any()
     one, two = (np.arange(len(part)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
     if not len(one) or not len(two):
         return NO_PAIRS
     c = common_counts([values[k] for k in one], [values[k] for k in two])
-    x, y = n[one][:, None], n[two][None, :]
-    fits = (comp[one][:, None] != comp[two][None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (c > 0)
-    if same:
-        fits &= doc[one][:, None] < doc[two][None, :]
-    both = (x <= DEEP) & (y <= DEEP)
-    r, s = np.nonzero(fits & both & (100 * c >= PERCENT * (x + y - c)))
-    p1, q1 = one[r], two[s]
-    up: dict[int, int] = {}
-    chosen = forest(comp[p1], comp[q1], up)
-    p1, q1 = p1[chosen], q1[chosen]
-    # Larger sets: all that is known of both ends where the lower of the two sketches ends.
-    fits &= ~both
-    p2, q2 = np.empty(0, np.int64), np.empty(0, np.int64)
-    if fits.any():
-        last = lambda rows: np.array([values[k][-1] if n[k] > DEEP else np.iinfo(np.int64).max for k in rows])
-        e1, e2 = last(one), last(two)
-        up_to = lambda rows, ends: np.stack([np.searchsorted(values[k], ends, side="right") for k in rows])
-        size = np.minimum(up_to(one, e2), [[len(values[k])] for k in one]) + np.minimum(up_to(two, e1), [[len(values[k])] for k in two]).T - c
-        t = PERCENT / 100
-        fits &= c >= t * size - SIGMAS * np.sqrt(t * (1 - t) * size)
-        r, s = np.nonzero(fits)
-        p2, q2, close = one[r], two[s], (c / np.maximum(size, 1))[r, s]
-        if not whole:
-            order = np.argsort(-close, kind="stable")
-            order = order[forest(comp[p2[order]], comp[q2[order]], up)]
-            p2, q2 = p2[order], q2[order]
-    left, right = np.r_[p1, p2], np.r_[q1, q2]
-    return pd.DataFrame({"a": np.minimum(doc[left], doc[right]), "b": np.maximum(doc[left], doc[right]), "sure": np.arange(len(left)) < len(p1)})
-
-
-def pairs_in_blocks(lists: DataFrame, parts: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
-    """``a, b, sure``: pairs of different components in the long lists that sketches do not rule out; ``sure`` where they are the whole sets.
-
-    Of sure pairs a spanning forest of the components is enough. Of the others all are given if ``whole``, else a forest of the likeliest.
-    """
+    n = np.array([len(v) for v in values])
+    linked = (c > 0) & (100 * c >= PERCENT * (n[one][:, None] + n[two][None, :] - c)) & (comp[one][:, None] != comp[two][None, :])
+    r, s = np.nonzero(linked)
+    p, q = one[r], two[s]
+    chosen = forest(comp[p], comp[q])
+    p, q = p[chosen], q[chosen]
+    return pd.DataFrame({"a": np.minimum(doc[p], doc[q]), "b": np.maximum(doc[p], doc[q])})
+
+
+def links_in_blocks(lists: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b``: links between components in the long lists, decided on the whole sets; they join all that the lists' links join."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -381,20 +357,19 @@ def pairs_in_blocks(lists: DataFrame, parts: DataFrame, docs: DataFrame, whole:
                 continue
             for name, part in batch.groupby("cell", sort=False):
                 if name != last and rest:
-                    yield judged(pd.concat(rest, ignore_index=True), whole)
+                    yield judged(pd.concat(rest, ignore_index=True))
                     rest = []
                 last = name
                 rest.append(part)
         if rest:
-            yield judged(pd.concat(rest, ignore_index=True), whole)
+            yield judged(pd.concat(rest, ignore_index=True))
 
     asked = written(block_pairs(lists, parts), "blocks")
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(asked.select("doc").distinct().hint("merge"), "doc")
-    deep = written(texts.select("doc", F.pandas_udf(deep_sketch, "n long, deep array<long>")("text").alias("d")).select("doc", "d.n", "d.deep").where("n > 0").distinct(), "deep")
-    cells = asked.join(deep.hint("merge"), "doc").select(F.to_json(F.struct("key", "i", "j")).alias("cell"), "second", "doc", "component", "n", "deep")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    found = written(dealt.mapInPandas(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "block-pairs")
-    discard(asked, deep)
+    sets = written(texts.select("doc", F.pandas_udf(whole_sets, "array<long>")("text").alias("hashes")).where(F.size("hashes") > 0), "sets")
+    cells = asked.join(sets.hint("merge"), "doc").select(F.to_json(F.struct("key", "i", "j")).alias("cell"), "second", "doc", "component", "hashes")
+    found = written(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long").distinct(), "block-links")
+    discard(asked, sets)
     return found
 
 
@@ -419,17 +394,7 @@ def duplicate_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     edges = edges.unionByName(verified(likely(pairs_across(lists, parts), reps), docs))
     if not lists.where(F.col("size") > SMALL_LIST).limit(1).count():
         return edges
-    parts = joined_parts(reps, edges)
-    first = pairs_in_blocks(lists, parts, docs, whole=False)
-    asked = first.where("not sure").select("a", "b")
-    edges = edges.unionByName(first.where("sure").select("a", "b"))
-    if not asked.limit(1).count():
-        return edges
-    edges = edges.unionByName(verified(asked, docs))
-    # What the forests left apart is compared in full.
-    rest = pairs_in_blocks(lists, joined_parts(reps, edges), docs, whole=True)
-    again = rest.where("not sure").select("a", "b").join(asked, ["a", "b"], "left_anti")
-    return edges.unionByName(rest.where("sure").select("a", "b")).unionByName(verified(again, docs))
+    return edges.unionByName(links_in_blocks(lists, joined_parts(reps, edges), docs))
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
