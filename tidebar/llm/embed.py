@@ -2,16 +2,18 @@
 
 Vectors of one label (and length) are compared by cosine. Exact copies are one class, represented by their smallest id.
 
-1. Start: the classes are sorted along a few random directions by a range partitioning, and each keeps its ``K``
-   nearest of a bounded chunk of that order.
+1. Start: the classes are sorted by the signs of ``BITS`` random projections, ``TREES`` times anew, by a range partitioning, and each
+   keeps its ``K`` nearest of a bounded chunk of each order.
 2. Descent: the neighbours and reverse neighbours of a vector are compared with each other in bounded
-   blocks; what is nearer than a list's last entry replaces it. Rounds end when few entries change.
+   blocks; what is nearer than a list's last entry replaces it. Rounds end when few entries change (``SETTLED``).
 3. Threshold: list entries at or above the threshold, checked in double precision, are links; components are formed.
 4. Saturation: a list whose last entry is a link may hide more links. It is enlarged to its whole
    component and ``K`` more entries from outside it; saturated classes repeat 1 to 3 until none finds a link between components.
-5. Counting: links are counted in full inside each component, in blocks of bounded size, without emitting pairs.
-6. Audit: a sample of at most ``AUDIT`` classes is compared with all; a missed link is added and the components are formed
-   anew. ``recall`` is the share of the sample's links that the graph had found.
+5. Audit: a new sample of about ``AUDIT`` classes is compared with all in double precision. Recall is the share of the sample's links whose
+   two ends lie in one component, which are the links that step 6 counts. While a link is missed, all lists
+   are enlarged (``K`` doubled, new projections) and 1 to 4 are repeated; if links are still missed after ``ENLARGED`` times, the operator raises an error.
+6. Counting: links are counted in full inside each component, without emitting pairs. Large components are cut by the angle to their first vector:
+   by the triangle inequality, parts that are far apart have no links, and close parts have all; the rest is compared in blocks.
 
 Edge cases. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do
 rows without label; so do vectors of different length. Equal ids are one node. Empty tables give empty results; extra columns are ignored.
@@ -26,11 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .graph import components
 
-THRESHOLD, K, DIRECTIONS, ROUNDS, CHUNK, BLOCK, AUDIT = 0.93, 8, 3, 3, 256, 512, 400
+THRESHOLD, K, TREES, BITS, ROUNDS, CHUNK, BLOCK = 0.93, 16, 4, 48, 20, 256, 1024
+AUDIT, ENLARGED, SETTLED = 2000, 4, 0.001
 SLACK = 1e-4  # lists are kept in single precision
+#: Width of the rings of a large component, and slack of angles, in radians.
+RING, ANGLE_SLACK = 0.02, 1e-6
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
@@ -84,15 +89,22 @@ def emitted(found: list[tuple]) -> pd.DataFrame:
 LIST = "node long, nbr long, sim float"
 
 
-def chunk_neighbours(points: DataFrame, direction: list[float], k: int) -> DataFrame:
-    """Nearest within overlapping chunks of the order along a direction."""
+def chunk_neighbours(points: DataFrame, width: int, seed: int, k: int) -> DataFrame:
+    """Nearest within overlapping chunks of the orders by projection signs."""
+    planes = np.random.default_rng(seed).standard_normal((width, TREES * BITS)).astype(np.float32)
+    weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for units in batches:
+            out = [((np.asarray(u, dtype=np.float32) @ planes[: len(u)] > 0).reshape(TREES, BITS) * weight).sum(axis=1) for u in units]
+            yield pd.Series(out, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             nodes, parts = batch["node"].to_numpy(), batch["part"].to_numpy()
-            for lo, hi in runs([batch["label"].to_numpy(), batch["dim"].to_numpy()]):
+            for lo, hi in runs([batch[c].to_numpy() for c in ("tree", "label", "dim")]):
                 found = []
                 for at in range(lo, hi, CHUNK // 2):
                     end = min(hi, at + CHUNK)
@@ -101,10 +113,10 @@ def chunk_neighbours(points: DataFrame, direction: list[float], k: int) -> DataF
                         break
                 yield emitted(found)
 
-    line = F.slice(F.array(*[F.lit(v) for v in direction]), 1, F.col("dim"))
-    placed = points.withColumn("along", dot("unit", line))
-    return placed.repartitionByRange("label", "dim", "along").sortWithinPartitions("label", "dim", "along").select(
-        "label", "dim", "node", "part", F.col("unit").cast("array<float>").alias("x")).mapInPandas(run, LIST)
+    codes = points.select("label", "dim", "node", "part", "unit", F.pandas_udf(coded, "array<long>")("unit").alias("codes"))
+    placed = codes.select("label", "dim", "node", "part", F.col("unit").cast("array<float>").alias("x"), F.posexplode("codes").alias("tree", "code"))
+    order = ["tree", "label", "dim", "code"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "label", "dim", "node", "part", "x").mapInPandas(run, LIST)
 
 
 def merged(lists: DataFrame, k: int) -> DataFrame:
@@ -154,19 +166,15 @@ def descend(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
 
 def neighbour_graph(points: DataFrame, seed: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     width = points.agg(F.max("dim")).first()[0] or 1
-    rng = np.random.default_rng(seed)
-    lists = None
-    for _ in range(DIRECTIONS):
-        found = chunk_neighbours(points, rng.standard_normal(width).tolist(), k)
-        lists = found if lists is None else lists.unionByName(found)
-    graph = written(merged(lists, k), "nn-lists")
+    graph = written(merged(chunk_neighbours(points, width, seed, k), k), "nn-lists")
     size = graph.count() * k
     for _ in range(rounds):
         news = written(descend(points, graph, k), "nn-new")
-        changed = news.count()
-        if changed:
-            graph = written(merged(entries(graph).unionByName(news), k), "nn-lists")
-        if changed <= 0.01 * size:
+        better = written(merged(entries(graph).unionByName(news), k), "nn-lists")
+        changed = entries(better).join(entries(graph).select("node", "nbr"), ["node", "nbr"], "left_anti").count()
+        discard(graph, news)
+        graph = better
+        if changed <= SETTLED * size:
             break
     return graph
 
@@ -185,8 +193,8 @@ def with_parts(points: DataFrame, links: DataFrame) -> DataFrame:
     return written(rest.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "parts")
 
 
-def count_links(points: DataFrame, threshold: float) -> DataFrame:
-    """``node, others``: vectors of other classes linked to the node, inside its component."""
+def counted(asks: DataFrame, cell: list[str], threshold: float) -> DataFrame:
+    """``node, others`` from rows ``cell..., part, node, n, unit, asks``: in each cell and part the asking vectors meet the given ones."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -199,26 +207,49 @@ def count_links(points: DataFrame, threshold: float) -> DataFrame:
             out.append(pd.DataFrame({"node": asked["node"].to_numpy(), "others": s @ given["n"].to_numpy()}))
         return pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "others": pd.Series(dtype="int64")})
 
+    return asks.groupBy(*cell).applyInPandas(run, "node long, others long")
+
+
+def count_links(points: DataFrame, threshold: float) -> DataFrame:
+    """``node, others``: vectors of other classes linked to the node, inside its component."""
     sizes = points.groupBy("part").agg(F.count("*").alias("members")).where("members > 1")
-    placed = points.join(sizes, "part").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # Small components share groups; a large one has a group for each pair of its blocks.
-    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(256))).otherwise(F.col("part") + 256)
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    cols = ["home", "part", "node", "n", "unit"]
-    placed = placed.withColumn("home", home)
-    asks = placed.select(*cols, F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    gives = placed.select(*cols, F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    counted = asks.unionByName(gives).groupBy("home", "i", "j").applyInPandas(run, "node long, others long")
-    return counted.groupBy("node").agg(F.sum("others").alias("others"))
-
-
-def audit(points: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[DataFrame, float]:
-    """Compares at most ``sample`` classes with all: the links that lead out of a component, and the recall."""
-    n = points.count()
-    share = min(1.0, sample / max(1, n))
-    picked = points.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000)) < int(share * 1_000_000)).select("node", "label", "dim", "part", "unit").limit(2 * sample).toPandas()
-    if not len(picked):
-        return points.sparkSession.createDataFrame([], "a long, b long"), 1.0
+    placed = written(points.join(sizes, "part").select("part", "node", "n", "unit", "members"), "linked")
+    cols = ["part", "node", "n", "unit"]
+    # Small components share cells of bounded size.
+    small = placed.where(F.col("members") <= BLOCK)
+    cells = max(1, -(-small.count() // (2 * BLOCK)))
+    small = small.withColumn("cell", F.pmod(F.xxhash64("part"), F.lit(cells)))
+    asks = small.select("cell", *cols, F.lit(True).alias("asks")).unionByName(small.select("cell", *cols, F.lit(False).alias("asks")))
+    found = counted(asks, ["cell"], threshold)
+
+    large = placed.where(F.col("members") > BLOCK)
+    if large.limit(1).count():
+        pivots = large.where("part = node").select("part", F.col("unit").alias("pivot"))
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("unit", "pivot"))))
+        rings = large.join(pivots, "part").withColumn("angle", angle).withColumn("ring", F.floor(F.col("angle") / RING))
+        rings = written(rings.select(*cols, "angle", "ring"), "rings")
+        shape = rings.groupBy("part", "ring").agg(F.sum("n").alias("weight"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        one, two = (shape.select("part", *[F.col(c).alias(f"{c}_{x}") for c in ("ring", "weight", "low", "high", "blocks")]) for x in (1, 2))
+        limit = float(np.arccos(threshold))
+        pairs = one.join(two, "part").where((F.col("low_2") - F.col("high_1") <= limit + ANGLE_SLACK) & (F.col("low_1") - F.col("high_2") <= limit + ANGLE_SLACK))
+        pairs = pairs.withColumn("all", F.col("high_1") + F.col("high_2") <= limit - ANGLE_SLACK)
+        sure = pairs.where("all").groupBy("part", F.col("ring_1").alias("ring")).agg(F.sum("weight_2").alias("weight"), F.max(F.col("ring_1") == F.col("ring_2")).alias("own"))
+        found = found.unionByName(rings.join(sure, ["part", "ring"]).select("node", (F.col("weight") - F.when(F.col("own"), F.col("n")).otherwise(0)).alias("others")))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        unsure = pairs.where("not all").withColumn("i", every("blocks_1")).withColumn("j", every("blocks_2")).select("part", "ring_1", "ring_2", "i", "j")
+        dealt = rings.join(shape.select("part", "ring", "blocks"), ["part", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(*cols, "ring", "block")
+        side = lambda ring, block, asks: dealt.withColumnRenamed("ring", ring).withColumnRenamed("block", block).join(unsure, ["part", ring, block]).select(
+            *cols, "ring_1", "ring_2", "i", "j", F.lit(asks).alias("asks"))
+        cell = ["part", "ring_1", "ring_2", "i", "j"]
+        found = found.unionByName(counted(side("ring_1", "i", True).unionByName(side("ring_2", "j", False)), cell, threshold))
+    return found.groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def audit(points: DataFrame, threshold: float, seed: int, sample: int = AUDIT) -> tuple[DataFrame, float]:
+    """Compares about ``sample`` classes with all: the links that lead out of a component, and the recall."""
+    share = min(1.0, sample / max(1, points.count()))
+    drawn = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52) < share
+    picked = points.where(drawn).select("node", "label", "dim", "part", "unit").limit(2 * sample).toPandas()
     shared = points.sparkSession.sparkContext.broadcast({key: (g["node"].to_numpy(), g["part"].to_numpy(), matrix(g["unit"], np.float64)) for key, g in picked.groupby(["label", "dim"])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,37 +263,57 @@ def audit(points: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[Dat
                 s = (x @ matrix(g["unit"], np.float64).T >= threshold) & (nodes[:, None] != own[None, :])
                 out = s & (parts[:, None] != g["part"].to_numpy()[None, :])
                 hits += int(s.sum())
-                missed += [(int(nodes[i]), int(own[j]), 0) for i, j in zip(*np.nonzero(out))]
-            yield pd.DataFrame([(-1, -1, hits), *missed], columns=["a", "b", "hits"]).astype("int64")
+                missed += [(int(nodes[i]), int(own[j])) for i, j in zip(*np.nonzero(out))]
+            a, b = zip(*missed) if missed else ((), ())
+            yield pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "hits": np.zeros(len(a), np.int64)})
+            yield pd.DataFrame({"a": pd.array([None], dtype="Int64"), "b": pd.array([None], dtype="Int64"), "hits": np.array([hits])})
 
     seen = written(points.select("node", "label", "dim", "part", "unit").mapInPandas(run, "a long, b long, hits long"), "audit")
-    hits, missed = seen.agg(F.sum("hits"), F.sum(F.when(F.col("a") >= 0, 1).otherwise(0))).first()
-    return seen.where("a >= 0 or b >= 0").select("a", "b"), 1 - (missed or 0) / max(1, hits or 0)
+    hits, missed = seen.agg(F.sum("hits"), F.count("a")).first()
+    return seen.where("a is not null").select("a", "b"), 1 - missed / max(1, hits or 0)
 
 
-def group_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``."""
-    rows = written(unit_vectors(embeddings), "units")
-    sound = rows.where(F.col("unit").isNotNull() & F.col("vec_id").isNotNull())
-    points = sound.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("unit")).withColumn("part", F.col("node"))
-    points = written(points, "classes")
-    graph = neighbour_graph(points, seed)
+def found_links(points: DataFrame, threshold: float, seed: int, k: int) -> DataFrame:
+    """Links (a, b) by steps 1 to 4; none leads inside a ``part`` that is given."""
+    graph = neighbour_graph(points, seed, k)
     links = written(links_of(graph, points, threshold), "links")
     parts = with_parts(points, links)
-    full = graph.where(F.size("best") >= K).where(F.element_at("best", -1)["sim"] >= threshold - SLACK).select("node")
+    full = graph.where(F.size("best") >= k).where(F.element_at("best", -1)["sim"] >= threshold - SLACK).select("node")
     crowded = parts.join(full, "node", "left_semi")
     for again in range(1, 12):
         if crowded.select("part").distinct().limit(2).count() < 2:
             break
-        more = written(links_of(neighbour_graph(written(crowded, "crowded"), seed + again, rounds=1), points, threshold), "links")
+        more = written(links_of(neighbour_graph(written(crowded, "crowded"), seed + again, k, rounds=1), points, threshold), "links")
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
         parts = with_parts(points, links)
         crowded = parts.join(full, "node", "left_semi")
-    missed, recall = audit(parts, threshold)
-    if recall < 1:
-        parts = with_parts(points, links.unionByName(missed))
+    return links
+
+
+def audited_parts(points: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, list[float]]:
+    """The points with their component as ``part``, and the recall that each audit measured (the last is 1)."""
+    links, recalls = None, []
+    for again in range(ENLARGED + 1):
+        found = found_links(points, threshold, seed + 100 * again, K << again)
+        links = found if links is None else links.unionByName(found)
+        parts = with_parts(points, links)
+        missed, recall = audit(parts, threshold, seed + again)
+        recalls.append(recall)
+        if recall == 1:
+            return parts, recalls
+        links = links.unionByName(missed)
+    raise RuntimeError(f"the neighbour graph still misses links after {ENLARGED} enlargements; recall by audit: {recalls}")
+
+
+def group_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
+    """One row per vector: ``vec_id, n_links, component_id, kept``."""
+    rows = written(unit_vectors(embeddings), "units")
+    sound = rows.where(F.col("unit").isNotNull() & F.col("vec_id").isNotNull())
+    points = sound.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("unit")).withColumn("part", F.col("node"))
+    points = written(points, "classes")
+    parts, _ = audited_parts(points, threshold, seed)
     counts = count_links(parts, threshold)
     classes = parts.join(counts, "node", "left").select("label", "unit", "n", "part", F.coalesce("others", F.lit(0)).alias("others"))
     placed = rows.join(classes, ["label", "unit"], "left")
