@@ -143,23 +143,22 @@ def encode_documents(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and on demand ``ids`` (array of int) and ``decoded`` (the text read back)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tok = encoder(tokenizer_path, memo_pieces)
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.iloc[at : at + 128]
-                rows = list(tok.encode([t if isinstance(t, str) else "" for t in part["text"]]))
-                out = pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "n_tokens": [ids.count(",") + 1 if ids else 0 for ids, _ in rows],
-                    "ids_sha256": [sha256(ids.encode()).hexdigest() for ids, _ in rows],
-                    "decoded_sha256": [sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows],
-                })
-                if keep_ids:
-                    out["ids"] = [np.fromstring(ids, dtype=np.int32, sep=",") for ids, _ in rows]
-                if keep_text:
-                    out["decoded"] = [back for _, back in rows]
-                yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")
-    return with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+        for texts in batches:
+            rows = list(tok.encode([t if isinstance(t, str) else "" for t in texts]))
+            out = pd.DataFrame({
+                "n_tokens": [ids.count(",") + 1 if ids else 0 for ids, _ in rows],
+                "ids_sha256": [sha256(ids.encode()).hexdigest() for ids, _ in rows],
+                "decoded_sha256": [sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows],
+            })
+            if keep_ids:
+                out["ids"] = [np.fromstring(ids, dtype=np.int32, sep=",") for ids, _ in rows]
+            if keep_text:
+                out["decoded"] = [back for _, back in rows]
+            yield out
+
+    # The id stays in the JVM, as pandas has no null integers.
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")
+    encoded = with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.pandas_udf(run, schema)(text_col).alias("e"))
+    return encoded.select("doc_id", "e.*")

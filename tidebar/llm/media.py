@@ -175,29 +175,43 @@ def mp4_length(b: bytes, at: int) -> int | None:
 
 
 def pdf_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    """To the last end mark before another PDF begins: files that were added to have several."""
+    other = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, other if other >= 0 else len(b))
+    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
 
 
 def gzip_length(b: bytes, at: int) -> int | None:
-    try:
-        d = zlib.decompressobj(31)
-        size = 1
-        rest = b[at:]
-        while rest and not d.eof and size:
-            size = len(d.decompress(rest, 1 << 16))
-            rest = d.unconsumed_tail
-        return len(b) - at - len(d.unused_data) if d.eof else None
-    except zlib.error:
-        return None
+    """All members that follow each other."""
+    end, pos = None, at
+    while b[pos : pos + 3] == b"\x1f\x8b\x08":
+        d, fed = zlib.decompressobj(31), pos
+        try:
+            while fed < len(b) and not d.eof:
+                step = d.unconsumed_tail
+                if not step:
+                    step = b[fed : fed + (1 << 16)]
+                    fed += len(step)
+                d.decompress(step, 1 << 20)
+            while not d.eof and d.unconsumed_tail:
+                d.decompress(d.unconsumed_tail, 1 << 20)
+        except zlib.error:
+            break
+        if not d.eof:
+            break
+        end = pos = fed - len(d.unused_data)
+    return None if end is None else end - at
 
 
 def zip_length(b: bytes, at: int) -> int | None:
+    """To the end record whose directory lies where it says; end records of stored archives inside do not agree."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else None
+    while end >= 0 and end + 22 <= len(b):
+        size, start, note = struct.unpack_from("<IIH", b, end + 12)
+        if at + start + size == end and end + 22 + note <= len(b):
+            return end + 22 + note - at
+        end = b.find(b"PK\x05\x06", end + 4)
+    return None
 
 
 VALIDATORS = {
@@ -254,18 +268,14 @@ def wav_samples(b: bytes) -> bytes | None:
 def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, declared, media``: each text's bytes stored as 8-bit samples."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "n_bytes": [len(b) for b in raw], "declared": "text/plain",
-                    "media": [wav_of(b + bytes(-len(b) % BLOCK if b else BLOCK)) for b in raw],
-                })
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+            yield pd.DataFrame({"n_bytes": [len(b) for b in raw], "media": [wav_of(b + bytes(-len(b) % BLOCK if b else BLOCK)) for b in raw]})
 
-    return with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, n_bytes long, declared string, media binary")
+    # The id stays in the JVM, as pandas has no null integers.
+    stored = with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.pandas_udf(run, "n_bytes long, media binary")(text_col).alias("m"))
+    return stored.select("doc_id", "m.n_bytes", F.lit("text/plain").alias("declared"), "m.media")
 
 
 def sniff_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -275,31 +285,28 @@ def sniff_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count from the start of the stored bytes), sizes and digests of samples and container, and the sample statistics.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         sniffer = Sniffer()
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part, rows = batch.iloc[lo : lo + 512], []
-                for declared, b in zip(part["declared"], part["media"]):
-                    b = b if isinstance(b, bytes) else b""
-                    items = sniffer.items(b)
-                    kind = next((k for k, at, _ in items if at == 0), UNKNOWN)
-                    inner = [(k, at, n, sha256(b[at : at + n]).hexdigest()) for k, at, n in items if at]
-                    samples = wav_samples(b) if kind == "audio/wav" else None
-                    samples = b if samples is None else samples
-                    x = np.frombuffer(samples, dtype=np.uint8)
-                    mean, top = (float(x.mean()), int(x.max())) if len(x) else (0.0, 0)
-                    carved = ",".join(sorted(k for k, *_ in inner)) or "none"
-                    rows.append((
-                        declared, kind, declared != kind, inner, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]),
-                        len(b), sha256(b).hexdigest(), f"{kind};carved={carved};mean={mean:.4f};max={top};zeros={int((x == 0).sum())}",
-                    ))
-                out = pd.DataFrame(rows, columns=["declared", "media_type", "corrected", "items", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                out.insert(1, "n_bytes", part["n_bytes"].to_numpy())
-                yield out
-
-    return media.select(F.col(id_col).alias("doc_id"), "n_bytes", "declared", "media").mapInPandas(run, (
-        "doc_id long, n_bytes long, declared string, media_type string, corrected boolean,"
-        " items array<struct<type:string,offset:long,length:long,sha256:string>>, payload_bytes long, payload_sha256 string,"
-        " tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+        for declarations, payloads in batches:
+            rows = []
+            for declared, b in zip(declarations, payloads):
+                b = b if isinstance(b, bytes) else b""
+                items = sniffer.items(b)
+                kind = next((k for k, at, _ in items if at == 0), UNKNOWN)
+                inner = [(k, at, n, sha256(b[at : at + n]).hexdigest()) for k, at, n in items if at]
+                samples = wav_samples(b) if kind == "audio/wav" else None
+                samples = b if samples is None else samples
+                x = np.frombuffer(samples, dtype=np.uint8)
+                mean, top = (float(x.mean()), int(x.max())) if len(x) else (0.0, 0)
+                carved = ",".join(sorted(k for k, *_ in inner)) or "none"
+                rows.append((
+                    kind, declared != kind, inner, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]),
+                    len(b), sha256(b).hexdigest(), f"{kind};carved={carved};mean={mean:.4f};max={top};zeros={int((x == 0).sum())}",
+                ))
+            yield pd.DataFrame(rows, columns=["media_type", "corrected", "items", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    schema = (
+        "media_type string, corrected boolean, items array<struct<type:string,offset:long,length:long,sha256:string>>, payload_bytes long, payload_sha256 string,"
+        " tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    sniffed = media.select(F.col(id_col).cast("long").alias("doc_id"), "n_bytes", "declared", F.pandas_udf(run, schema)("declared", "media").alias("s"))
+    return sniffed.select("doc_id", "n_bytes", "declared", "s.*")

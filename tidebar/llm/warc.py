@@ -38,7 +38,7 @@ CHUNK_CHARS, ROWS_PER_FILE, MIN_REVISIT = 16_384, 2_000, 100
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK_SCHEMA = (
-    "page_id long, row_id long, chunk_no int, n_chunks int, record_type string, refers_to long,"
+    "page_id string, row_id long, chunk_no int, n_chunks int, record_type string, refers_to string,"
     " payload_bytes long, payload_digest string, running_digest string, data binary"
 )
 
@@ -67,8 +67,10 @@ def header(kind: str, block: int, **fields: object) -> str:
 def record_rows(page_id, row_id, url, html: str, size: int, digest: str, refers_to, chunk_chars: int) -> Iterator[str]:
     """The WARC records of one page as text, each without its last line feed."""
     name = "null" if page_id is None else page_id
+    # Only a page's own response is referred to, by the page alone.
+    record = f"<urn:page:{name}>" if page_id is not None and refers_to is None and size >= MIN_REVISIT else f"<urn:page:{name}:row:{row_id}>"
     common = {
-        "WARC_Record_ID": f"<urn:page:{name}>", "X_Page_ID": name, "X_Row_ID": row_id,
+        "WARC_Record_ID": record, "X_Page_ID": name, "X_Row_ID": row_id,
         "WARC_Target_URI": None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url),
         "WARC_Payload_Digest": f"sha256:{digest}", "X_Payload_Length": size,
     }
@@ -86,14 +88,15 @@ def record_rows(page_id, row_id, url, html: str, size: int, digest: str, refers_
             segment |= {"WARC_Segment_Number": k + 1, "WARC_Segment_Origin_ID": common["WARC_Record_ID"] if k else None,
                         "WARC_Segment_Total_Length": size if k == n - 1 else None}
         block = {"Content_Type": "application/http; msgtype=response"} if k == 0 else {}
-        yield header("continuation" if k else "response", len(http) + len(raw), **common, **segment, **block) + http + part + "\r\n\r"
+        own = {**common, "WARC_Record_ID": f"<urn:page:{name}:row:{row_id}:segment:{k + 1}>"} if k else common
+        yield header("continuation" if k else "response", len(http) + len(raw), **own, **segment, **block) + http + part + "\r\n\r"
 
 
 def write_archive(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Writes gzipped WARC files under ``path`` (any file system that Spark writes to)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = lambda v: None if pd.isna(v) else int(v)
+        known = lambda v: v if isinstance(v, str) else None
         for batch in batches:
             out, held = [], 0
             for r in batch.itertuples(index=False):
@@ -106,7 +109,9 @@ def write_archive(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, r
                         out, held = [], 0
             yield pd.DataFrame({"value": out}, dtype=object)
 
-    records = plan_records(with_small_batches(pages)).select("page_id", "row_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
+    # Ids travel as text: pandas has no null integers.
+    records = plan_records(with_small_batches(pages)).select(
+        F.col("page_id").cast("string").alias("page_id"), "row_id", "url", "html", "payload_bytes", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
     records.mapInPandas(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
@@ -153,9 +158,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 rows, held = [], 0
                 for f, block in parse_stream(unpacked(content)):
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
-                    page = None if f["X-Page-ID"] == "null" else int(f["X-Page-ID"])
+                    page = None if f["X-Page-ID"] == "null" else f["X-Page-ID"]
                     size, running, data, n = int(f["X-Payload-Length"]), f.get("X-Running-Digest", "").removeprefix("sha256:"), None, int(f.get("X-Segments", 1))
-                    refers = int(f["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None
+                    refers = f["WARC-Refers-To"][len("<urn:page:") : -1] if kind == "revisit" else None
                     if kind == "response":
                         block = block.split(b"\r\n\r\n", 1)[1]
                     if kind != "revisit" and n > 1:
@@ -176,7 +181,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=columns, dtype=object)
-    return out.astype({"row_id": "int64", "chunk_no": "int32", "n_chunks": "int32", "payload_bytes": "int64", "page_id": "Int64", "refers_to": "Int64"})
+    return out.astype({"row_id": "int64", "chunk_no": "int32", "n_chunks": "int32", "payload_bytes": "int64"})
 
 
 def read_records(chunks: DataFrame) -> DataFrame:
@@ -187,9 +192,9 @@ def read_records(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                page = None if pd.isna(r.page_id) else int(r.page_id)
+                page = r.page_id
                 if r.n_chunks == 1:
-                    out.append((page, r.payload_bytes, r.payload_digest, r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to)))
+                    out.append((page, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to))
                     continue
                 if r.row_id != key:
                     if seen:
@@ -204,12 +209,13 @@ def read_records(chunks: DataFrame) -> DataFrame:
                     out.append((page, size, running.hexdigest(), r.record_type, None))
                     seen, key = 0, None
             done = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
-            yield done.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+            yield done.astype({"payload_bytes": "int64"})
         if seen:
             raise ValueError("a record lacks its last chunks")
 
     dealt = chunks.repartition("row_id").sortWithinPartitions("row_id", "chunk_no")
-    return dealt.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    read = dealt.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def archive_pages(pages: DataFrame, name: str = "warc") -> DataFrame:
