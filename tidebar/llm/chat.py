@@ -7,10 +7,11 @@ open nor close a turn and ``unescape`` gives it back exactly. In roles ``%`` and
 
 Windows. Turn costs are words plus ``TURN_COST``. Prefix sums are made in two levels, inside blocks
 of turn numbers and over block totals, so that one huge conversation is spread over many tasks.
-With ``step = (budget - history) / 2``, a turn belongs to the window of the step in which it
-starts; a turn longer than a step stands alone. So a window's own turns fit ``2 * step`` unless a
-single turn is longer. A window repeats the turns before it that lie within ``history`` tokens, and
-starts with the conversation's leading system turn. Repeated turns are never targets: the loss mask
+The conversation's leading system turn starts every window and counts: with ``room`` for what it leaves of
+the budget, history is at most a third of the room and ``step = (room - history) / 2``. A turn belongs to the window of the step in
+which it starts; a turn longer than a step stands alone. So a window's own turns fit ``2 * step`` unless a
+single turn is longer. A window repeats the turns before it that lie within ``history`` tokens, as far as its own turns leave room.
+So a window costs more than the budget only where one turn and the system turn together do. Repeated turns are never targets: the loss mask
 covers the texts of own assistant turns only, so each assistant text is a target exactly once.
 
 Edge cases. Null texts and roles are empty. Rows without conv_id form one conversation. Equal turn
@@ -75,28 +76,32 @@ def turn_text(role: Column, text: Column) -> Column:
 
 def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, block_turns: int = 256) -> DataFrame:
     """One row per window: ``conv_id, window, formatted, n_repeated, loss`` (spans of code points, start and length)."""
-    step = max(1, (budget - history) // 2)
     turns = conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("cost", F.regexp_count("text", F.lit(WORD)) + TURN_COST)
-    placed = with_prefix_sums(turns, block_turns)
+    lead_cost = F.when(F.col("system").isNotNull(), F.regexp_count("system", F.lit(WORD)) + TURN_COST).otherwise(0)
+    placed = with_prefix_sums(turns, block_turns).withColumn("room", budget - lead_cost)
+    placed = placed.withColumn("reach", F.greatest(F.lit(0), F.least(F.lit(history), F.floor(F.col("room") / 3))))
+    step = F.greatest(F.lit(1), F.floor((F.col("room") - F.col("reach")) / 2))
     own = F.floor(F.col("start") / step) * 2 + (F.col("cost") > step).cast("int")
     # A short turn may be history in the rest of its step and in the next one.
     seats = F.when(F.col("own") % 2 == 0, F.array("own", F.col("own") + 1, F.col("own") + 2)).otherwise(F.array("own"))
     members = placed.withColumn("own", own).withColumn("window", F.explode(seats)).select(
-        "conv_id", "window", "system", (F.col("window") == F.col("own")).alias("is_own"),
+        "conv_id", "window", "system", "room", "reach", "cost", (F.col("window") == F.col("own")).alias("is_own"),
         F.struct("start", "turn", "role", "text").alias("t"),
     )
     windows = members.groupBy("conv_id", "window").agg(
         F.min(F.when(F.col("is_own"), F.col("t.start"))).alias("begin"),
         F.sort_array(F.collect_list(F.when(F.col("is_own"), F.col("t")))).alias("targets"),
         F.sort_array(F.collect_list(F.when(~F.col("is_own"), F.col("t")))).alias("earlier"),
-        F.first("system").alias("system"),
+        F.first("system").alias("system"), F.first("reach").alias("reach"),
+        (F.first("room") - F.sum(F.when(F.col("is_own"), F.col("cost")))).alias("left"),
     ).where("begin is not null")
-    kept = F.filter("earlier", lambda t: (t.start >= F.col("begin") - history) & (t.start > 0))
+    since = F.col("begin") - F.greatest(F.lit(0), F.least("reach", "left"))
+    kept = F.filter("earlier", lambda t: (t.start >= since) & (t.start > 0))
     # The turn at start 0 is the system turn where there is one; it is put in front in its own right.
-    kept = F.when(F.col("system").isNotNull(), kept).otherwise(F.filter("earlier", lambda t: t.start >= F.col("begin") - history))
+    kept = F.when(F.col("system").isNotNull(), kept).otherwise(F.filter("earlier", lambda t: t.start >= since))
     lead = F.when(F.col("system").isNotNull() & (F.col("begin") > 0), F.array(turn_text(F.lit("system"), F.col("system")))).otherwise(F.array().cast("array<string>"))
     context = F.concat(lead, F.transform(kept, lambda t: turn_text(t.role, t.text)))
     shown = windows.select("conv_id", "window", context.alias("context"), F.transform("targets", lambda t: F.struct(

@@ -12,7 +12,9 @@ Rates. With token shares ``w_i`` and posteriors ``p_i``, the nonnegative rates `
 where ``s_d`` is the present share of domain d. Projected gradient steps (with momentum) solve it: a step needs one number per domain from
 all documents, a pre-aggregated sum; the rates of all documents follow from the list of these
 numbers by a closed fold over it, so no state but a few numbers per step is kept and a lost executor costs no step.
-The ridge makes the solution unique and keeps rates near 1 where the targets allow it.
+The ridge makes the solution unique and keeps rates near 1 where the targets allow it. Steps end when every domain's total is within
+``TOLERANCE`` of its target, relatively, or when the totals stand still (``STILL``): then the least squares are solved and the
+targets are out of reach. If neither comes within ``STEPS``, that is an error.
 
 Effect. A document is taken ``floor(rate + u)`` times, where ``u`` is a uniform hash of its id, so the
 expected number of copies is its rate.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import with_small_batches, written
 from .toxicity import WORDS, learn_lexicon
 
-SAMPLE_ROWS, RIDGE, STEPS, TOLERANCE = 20_000, 0.002, 25, 0.004
+SAMPLE_ROWS, RIDGE, STEPS, TOLERANCE, STILL = 20_000, 0.002, 100, 0.005, 1e-5
 #: Target shares of the token total, by domain.
 TARGETS = {"high": 0.85, "low": 0.12, "toxic": 0.03}
 PREFIX = "__mixing_"
@@ -177,7 +179,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     goal, point = goals(domains, targets), mass / total
     scale = np.maximum(point, 1e-3)
     steps: list[tuple[list[float], float, float]] = []
-    t = 1.0
+    t, last = 1.0, None
     for _ in range(STEPS):
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         # The scaled moment matrix has eigenvalues of at most 1, as posteriors sum to 1.
@@ -185,9 +187,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
         t = after
         _, mass, ahead = moments(members, d, steps)
         point = ahead / total
-        if np.abs(mass / total - goal).max() <= TOLERANCE:
-            break
-    return steps
+        if (np.abs(mass / total - goal) <= TOLERANCE * goal).all() or (last is not None and np.abs(mass - last).max() <= STILL * total):
+            return steps
+        last = mass
+    raise RuntimeError(f"the rates did not settle in {STEPS} steps: totals {mass / total}, targets {goal}")
 
 
 def copies_of(rate: Column, key: Column) -> Column:

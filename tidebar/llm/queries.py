@@ -127,14 +127,17 @@ e AS (
 s AS (
   SELECT *, length('[INST ' || rol || '] ' || esc || ' [/INST]</s>') AS shown,
          coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         first_value(role) OVER w = 'system' AS has_system
+         first_value(role) OVER w = 'system' AS has_system,
+         1024 - CASE WHEN first_value(role) OVER w = 'system' THEN first_value(cost) OVER w ELSE 0 END AS room
   FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-o AS (SELECT *, CAST(start // 384 AS BIGINT) * 2 + CASE WHEN cost > 384 THEN 1 ELSE 0 END AS own FROM s),
-b AS (SELECT conv_id, own AS win, min(start) AS begin, sum(shown) AS chars FROM o GROUP BY 1, 2),
+z AS (SELECT *, greatest(0, least(256, CAST(floor(room / 3) AS BIGINT))) AS reach FROM s),
+y AS (SELECT *, greatest(1, CAST(floor((room - reach) / 2) AS BIGINT)) AS step FROM z),
+o AS (SELECT *, CAST(start // step AS BIGINT) * 2 + CASE WHEN cost > step THEN 1 ELSE 0 END AS own FROM y),
+b AS (SELECT conv_id, own AS win, min(start) AS begin, sum(shown) AS chars, greatest(0, least(min(reach), min(room) - sum(cost))) AS back FROM o GROUP BY 1, 2),
 lead AS (SELECT conv_id, shown AS lead_chars FROM o WHERE start = 0 AND has_system),
 h AS (
   SELECT b.conv_id, b.win, sum(o.shown) AS chars FROM b JOIN o ON o.conv_id = b.conv_id AND o.own % 2 = 0 AND o.own IN (b.win - 1, b.win - 2)
-  WHERE o.start < b.begin AND o.start >= b.begin - 256 AND NOT (has_system AND start = 0) GROUP BY 1, 2),
+  WHERE o.start < b.begin AND o.start >= b.begin - b.back AND NOT (has_system AND start = 0) GROUP BY 1, 2),
 f AS (
   SELECT b.conv_id, CAST(sum(b.chars + coalesce(h.chars, 0) + CASE WHEN b.begin > 0 THEN coalesce(lead_chars, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
   FROM b LEFT JOIN h USING (conv_id, win) LEFT JOIN lead USING (conv_id) GROUP BY 1),
