@@ -11,9 +11,6 @@ from tidebar.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation region customer supplier part orders lineitem events documents pages".split()
-#: Queries whose plans are long; the driver's correctness run covers them at a larger scale.
-SLOW = {"v2_window_metrics", "v6_consistency", "v7_judge", "mo4_snapshot", "re5_recommended", "re6_rotation", "m7_backtest_rows", "m8_batch_summary", "tp8_circuit_breaker"}
-
 
 def comparable(df: pd.DataFrame) -> list[str]:
     for c in df.columns:
@@ -33,7 +30,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLE if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.ORACLE))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(catalog.ORACLE[name]).df()

@@ -15,10 +15,10 @@ def board_limit(symbol: str | Column = "symbol") -> Column:
     return F.when(F.substring(symbol, 1, 3).isin("688", "300", "301"), 0.195).otherwise(0.095)
 
 
-def limit_flags(bars: DataFrame, limit: Column | None = None) -> DataFrame:
+def limit_flags(bars: DataFrame, limit: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     limit = board_limit() if limit is None else limit
     ret = F.col("close") / lag("close") - 1
-    return bars.select("symbol", "date", F.coalesce(ret >= limit, F.lit(False)).alias("limit_up"), F.coalesce(ret <= -limit, F.lit(False)).alias("limit_down"))
+    return bars.select("symbol", "date", *keep, F.coalesce(ret >= limit, F.lit(False)).alias("limit_up"), F.coalesce(ret <= -limit, F.lit(False)).alias("limit_down"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -63,14 +63,14 @@ def cost() -> Column:
     return F.when(row_no() >= 120, band).otherwise(0.5)
 
 
-def parts(bars: DataFrame) -> DataFrame:
-    """The six factors (0 to 1), the windowed RSI and the first failed filter of every bar."""
+def parts(bars: DataFrame, keep: tuple[str, ...] = (), series: str | None = None) -> DataFrame:
+    """The six factors (0 to 1), the RSI they use and the first failed filter of every bar. RSI is the windowed one, or the column ``series``."""
     dc, dv = F.col("close") - lag("close"), F.col("volume") - lag("volume")
     b = bars.select(
-        "symbol", "date", "close", "volume", F.coalesce(dc, F.lit(0.0)).alias("d"), F.coalesce(((dc > 0) & (dv > 0)).cast("int"), F.lit(0)).alias("up_with"),
+        "symbol", "date", "close", "volume", *keep, *([series] if series else []), F.coalesce(dc, F.lit(0.0)).alias("d"), F.coalesce(((dc > 0) & (dv > 0)).cast("int"), F.lit(0)).alias("up_with"),
         F.coalesce(((dc < 0) & (dv > 0)).cast("int"), F.lit(0)).alias("down_with"))
     b = b.select(
-        "symbol", "date", "close", row_no().alias("rn"), rsi_window().alias("rsi_w"), F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
+        "symbol", "date", "close", "volume", *keep, row_no().alias("rn"), (F.col(series) if series else rsi_window()).alias("rsi_w"), F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
         mean_rows("close", -119).alias("ma120"), momentum().alias("momentum"), turnover().alias("turnover"), trend().alias("trend"), vol_price().alias("vol_price"), cost().alias("cost"))
     fail = (
         F.when(F.col("rn") < MIN_ROWS, "short_history").when(F.col("vol20") < MIN_VOLUME, "low_volume")
@@ -79,9 +79,9 @@ def parts(bars: DataFrame) -> DataFrame:
     return b.withColumn("rsi", rsi_band(F.col("rsi_w"))).withColumn("reason", fail)
 
 
-def score(bars: DataFrame) -> DataFrame:
+def score(bars: DataFrame, keep: tuple[str, ...] = (), series: str | None = None) -> DataFrame:
     """``total_score`` 0 to 100, grade and sub-scores; failed filters score 0."""
-    p = parts(bars)
+    p = parts(bars, keep, series)
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     passed = F.col("reason").isNull()
     out = p.withColumn("passed", passed).withColumn("total_score", F.when(passed, F.round(total, 2)).otherwise(0.0))

@@ -60,13 +60,25 @@ RSI_FRAME = 41
 
 
 def rsi_window(period: int = 14) -> Column:
-    """RSI of the last ``3 * period`` closes: a simple mean seeds Wilder's recursion; as a weighted sum over the frame of differences."""
+    """RSI of the last ``3 * period`` closes: a simple mean seeds Wilder's recursion; as a weighted sum over the frame of differences.
+
+    Shorter histories use the differences they have; with under ``period`` of them it is 50.
+    """
     n = RSI_FRAME
     q = (period - 1) / period
     weights = F.array(*[F.lit(q ** (n - period) / period if k < period else q ** (n - 1 - k) / period) for k in range(n)])
-    weigh = lambda c: F.aggregate(F.zip_with(F.collect_list(c).over(frame(1 - n)), weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    had = row_no() - 1  # differences; the first row has none
+    seed = F.array_repeat(F.pow(F.lit(q), had - period) / period, period)
+    few = F.concat(seed, F.slice(weights, n + 1 - had + period, had - period))
+    full = had >= n
+
+    def weigh(c: Column) -> Column:
+        held = F.collect_list(c).over(frame(1 - n))
+        pairs = F.when(full, F.zip_with(held, weights, lambda a, b: a * b)).otherwise(F.zip_with(F.slice(held, 2, n), few, lambda a, b: a * b))
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+
     gain, loss = weigh(F.greatest("d", F.lit(0.0))), weigh(F.greatest(-F.col("d"), F.lit(0.0)))
-    return F.when(row_no() < n + 1, None).when(loss < 1e-10, 100.0).otherwise(100 - 100 / (1 + gain / loss))
+    return F.when(had < period, 50.0).when(loss < 1e-10, 100.0).otherwise(100 - 100 / (1 + gain / loss))
 
 
 def rsi_windowed(bars: DataFrame) -> DataFrame:
@@ -93,7 +105,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
             k.alias("k"), ema(s["d"], k, 1 / 3).alias("d"), ema(s["atr"], x["tr"], 2 / 15).alias("atr"))
 
     s = fold_series(inputs, ["c", "tr", "rsv", "d"], begin, step)
-    rsi = F.when((F.col("gain") == 0) & (F.col("loss") == 0), 50.0).otherwise(100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-10)))
+    rsi = 100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-10))
     return s.select(
         "symbol", "date", "ema12", "ema26", (F.col("ema12") - F.col("ema26")).alias("macd"), "signal", (F.col("ema12") - F.col("ema26") - F.col("signal")).alias("hist"),
         F.when(row_no() == 1, 50.0).otherwise(rsi).alias("rsi14"), "k", "d", (3 * F.col("k") - 2 * F.col("d")).alias("j"), F.col("atr").alias("atr14"))
@@ -108,6 +120,19 @@ def calculate_all(bars: DataFrame) -> DataFrame:
     return wide.join(recursive_indicators(bars), ["symbol", "date"])
 
 
+def calculate_all_batch(bars: DataFrame) -> DataFrame:
+    """The batch flavour of the wide row: partial means, returns, volatility, simple RSI, bands and simple ATR beside the recursive series."""
+    b = bars.select(
+        "symbol", "date", "close", *[F.avg("close").over(frame(1 - p)).alias(f"MA{p}") for p in (5, 10, 20, 60)], change("close").alias("ret"), true_range().alias("tr"),
+        F.coalesce(F.col("close") - lag("close"), F.lit(0.0)).alias("diff"), mean_rows("close", -19).alias("mid"), strict(F.stddev_samp("close").over(frame(-19)), 20).alias("sd"))
+    gain, loss = mean_rows(F.greatest("diff", F.lit(0.0)), -13), mean_rows(F.greatest(-F.col("diff"), F.lit(0.0)), -13)
+    wide = b.select(
+        "symbol", "date", "close", "MA5", "MA10", "MA20", "MA60", "ret", F.when(F.count("ret").over(frame(-19)) >= 2, F.stddev_samp("ret").over(frame(-19)) * (DAYS**0.5)).alias("volatility"),
+        (100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0)))).alias("rsi_simple"), (F.col("mid") + 2 * F.col("sd")).alias("upper"), (F.col("mid") - 2 * F.col("sd")).alias("lower"),
+        F.avg("tr").over(frame(-13)).alias("atr_sma"))
+    return wide.join(recursive_indicators(bars), ["symbol", "date"])
+
+
 def crossing(a: str, b: str) -> tuple[Column, Column]:
     """(a crosses above b, a crosses below b)."""
     pa, pb = lag(a), lag(b)

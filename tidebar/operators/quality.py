@@ -12,6 +12,7 @@ HOLIDAYS = """
 2025-01-01 2025-01-27 2025-01-28 2025-01-29 2025-01-30 2025-01-31 2025-04-04 2025-05-01 2025-05-02 2025-05-31
 2025-10-01 2025-10-02 2025-10-03 2025-10-06 2025-10-07
 2026-01-01 2026-02-16 2026-02-17 2026-02-18 2026-02-19 2026-02-20
+2026-04-06 2026-05-01 2026-05-04 2026-05-05 2026-06-19 2026-10-01 2026-10-02 2026-10-05 2026-10-06 2026-10-07
 """.split()
 
 

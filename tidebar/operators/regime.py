@@ -13,6 +13,10 @@ MAX_POSITION = {"policy_bottom": 0.90, "bull_trend": 0.80, "structural": 0.50, "
 MAX_POSITIONS = {"policy_bottom": 5, "bull_trend": 4, "structural": 3, "stock_game": 2, "systemic_risk": 0}
 
 
+#: Names shown for the regimes.
+LABELS = {"policy_bottom": "policy bottom", "bull_trend": "bull trend", "structural": "structural market", "stock_game": "stock game", "systemic_risk": "systemic risk"}
+
+
 def lookup(values: dict, key: str | Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(key) if isinstance(key, str) else key]
 
@@ -56,10 +60,10 @@ def risk_score() -> Column:
     return F.when(ret < -0.08, 0.1).when(ret > 0.15, 0.8).otherwise(clamp(0.7 - vol * 0.5, 0.1, 0.9))
 
 
-def scores(bars: DataFrame) -> DataFrame:
+def scores(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     b = bars.withColumn("day_ret", (F.col("close") - lag("close")) / (lag("close") + 1e-8))
     return b.select(
-        "symbol", "date", row_no().alias("rn"), trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"),
+        "symbol", "date", *keep, row_no().alias("rn"), trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"),
         breadth_score().alias("breadth"), risk_score().alias("risk"))
 
 
@@ -79,5 +83,6 @@ def classify(s: DataFrame) -> DataFrame:
         "max_positions", F.when(short, 2).otherwise(lookup(MAX_POSITIONS, "regime")).cast("int")).withColumn("tradeable", F.col("regime") != "systemic_risk")
 
 
-def detect(bars: DataFrame) -> DataFrame:
-    return classify(scores(bars))
+def detect(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Regime of every bar; the columns of ``keep`` stay, so that more frames follow over the same sorted rows."""
+    return classify(scores(bars, keep))

@@ -57,6 +57,27 @@ def pool_summary(strategies: DataFrame) -> DataFrame:
     return strategies.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("strategy_id")), ",").alias("ids"))
 
 
+def register_new(strategies: DataFrame, offered: DataFrame) -> DataFrame:
+    """Strategies with the offered ones (name, style, params_json) added as candidates; known ids are skipped, of equal offers one is taken."""
+    new = offered.select(strategy_id(F.col("name"), F.col("style"), F.col("params_json")).alias("strategy_id"), "name", "style", F.lit("candidate").alias("status"))
+    return strategies.unionByName(new.dropDuplicates(["strategy_id"]).join(strategies.select("strategy_id"), "strategy_id", "left_anti"))
+
+
+def with_validation_log(log: DataFrame, strategies: DataFrame, results: DataFrame, at: Column) -> DataFrame:
+    """The transition log with a row for each status that the validation results change."""
+    before = strategies.select("strategy_id", F.col("status").alias("was"))
+    after = apply_validation(strategies, results).select("strategy_id", F.col("status").alias("to_status"))
+    changed = after.join(before, "strategy_id").where("to_status <> was").select("strategy_id", at.alias("at"), "to_status")
+    return log.select("strategy_id", "at", "to_status").unionByName(changed)
+
+
+def with_notes(strategies: DataFrame, notes: DataFrame) -> DataFrame:
+    """Appends each strategy's dated notes (strategy_id, at, note) in order of date, then text."""
+    line = F.concat_ws(" ", F.date_format("at", "yyyy-MM-dd"), "note")
+    added = notes.groupBy("strategy_id").agg(F.sort_array(F.collect_list(line)).alias("notes"))
+    return strategies.join(added, "strategy_id", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+
+
 def apply_validation(strategies: DataFrame, results: DataFrame) -> DataFrame:
     """Merges validation results (strategy_id, passed, sharpe): passed becomes active, failed retired; others stay."""
     r = results.select("strategy_id", F.col("passed").alias("ok"), F.col("sharpe").alias("new_sharpe"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import row_no, clamp, frame, lag, settled
-from . import factors, indicators, regime
+from . import detectors, factors, indicators, regime
 
 MIN_SERIES = 30
 
@@ -51,12 +51,12 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([asdict(s) for s in STYLES])
 
 
-def price_frames(bars: DataFrame, lookback: int = 30) -> DataFrame:
+def price_frames(bars: DataFrame, lookback: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
     """What a signal reads of prices and volumes at each bar. Frames are as long as the history allows."""
     b = bars.withColumn("tr", indicators.true_range())
     vol_base = F.when(row_no() >= 20, F.avg("volume").over(frame(-19, -5))).otherwise(F.avg("volume").over(frame(-19)))
     return b.select(
-        "symbol", "date", "close", row_no().alias("n"), F.avg("tr").over(frame(-13)).alias("atr"), F.min("low").over(frame(-4)).alias("low5"),
+        "symbol", "date", "close", *keep, row_no().alias("n"), F.avg("tr").over(frame(-13)).alias("atr"), F.min("low").over(frame(-4)).alias("low5"),
         F.max("high").over(frame(-lookback, -1)).alias("prev_high"), F.max("high").over(frame(-60, -1)).alias("high60"),
         (F.avg("volume").over(frame(-4)) / (vol_base + 1e-8)).alias("vr"), F.coalesce(F.col("close") / lag("close", 5) - 1, F.lit(0.0)).alias("ret5"))
 
@@ -107,14 +107,19 @@ def with_signal(df: DataFrame, p: Preset = BASE) -> DataFrame:
 
 
 def context(bars: DataFrame) -> DataFrame:
-    """Regime and score of every bar."""
-    r = regime.detect(bars).select("symbol", "date", "regime", "max_position", "max_positions", "tradeable")
-    return r.join(factors.score(bars).select("symbol", "date", "total_score", "passed", "grade"), ["symbol", "date"])
+    """The bars with regime and score. All frames run over one sort of the bars; nothing is joined."""
+    prices = ("open", "high", "low", "close", "volume")
+    r = regime.detect(bars, prices).select("symbol", "date", *prices, F.struct(*REGIME).alias("r"))
+    return factors.score(r, ("open", "high", "low", "r")).select("symbol", "date", *prices, "r.*", *SCORE)
+
+
+#: What a signal reads of regime and score.
+REGIME, SCORE = ("regime", "max_position", "max_positions", "tradeable"), ("total_score", "passed", "grade")
 
 
 def signals(bars: DataFrame, p: Preset = BASE) -> DataFrame:
     """The signal evaluated at every bar from that bar's own prices, regime and score."""
-    return with_signal(price_frames(bars, p.target_lookback).join(context(bars), ["symbol", "date"]), p)
+    return with_signal(price_frames(context(bars), p.target_lookback, REGIME + SCORE), p)
 
 
 def actions(bars: DataFrame, p: Preset = BASE) -> DataFrame:
@@ -132,3 +137,31 @@ def actions(bars: DataFrame, p: Preset = BASE) -> DataFrame:
         .when(watch, F.least(F.lit(0.75), 0.55 + nudge)).when(F.col("total_score") >= 45, 0.4).otherwise(0.7)
     )
     return s.withColumn("action", action).withColumn("action_confidence", settled(sure, 3))
+
+
+#: The signal type that each detector stands for.
+TYPE_OF = {
+    "limit_up_follow": "momentum_breakout", "gap_up_breakout": "momentum_breakout", "ma_golden_cross": "trend_continuation", "intraday_surge": "volume_surge",
+    "swing_breakout": "momentum_breakout", "pullback_ma": "pullback_entry", "volume_divergence": "pullback_entry", "bollinger_breakout": "momentum_breakout",
+}
+
+
+def style_signals(bars: DataFrame, p: Preset, limit: Column | None = None) -> DataFrame:
+    """Signals of a trading style: the base signal raised by the style's best detector, or one built from the detector alone.
+
+    One row per bar that has a signal: ``symbol, date, signal_type, detector, confidence, position_pct, entry, stop, target, rr``.
+    """
+    best = detectors.best_signal(detectors.detect_all(bars, limit), (p.style,)).select("symbol", "date", F.col("signal").alias("detector"), "strength")
+    s = signals(bars, p).join(best, ["symbol", "date"], "left")
+    seen, strength = F.col("detector").isNotNull(), F.col("strength")
+    raised = settled(F.greatest(F.col("confidence"), strength * 0.9), 3)
+    size = F.col("max_position") * (0.5 + strength * F.least(F.col("rr") / 2, F.lit(1.0)) * 0.5)
+    size = settled(F.least(size, F.lit(p.base_position_pct * 2), F.col("max_position") / F.greatest(F.col("max_positions"), F.lit(1))), 4)
+    own_rr = (F.col("target") - F.col("entry")) / (F.col("entry") - F.col("stop") + 1e-8)
+    sound = (F.col("stop") < F.col("entry")) & (F.col("entry") < F.col("target")) & (own_rr >= 1.3) & (strength >= 0.45)
+    alone = (strength >= p.min_confidence) & F.col("passed") & (F.col("total_score") >= p.min_factor_score) & F.col("tradeable") & (F.col("rr") >= p.min_rr_ratio) & sound
+    own = seen & ~F.col("valid")
+    return s.where(F.when(own, alone).when(seen, F.lit(True)).otherwise(F.col("generated"))).select(
+        "symbol", "date", F.when(own, regime.lookup(TYPE_OF, "detector")).otherwise(F.col("signal_type")).alias("signal_type"), "detector",
+        F.when(own, settled(strength, 3)).when(seen, raised).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(own, size).otherwise(F.col("position_pct")).alias("position_pct"), "entry", "stop", "target", "rr")

@@ -14,17 +14,21 @@ WARM_UP, GRID, MIN_HOLD = 130, 10, 3
 
 def indexed(bars: DataFrame, limit: Column | None = None) -> DataFrame:
     """Bars with the 0-based index ``i`` and limit flags."""
-    flags = detectors.limit_flags(bars, limit)
-    return bars.join(flags, ["symbol", "date"]).withColumn("i", (row_no() - 1).cast("long"))
+    return detectors.limit_flags(bars, limit, tuple(c for c in bars.columns if c not in ("symbol", "date"))).withColumn("i", (row_no() - 1).cast("long"))
 
 
 def candidates(bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
-    """Possible entries: bar i trades on the prices of bar i - 1 and on regime and score of the last grid bar."""
-    rows = indexed(bars, limit)
-    prices = strategy.price_frames(bars, p.target_lookback).withColumn("i", row_no().cast("long")).drop("date")
-    ctx = strategy.context(bars).withColumn("k", row_no().cast("long")).where(F.col("k") % GRID == 0).drop("date")
-    at = rows.where((F.col("i") >= WARM_UP) & ~F.col("limit_up")).select("symbol", "date", "i", (F.floor(F.col("i") / GRID) * GRID).cast("long").alias("k"))
-    full = at.join(prices, ["symbol", "i"]).join(ctx, ["symbol", "k"])
+    """Possible entries: bar i trades on the prices of bar i - 1 and on regime and score of the last grid bar before it.
+
+    Everything comes from frames over one sort of the bars.
+    """
+    known = strategy.REGIME + strategy.SCORE
+    ctx = detectors.limit_flags(strategy.context(bars), limit, ("open", "high", "low", "close", "volume", *known))
+    rows = strategy.price_frames(ctx, p.target_lookback, ("limit_up", *known)).withColumn("i", (F.col("n") - 1).cast("long"))
+    prices = ("close", "n", "atr", "low5", "prev_high", "high60", "vr", "ret5")
+    grid = F.last(F.when(F.col("n") % GRID == 0, F.struct(*known)), ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, -1))
+    at = rows.select("symbol", "date", "i", "limit_up", F.lag(F.struct(*prices)).over(by_date()).alias("p"), grid.alias("g"))
+    full = at.where((F.col("i") >= WARM_UP) & ~F.col("limit_up") & F.col("g").isNotNull()).select("symbol", "date", "i", "p.*", "g.*")
     return strategy.with_signal(full, p).where("valid").select("symbol", "date", "i", "entry", "stop", "target", "position_pct", "signal_type", "confidence")
 
 

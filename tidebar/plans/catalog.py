@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import lag, settled
+from ..functions.series import by_date, lag, settled
 from ..operators import detectors, factors, indicators, metrics, monitoring, quality, registry, regime, strategy, trades, validation
 from ..sources import bars as src
 from ..streaming import bars as streaming
-from .sql import query, rows
+from .sql import query, rows, signal_parts
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -19,7 +19,7 @@ ORACLE: dict[str, str] = {}
 #: Queries whose plans read the bars in several branches.
 SHARED = set("""
 e7_calculate_all i6_signals sg6_signals sg9_actions sg10_scan tp1_candidates tp2_first_exits tp3_ledger tp6_equity tp7_pyramid_adds tp8_circuit_breaker tp9_cooldowns a9_exit_reasons
-m5_curve_metrics m6_trade_metrics m7_backtest_rows m8_batch_summary w19_loss_streaks v2_window_metrics v6_consistency v7_judge mo1_rolling_metrics mo4_snapshot re5_recommended re6_rotation
+m5_curve_metrics m6_trade_metrics m7_backtest_rows m8_batch_summary k3_scan_top k6_report_top k7_batch_actions a10_signal_mix a12_action_distribution e8_calculate_all_batch sg8_style_signals m9_style_comparison re9_recorded_trades fa5_series_rsi w19_loss_streaks v2_window_metrics v6_consistency v7_judge mo1_rolling_metrics mo4_snapshot re5_recommended re6_rotation
 """.split())
 #: A limit that the test bars do reach.
 LOW_LIMIT = 0.03
@@ -78,8 +78,12 @@ on_bars("s17_incremental", lambda b: src.incremental(b, delta(b)), query("b", f"
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor bodies made of the bars: one JSONP text per symbol."""
+    return bodies(src.bars_walk(spark, sf))
+
+
+def bodies(bars: DataFrame) -> DataFrame:
     line = F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *[F.format_string("%.4f", c) for c in ("open", "high", "low", "close")], F.format_string("%.0f", "volume"))
-    b = src.bars_walk(spark, sf).withColumn("line", line)
+    b = bars.withColumn("line", line)
     return b.groupBy("symbol").agg(F.concat(F.lit('quote_x({"data":"'), F.array_join(F.sort_array(F.collect_list("line")), ";"), F.lit(';bad,row"});')).alias("body"))
 
 
@@ -110,15 +114,14 @@ days AS (SELECT DISTINCT date FROM b), s AS (SELECT symbol, count(*) AS bars, co
 on_bars("p9_end_date", lambda b: b.where("date <= '1996-06-30'").select(*src.COLUMNS), query("b", f"SELECT {BARS} FROM b WHERE date <= DATE '1996-06-30'"))
 on_bars("j3_missing_on_date", lambda b: b.select("symbol").distinct().join(b.join(b.agg(F.max("date").alias("date")), "date").select("symbol"), "symbol", "left_anti"),
         query("b", "SELECT DISTINCT symbol FROM b WHERE symbol NOT IN (SELECT symbol FROM b WHERE date = (SELECT max(date) FROM b))"))
-on_bars("j2_pending_symbols", lambda b: b.select("symbol").distinct().join(b.where("date < '1995-02-01'").select("symbol").distinct(), "symbol", "left_anti"),
-        query("b", "SELECT DISTINCT symbol FROM b ANTI JOIN (SELECT symbol FROM b WHERE date < DATE '1995-02-01') USING (symbol)"))
+on_bars("j2_pending_symbols", lambda b: b.select("symbol").distinct().join(b.where("date < '1995-01-06'").select("symbol").distinct(), "symbol", "left_anti"),
+        query("b", "SELECT DISTINCT symbol FROM b ANTI JOIN (SELECT symbol FROM b WHERE date < DATE '1995-01-06') USING (symbol)"))
 
 
 def market_regime(b: DataFrame) -> DataFrame:
     """Regime of one market series carried to every symbol's bars; a symbol's own regime where the market has no bar."""
-    own = regime.detect(b).select("symbol", "date", F.col("regime").alias("own"))
-    market = own.where("symbol = '000001'").select("date", F.col("own").alias("market"))
-    return own.join(market, "date", "left").select("symbol", "date", F.coalesce("market", "own").alias("regime"))
+    market = F.max(F.when(F.col("symbol") == "000001", F.col("regime"))).over(Window.partitionBy("date"))
+    return regime.detect(b).select("symbol", "date", F.coalesce(market, "regime").alias("regime"))
 
 
 on_bars("j4_market_regime", market_regime, query("rg", "SELECT o.symbol, o.date, coalesce(m.regime, o.regime) AS regime FROM rg o LEFT JOIN (SELECT date, regime FROM rg WHERE symbol = '000001') m USING (date)"))
@@ -400,14 +403,26 @@ on_bars("w17_crossings", lambda b: b.select("symbol", "date", F.avg("close").ove
       WHERE (p <= q AND m > n) OR (p >= q AND m < n)"""))
 on_bars("w20_last_rows", lambda b: b.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("back <= 5").select("symbol", "date", "close"),
         query("b", "SELECT symbol, date, close FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 5"))
-on_bars("s16_backfill_date", lambda b: src.upsert(b.where("date <> '1997-06-02'"), b.where("date = '1997-06-02'").join(b.select("symbol").distinct(), "symbol", "left_semi"), ["symbol", "date"]), query("b", f"SELECT {BARS} FROM b"))
+DAY = "1997-06-02"
+
+
+def backfill(b: DataFrame) -> DataFrame:
+    """The bars of one day that half of the symbols lack, read from the vendor's bodies and put in."""
+    odd = F.substring("symbol", 6, 1).isin("1", "3", "5", "7", "9")
+    base = b.where((F.col("date") != DAY) | odd)
+    come = src.parse_payloads(bodies(b.where(F.col("date") == DAY)))
+    missing = come.join(base.where(F.col("date") == DAY).select("symbol"), "symbol", "left_anti")
+    return src.upsert(base, missing, ["symbol", "date"])
+
+
+on_bars("s16_backfill_date", backfill, query("b", f"SELECT symbol, date, open, high, low, close, volume, CASE WHEN date = DATE '{DAY}' AND substring(symbol, 6, 1) IN ('0', '2', '4', '6', '8') THEN 0 ELSE amount END AS amount FROM b"))
 
 
 def regime_grid(b: DataFrame) -> DataFrame:
-    """Each bar with the regime of the last bar before it on a grid of ten: an equi-join on the grid index."""
-    r = regime.detect(b).select("symbol", F.col("rn").cast("long").alias("rn"), "regime").persist()
-    bar = r.select("symbol", (F.col("rn") - 1).alias("i"), (F.floor((F.col("rn") - 1) / 10) * 10).cast("long").alias("k"))
-    return bar.join(r.select("symbol", F.col("rn").alias("k"), F.col("regime").alias("grid")), ["symbol", "k"]).select("symbol", "i", "grid")
+    """Each bar with the regime of the last bar before it on a grid of ten, by one more frame over the same rows."""
+    before = by_date().rowsBetween(Window.unboundedPreceding, -1)
+    grid = F.last(F.when(F.col("rn") % 10 == 0, F.col("regime")), ignorenulls=True).over(before)
+    return regime.detect(b).select("symbol", (F.col("rn") - 1).cast("long").alias("i"), grid.alias("grid")).where("grid is not null")
 
 
 on_bars("j5_regime_grid", regime_grid, query("rg", "SELECT a.symbol, a.rn - 1 AS i, g.regime AS grid FROM rg a JOIN rg g ON g.symbol = a.symbol AND g.rn = (a.rn - 1) // 10 * 10"))
@@ -415,3 +430,106 @@ on_bars("a13_count_by_status", lambda b: strategies_of(b).groupBy("status").agg(
 on_bars("re4_active", lambda b: strategies_of(b).where("status = 'active'").select("strategy_id", "status"), query("b", "SELECT strategy_id, status FROM sr WHERE status = 'active'", STRATS))
 on_bars("sg10_scan", lambda b: factors.last_bars(strategy.actions(b)).where("action in ('BUY', 'WATCH') and grade <= 'B'").select("symbol", "date", "action", "total_score", "grade"),
         query("sg s", f"SELECT symbol, date, action, total_score, grade FROM (SELECT a.*, total_score, grade FROM ({ACTION}) a JOIN sg USING (symbol, date) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE action IN ('BUY', 'WATCH') AND grade <= 'B'"))
+
+
+# Scans, selections and reports over the last bars
+ACTED = f"SELECT a.symbol, a.date, action, action_confidence, total_score, grade FROM ({ACTION}) a JOIN sg USING (symbol, date) QUALIFY row_number() OVER (PARTITION BY a.symbol ORDER BY a.date DESC) = 1"
+
+
+def last_actions(b: DataFrame) -> DataFrame:
+    return factors.last_bars(strategy.actions(b).select("symbol", "date", "action", "action_confidence", "total_score", "grade"))
+
+
+def top(df: DataFrame, n: int, *by: str) -> DataFrame:
+    return df.orderBy(*[F.desc(c) for c in by], "symbol").limit(n)
+
+
+on_bars("k3_scan_top", lambda b: top(last_actions(b).where("action in ('BUY', 'WATCH')"), 10, "action_confidence", "total_score"),
+        query("sg s", f"SELECT * FROM ({ACTED}) WHERE action IN ('BUY', 'WATCH') ORDER BY action_confidence DESC, total_score DESC, symbol LIMIT 10"))
+on_bars("k4_factor_scan", lambda b: top(factors.last_bars(factors.score(b)).where("passed").select("symbol", "date", "total_score", "grade"), 20, "total_score"),
+        query("fa", "SELECT symbol, date, total_score, grade FROM (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE passed ORDER BY total_score DESC, symbol LIMIT 20"))
+on_bars("k6_report_top", lambda b: top(backtest(b).where("total_trades > 0").select("symbol", "total_trades", "win_rate", "total_return_pct", "sharpe"), 10, "total_return_pct"),
+        query("mt", "SELECT symbol, total_trades, win_rate, total_return_pct, sharpe FROM br WHERE total_trades > 0 ORDER BY total_return_pct DESC, symbol LIMIT 10", RESULT))
+on_bars("k7_batch_actions", lambda b: last_actions(b).where("action <> 'AVOID'").withColumn("nth", F.row_number().over(Window.orderBy(F.desc("action_confidence"), "symbol")).cast("long")),
+        query("sg s", f"SELECT *, row_number() OVER (ORDER BY action_confidence DESC, symbol) AS nth FROM ({ACTED}) WHERE action <> 'AVOID'"))
+on_bars("k9_sample_symbols", lambda b: b.select("symbol").distinct().orderBy(F.md5(F.concat("symbol", F.lit("-7"))), "symbol").limit(20),
+        query("b", "SELECT symbol FROM (SELECT DISTINCT symbol FROM b) ORDER BY md5(symbol || '-7'), symbol LIMIT 20"))
+on_bars("u2_distinct_codes", lambda b: b.where(EARLY).select("symbol").unionByName(b.where(LATE).select("symbol")).dropDuplicates(["symbol"]), query("b", f"SELECT symbol FROM b WHERE {EARLY} UNION SELECT symbol FROM b WHERE {LATE}"))
+register("a7_index_summary", lambda spark, sf: src.read_table(spark, sf, "events").agg(F.countDistinct("event_type").alias("codes"), F.count("*").alias("n"), F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")),
+         "SELECT count(DISTINCT event_type) AS codes, count(*) AS n, min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events")
+on_bars("a10_signal_mix", lambda b: book(b).agg(*[(F.avg((F.col("signal_type") == t).cast("int")) * 100).alias(f"{t}_pct") for t in ("momentum_breakout", "pullback_entry", "volume_surge")]),
+        query("le", "SELECT " + ", ".join(f"round(avg((signal_type = '{t}')::INT) * 100, 6) AS {t}_pct" for t in ("momentum_breakout", "pullback_entry", "volume_surge")) + " FROM le"))
+on_bars("a12_action_distribution", lambda b: last_actions(b).groupBy("action").agg(F.count("*").alias("n")), query("sg s", f"SELECT action, count(*) AS n FROM ({ACTED}) GROUP BY 1"))
+on_bars("rg9_labels", lambda b: factors.last_bars(regime.detect(b)).select("symbol", "tradeable", regime.lookup(regime.LABELS, "regime").alias("label")),
+        query("rg", "SELECT symbol, tradeable, CASE regime " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in regime.LABELS.items()) + " END AS label FROM (SELECT * FROM rg QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"))
+on_bars("e8_calculate_all_batch", indicators.calculate_all_batch, query("e bb", "SELECT i.symbol, i.date, i.close, " + ", ".join(f"round(avg(b.close) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW), 6) AS MA{p}" for p in (5, 10, 20, 60))
+        + f""", round(ret, 6) AS ret, round(CASE WHEN count(ret) OVER v >= 2 THEN stddev_samp(ret) OVER v * sqrt(252) END, 6) AS volatility, round(100 - 100 / (1 + gain / nullif(loss, 0)), 6) AS rsi_simple, round(mid + 2 * sd, 6) AS upper, round(mid - 2 * sd, 6) AS lower,
+  round(avg(u.tr) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) AS atr_sma, {r6(*['i.' + c for c in REC])} FROM i JOIN bb USING (symbol, date) JOIN b USING (symbol, date) JOIN u USING (symbol, date) WINDOW v AS (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+        f"u AS (SELECT symbol, date, nullif(tr, NULL) AS tr, close / nullif(c1, 0) - 1 AS ret, {rows('avg(greatest(d, 0))', -13)} AS gain, {rows('avg(greatest(-d, 0))', -13)} AS loss FROM t)"))
+register("s14_vendor_headers", lambda spark, sf: src.from_vendor(src.bars_walk(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumnsRenamed({v: k for k, v in src.VENDOR_NAMES.items()}), "2000-12-31"),
+         query("b", f"SELECT {BARS} FROM b WHERE date > DATE '2000-12-31'"))
+
+
+def analyses(b: DataFrame) -> DataFrame:
+    last = factors.last_bars(b).withColumn("day", F.date_format("date", "yyyyMMdd"))
+    old = last.select(F.lit("trend").alias("analyst"), "symbol", "date", F.lit("{}").alias("body")).where(F.substring("symbol", 6, 1) == "1")
+    return src.upsert_analysis(old, last, "trend", ["symbol", "day"])
+
+
+on_bars("s12_upsert_analysis", analyses, query("b", """SELECT 'trend' AS analyst, symbol, max(date) AS date, '{"symbol":"' || symbol || '","day":"' || strftime(max(date), '%Y%m%d') || '"}' AS body FROM b GROUP BY symbol"""))
+
+# Styles
+SWING = strategy.STYLES[1]
+SWING_SQL = signal_parts("sgin", "sw", "0.05", "0.08", "1.8") + """,
+bd AS (SELECT symbol, date, signal AS detector, strength FROM sd WHERE style = 'swing' AND strength >= 0.5 QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY strength DESC, signal) = 1),
+sx AS (SELECT sw.*, detector, strength, detector IS NOT NULL AND NOT valid AS own,
+  coalesce(strength >= 0.45 AND passed AND total_score >= 55 AND tradeable AND rr >= 1.8 AND stop < entry AND entry < target AND (target - entry) / (entry - stop + 1e-8) >= 1.3, false) AS alone FROM sw LEFT JOIN bd USING (symbol, date))"""
+on_bars("sg8_style_signals", lambda b: strategy.style_signals(b, SWING, F.lit(LOW_LIMIT)), query("sg sd", """SELECT symbol, date,
+  CASE WHEN own THEN CASE WHEN detector IN ('ma_golden_cross') THEN 'trend_continuation' WHEN detector = 'intraday_surge' THEN 'volume_surge' WHEN detector IN ('pullback_ma', 'volume_divergence') THEN 'pullback_entry' ELSE 'momentum_breakout' END ELSE signal_type END AS signal_type, detector,
+  CASE WHEN own THEN round(strength + 1e-9, 3) WHEN detector IS NOT NULL THEN round(greatest(conf, strength * 0.9::DOUBLE) + 1e-9, 3) ELSE conf END AS confidence,
+  CASE WHEN own THEN round(least(max_position * (0.5::DOUBLE + strength * least(rr / 2, 1.0) * 0.5), 0.4, max_position / greatest(max_positions, 1)) + 1e-9, 4) ELSE position_pct END AS position_pct, entry, stop, target, round(rr, 6) AS rr
+  FROM sx WHERE CASE WHEN own THEN alone WHEN detector IS NOT NULL THEN true ELSE generated END""", SWING_SQL, limit="0.03::DOUBLE"))
+
+
+def style_comparison(b: DataFrame) -> DataFrame:
+    """The same trade metrics for each style preset over all symbols."""
+    books = None
+    for p in strategy.STYLES:
+        own = trades.ledger(trades.first_exits(trades.candidates(b, p), b, p), p=p).withColumn("style", F.lit(p.style))
+        books = own if books is None else books.unionByName(own)
+    return metrics.trade_metrics(books, "style")
+
+
+on_bars("m9_style_comparison", style_comparison)
+
+# Registry steps over the part table and the symbols' strategies
+OFFERED = "SELECT substring(p_brand, 1, 3) || '_' || substring(md5(p_name || ':' || p_brand || ':' || '{\"p_size\":' || p_size || '}'), 1, 8) AS strategy_id, p_name AS name, p_brand AS style FROM part"
+
+
+def registered(spark: SparkSession, sf: str) -> DataFrame:
+    offered = src.read_table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("style"), F.to_json(F.struct("p_size")).alias("params_json"), "p_partkey")
+    known = offered.where("p_partkey % 3 = 0").select(registry.strategy_id(F.col("name"), F.col("style"), F.col("params_json")).alias("strategy_id"), "name", "style", F.lit("active").alias("status")).distinct()
+    return registry.register_new(known, offered.drop("p_partkey"))
+
+
+register("re1_register", registered, f"WITH o AS ({OFFERED}), k AS (SELECT DISTINCT * FROM ({OFFERED} WHERE p_partkey % 3 = 0)) SELECT *, 'active' AS status FROM k UNION ALL SELECT DISTINCT *, 'candidate' AS status FROM o WHERE strategy_id NOT IN (SELECT strategy_id FROM k)")
+
+
+def validated_log(b: DataFrame) -> DataFrame:
+    s = strategies_of(b).persist()
+    results = s.where("validation_sharpe is not null").select("strategy_id", (F.col("validation_sharpe") > 0).alias("passed"), F.col("validation_sharpe").alias("sharpe"))
+    return registry.with_validation_log(transitions_of(b), s, results, F.to_date(F.lit("2002-01-01")))
+
+
+on_bars("re8_validation_log", validated_log, query("b", """SELECT strategy_id, pos AS "at", to_status FROM tl UNION ALL
+  SELECT strategy_id, DATE '2002-01-01', CASE WHEN validation_sharpe > 0 THEN 'active' ELSE 'retired' END FROM sr WHERE validation_sharpe IS NOT NULL AND status <> CASE WHEN validation_sharpe > 0 THEN 'active' ELSE 'retired' END""", TRANS + "," + STRATS))
+on_bars("re9_recorded_trades", lambda b: log_of(b).unionByName(log_of(b).groupBy("strategy_id").agg((F.max("i") + 1).alias("i"), F.lit(0.0).alias("pnl"), F.lit(0.0).alias("pnl_pct"))),
+        query("le", "SELECT strategy_id, i, round(pnl, 6) AS pnl, round(pnl_pct, 6) AS pnl_pct FROM lg UNION ALL SELECT strategy_id, max(i) + 1, 0, 0 FROM lg GROUP BY 1", LOG))
+on_bars("re10_notes", lambda b: registry.with_notes(strategies_of(b).select("strategy_id", "status"), transitions_of(b).withColumnRenamed("to_status", "note")).select("strategy_id", "status", F.array_join("notes", ";").alias("notes")),
+        query("b", "SELECT strategy_id, status, coalesce((SELECT string_agg(strftime(pos, '%Y-%m-%d') || ' ' || to_status, ';' ORDER BY pos, to_status) FROM tl WHERE tl.strategy_id = sr.strategy_id), '') AS notes FROM sr", TRANS + "," + STRATS))
+on_bars("fa5_series_rsi", lambda b: factors.score(b.join(indicators.recursive_indicators(b).select("symbol", "date", "rsi14"), ["symbol", "date"]), series="rsi14").select("symbol", "date", "rsi_w", "rsi", "reason", "total_score", "grade"),
+        query("fa e", "SELECT symbol, date, round(rsi_w, 6) AS rsi_w, rsi, reason, total_score, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM z3", """
+z1 AS (SELECT f3.*, rsi14 AS rsi_w FROM f3 JOIN i USING (symbol, date)),
+z2 AS (SELECT *, CASE WHEN rsi_w >= 50 AND rsi_w <= 65 THEN 1.0 WHEN rsi_w >= 45 AND rsi_w < 50 THEN 0.85 WHEN rsi_w > 65 AND rsi_w <= 72 THEN 0.75 WHEN rsi_w >= 40 AND rsi_w < 45 THEN 0.60 WHEN rsi_w > 72 AND rsi_w <= 80 THEN 0.50 WHEN rsi_w > 80 THEN 0.20 ELSE 0.35 END AS rsi,
+  CASE WHEN rn < 125 THEN 'short_history' WHEN vol20 < 1e5 THEN 'low_volume' WHEN close < m120 * (1 - 0.12) THEN 'below_cost' WHEN rsi_w < 20 THEN 'oversold' END AS reason FROM z1),
+z3 AS (SELECT *, CASE WHEN reason IS NULL THEN round(0.0::DOUBLE + momentum * 35 + turnover * 20 + trend * 20 + rsi * 10 + vol_price * 10 + cost * 5, 2) ELSE 0 END AS total_score FROM z2)"""[1:]))

@@ -50,7 +50,7 @@ e AS (
     x.rsv / 3.0::DOUBLE + 2 / 3.0::DOUBLE * e.k, (x.rsv / 3.0::DOUBLE + 2 / 3.0::DOUBLE * e.k) / 3.0::DOUBLE + 2 / 3.0::DOUBLE * e.d, 2 / 15.0::DOUBLE * x.tr + 13 / 15.0::DOUBLE * e.atr
   FROM e JOIN x ON x.symbol = e.symbol AND x.rn = e.rn + 1),
 i AS (SELECT x.symbol, x.date, x.rn, x.close, e12 AS ema12, e26 AS ema26, e12 - e26 AS macd, sig AS signal, e12 - e26 - sig AS hist,
-  CASE WHEN x.rn = 1 OR (g = 0 AND l = 0) THEN 50.0 ELSE 100 - 100 / (1 + g / (l + 1e-10)) END AS rsi14, k, e.d AS d, 3 * k - 2 * e.d AS j, atr AS atr14
+  CASE WHEN x.rn = 1 THEN 50.0 ELSE 100 - 100 / (1 + g / (l + 1e-10)) END AS rsi14, k, e.d AS d, 3 * k - 2 * e.d AS j, atr AS atr14
   FROM e JOIN x USING (symbol, rn))"""
 
 PARTS["bb"] = f"""
@@ -91,7 +91,7 @@ g3 AS (SELECT symbol, date, rn,
   CASE WHEN rr < -0.08 THEN 0.1 WHEN rr > 0.15 THEN 0.8 ELSE {clamp('0.7 - dv * 0.5', 0.1, 0.9)} END AS risk FROM g2),
 rg0 AS (SELECT *, CASE WHEN rn < 130 THEN 'structural' WHEN risk < 0.15 THEN 'systemic_risk' WHEN trend < 0.25 AND vol > 0.65 AND mom > 0.35 AND risk > 0.5 THEN 'policy_bottom'
   WHEN trend > 0.70 AND vol > 0.60 AND mom > 0.65 THEN 'bull_trend' WHEN vol < 0.35 AND trend < 0.55 THEN 'stock_game' ELSE 'structural' END AS regime FROM g3),
-rg AS (SELECT *, CASE WHEN rn < 130 THEN 0.3 ELSE CASE regime WHEN 'systemic_risk' THEN 1 - risk * 5 WHEN 'policy_bottom' THEN least((1 - trend) * vol * 0.7 + risk * 0.3, 0.95) WHEN 'bull_trend' THEN least((trend + vol + mom) / 3, 0.95)
+rg AS MATERIALIZED (SELECT *, CASE WHEN rn < 130 THEN 0.3 ELSE CASE regime WHEN 'systemic_risk' THEN 1 - risk * 5 WHEN 'policy_bottom' THEN least((1 - trend) * vol * 0.7 + risk * 0.3, 0.95) WHEN 'bull_trend' THEN least((trend + vol + mom) / 3, 0.95)
   WHEN 'stock_game' THEN least((1 - vol) * 0.6 + (1 - trend) * 0.4, 0.90) ELSE least(abs(trend - 0.5) * 2 * 0.3 + abs(vol - 0.5) * 0.2 + 0.5, 0.85) END END AS confidence,
   CASE WHEN rn < 130 THEN 0.30 ELSE CASE regime WHEN 'policy_bottom' THEN 0.9 WHEN 'bull_trend' THEN 0.8 WHEN 'structural' THEN 0.5 WHEN 'stock_game' THEN 0.2 ELSE 0 END END AS max_position,
   CASE WHEN rn < 130 THEN 2 ELSE CASE regime WHEN 'policy_bottom' THEN 5 WHEN 'bull_trend' THEN 4 WHEN 'structural' THEN 3 WHEN 'stock_game' THEN 2 ELSE 0 END END AS max_positions,
@@ -100,10 +100,17 @@ rg AS (SELECT *, CASE WHEN rn < 130 THEN 0.3 ELSE CASE regime WHEN 'systemic_ris
 N, Q = 41, 13 / 14
 WEIGHTS = "[" + ", ".join(repr(Q ** (N - 14) / 14 if k < 14 else Q ** (N - 1 - k) / 14) for k in range(N)) + "]::DOUBLE[]"
 
+
+
+def weighed(c: str) -> str:
+    few = f"list_concat(list_transform(range(14), lambda z: pow({Q!r}, rn - 15) / 14), ({WEIGHTS})[57 - rn:41])"
+    return f"CASE WHEN rn >= {N + 1} THEN list_dot_product({c}::DOUBLE[], {WEIGHTS}) WHEN rn >= 15 THEN list_dot_product(({c}[2:])::DOUBLE[], ({few})::DOUBLE[]) END"
+
+
 PARTS["rw"] = f"""
 rw0 AS (SELECT symbol, date, rn, {part('list(greatest(coalesce(close - c1, 0), 0))', 1 - N)} AS gs, {part('list(greatest(c1 - close, 0))', 1 - N)} AS ls FROM b),
-rw1 AS (SELECT symbol, date, rn, CASE WHEN rn >= {N + 1} THEN list_dot_product(gs::DOUBLE[], {WEIGHTS}) END AS g, CASE WHEN rn >= {N + 1} THEN list_dot_product(ls::DOUBLE[], {WEIGHTS}) END AS l FROM rw0),
-rw AS (SELECT symbol, date, CASE WHEN l < 1e-10 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END AS rsi_w FROM rw1)"""
+rw1 AS (SELECT symbol, date, rn, {weighed('gs')} AS g, {weighed('ls')} AS l FROM rw0),
+rw AS (SELECT symbol, date, CASE WHEN rn < 15 THEN 50.0 WHEN l < 1e-10 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END AS rsi_w FROM rw1)"""
 
 
 def norm(x: str, lo: float, hi: float) -> str:
@@ -128,7 +135,7 @@ f3 AS (SELECT symbol, date, rn, close, vol20, m120,
 f4 AS (SELECT f3.*, rsi_w, CASE WHEN rsi_w >= 50 AND rsi_w <= 65 THEN 1.0 WHEN rsi_w >= 45 AND rsi_w < 50 THEN 0.85 WHEN rsi_w > 65 AND rsi_w <= 72 THEN 0.75 WHEN rsi_w >= 40 AND rsi_w < 45 THEN 0.60 WHEN rsi_w > 72 AND rsi_w <= 80 THEN 0.50 WHEN rsi_w > 80 THEN 0.20 ELSE 0.35 END AS rsi,
   CASE WHEN rn < 125 THEN 'short_history' WHEN vol20 < 1e5 THEN 'low_volume' WHEN close < m120 * (1 - 0.12) THEN 'below_cost' WHEN rsi_w < 20 THEN 'oversold' END AS reason FROM f3 JOIN rw USING (symbol, date)),
 f5 AS (SELECT *, reason IS NULL AS passed, CASE WHEN reason IS NULL THEN round(0.0::DOUBLE + momentum * 35 + turnover * 20 + trend * 20 + rsi * 10 + vol_price * 10 + cost * 5, 2) ELSE 0 END AS total_score FROM f4),
-fa AS (SELECT *, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM f5)"""
+fa AS MATERIALIZED (SELECT *, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM f5)"""
 
 
 def vr(a: str, b: str) -> str:
@@ -162,17 +169,17 @@ pf AS (SELECT symbol, date, rn, close, {part('avg(tr)', -13)} AS atr, {part('min
   {part('avg(volume)', -4)} / (CASE WHEN rn >= 20 THEN {part('avg(volume)', -19, -5)} ELSE {part('avg(volume)', -19)} END + 1e-8) AS vr, {ret(5)} AS ret5 FROM t)"""
 
 
-def signal_parts(source: str, name: str) -> str:
-    """The trade signal over rows with price frames, regime and score."""
+def signal_parts(source: str, name: str, low: str = "0.04", high: str = "0.09", least_rr: str = "1.3") -> str:
+    """The trade signal over rows with price frames, regime and score; stops between two shares of the price, and the least reward over risk."""
     return f"""
-{name}0 AS (SELECT *, round(least(greatest(least(close - 2.0 * atr, low5 * 0.99), close * (1 - 0.09)), close * (1 - 0.04)) + 1e-9, 3) AS stop,
+{name}0 AS (SELECT *, round(least(greatest(least(close - 2.0 * atr, low5 * 0.99), close * (1 - {high})), close * (1 - {low})) + 1e-9, 3) AS stop,
   CASE WHEN close >= prev_high * 0.98 THEN greatest(high60 * (1 - 0.02), close * 1.08) ELSE prev_high * (1 - 0.02) END AS tg FROM {source}),
-{name}1 AS (SELECT *, round(CASE WHEN tg <= close * 1.02 THEN close * (1 + greatest(0.04 * 1.3, 0.05)) ELSE tg END + 1e-9, 3) AS target FROM {name}0),
+{name}1 AS (SELECT *, round(CASE WHEN tg <= close * 1.02 THEN close * (1 + greatest({low} * {least_rr}, 0.05)) ELSE tg END + 1e-9, 3) AS target FROM {name}0),
 {name}2 AS (SELECT *, (target - close) / (close - stop + 1e-8) AS rr, CASE WHEN vr >= 1.8 AND ret5 > 0.03 THEN 'volume_surge' WHEN ret5 > 0.04 THEN 'momentum_breakout' WHEN ret5 >= -0.03 AND ret5 <= 0.01 THEN 'pullback_entry' ELSE 'trend_continuation' END AS signal_type,
   round({clamp("0.45::DOUBLE + (total_score - 55) / 90 * 0.50::DOUBLE + CASE regime WHEN 'policy_bottom' THEN 0.10 WHEN 'bull_trend' THEN 0.05 WHEN 'stock_game' THEN -0.05 ELSE 0 END", 0.45, 0.95)} + 1e-9, 3) AS conf,
   round(close * (1 + 0.0003::DOUBLE + 0.001::DOUBLE) + 1e-9, 3) AS entry FROM {name}1),
 {name}3 AS (SELECT *, round(least(max_position * (0.5::DOUBLE + conf * least(rr / 2, 1.0) * 0.5), 0.4, max_position / greatest(max_positions, 1)) + 1e-9, 4) AS position_pct,
-  coalesce(passed AND total_score >= 55 AND tradeable AND n >= 30 AND rr >= 1.3 AND conf >= 0.45, false) AS generated FROM {name}2),
+  coalesce(passed AND total_score >= 55 AND tradeable AND n >= 30 AND rr >= {least_rr} AND conf >= 0.45, false) AS generated FROM {name}2),
 {name} AS (SELECT *, generated AND stop < entry AND entry < target AND (target - entry) / (entry - stop + 1e-8) >= 1.3 AND conf >= 0.45 AS valid FROM {name}3)"""
 
 

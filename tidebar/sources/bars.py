@@ -107,8 +107,8 @@ def scan_symbols(bars: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:
-    """Last write wins by key: delta over base, and inside the delta the greatest ``order``."""
-    rank = order if order is not None else F.lit(0)
+    """Last write wins by key: delta over base, and inside the delta the greatest ``order`` (without one, of the rows' contents)."""
+    rank = order if order is not None else F.xxhash64(*delta.columns)
     both = base.withColumn("__from", F.lit(0)).withColumn("__rank", F.lit(None).cast("double")).unionByName(
         delta.withColumn("__from", F.lit(1)).withColumn("__rank", rank.cast("double")))
     w = Window.partitionBy(*key).orderBy(F.desc("__from"), F.desc("__rank"))
@@ -116,8 +116,10 @@ def upsert(base: DataFrame, delta: DataFrame, key: list[str], order: Column | No
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
-    """First write wins by key."""
-    return base.unionByName(delta.dropDuplicates(key).join(base.select(*key), key, "left_anti"))
+    """First write wins by key; of rows of the delta with one key, the smallest by the other columns."""
+    rest = [c for c in delta.columns if c not in key]
+    first = delta.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row")).select(*key, "__row.*") if rest else delta.distinct()
+    return base.unionByName(first.join(base.select(*key), key, "left_anti"))
 
 
 def incremental(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -126,6 +128,29 @@ def incremental(base: DataFrame, delta: DataFrame) -> DataFrame:
     return delta.crossJoin(F.broadcast(last)).where("last is null or date > last").drop("last")
 
 
+#: Column headers of Chinese vendors.
+VENDOR_NAMES = {"\u65e5\u671f": "date", "\u5f00\u76d8": "open", "\u6700\u9ad8": "high", "\u6700\u4f4e": "low", "\u6536\u76d8": "close", "\u6210\u4ea4\u91cf": "volume", "\u6210\u4ea4\u989d": "amount"}
+
+
+def from_vendor(rows: DataFrame, after: str | None = None) -> DataFrame:
+    """Bars with Chinese headers as bars; rows up to the date ``after`` are left out."""
+    named = rows.withColumnsRenamed(VENDOR_NAMES).withColumn("date", F.to_date("date"))
+    return named if after is None else named.where(F.col("date") > F.lit(after).cast("date"))
+
+
+def upsert_analysis(base: DataFrame, results: DataFrame, analyst: str, fields: list[str]) -> DataFrame:
+    """Results stored as JSON by (analyst, symbol, date); a new result replaces the old one."""
+    new = results.select(F.lit(analyst).alias("analyst"), "symbol", "date", F.to_json(F.struct(*fields)).alias("body"))
+    return upsert(base, new, ["analyst", "symbol", "date"], F.xxhash64("body"))
+
+
+def save_results(rows: DataFrame, trades: DataFrame, summary: DataFrame, path: str) -> None:
+    """Rows and trades as CSV with header, the summary as JSON, in folders below a new path."""
+    rows.write.option("header", True).csv(f"{path}/results")
+    trades.write.option("header", True).csv(f"{path}/trades")
+    summary.write.json(f"{path}/summary")
+
+
 PAYLOAD = r"\{.*\}"
 
 
