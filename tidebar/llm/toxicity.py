@@ -3,7 +3,7 @@
 Learning. Labels come from the label table, texts from the documents. A bounded sample of labelled
 rows (``SAMPLE_ROWS``, by hash of the id; the whole table if it is smaller) gives the lexicon, the
 trees and the calibration: four parts in five make the lexicon and grow the trees, the fifth calibrates them (by hash of the text, so
-copies stay together; a sample too small for both classes in a part is used whole there). The lexicon holds words
+copies stay together; a sample too small for both classes in a part, or for ``CALIBRATING`` rows of each in the calibrating one, is used whole there). The lexicon holds words
 and word beginnings whose share of toxic texts, shrunk to the base rate, is high; exact copies of a
 text count once there.
 
@@ -37,6 +37,8 @@ from .common import crc_mod, with_small_batches, written
 
 #: Bounds of the sample and of the lexicon; folds of the id's crc32 (fold 0 is held out).
 SAMPLE_ROWS, LEXICON_TERMS, FOLDS = 20_000, 1_500, 5
+#: Rows of each class that the calibrating part needs to stand alone.
+CALIBRATING = 10
 NEAR, SURPRISE = 5, 12.0
 STEMS = (4, 5, 6)
 #: Second-person words of the corpus languages.
@@ -166,12 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: i
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return ToxicityModel({}, constant=float(next(iter(classes), 0)))
-    both = lambda df: df.select("toxic").distinct().count() == 2
+    both = lambda df, least=1: [r["count"] >= least for r in df.groupBy("toxic").count().collect()] == [True, True]
     learnt = sample.where("part != 0")
     lexicon = learn_lexicon(learnt if both(learnt) else sample)
     ready = written(with_features(sample, lexicon).select(F.col("toxic").cast("double").alias("toxic"), "part", VECTOR).repartition(4), "toxicity-features")
     grown, tested = ready.where("part != 0"), ready.where("part = 0")
-    grown, tested = (grown if both(grown) else ready), (tested if both(tested) else ready)
+    grown, tested = (grown if both(grown) else ready), (tested if both(tested, CALIBRATING) else ready)
     names = {"rawPredictionCol": PREFIX + "raw", "probabilityCol": PREFIX + "probability", "predictionCol": PREFIX + "class"}
     trees = GBTClassifier(labelCol="toxic", featuresCol=VECTOR, maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7)
     trees = trees.setParams(predictionCol=names["predictionCol"]).setRawPredictionCol(names["rawPredictionCol"]).setProbabilityCol(names["probabilityCol"]).fit(grown)
