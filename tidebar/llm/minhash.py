@@ -366,7 +366,7 @@ def links_in_blocks(lists: DataFrame, parts: DataFrame, docs: DataFrame) -> Data
 
     asked = written(block_pairs(lists, parts), "blocks")
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(asked.select("doc").distinct().hint("merge"), "doc")
-    sets = written(texts.select("doc", F.pandas_udf(whole_sets, "array<long>")("text").alias("hashes")).where(F.size("hashes") > 0), "sets")
+    sets = written(texts.select("doc", F.pandas_udf(whole_sets, "array<long>")("text").alias("hashes")), "sets")
     cells = asked.join(sets.hint("merge"), "doc").select(F.to_json(F.struct("key", "i", "j")).alias("cell"), "second", "doc", "component", "hashes")
     found = written(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long").distinct(), "block-links")
     discard(asked, sets)
