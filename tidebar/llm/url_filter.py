@@ -12,8 +12,10 @@ opened at height ``d``. The top of the stack at a url is its longest rule for th
 are window columns, so the sweep streams through a sorted partition and holds one row; their number
 is the greatest nesting of the rules, a scalar computed from the rules alone.
 
-Skew. Urls of one suffix are dealt over ``salts`` partitions, each with its own copy of the rules.
-Rules are joined, never collected.
+Skew. A suffix with rules is dealt over salted partitions, each with its own copy of that suffix's rules. It gets
+its share of the session's shuffle partitions: a suffix that half of the urls have (``com``) is swept by half of the
+tasks, a rare one by one, so that rules are copied only where urls are many. Hosts without rules are dealt by row.
+Rules are joined, never collected; the driver gets the greatest nesting and the number of pages.
 
 Edge cases. Null urls and urls without ``://`` have empty host and path and match no rule. Rules
 that repeat count once; if they disagree, ``block`` wins. The longest host wins, then the longest path.
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 ALLOW, BLOCK = "allow", "block"
 START, POINT, END = 0, 1, 2
@@ -73,8 +75,17 @@ def with_height(events: DataFrame, *by: str) -> tuple[DataFrame, Window]:
     return events.withColumn("height", F.sum(step).over(w)), w
 
 
+def shares(points: DataFrame, rules: DataFrame, rows: int) -> DataFrame:
+    """Of each suffix with rules (``rhost``) the number of salted partitions for its urls (``salts``)."""
+    ruled = rules.select("rhost").distinct()
+    counted = points.select("rhost").join(ruled, "rhost").groupBy("rhost").agg(F.count("*").alias("n"))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.coalesce("n", F.lit(0)) * tasks / max(1, rows))
+    return ruled.join(counted, "rhost", "left").select("rhost", F.greatest(salts, F.lit(1)).cast("long").alias("salts"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
-               default: str = ALLOW, salts: int = 16) -> DataFrame:
+               default: str = ALLOW) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` (rule null and the default verdict if none fits)."""
     canonical = canonical_rules(rules)
     top = with_height(edges(canonical), "rhost")[0].agg(F.max("height")).first()[0] or 0
@@ -85,14 +96,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: reversed_host(F.slice(labels, i, F.size(labels))))
-    ruled = canonical.select("rhost").distinct().withColumn("ruled", F.lit(True))
+    points = urls.select("*", F.posexplode(suffixes).alias("nth", "rhost"))
+    dealt = written(shares(points, canonical, pages.count()), "url-shares")
     points = (
-        urls.select("*", F.posexplode(suffixes).alias("nth", "rhost")).join(ruled, "rhost", "left")
-        .where("ruled or nth = 0")  # the whole host stays in any case, so that no url is lost
-        .select("rhost", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"), F.col("path").cast("binary").alias("at"),
+        points.join(dealt, "rhost", "left").where("salts is not null or nth = 0")  # the whole host stays in any case, so that no url is lost
+        .select("rhost", F.coalesce(F.pmod(F.xxhash64("row"), "salts"), F.xxhash64("row")).alias("salt"), F.col("path").cast("binary").alias("at"),
                 F.lit(POINT).alias("kind"), "row", "page_id", "host", "path")
     )
-    copies = edges(canonical).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    copies = edges(canonical).join(dealt, "rhost").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     swept, w = with_height(points.unionByName(copies, allowMissingColumns=True), "rhost", "salt")
     opened = lambda d: F.last(F.when((F.col("kind") == START) & (F.col("height") == d), F.col("rule")), ignorenulls=True).over(w)
     stack = swept.select("*", *[opened(d).alias(f"slot{d}") for d in range(1, top + 1)])
