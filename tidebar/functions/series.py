@@ -68,18 +68,25 @@ def signed_share(x: Column, scale: float) -> Column:
     return F.signum(x) * F.least(F.abs(x) / scale, F.lit(1.0))
 
 
+BLOCK = 64  # bars that are folded as one array
+
+
 def fold_series(bars: DataFrame, inputs: list[str], begin: Callable[[Column], Column], step: Callable[[Column, Column], Column]) -> DataFrame:
     """Ordered fold per symbol: ``symbol, date`` and the state after each bar.
 
-    ``begin`` makes the first state from the first bar, ``step`` the next one from a state and a bar. A symbol's
-    series is one array: bars of one symbol are few thousands, symbols are the unit of distribution.
+    ``begin`` makes the first state from the first bar, ``step`` the next one from a state and a bar; a step from the
+    first state over the first bar is left out. Spark copies what a fold has gathered at every step, so the fold runs
+    twice over blocks: once to carry the state from block to block, once inside each block from its carried state.
+    Time is in proportion to the bars of a symbol, and the arithmetic is that of one fold. Symbols are the unit of distribution.
     """
-    series = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", *inputs))).alias("s"))
-
-    def grow(states: Column, bar: Column) -> Column:
-        return F.array_append(states, step(F.element_at(states, -1), bar))
-
-    first = F.array(begin(F.element_at("s", 1)))
-    states = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), first, grow)
-    pairs = F.arrays_zip(F.transform("s", lambda x: x["date"]).alias("date"), states.alias("state"))
-    return series.select("symbol", F.inline(pairs)).select("symbol", "date", "state.*")
+    chunk = bars.withColumn("block", F.floor((row_no() - 1) / BLOCK)).groupBy("symbol", "block").agg(F.sort_array(F.collect_list(F.struct("date", *inputs))).alias("s"))
+    series = chunk.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "s"))).alias("blocks"))
+    first = begin(F.col("blocks")[0]["s"][0])
+    rest = lambda x: F.when(x["block"] == 0, F.slice(x["s"], 2, BLOCK)).otherwise(x["s"])
+    starts = F.aggregate("blocks", F.array(first), lambda had, x: F.array_append(had, F.aggregate(rest(x), F.element_at(had, -1), step)))
+    each = series.select("symbol", F.inline(F.zip_with("blocks", F.slice(starts, 1, F.size("blocks")), lambda x, start: F.struct(x["block"].alias("block"), x["s"].alias("s"), start.alias("start")))))
+    here = F.struct("block", "s")
+    states = F.aggregate(rest(here), F.array("start"), lambda had, x: F.array_append(had, step(F.element_at(had, -1), x)))
+    own = F.when(F.col("block") == 0, states).otherwise(F.slice(states, 2, BLOCK))  # a later block begins with the state before it
+    pairs = F.arrays_zip(F.transform("s", lambda x: x["date"]).alias("date"), own.alias("state"))
+    return each.select("symbol", F.inline(pairs)).select("symbol", "date", "state.*")

@@ -376,14 +376,16 @@ register("f11_json_field", lambda spark, sf: src.read_table(spark, sf, "events")
 
 
 def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars of the event stream, run to its end into a memory table."""
+    """Hourly bars of the event stream, run to its end into files of the shared folder; of a bar the newest batch counts."""
     schema = src.read_table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf}/{'events.parquet*'}")
     ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
-    name = f"bars_{abs(hash(sf)) % 10**8}"
-    out = streaming.stream_bars(ticks).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.table(name).groupBy("symbol", "start").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "volume").alias("b")).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "b.*")
+    root = streaming.shared_folder(spark, "st1")
+    bars = streaming.stream_bars(ticks)
+    streaming.batches(bars, f"{root}/bars", f"{root}/log").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(bars.schema.add("batch", "long")).parquet(f"{root}/bars")
+    last = got.groupBy("symbol", "start").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("b"))
+    return last.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "b.*")
 
 
 register("st1_streamed_bars", streamed_bars, ORACLE["a14_bars_from_ticks"])
@@ -394,8 +396,8 @@ EARLY, LATE = "date < '1995-03-01'", "date >= '2001-11-02'"
 on_bars("u1_union", lambda b: b.where(EARLY).select("symbol", "date").unionByName(b.where(LATE).select("symbol", "date")), query("b", f"SELECT symbol, date FROM b WHERE {EARLY} UNION ALL SELECT symbol, date FROM b WHERE {LATE}"))
 on_bars("u3_set_difference", lambda b: b.select("symbol").subtract(b.where(LATE).select("symbol")), query("b", f"SELECT DISTINCT symbol FROM b EXCEPT SELECT symbol FROM b WHERE {LATE}"))
 on_bars("u4_intersection", lambda b: b.where(EARLY).select("symbol").intersect(b.where(LATE).select("symbol")), query("b", f"SELECT symbol FROM b WHERE {EARLY} INTERSECT SELECT symbol FROM b WHERE {LATE}"))
-on_bars("k8_priority_cap", lambda b: b.groupBy("symbol").agg(F.max("date").alias("last"), F.count("*").alias("n")).orderBy(F.when(F.col("n") >= 530, 0).otherwise(1), "symbol").limit(20),
-        query("b", "SELECT symbol, max(date) AS last, count(*) AS n FROM b GROUP BY 1 ORDER BY CASE WHEN count(*) >= 530 THEN 0 ELSE 1 END, symbol LIMIT 20"))
+on_bars("k8_priority_cap", lambda b: b.groupBy("symbol").agg(F.max("date").alias("last"), F.count("*").alias("n")).orderBy(F.when(F.col("n") >= 530, 0).otherwise(1), "symbol").limit(100),
+        query("b", "SELECT symbol, max(date) AS last, count(*) AS n FROM b GROUP BY 1 ORDER BY CASE WHEN count(*) >= 530 THEN 0 ELSE 1 END, symbol LIMIT 100"))
 on_bars("w17_crossings", lambda b: b.select("symbol", "date", F.avg("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-4, 0)).alias("m5"), F.avg("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0)).alias("m20")).select(
     "symbol", "date", *[F.coalesce(x, F.lit(False)).alias(n) for x, n in zip(indicators.crossing("m5", "m20"), ("up", "down"))]).where("up or down"),
     query("b", """SELECT symbol, date, p <= q AND m > n AS up, p >= q AND m < n AS down FROM (SELECT symbol, date, m, n, lag(m) OVER w AS p, lag(n) OVER w AS q FROM (

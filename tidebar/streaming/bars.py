@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +23,25 @@ def stream_bars(ticks: DataFrame, hours: int = 1, lateness: str = "2 hours") ->
     ).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors share; a temporary one on a single machine without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def batches(stream: DataFrame, path: str, checkpoint: str):
+    """Writes batch n of a stream to ``batch=n`` under ``path``; a replayed batch replaces itself, so the sink is idempotent."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("symbol", "date")):
     """Keyed upsert of a bar stream into versions of a table under ``path``: batch n writes ``v=n`` from ``v=n-1``.
 
