@@ -31,8 +31,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their fitted rate says."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    """Documents are taken as often as their fitted rate says. Toxic ones are gone by now, so that domain has no target and keeps its share."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), {d: share for d, share in mixing.TARGETS.items() if d != "toxic"})
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

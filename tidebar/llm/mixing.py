@@ -20,7 +20,7 @@ Effect. A document is taken ``floor(rate + u)`` times, where ``u`` is a uniform
 expected number of copies is its rate.
 
 Edge cases. Null and empty texts have no tokens; their rate follows their posterior like any other. Domains
-without labelled rows are left out and the targets rescaled; with fewer than two domains, or no tokens at all, all rates are
+without labelled rows are left out and the targets rescaled; a domain without a target keeps its present share; with fewer than two domains, or no tokens at all, all rates are
 1. Null ids hash as null. Repeated rows count each. Extra columns are kept by ``mix`` and ignored by ``rates``.
 """
 
@@ -118,9 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Domain
     return DomainModel(domains, lexicon, fit)
 
 
-def goals(domains: list[str], targets: dict[str, float]) -> np.ndarray:
-    t = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
-    return t / t.sum() if t.sum() else np.full(len(domains), 1 / len(domains))
+def goals(domains: list[str], targets: dict[str, float], present: np.ndarray) -> np.ndarray:
+    """The target share of each domain: one without a target keeps its present share, the others divide the rest as their targets do."""
+    named = np.array([d in targets for d in domains])
+    wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    rest = 1.0 - present[~named].sum()
+    return np.where(named, wanted * rest / wanted.sum() if wanted.sum() > 0 else present, present)
 
 
 def follow(p: np.ndarray, steps: list[tuple[list[float], float, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +179,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     total, _, mass = moments(members, d, [])
     if d < 2 or total <= 0:
         return []
-    goal, point = goals(domains, targets), mass / total
+    point = mass / total
+    goal = goals(domains, targets, point)
     scale = np.maximum(point, 1e-3)
     steps: list[tuple[list[float], float, float]] = []
     t, last = 1.0, None
