@@ -299,6 +299,12 @@ def test_mixing_meets_its_targets(spark):
     assert np.allclose(r, mixing.follow(p, steps)[0])
 
 
+def test_a_domain_without_target_keeps_its_share():
+    got = mixing.goals(["a", "b", "c"], {"a": 3.0, "b": 1.0}, np.array([0.5, 0.3, 0.2]))
+    assert np.allclose(got, [0.6, 0.2, 0.2])
+    assert np.allclose(mixing.goals(["a", "b"], {"a": 3.0, "b": 1.0, "c": 5.0}, np.array([0.5, 0.5])), [0.75, 0.25])
+
+
 def test_mixing_repeats_and_drops(spark):
     docs, labels, toxic = toxic_corpus(spark, 200)
     rates = mixing.rates(docs, labels).collect()
