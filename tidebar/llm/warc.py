@@ -1,11 +1,11 @@
 """WARC archives as a chunked record table.
 
 Writing. Spark's text writer makes the files: a row is one whole WARC record up to the last byte of
-its closing ``CR LF CR LF``, which the writer's own line end supplies. Payloads longer than ``chunk_chars`` are
-streamed as several rows (record identifier, chunk number): a first segment and ``continuation``
-records (WARC 1.1 segmentation), so no task ever builds a whole oversized record. Each chunk row
-carries the incremental digest, the SHA-256 of the payload up to and with that chunk. Files hold a
-bounded number of rows.
+its closing ``CR LF CR LF``, which the writer's own line end supplies. Payloads are cut in the JVM into rows
+(record identifier, chunk number) of at most ``chunk_chars`` characters, which reach Python in order and in small
+batches: a first segment and ``continuation`` records (WARC 1.1 segmentation), so no Python task holds a
+whole oversized payload or record. Each chunk row carries the incremental digest, the SHA-256 of the payload up to
+and with that chunk. Files hold a bounded number of rows.
 
 Reading. A task unpacks a file as a stream and cuts it into chunk rows. Records of one chunk are
 checked in place. Chunks of longer records are dealt by record, sorted by chunk number and pass
@@ -64,55 +64,63 @@ def header(kind: str, block: int, **fields: object) -> str:
     return "\r\n".join([*lines, f"Content-Length: {block}", "", ""])
 
 
-def record_rows(page_id, row_id, url, html: str, size: int, digest: str, refers_to, chunk_chars: int) -> Iterator[str]:
-    """The WARC records of one page as text, each without its last line feed."""
-    name = "null" if page_id is None else page_id
+def chunk_record(r, raw: bytes, running: str) -> str:
+    """The WARC record of one chunk row as text, without its last line feed."""
+    known = lambda v: v if isinstance(v, str) else None
+    page, url, refers_to, size, k = known(r.page_id), known(r.url), known(r.refers_to), r.payload_bytes, r.k
+    name = "null" if page is None else page
     # Only a page's own response is referred to, by the page alone.
-    record = f"<urn:page:{name}>" if page_id is not None and refers_to is None and size >= MIN_REVISIT else f"<urn:page:{name}:row:{row_id}>"
+    record = f"<urn:page:{name}>" if page is not None and refers_to is None and size >= MIN_REVISIT else f"<urn:page:{name}:row:{r.row_id}>"
     common = {
-        "WARC_Record_ID": record, "X_Page_ID": name, "X_Row_ID": row_id,
+        "WARC_Record_ID": record, "X_Page_ID": name, "X_Row_ID": r.row_id,
         "WARC_Target_URI": None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url),
-        "WARC_Payload_Digest": f"sha256:{digest}", "X_Payload_Length": size,
+        "WARC_Payload_Digest": f"sha256:{r.payload_digest}", "X_Payload_Length": size,
     }
     if refers_to is not None:
-        yield header("revisit", 0, **common, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=f"<urn:page:{refers_to}>") + "\r\n\r"
-        return
-    n, running = max(1, -(-len(html) // chunk_chars)), hashlib.sha256()
-    for k in range(n):
-        part = html[k * chunk_chars : (k + 1) * chunk_chars]
-        raw = part.encode("utf-8")
-        running.update(raw)
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n" if k == 0 else ""
-        segment = {"X_Running_Digest": f"sha256:{running.hexdigest()}", "X_Segments": n}
-        if n > 1:
-            segment |= {"WARC_Segment_Number": k + 1, "WARC_Segment_Origin_ID": common["WARC_Record_ID"] if k else None,
-                        "WARC_Segment_Total_Length": size if k == n - 1 else None}
-        block = {"Content_Type": "application/http; msgtype=response"} if k == 0 else {}
-        own = {**common, "WARC_Record_ID": f"<urn:page:{name}:row:{row_id}:segment:{k + 1}>"} if k else common
-        yield header("continuation" if k else "response", len(http) + len(raw), **own, **segment, **block) + http + part + "\r\n\r"
+        return header("revisit", 0, **common, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=f"<urn:page:{refers_to}>") + "\r\n\r"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n" if k == 0 else ""
+    segment = {"X_Running_Digest": f"sha256:{running}", "X_Segments": r.n}
+    if r.n > 1:
+        segment |= {"WARC_Segment_Number": k + 1, "WARC_Segment_Origin_ID": record if k else None,
+                    "WARC_Segment_Total_Length": size if k == r.n - 1 else None}
+    block = {"Content_Type": "application/http; msgtype=response"} if k == 0 else {}
+    own = {**common, "WARC_Record_ID": f"<urn:page:{name}:row:{r.row_id}:segment:{k + 1}>"} if k else common
+    return header("continuation" if k else "response", len(http) + len(raw), **own, **segment, **block) + http + r.part + "\r\n\r"
+
+
+def chunk_rows(pages: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Planned records as rows of one chunk each, ``k`` of ``n``, in order; revisits and empty payloads have one empty chunk."""
+    # One pass of a pattern over the payload: repeated substrings would count its characters anew for each chunk.
+    parts = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    empty = F.col("refers_to").isNotNull() | (F.col("payload_bytes") == 0)
+    records = plan_records(with_small_batches(pages)).withColumn("parts", F.when(empty, F.array(F.lit(""))).otherwise(parts))
+    # Ids travel as text: pandas has no null integers.
+    return records.select(
+        F.col("page_id").cast("string").alias("page_id"), "row_id", "url", "payload_bytes", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"),
+        F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
 
 
 def write_archive(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Writes gzipped WARC files under ``path`` (any file system that Spark writes to)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = lambda v: v if isinstance(v, str) else None
+        running = hashlib.sha256()
         for batch in batches:
             out, held = [], 0
             for r in batch.itertuples(index=False):
-                url = r.url if isinstance(r.url, str) else None
-                for record in record_rows(known(r.page_id), r.row_id, url, r.html, r.payload_bytes, r.payload_digest, known(r.refers_to), chunk_chars):
-                    out.append(record)
-                    held += len(record)
-                    if held > 4 << 20:
-                        yield pd.DataFrame({"value": out})
-                        out, held = [], 0
+                raw = r.part.encode("utf-8")
+                if r.k == 0:
+                    running = hashlib.sha256()
+                running.update(raw)
+                out.append(chunk_record(r, raw, running.hexdigest()))
+                held += len(raw)
+                if held > 4 << 20:
+                    yield pd.DataFrame({"value": out})
+                    out, held = [], 0
             yield pd.DataFrame({"value": out}, dtype=object)
 
-    # Ids travel as text: pandas has no null integers.
-    records = plan_records(with_small_batches(pages)).select(
-        F.col("page_id").cast("string").alias("page_id"), "row_id", "url", "html", "payload_bytes", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
-    records.mapInPandas(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
+    chunks = chunk_rows(pages, chunk_chars)
+    chunks.mapInPandas(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
