@@ -2,15 +2,15 @@
 
 Chunks. A rolling hash over the last ``2 ** WINDOW_BITS`` code points cuts a text where its low
 ``CUT_BITS`` bits are zero, so equal passages of different documents give equal chunks wherever they
-stand. A Python worker keeps what it has encoded in two memos: chunks, and inside new chunks the pieces
-between borders. Each distinct entry is encoded and decoded once. The memos are bounded and start
-afresh when full, which costs time and never changes a result.
+stand. A Python worker keeps the ids of every chunk that it has met, whatever document that was in, so a chunk
+is encoded once per worker; a second memo holds the ids of seams and of the pieces that make up new chunks. The memos are
+bounded and start afresh when full, which costs time and never changes a result.
 
 Borders and repair. Cuts fall anywhere, also inside words, so tokens near a seam are not those of the
 whole text. A border is a blank between two characters that are no white space: the pre-tokenizer
 begins a piece there in any context, and the vocabulary's special token has no blank, so text between two
-borders has the same tokens alone and in the whole. Of each chunk only the part between its first
-and last border is reused. At each seam the left chunk's rest and the right chunk's head are
+borders has the same tokens alone and in the whole. Of each chunk the ids between its first
+and last border are reused. At each seam the left chunk's rest and the right chunk's head are
 joined and re-encoded as one window; if a chunk has no border, the window grows over it until there is
 one on both sides (at worst it is the whole text). What comes out equals encoding the whole text.
 
@@ -59,6 +59,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Chunk:
+    """What is known of a chunk: the text before its first border, the inside up to its last border with its ids, and what follows.
+
+    ``rest`` is None where the chunk has no border; ``ids`` is None until the ``pieces`` of the inside are encoded.
+    """
+
+    __slots__ = ("head", "inside", "rest", "pieces", "ids", "back")
+
+    def __init__(self, chunk: str):
+        self.head, *after = BORDER.split(chunk)
+        # The text behind the last border is open to the right.
+        self.rest = after.pop() if after else None
+        self.pieces = tuple(after)
+        self.inside = "".join(after)
+        self.ids = self.back = None
+
+
 class Encoder:
     """Encodes and decodes texts through a tokenizers.Tokenizer, each distinct piece once."""
 
@@ -72,11 +89,11 @@ class Encoder:
         self.memo_pieces, self.memo_chunks = memo_pieces, memo_chunks
         self.pieces: dict[str, str] = {}
         self.odd: dict[str, str] = {}  # pieces that are decoded to another string
-        self.chunks: dict[str, tuple[str, tuple[str, ...] | None, str]] = {}
+        self.chunks: dict[str, Chunk] = {}
 
-    def chunked(self, text: str) -> list[str]:
-        """Border-to-border strings that make up the text: reused insides of chunks and repaired seams."""
-        out: list[str] = []
+    def planned(self, text: str) -> list[str | Chunk]:
+        """The text as seams (strings to be encoded as they stand) and the insides of chunks between them."""
+        out: list[str | Chunk] = []
         seam, at = "", 0
         for cut in [*cuts(text).tolist(), len(text)]:
             chunk, at = text[at:cut], cut
@@ -84,19 +101,16 @@ class Encoder:
                 continue
             found = self.chunks.get(chunk)
             if found is None:
-                head, *inside = BORDER.split(chunk)
-                # The text behind the last border is open to the right.
-                found = (head, tuple(inside[:-1]) if inside else None, inside[-1] if inside else "")
                 if len(self.chunks) >= self.memo_chunks:
                     self.chunks.clear()
-                self.chunks[chunk] = found
-            head, inside, rest = found
+                found = self.chunks[chunk] = Chunk(chunk)
             # A seam at which the two sides form a border themselves is still one window: it is encoded as it stands.
-            seam += head
-            if inside is not None:
+            seam += found.head
+            if found.rest is not None:
                 out.append(seam)
-                out.extend(inside)
-                seam = rest
+                if found.inside:
+                    out.append(found)
+                seam = found.rest
         if seam:
             out.append(seam)
         return out
@@ -114,16 +128,24 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Per text its ids (decimal, joined by commas) and its decoded text."""
         for text in texts:
-            parts = self.chunked(text)
-            missing = {p for p in parts if p not in self.pieces}
+            plan = self.planned(text)
+            new = {id(x): x for x in plan if isinstance(x, Chunk) and x.ids is None}.values()
+            wanted = {x for x in plan if isinstance(x, str)}.union(*[x.pieces for x in new])
+            missing = {p for p in wanted if p not in self.pieces}
             if missing:
                 if len(self.pieces) + len(missing) > self.memo_pieces:
                     self.pieces.clear()
                     self.odd.clear()
-                    missing = set(parts)
+                    missing = wanted
                 self.learn(missing)
-            back = [self.odd.get(p, p) for p in parts] if self.odd else parts
-            yield ",".join(map(self.pieces.__getitem__, parts)), "".join(back)
+            for x in new:
+                x.ids = ",".join(map(self.pieces.__getitem__, x.pieces))
+                x.back = "".join([self.odd.get(p, p) for p in x.pieces]) if self.odd else x.inside
+                x.pieces = ()
+            yield (
+                ",".join([self.pieces[x] if isinstance(x, str) else x.ids for x in plan]),
+                "".join([self.odd.get(x, x) if isinstance(x, str) else x.back for x in plan]),
+            )
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
