@@ -1,10 +1,12 @@
 """The corpus pipeline: its run against its stages, and each stage's decisions."""
 
 import os
+from collections import Counter
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+toxicity = pytest.importorskip("tidebar.llm.toxicity")
 SF = "/root/testdata/sf0.001"
 
 
@@ -30,3 +32,48 @@ def test_queries_have_sql_or_a_test(spark):
 
     names = set(queries.queries())
     assert set(queries.oracle_sql()) <= names and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+
+
+def tables(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, null ids, and columns with the names that stages use themselves."""
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame(
+        [(None, None, None, None), (-1, "", "en", "s"), (-2, "- - -", None, None), (2**60 + 1, "the very long story of the house and the river. " * 20_000, "en", "s"),
+         (-3, "only once here are some words about the old mill", "en", None), (-3, "only once here are some words about the old mill", "en", None), (None, "another text without any id at all, but with words", None, "s")],
+        "doc_id long, text string, lang string, source string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
+    docs = docs.withColumns({name: F.lit("own") for name in ("score", "predicted", "kept", "component_id", "rate", "domain", "part", "n_tokens", "label", "toxic", "key")})
+    folder = tables(spark, tmp_path, docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            assert out.where("score <> 'own' or key <> 'own'").count() == 0, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    scored = toxicity.score_documents(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert Counter(kept["toxicity"]) == Counter(r["doc_id"] for r in scored.where("predicted = 0").collect())
+    assert -1 in kept["toxicity"] and not {-1, -2} & set(kept["language_id"])  # no letter: no language
+    # The model of some fifty labelled rows may call the long text toxic (those of sf0.01 and sf0.1 do not), so it is not asked for here.
+    assert kept["toxicity"].count(-3) == kept["language_id"].count(-3) == 2 and kept["minhash"].count(-3) == 1
+    assert kept["toxicity"].count(None) == 2 and kept["language_id"].count(None) == 1
+    assert Counter(kept["bpe"]) == Counter(kept["mixing"])
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    none = tables(spark, tmp_path / "none", docs.limit(0), labels.limit(0))
+    assert corpus_pipeline.run(spark, none).count() == 0
+    unlabelled = tables(spark, tmp_path / "unlabelled", docs.limit(40), labels.limit(0))
+    assert 0 < corpus_pipeline.run(spark, unlabelled).count() <= 40
