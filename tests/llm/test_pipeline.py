@@ -31,7 +31,7 @@ def test_queries_have_sql_or_a_test(spark):
     from tidebar.llm import queries
 
     names = set(queries.queries())
-    assert set(queries.oracle_sql()) <= names and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert set(queries.oracle_sql()) <= names and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
 
 
 def tables(spark, folder, docs, labels):

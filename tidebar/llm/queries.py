@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, langid, media, minhash, mixing, toxicity, url_filter, warc
+from . import bpe, chat, divergence, embed, langid, media, minhash, mixing, sharding, tokalign, toxicity, url_filter, warc
 from .common import table
 
 #: The url rules of the production query, in the order given.
@@ -60,8 +60,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_tokenizer(), keep_ids=False)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.crosswalk(table(spark, sf_dir, "documents"), *tokalign.default_tokenizers())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_embeddings, op2_mixing, op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe]
+    found = [op1_embeddings, op2_mixing, op3_language_id, op4_warc, op5_url_filters, op6_minhash, op7_chat_formatting, op8_media_columns, op9_toxicity, op10_bpe, op11_sharding, op12_divergence, op13_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -150,5 +162,45 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars
 """
 
 
+#: Checksums bit by bit: a byte and seven zeros after it take one step each.
+SHARDING_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+k AS (
+  SELECT doc_id, size,
+         CAST(('0x' || substr(md5(text), 1, 10))::BIGINT AS BIGINT) AS t, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 5))::BIGINT AS BIGINT) AS s,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: [('0x' || h)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, e: xor(xor(a, e) >> 1, CAST(3988292384 AS BIGINT) * (xor(a, e) & 1)))) AS text_crc32
+  FROM d),
+o AS (
+  SELECT *, row_number() OVER w AS n, sum(size) OVER (ORDER BY t, s, doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY t) AS g, sum(size) OVER () AS total
+  FROM k WINDOW w AS (ORDER BY t, s, doc_id NULLS FIRST, text_crc32)),
+m AS (SELECT *, min(upto - size) OVER (PARTITION BY t) AS g0 FROM o),
+p AS (SELECT *, CAST(least(7, (CASE WHEN g * 8 * 128 <= total THEN 2 * g0 + g ELSE 2 * upto - size END) * 8 // (2 * total)) AS INTEGER) AS shard FROM m)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY 1),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.v) AS HUGEINT) AS p
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, CAST(1 + 1000000000 * (sum(n) + 2) // (any_value(t.total) + 2 * any_value(v.v)) AS HUGEINT) AS q
+      FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY 1) t USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+allpairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM allpairs
+      UNION ALL SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": EMBED_SQL, "op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {"op1_embeddings": EMBED_SQL, "op4_warc": WARC_SQL, "op5_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op7_chat_formatting": CHAT_SQL, "op11_sharding": SHARDING_SQL, "op12_divergence": DIVERGENCE_SQL}
