@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import row_no, clamp, frame, lag, mean_rows, scaled
-from .indicators import rsi_window
+from .indicators import with_rsi_window
 
 MIN_ROWS, MIN_VOLUME, BELOW_COST, OVERSOLD = 125, 1e5, 0.12, 20.0
 WEIGHTS = {"momentum": 35.0, "turnover": 20.0, "trend": 20.0, "rsi": 10.0, "vol_price": 10.0, "cost": 5.0}
@@ -69,8 +69,9 @@ def parts(bars: DataFrame, keep: tuple[str, ...] = (), series: str | None = None
     b = bars.select(
         "symbol", "date", "close", "volume", *keep, *([series] if series else []), F.coalesce(dc, F.lit(0.0)).alias("d"), F.coalesce(((dc > 0) & (dv > 0)).cast("int"), F.lit(0)).alias("up_with"),
         F.coalesce(((dc < 0) & (dv > 0)).cast("int"), F.lit(0)).alias("down_with"))
+    b = b.withColumn("rsi_w", F.col(series)) if series else with_rsi_window(b, "rsi_w")
     b = b.select(
-        "symbol", "date", "close", "volume", *keep, row_no().alias("rn"), (F.col(series) if series else rsi_window()).alias("rsi_w"), F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
+        "symbol", "date", "close", "volume", *keep, row_no().alias("rn"), "rsi_w", F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
         mean_rows("close", -119).alias("ma120"), momentum().alias("momentum"), turnover().alias("turnover"), trend().alias("trend"), vol_price().alias("vol_price"), cost().alias("cost"))
     fail = (
         F.when(F.col("rn") < MIN_ROWS, "short_history").when(F.col("vol20") < MIN_VOLUME, "low_volume")

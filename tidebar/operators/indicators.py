@@ -56,34 +56,40 @@ def rsv() -> Column:
     return F.coalesce(100 * (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(50.0))
 
 
-RSI_FRAME = 41
+RSI_BLOCK = 64
 
 
-def rsi_window(period: int = 14) -> Column:
-    """RSI of the last ``3 * period`` closes: a simple mean seeds Wilder's recursion; as a weighted sum over the frame of differences.
+def with_rsi_window(df: DataFrame, name: str = "rsi_window", period: int = 14) -> DataFrame:
+    """Adds the RSI of the last ``3 * period`` closes: a simple mean of ``period`` differences seeds Wilder's recursion over the rest.
 
+    ``df`` has the differences ``d``. The recursion is a weighted sum with weights q**age. Within a block of ``RSI_BLOCK`` rows a weight is q**(own place)
+    over q**(place of the row), so the sum over a frame is a plain frame sum of rescaled rows; a frame touches two blocks at most, one of even and one of odd number.
     Shorter histories use the differences they have; with under ``period`` of them it is 50.
     """
-    n = RSI_FRAME
-    q = (period - 1) / period
-    weights = F.array(*[F.lit(q ** (n - period) / period if k < period else q ** (n - 1 - k) / period) for k in range(n)])
-    had = row_no() - 1  # differences; the first row has none
-    seed = F.array_repeat(F.pow(F.lit(q), had - period) / period, period)
-    few = F.concat(seed, F.slice(weights, n + 1 - had + period, had - period))
-    full = had >= n
-
-    def weigh(c: Column) -> Column:
-        held = F.collect_list(c).over(frame(1 - n))
-        pairs = F.when(full, F.zip_with(held, weights, lambda a, b: a * b)).otherwise(F.zip_with(F.slice(held, 2, n), few, lambda a, b: a * b))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
-
-    gain, loss = weigh(F.greatest("d", F.lit(0.0))), weigh(F.greatest(-F.col("d"), F.lit(0.0)))
-    return F.when(had < period, 50.0).when(loss < 1e-10, 100.0).otherwise(100 - 100 / (1 + gain / loss))
+    rest, q = 2 * period - 1, (period - 1) / period
+    block = max(RSI_BLOCK, rest)
+    had = F.col("__n") - 1  # differences; the first row has none
+    b = df.withColumn("__n", row_no()).withColumn("__odd", F.floor(F.col("__n") / block) % 2 == 1).withColumn("__at", F.pow(F.lit(q), F.col("__n") % block))
+    up, down = F.greatest("d", F.lit(0.0)), F.greatest(-F.col("d"), F.lit(0.0))
+    first, recent = by_date().rowsBetween(-(rest + period - 1), -rest), by_date().rowsBetween(1 - rest, 0)
+    start = by_date().rowsBetween(-(rest + period - 1), 0)
+    full = had >= rest + period
+
+    def smoothed(x: Column) -> Column:
+        own = F.when(had > period, x / F.col("__at")).otherwise(0.0)
+        even, odd = F.sum(F.when(~F.col("__odd"), own).otherwise(0.0)).over(recent), F.sum(F.when(F.col("__odd"), own).otherwise(0.0)).over(recent)
+        same, before = F.when(F.col("__odd"), odd).otherwise(even), F.when(F.col("__odd"), even).otherwise(odd)
+        seed = F.when(full, F.sum(x).over(first) * q**rest).otherwise(F.sum(F.when(had <= period, x).otherwise(0.0)).over(start) * F.pow(F.lit(q), had - period))
+        return (seed + F.col("__at") * (same + before * q**block)) / period
+
+    b = b.withColumns({"__gain": smoothed(up), "__loss": smoothed(down)})
+    rsi = F.when(had < period, 50.0).when(F.col("__loss") < 1e-10, 100.0).otherwise(100 - 100 / (1 + F.col("__gain") / F.col("__loss")))
+    return b.withColumn(name, rsi).drop("__n", "__odd", "__at", "__gain", "__loss")
 
 
 def rsi_windowed(bars: DataFrame) -> DataFrame:
     d = bars.select("symbol", "date", F.coalesce(F.col("close") - lag("close"), F.lit(0.0)).alias("d"))
-    return d.select("symbol", "date", rsi_window().alias("rsi_window"))
+    return with_rsi_window(d).select("symbol", "date", "rsi_window")
 
 
 def recursive_indicators(bars: DataFrame) -> DataFrame:
