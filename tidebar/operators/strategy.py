@@ -51,13 +51,13 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([asdict(s) for s in STYLES])
 
 
-def price_frames(bars: DataFrame, lookback: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What a signal reads of prices and volumes at each bar. Frames are as long as the history allows."""
+def price_frames(bars: DataFrame, lookback: int = 30, keep: tuple[str, ...] = (), lookbacks: tuple[int, ...] = ()) -> DataFrame:
+    """What a signal reads of prices and volumes at each bar. Frames are as long as the history allows; ``lookbacks`` add a ``prev_high_N`` each."""
     b = bars.withColumn("tr", indicators.true_range())
     vol_base = F.when(row_no() >= 20, F.avg("volume").over(frame(-19, -5))).otherwise(F.avg("volume").over(frame(-19)))
     return b.select(
         "symbol", "date", "close", *keep, row_no().alias("n"), F.avg("tr").over(frame(-13)).alias("atr"), F.min("low").over(frame(-4)).alias("low5"),
-        F.max("high").over(frame(-lookback, -1)).alias("prev_high"), F.max("high").over(frame(-60, -1)).alias("high60"),
+        F.max("high").over(frame(-lookback, -1)).alias("prev_high"), *[F.max("high").over(frame(-n, -1)).alias(f"prev_high_{n}") for n in lookbacks], F.max("high").over(frame(-60, -1)).alias("high60"),
         (F.avg("volume").over(frame(-4)) / (vol_base + 1e-8)).alias("vr"), F.coalesce(F.col("close") / lag("close", 5) - 1, F.lit(0.0)).alias("ret5"))
 
 

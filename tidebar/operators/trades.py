@@ -1,15 +1,19 @@
-"""Trade paths as joins and folds: candidates, first exit, ledger, equity."""
+"""Trade paths over one ordered series per symbol: candidates, first exits, and the account that trades them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import by_date, row_no, settled
+from ..functions.series import by_date, fold_series, row_no, settled
 from . import detectors, strategy
 from .strategy import BASE, Preset
 
 WARM_UP, GRID, MIN_HOLD = 130, 10, 3
+CANDIDATE = ["entry", "stop", "target", "position_pct", "signal_type", "confidence"]
 
 
 def indexed(bars: DataFrame, limit: Column | None = None) -> DataFrame:
@@ -17,74 +21,248 @@ def indexed(bars: DataFrame, limit: Column | None = None) -> DataFrame:
     return detectors.limit_flags(bars, limit, tuple(c for c in bars.columns if c not in ("symbol", "date"))).withColumn("i", (row_no() - 1).cast("long"))
 
 
-def candidates(bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
-    """Possible entries: bar i trades on the prices of bar i - 1 and on regime and score of the last grid bar before it.
+def candidate_rows(bars: DataFrame, presets: list[Preset] | None = None, limit: Column | None = None) -> DataFrame:
+    """Every bar (``symbol, date, i, high, low, close, limit_down``) with the possible entry of each preset in ``c0, c1, ...``, null where there is none.
 
-    Everything comes from frames over one sort of the bars.
+    Bar i trades on the prices of bar i - 1 and on regime and score of the last grid bar before it. Everything, for any
+    number of presets, comes from frames over one sort of the bars.
     """
+    presets = presets or [BASE]
     known = strategy.REGIME + strategy.SCORE
     ctx = detectors.limit_flags(strategy.context(bars), limit, ("open", "high", "low", "close", "volume", *known))
-    rows = strategy.price_frames(ctx, p.target_lookback, ("limit_up", *known)).withColumn("i", (F.col("n") - 1).cast("long"))
-    prices = ("close", "n", "atr", "low5", "prev_high", "high60", "vr", "ret5")
+    rows = strategy.price_frames(ctx, BASE.target_lookback, ("high", "low", "limit_up", "limit_down", *known), tuple(sorted({p.target_lookback for p in presets})))
+    prices = ("close", "n", "atr", "low5", "high60", "vr", "ret5", *sorted({f"prev_high_{p.target_lookback}" for p in presets}))
     grid = F.last(F.when(F.col("n") % GRID == 0, F.struct(*known)), ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, -1))
-    at = rows.select("symbol", "date", "i", "limit_up", F.lag(F.struct(*prices)).over(by_date()).alias("p"), grid.alias("g"))
-    full = at.where((F.col("i") >= WARM_UP) & ~F.col("limit_up") & F.col("g").isNotNull()).select("symbol", "date", "i", "p.*", "g.*")
-    return strategy.with_signal(full, p).where("valid").select("symbol", "date", "i", "entry", "stop", "target", "position_pct", "signal_type", "confidence")
+    own = ("high", "low", "close", "limit_up", "limit_down")
+    at = rows.select("symbol", "date", (F.col("n") - 1).cast("long").alias("i"), F.struct(*own).alias("own"), F.lag(F.struct(*prices)).over(by_date()).alias("p"), grid.alias("g"))
+    at = at.select("symbol", "date", "i", "own", F.col("g").isNotNull().alias("informed"), "p.*", "g.*")
+    allowed = (F.col("i") >= WARM_UP) & ~F.col("own.limit_up") & F.col("informed")
+    found = []
+    for k, p in enumerate(presets):
+        at = strategy.with_signal(at.withColumn("prev_high", F.col(f"prev_high_{p.target_lookback}")), p)
+        at = at.withColumn(f"c{k}", F.when(allowed & F.col("valid"), F.struct(*CANDIDATE)))
+        found.append(f"c{k}")
+    return at.select("symbol", "date", "i", "own.high", "own.low", "own.close", "own.limit_down", *found)
 
 
-def first_exits(entries: DataFrame, bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
-    """Each entry with its first exit: ``exit_i, exit_date, exit_raw, exit_reason``.
+def candidates(bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
+    """Possible entries, one row each."""
+    return candidate_rows(bars, [p], limit).where("c0 is not null").select("symbol", "date", "i", "c0.*")
 
-    Entries meet their bars by an equi-join on (symbol, index) of an exploded index range, which ends with the
-    first tradable bar at or after the longest holding time.
+
+def exits(rows: DataFrame, p: Preset = BASE) -> DataFrame:
+    """First exit of every candidate ``c0`` of ``candidate_rows``: its columns, ``exit_i, exit_date, exit_raw, exit_reason``.
+
+    A path is the frame of tradable bars from the least holding time on, closed by the first tradable bar at or after the longest one. Frames run over
+    the symbol's sort, so nothing is exploded, joined or shuffled again; only candidates walk their path.
     """
-    rows = indexed(bars, limit)
-    after = Window.partitionBy("symbol").orderBy("i")
-    tradable = F.first(F.when(~F.col("limit_down"), F.col("i")), ignorenulls=True).over(after.rowsBetween(0, 2**31 - 1))
-    last = F.max("i").over(Window.partitionBy("symbol"))
-    b = rows.withColumn("open_i", F.coalesce(tradable, last)).withColumn("last_i", last)
-    size = rows.groupBy("symbol").agg(F.max("i").alias("last_i"), F.max_by("date", "i").alias("last_date"), F.max_by("close", "i").alias("last_close"))
-    e = entries.join(size, "symbol").withColumn("until", F.least(F.col("i") + p.max_holding_days, F.col("last_i")))
-    e = e.join(b.select("symbol", F.col("i").alias("until"), "open_i"), ["symbol", "until"])
-    steps = F.when(F.col("i") + MIN_HOLD <= F.col("open_i"), F.sequence(F.col("i") + MIN_HOLD, F.col("open_i")))
-    path = e.select("symbol", "i", "entry", "stop", "target", F.explode(steps).alias("j"))
-    bar = rows.where("not limit_down").select("symbol", F.col("i").alias("j"), F.col("date").alias("bar_date"), "high", "low", "close")
-    w = Window.partitionBy("symbol", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.join(bar, ["symbol", "j"]).withColumn("profit", (F.col("close") - F.col("entry")) / F.col("entry"))
-    path = path.withColumn("top", F.greatest("entry", F.max("high").over(w)))
-    safe = F.coalesce(F.max(F.col("profit") >= p.breakeven_pct).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    path = path.withColumn("stop_j", F.when(safe & (F.col("stop") < F.col("entry")), F.col("entry")).otherwise(F.col("stop")))
-    path = path.withColumn("trails", F.max(F.col("profit") >= p.trail_activation).over(w)).withColumn("trail", F.col("top") * (1 - p.trail_pct))
-    hit = lambda reason, price: F.struct(F.col("j"), F.col("bar_date"), price.alias("price"), F.lit(reason).alias("reason"))
-    out = (
-        F.when(F.col("low") <= F.col("stop_j"), hit("stop_loss", F.col("stop_j"))).when(F.col("j") - F.col("i") >= p.max_holding_days, hit("time_exit", F.col("close")))
-        .when(F.col("trails") & (F.col("low") <= F.col("trail")), hit("trailing_stop", F.col("trail"))).when(F.col("close") >= F.col("target"), hit("target_reached", F.col("close")))
-    )
-    first = path.withColumn("hit", out).where("hit is not null").groupBy("symbol", "i").agg(F.min("hit").alias("x"))
-    done = entries.join(first, ["symbol", "i"], "left").join(size, "symbol")
-    return done.select(
-        *[F.col(c) for c in entries.columns], F.coalesce("x.j", "last_i").alias("exit_i"), F.coalesce("x.bar_date", "last_date").alias("exit_date"),
-        F.coalesce("x.price", "last_close").alias("exit_raw"), F.coalesce("x.reason", F.lit("end_of_backtest")).alias("exit_reason"))
+    w, back = by_date(), Window.partitionBy("symbol").orderBy(F.desc("date"))
+    bar = F.when(~F.col("limit_down"), F.struct(F.col("i").alias("j"), F.col("date").alias("bar_date"), "high", "low", "close"))
+    rows = rows.withColumn("bar", bar).withColumn("next", F.last("bar", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("end", F.max(F.struct("i", "date", "close")).over(Window.partitionBy("symbol")))
+    none = F.array().cast("array<struct<j:bigint,bar_date:date,high:double,low:double,close:double>>")
+    held = F.collect_list("bar").over(w.rowsBetween(MIN_HOLD, p.max_holding_days - 1)) if p.max_holding_days > MIN_HOLD else none
+    late = F.lead("next", max(p.max_holding_days, MIN_HOLD)).over(w)
+    rows = rows.withColumn("path", F.concat(held, F.when(late.isNotNull(), F.array(late)).otherwise(none))).where("c0 is not null").select("symbol", "date", "i", "c0.*", "path", "end")
+    e = F.col("entry")
+
+    def step(s: Column, x: Column) -> Column:
+        top, profit = F.greatest(s["top"], x["high"]), (x["close"] - e) / e
+        trails = s["trails"] | (profit >= p.trail_activation)
+        at_stop = F.when(s["safe"] & (F.col("stop") < e), e).otherwise(F.col("stop"))
+        hit = lambda reason, price: F.struct(x["j"].alias("j"), x["bar_date"].alias("bar_date"), price.alias("price"), F.lit(reason).alias("reason"))
+        out = (
+            F.when(x["low"] <= at_stop, hit("stop_loss", at_stop)).when(x["j"] - F.col("i") >= p.max_holding_days, hit("time_exit", x["close"]))
+            .when(trails & (x["low"] <= top * (1 - p.trail_pct)), hit("trailing_stop", top * (1 - p.trail_pct))).when(x["close"] >= F.col("target"), hit("target_reached", x["close"]))
+        )
+        return F.when(s["x"].isNotNull(), s).otherwise(F.struct(out.alias("x"), top.alias("top"), (s["safe"] | (profit >= p.breakeven_pct)).alias("safe"), trails.alias("trails")))
+
+    no = F.lit(None).cast("struct<j:bigint,bar_date:date,price:double,reason:string>")
+    begin = F.struct(no.alias("x"), e.alias("top"), F.lit(False).alias("safe"), F.lit(False).alias("trails"))
+    done = rows.withColumn("x", F.aggregate("path", begin, step, lambda s: s["x"]))
+    return done.drop("path").select(
+        *[c for c in rows.columns if c not in ("path", "end")], F.coalesce("x.j", "end.i").alias("exit_i"), F.coalesce("x.bar_date", "end.date").alias("exit_date"),
+        F.coalesce("x.price", "end.close").alias("exit_raw"), F.coalesce("x.reason", F.lit("end_of_backtest")).alias("exit_reason"))
+
+
+def first_exits(entries: DataFrame, bars: DataFrame, p: Preset = BASE, limit: Column | None = None) -> DataFrame:
+    """``exits`` of given entries (``symbol, i, entry, stop, target`` and any others), at most one per bar."""
+    own = [c for c in entries.columns if c not in ("symbol", "i", "date")]
+    rows = indexed(bars, limit).select("symbol", "date", "i", "high", "low", "close", "limit_down")
+    return exits(rows.join(entries.select("symbol", "i", F.struct(*own).alias("c0")), ["symbol", "i"], "left"), p)
 
 
 def ledger(paths: DataFrame, capital: float = 100_000.0, p: Preset = BASE) -> DataFrame:
-    """Trades taken one at a time per symbol: by entry index, each when the one before is closed and a lot is affordable."""
+    """Trades taken from given paths one at a time per symbol: by entry index, each when the one before is closed and a lot is affordable.
+
+    What is closed as ``end_of_backtest`` is held through the last bar, so that bar takes no other entry.
+    """
     net = settled(F.col("exit_raw") - F.col("exit_raw") * (p.commission + p.stamp_tax), 3)
-    rows = paths.withColumn("exit_price", net).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("i", "exit_i", "entry", "exit_price", "position_pct"))).alias("c"))
+    priced = paths.withColumn("exit_price", net)
 
     def step(s: Column, c: Column) -> Column:
-        spend = s["capital"] * c["position_pct"]
-        lots = (F.floor(spend / c["entry"] / 100) * 100).cast("long")
-        take = (c["i"] >= s["free"]) & (lots >= 100) & (lots * c["entry"] <= s["capital"])
+        lots = (F.floor(s["capital"] * c["position_pct"] / c["entry"] / 100) * 100).cast("long")
+        take = (c["date"] >= s["free"]) & (lots >= 100) & (lots * c["entry"] <= s["capital"])
         left = s["capital"] - lots * c["entry"]
         return F.struct(
-            F.when(take, c["exit_i"]).otherwise(s["free"]).alias("free"), F.when(take, left + lots * c["exit_price"]).otherwise(s["capital"]).alias("capital"),
-            F.when(take, F.array_append(s["taken"], F.struct(c["i"].alias("i"), lots.alias("quantity"), left.alias("cash_in"), (left + lots * c["exit_price"]).alias("cash_out")))).otherwise(s["taken"]).alias("taken"))
+            F.when(take, c["exit_i"] + (c["exit_reason"] == "end_of_backtest").cast("int")).otherwise(s["free"]).alias("free"), F.when(take, left + lots * c["exit_price"]).otherwise(s["capital"]).alias("capital"),
+            F.when(take, lots).alias("quantity"), left.alias("cash_in"))
 
-    begin = F.struct(F.lit(-1).cast("long").alias("free"), F.lit(capital).alias("capital"), F.array().cast("array<struct<i:bigint,quantity:bigint,cash_in:double,cash_out:double>>").alias("taken"))
-    taken = rows.select("symbol", F.inline(F.aggregate("c", begin, step, lambda s: s["taken"])))
+    flat = F.struct(F.lit(-1).cast("long").alias("free"), F.lit(capital).alias("capital"), F.lit(None).cast("long").alias("quantity"), F.lit(capital).alias("cash_in"))
+    taken = fold_series(priced.withColumn("date", F.col("i")), ["exit_i", "exit_reason", "entry", "exit_price", "position_pct"], lambda x: step(flat, x), step).where("quantity is not null")
+    taken = taken.select("symbol", F.col("date").alias("i"), "quantity", "cash_in", F.col("capital").alias("cash_out"))
+    return with_results(priced.join(taken, ["symbol", "i"]))
+
+
+def with_results(trades: DataFrame) -> DataFrame:
     pnl = (F.col("exit_price") - F.col("entry")) / F.col("entry") * 100
-    return paths.withColumn("exit_price", net).join(taken, ["symbol", "i"]).withColumn("pnl_pct", pnl).withColumn("pnl", F.col("pnl_pct") / 100 * F.col("entry") * F.col("quantity"))
+    return trades.withColumn("pnl_pct", pnl).withColumn("pnl", F.col("pnl_pct") / 100 * F.col("entry") * F.col("quantity"))
+
+
+@dataclass(frozen=True)
+class Risk:
+    """Adding to winners, and what stops new orders: a drawdown for good, a losing streak for some bars."""
+
+    add_gain: float = 0.05
+    add_share: float = 0.50
+    most_adds: int = 1
+    break_drawdown: float = 0.08
+    losses: int = 3
+    pause: int = 3
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def account_step(p: Preset, c: str, capital: float, risk: Risk | None) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """The empty account of a preset and its step over one bar: exit, entry, and with ``risk`` the breaker and adds."""
+    no_position = "struct<i:bigint,signal_type:string,position_pct:double,cash_in:double,adds:int,entry:double,stop:double,target:double,quantity:bigint,top:double,trails:boolean>"
+    no_trades = "array<struct<i:bigint,signal_type:string,position_pct:double,entry:double,quantity:bigint,adds:int,cash_in:double,cash_out:double,exit_i:bigint,exit_raw:double,exit_price:double,exit_reason:string>>"
+    empty = {"i": F.lit(-1).cast("long"), "close": F.lit(0.0), "cash": F.lit(capital), "h": F.lit(None).cast(no_position), "trades": F.array().cast(no_trades)}
+    if risk:
+        empty |= {"peak": F.lit(capital), "broken": F.lit(False), "losses": F.lit(0), "pause": F.lit(0)}
+    struct = lambda fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def position(h: Column, **new: Column) -> Column:
+        names = [f.split(":")[0] for f in no_position[7:-1].split(",")]
+        return struct({n: new[n] if n in new else h[n] for n in names})
+
+    def closed(h: Column, cash: Column, x: Column, raw: Column, reason: Column) -> Column:
+        price = settled(raw - raw * (p.commission + p.stamp_tax), 3)
+        return let(price, lambda net: struct({k: h[k] for k in ("i", "signal_type", "position_pct", "entry", "quantity", "adds", "cash_in")} | {
+            "cash_out": cash + h["quantity"] * net, "exit_i": x["i"], "exit_raw": raw, "exit_price": net, "exit_reason": reason}))
+
+    def walked(h: Column, x: Column) -> Column:
+        """The position after a look at its exits: ``h`` with top, trail and stop moved on, and price and reason of an exit."""
+        profit = (x["close"] - h["entry"]) / h["entry"]
+        moved = struct({"top": F.greatest(h["top"], x["high"]), "trails": h["trails"] | (profit >= p.trail_activation)})
+
+        def judged(m: Column) -> Column:
+            trail = m["top"] * (1 - p.trail_pct)
+            hit = lambda price, reason: F.struct(price.alias("raw"), F.lit(reason).alias("reason"))
+            out = (
+                F.when(x["low"] <= h["stop"], hit(h["stop"], "stop_loss")).when(x["i"] - h["i"] >= p.max_holding_days, hit(x["close"], "time_exit"))
+                .when(m["trails"] & (x["low"] <= trail), hit(trail, "trailing_stop")).when(x["close"] >= h["target"], hit(x["close"], "target_reached"))
+            )
+            stop = F.when((profit >= p.breakeven_pct) & (h["stop"] < h["entry"]), h["entry"]).otherwise(h["stop"])
+            return F.struct(position(h, top=m["top"], trails=m["trails"], stop=stop).alias("h"), out.alias("out"))
+
+        seen = h.isNotNull() & ~x["limit_down"] & (x["i"] - h["i"] >= MIN_HOLD)
+        return F.when(seen, let(moved, judged)).otherwise(F.struct(h.alias("h"), F.lit(None).cast("struct<raw:double,reason:string>").alias("out")))
+
+    def after_exit(s: Column, x: Column, w: Column) -> Column:
+        trade = F.when(w["out"].isNotNull(), closed(w["h"], s["cash"], x, w["out"]["raw"], w["out"]["reason"]))
+
+        def settle(t: Column) -> Column:
+            gone = t.isNotNull()
+            fields = {"cash": F.when(gone, t["cash_out"]).otherwise(s["cash"]), "h": F.when(~gone, w["h"]), "t": t}
+            if risk:
+                lost = t["exit_price"] < t["entry"]
+                losses = F.when(~gone, s["losses"]).when(lost, s["losses"] + 1).otherwise(0)
+                fields |= {"losses": losses, "pause": F.when(gone & lost & (losses >= risk.losses), risk.pause).otherwise(s["pause"])}
+            return struct(fields)
+
+        return let(trade, settle)
+
+    def after_entry(s: Column, x: Column, a: Column) -> Column:
+        e = x[c]
+        lots = (F.floor(a["cash"] * e["position_pct"] / e["entry"] / 100) * 100).cast("long")
+        free = a["h"].isNull() & e.isNotNull()
+        if risk:
+            free = free & ~s["broken"] & (a["pause"] == 0)
+
+        def bought(n: Column) -> Column:
+            take = free & (n >= 100) & (n * e["entry"] <= a["cash"])
+            left = a["cash"] - n * e["entry"]
+            h = position(e, i=x["i"], cash_in=left, adds=F.lit(0), quantity=n, top=e["entry"], trails=F.lit(False))
+            return struct({"cash": F.when(take, left).otherwise(a["cash"]), "h": F.when(take, h).otherwise(a["h"])})
+
+        return let(lots, bought)
+
+    def after_risk(s: Column, x: Column, a: Column, b: Column) -> Column:
+        total = b["cash"] + F.coalesce(b["h"]["quantity"] * x["close"], F.lit(0.0))
+        state = let(total, lambda t: struct({"peak": F.greatest(s["peak"], t), "broken": s["broken"] | ((F.greatest(s["peak"], t) - t) / F.greatest(s["peak"], t) >= risk.break_drawdown)}))
+
+        def added(r: Column) -> Column:
+            pause, h = F.greatest(a["pause"] - 1, F.lit(0)), b["h"]
+            price = x["close"] * (1 + p.commission + p.slippage)
+            lots = (F.floor(F.greatest(h["quantity"] * h["entry"] * risk.add_share, x["close"] * 110) / price / 100) * 100).cast("long")
+            wants = h.isNotNull() & ~r["broken"] & (pause == 0) & (h["adds"] < risk.most_adds) & ((x["close"] - h["entry"]) / h["entry"] >= risk.add_gain)
+
+            def grown(n: Column) -> Column:
+                take = wants & (n >= 100) & (n * price <= b["cash"])
+                average = (h["quantity"] * h["entry"] + n * price) / (h["quantity"] + n)
+                more = position(h, entry=settled(average, 3), stop=settled(average * (1 - p.min_stop_pct), 3), quantity=h["quantity"] + n, adds=h["adds"] + 1)
+                return struct({"cash": F.when(take, b["cash"] - n * price).otherwise(b["cash"]), "h": F.when(take, more).otherwise(h), "peak": r["peak"], "broken": r["broken"], "losses": a["losses"], "pause": pause})
+
+            return let(lots, grown)
+
+        return let(state, added)
+
+    def finished(x: Column, a: Column, b: Column) -> Column:
+        forced = F.when(x["last"] & b["h"].isNotNull(), closed(b["h"], b["cash"], x, x["close"], F.lit("end_of_backtest")))
+        fields = {"i": x["i"], "close": x["close"], "cash": b["cash"], "h": b["h"], "trades": F.array_compact(F.array(a["t"], forced))}
+        return struct(fields | ({k: b[k] for k in ("peak", "broken", "losses", "pause")} if risk else {}))
+
+    def step(s: Column, x: Column) -> Column:
+        last = (lambda a, b: let(after_risk(s, x, a, b), lambda r: finished(x, a, r))) if risk else (lambda a, b: finished(x, a, b))
+        return let(walked(s["h"], x), lambda w: let(after_exit(s, x, w), lambda a: let(after_entry(s, x, a), lambda b: last(a, b))))
+
+    return struct(empty), step
+
+
+def accounts(rows: DataFrame, presets: list[Preset] | None = None, capital: float = 100_000.0, risk: Risk | None = None) -> DataFrame:
+    """One account per symbol and preset that trades the candidates of ``candidate_rows``: its state after every bar.
+
+    ``style, symbol, date, i, close, cash, h`` (the position, null when flat) and ``trades`` closed at that bar; what is open at a symbol's last bar is
+    closed there as ``end_of_backtest``, after the bar's state. All presets are folded together, in one pass over a symbol's bars.
+    """
+    presets = presets or [BASE]
+    parts = [account_step(p, f"c{k}", capital, risk) for k, p in enumerate(presets)]
+    inputs = rows.withColumn("last", F.lead("date").over(by_date()).isNull())
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(*[one(s[f"a{k}"], x).alias(f"a{k}") for k, (_, one) in enumerate(parts)])
+
+    begin = F.struct(*[empty.alias(f"a{k}") for k, (empty, _) in enumerate(parts)])
+    states = fold_series(inputs, ["i", "high", "low", "close", "limit_down", "last", *[f"c{k}" for k in range(len(presets))]], lambda x: step(begin, x), step)
+    each = [F.struct(F.lit(p.style).alias("style"), F.col(f"a{k}").alias("s")) for k, p in enumerate(presets)]
+    return states.select("symbol", "date", F.inline(F.array(*each))).select("style", "symbol", "date", "s.*")
+
+
+def account_trades(states: DataFrame) -> DataFrame:
+    """The trades of ``accounts``, one row each, with their results."""
+    return with_results(states.where(F.size("trades") > 0).select("style", "symbol", F.inline("trades")))
+
+
+def account_curve(states: DataFrame, capital: float = 100_000.0) -> DataFrame:
+    """Cash, position value and total of each account at each bar from the warm-up on."""
+    held = F.coalesce(F.col("h.quantity") * F.col("close"), F.lit(0.0))
+    return states.where(F.col("i") >= WARM_UP).select(
+        "style", "symbol", "date", "i", F.round("cash", 2).alias("capital"), F.round(held, 2).alias("position_val"), F.round(F.col("cash") + held, 2).alias("total"),
+        F.round(((F.col("cash") + held) / capital - 1) * 100, 3).alias("return_pct"))
 
 
 def equity(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0) -> DataFrame:

@@ -11,15 +11,14 @@ from ..functions.series import by_date, lag, settled
 from ..operators import detectors, factors, indicators, metrics, monitoring, quality, registry, regime, strategy, trades, validation
 from ..sources import bars as src
 from ..streaming import bars as streaming
-from .sql import query, rows, signal_parts
+from .sql import account_parts, query, rows, signal_parts
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 ORACLE: dict[str, str] = {}
 #: Queries whose plans read the bars in several branches.
 SHARED = set("""
-e7_calculate_all i6_signals sg6_signals sg9_actions sg10_scan tp1_candidates tp2_first_exits tp3_ledger tp6_equity tp7_pyramid_adds tp8_circuit_breaker tp9_cooldowns a9_exit_reasons
-m5_curve_metrics m6_trade_metrics m7_backtest_rows m8_batch_summary k3_scan_top k6_report_top k7_batch_actions a10_signal_mix a12_action_distribution e8_calculate_all_batch sg8_style_signals m9_style_comparison re9_recorded_trades fa5_series_rsi w19_loss_streaks v2_window_metrics v6_consistency v7_judge mo1_rolling_metrics mo4_snapshot re5_recommended re6_rotation
+e7_calculate_all i6_signals sg9_actions sg10_scan tp7_pyramid_adds k3_scan_top k7_batch_actions a12_action_distribution e8_calculate_all_batch sg8_style_signals fa5_series_rsi v7_judge mo4_snapshot re5_recommended re6_rotation
 """.split())
 #: A limit that the test bars do reach.
 LOW_LIMIT = 0.03
@@ -207,21 +206,27 @@ on_bars("sg9_actions", lambda b: strategy.actions(b).select("symbol", "date", "a
 on_bars("tp1_candidates", trades.candidates, query("ca", "SELECT symbol, date, i, entry, stop, target, position_pct, signal_type, confidence FROM ca"))
 
 
-def paths(b: DataFrame) -> DataFrame:
-    """Candidates and their exits, kept while the query runs: the join of exits and the ledger read each twice."""
-    return trades.first_exits(trades.candidates(b).persist(), b).persist()
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read again, for what several branches of a plan read."""
+    path = streaming.shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def states(b: DataFrame) -> DataFrame:
+    """The symbols' accounts after every bar: curves, trades, windows and metrics all read them."""
+    return kept(trades.accounts(trades.candidate_rows(b)), "accounts")
 
 
 def book(b: DataFrame) -> DataFrame:
-    """The ledger, kept while the query runs: curves, windows and metrics all read it."""
-    return trades.ledger(paths(b)).persist()
+    return trades.account_trades(states(b))
 
 
 def curve(b: DataFrame) -> DataFrame:
-    return trades.equity(book(b), b)
+    return trades.account_curve(states(b)).drop("style")
 
 
-on_bars("tp2_first_exits", lambda b: paths(b).select("symbol", "i", "entry", "exit_i", "exit_date", "exit_raw", "exit_reason"), query("px", "SELECT symbol, i, entry, exit_i, exit_date, round(exit_raw, 6) AS exit_raw, exit_reason FROM px"))
+on_bars("tp2_first_exits", lambda b: trades.exits(trades.candidate_rows(b)).select("symbol", "i", "entry", "exit_i", "exit_date", "exit_raw", "exit_reason"), query("px", "SELECT symbol, i, entry, exit_i, exit_date, round(exit_raw, 6) AS exit_raw, exit_reason FROM px"))
 on_bars("tp3_ledger", lambda b: book(b).select("symbol", "i", "exit_i", "quantity", "exit_price", "cash_in", "cash_out", "pnl_pct", "pnl"), query("le", f"SELECT symbol, i, exit_i, quantity, exit_price, {r6('cash_in', 'cash_out', 'pnl_pct', 'pnl')} FROM le"))
 on_bars("tp6_equity", curve, query("eq", "SELECT symbol, date, i, capital, position_val, total, return_pct FROM eq"))
 on_bars("a9_exit_reasons", lambda b: book(b).groupBy("exit_reason", "signal_type").agg(F.count("*").alias("n")), query("le", "SELECT exit_reason, signal_type, count(*) AS n FROM le GROUP BY 1, 2"))
@@ -230,8 +235,8 @@ on_bars("m6_trade_metrics", lambda b: metrics.trade_metrics(book(b)), query("mt"
 
 
 def backtest(b: DataFrame) -> DataFrame:
-    t = book(b)
-    return metrics.backtest_rows(b, t, trades.equity(t, b))
+    s = states(b)
+    return metrics.backtest_rows(s, trades.account_trades(s), trades.account_curve(s))
 
 
 RESULT = """br AS (SELECT s.symbol, coalesce(total_trades, 0) AS total_trades, coalesce(winning_trades, 0) AS winning_trades, """ + ", ".join(
@@ -242,6 +247,9 @@ on_bars("m8_batch_summary", lambda b: metrics.batch_summary(backtest(b)), query(
   round(avg(max_drawdown_pct), 4) AS avg_drawdown, round(avg(least(profit_factor, 100)), 4) AS avg_profit_factor, round(avg((total_return_pct > 0)::INT) * 100, 4) AS profitable_pct, arg_max(symbol, (total_return_pct, symbol)) AS best, arg_min(symbol, (total_return_pct, symbol)) AS worst FROM br WHERE total_trades > 0""", RESULT))
 on_bars("tp7_pyramid_adds", lambda b: trades.pyramid_adds(trades.candidates(b), b), query("ca", """SELECT ca.symbol, ca.i, min(b.rn - 1) AS add_i, arg_min(b.date, b.rn) AS add_date, arg_min(b.close, b.rn) AS add_price, round((any_value(entry) * 2 + arg_min(b.close, b.rn)) / 3, 6) AS average
   FROM ca JOIN b ON b.symbol = ca.symbol AND b.rn - 1 BETWEEN ca.i + 1 AND ca.i + 20 AND (b.close - entry) / entry >= 0.05 GROUP BY 1, 2"""))
+BASE_STYLE = """sy AS (SELECT 'base' AS style, 20 AS hold, 0.06::DOUBLE AS act, 0.04::DOUBLE AS trail, 0.04::DOUBLE AS be, 0.04::DOUBLE AS least_stop), ac0 AS (SELECT sy.*, symbol, i, entry, stop, target, position_pct, signal_type FROM ca, sy)"""
+on_bars("tp7_pyramid_account", lambda b: trades.account_trades(trades.accounts(trades.candidate_rows(b), risk=trades.Risk())).select("symbol", "i", "signal_type", "quantity", "adds", "entry", "exit_i", "exit_raw", "exit_price", "exit_reason", "cash_in", "cash_out", "pnl_pct", "pnl"),
+        query("ca", f"SELECT symbol, i, signal_type, quantity, adds, entry, exit_i, round(exit_raw, 6) AS exit_raw, exit_price, exit_reason, {r6('cash_in', 'cash_out', 'pnl_pct', 'pnl')} FROM acct", BASE_STYLE + "," + account_parts(risk=True)))
 STREAK = "st AS (SELECT *, CAST(sum((pnl <= 0)::INT) OVER (PARTITION BY symbol, island ORDER BY exit_i, i) AS BIGINT) AS streak FROM (SELECT *, sum((pnl > 0)::INT) OVER (PARTITION BY symbol ORDER BY exit_i, i ROWS UNBOUNDED PRECEDING) AS island FROM le))"
 on_bars("w19_loss_streaks", lambda b: trades.loss_streaks(book(b)).select("symbol", "i", F.col("streak").cast("long").alias("streak")), query("le", "SELECT symbol, i, streak FROM st", STREAK))
 on_bars("tp9_cooldowns", lambda b: trades.cooldowns(book(b)), query("le", "SELECT DISTINCT symbol, unnest(range(exit_i, exit_i + 3)) AS blocked_i FROM st WHERE streak >= 3", STREAK))
@@ -252,8 +260,8 @@ on_bars("v1_walk_windows", validation.walk_windows, query("b", "SELECT symbol, w
 
 
 def windows_of(b: DataFrame) -> DataFrame:
-    t = book(b)
-    return validation.window_metrics(validation.walk_windows(b), t, trades.equity(t, b))
+    s = states(b)
+    return validation.window_metrics(validation.walk_windows(s), trades.account_trades(s), trades.account_curve(s))
 
 
 WINDOWS = """wi AS (SELECT symbol, w, part, CASE part WHEN 'in' THEN w * 50 ELSE w * 50 + 200 END AS lo, CASE part WHEN 'in' THEN w * 50 + 200 ELSE w * 50 + 330 END AS hi
@@ -494,15 +502,23 @@ on_bars("sg8_style_signals", lambda b: strategy.style_signals(b, SWING, F.lit(LO
 
 
 def style_comparison(b: DataFrame) -> DataFrame:
-    """The same trade metrics for each style preset over all symbols."""
-    books = None
-    for p in strategy.STYLES:
-        own = trades.ledger(trades.first_exits(trades.candidates(b, p), b, p), p=p).withColumn("style", F.lit(p.style))
-        books = own if books is None else books.unionByName(own)
-    return metrics.trade_metrics(books, "style")
-
-
-on_bars("m9_style_comparison", style_comparison)
+    """The same trade metrics for each style preset over all symbols; one plan folds the accounts of all styles together."""
+    s = trades.accounts(trades.candidate_rows(b, strategy.STYLES), strategy.STYLES)
+    return metrics.trade_metrics(trades.account_trades(s), "style")
+
+
+STYLE_ROWS = [("a", "short_term", 5, "0.03", "0.05", "1.5", "1.5", "0.01", "50", "0.42", "p10", 0.04, 0.02, 0.02), ("m", "swing", 20, "0.05", "0.08", "1.8", "2.0", "0.02", "55", "0.45", "prev_high", 0.06, 0.03, 0.04),
+              ("z", "medium_term", 60, "0.06", "0.12", "2.5", "2.5", "0.03", "62", "0.50", "high60", 0.10, 0.05, 0.06)]
+STYLE_CANDS = "cin9 AS (SELECT cin.*, p10 FROM cin JOIN (SELECT symbol, rn, max(high) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS p10 FROM b) q ON q.symbol = cin.symbol AND q.rn = cin.n)," + ",".join(
+    signal_parts("cin9", f"c9{k}", low, high, rr, atr, buffer, score, conf, prev) for k, _, _, low, high, rr, atr, buffer, score, conf, prev, *_ in STYLE_ROWS) + ",\nac0 AS (" + " UNION ALL ".join(
+    f"SELECT '{style}' AS style, {hold} AS hold, {act}::DOUBLE AS act, {trail}::DOUBLE AS trail, {be}::DOUBLE AS be, {low}::DOUBLE AS least_stop, symbol, i, entry, stop, target, position_pct, signal_type FROM c9{k} WHERE valid"
+    for k, style, hold, low, *_, act, trail, be in STYLE_ROWS) + ")"
+STYLE_STYLES = "sy AS (" + " UNION ALL ".join(f"SELECT '{style}' AS style, {hold} AS hold, {act}::DOUBLE AS act, {trail}::DOUBLE AS trail, {be}::DOUBLE AS be, {low}::DOUBLE AS least_stop" for _, style, hold, low, *_, act, trail, be in STYLE_ROWS) + ")"
+on_bars("m9_style_comparison", style_comparison, query("ca", """SELECT style, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS winning_trades, round(avg((pnl > 0)::INT), 6) AS win_rate,
+  round(least(coalesce(sum(pnl) FILTER (pnl > 0), 0) / (abs(coalesce(sum(pnl) FILTER (pnl <= 0), 0)) + 1e-8), 999.99), 4) AS profit_factor, round(avg(pnl_pct), 4) AS avg_trade_pct,
+  round(avg(CASE WHEN exit_reason = 'stop_loss' THEN 100.0 ELSE 0 END), 4) AS stop_pct, round(avg(CASE WHEN exit_reason = 'target_reached' THEN 100.0 ELSE 0 END), 4) AS target_pct,
+  round(avg(CASE WHEN exit_reason = 'trailing_stop' THEN 100.0 ELSE 0 END), 4) AS trail_pct, round(avg(CASE WHEN exit_reason = 'time_exit' THEN 100.0 ELSE 0 END), 4) AS time_pct FROM acct GROUP BY 1""",
+        STYLE_CANDS + "," + STYLE_STYLES + "," + account_parts(risk=False)))
 
 # Registry steps over the part table and the symbols' strategies
 OFFERED = "SELECT substring(p_brand, 1, 3) || '_' || substring(md5(p_name || ':' || p_brand || ':' || '{\"p_size\":' || p_size || '}'), 1, 8) AS strategy_id, p_name AS name, p_brand AS style FROM part"

@@ -169,17 +169,19 @@ pf AS (SELECT symbol, date, rn, close, {part('avg(tr)', -13)} AS atr, {part('min
   {part('avg(volume)', -4)} / (CASE WHEN rn >= 20 THEN {part('avg(volume)', -19, -5)} ELSE {part('avg(volume)', -19)} END + 1e-8) AS vr, {ret(5)} AS ret5 FROM t)"""
 
 
-def signal_parts(source: str, name: str, low: str = "0.04", high: str = "0.09", least_rr: str = "1.3") -> str:
-    """The trade signal over rows with price frames, regime and score; stops between two shares of the price, and the least reward over risk."""
+def signal_parts(
+    source: str, name: str, low: str = "0.04", high: str = "0.09", least_rr: str = "1.3", atr: str = "2.0", buffer: str = "0.02", score: str = "55", least_conf: str = "0.45", prev: str = "prev_high",
+) -> str:
+    """The trade signal over rows with price frames, regime and score; stops between two shares of the price, the least reward over risk, and the preset's other figures."""
     return f"""
-{name}0 AS (SELECT *, round(least(greatest(least(close - 2.0 * atr, low5 * 0.99), close * (1 - {high})), close * (1 - {low})) + 1e-9, 3) AS stop,
-  CASE WHEN close >= prev_high * 0.98 THEN greatest(high60 * (1 - 0.02), close * 1.08) ELSE prev_high * (1 - 0.02) END AS tg FROM {source}),
+{name}0 AS (SELECT *, round(least(greatest(least(close - {atr} * atr, low5 * 0.99), close * (1 - {high})), close * (1 - {low})) + 1e-9, 3) AS stop,
+  CASE WHEN close >= {prev} * 0.98 THEN greatest(high60 * (1 - {buffer}), close * 1.08) ELSE {prev} * (1 - {buffer}) END AS tg FROM {source}),
 {name}1 AS (SELECT *, round(CASE WHEN tg <= close * 1.02 THEN close * (1 + greatest({low} * {least_rr}, 0.05)) ELSE tg END + 1e-9, 3) AS target FROM {name}0),
 {name}2 AS (SELECT *, (target - close) / (close - stop + 1e-8) AS rr, CASE WHEN vr >= 1.8 AND ret5 > 0.03 THEN 'volume_surge' WHEN ret5 > 0.04 THEN 'momentum_breakout' WHEN ret5 >= -0.03 AND ret5 <= 0.01 THEN 'pullback_entry' ELSE 'trend_continuation' END AS signal_type,
-  round({clamp("0.45::DOUBLE + (total_score - 55) / 90 * 0.50::DOUBLE + CASE regime WHEN 'policy_bottom' THEN 0.10 WHEN 'bull_trend' THEN 0.05 WHEN 'stock_game' THEN -0.05 ELSE 0 END", 0.45, 0.95)} + 1e-9, 3) AS conf,
+  round({clamp("0.45::DOUBLE + (total_score - " + score + ") / 90 * 0.50::DOUBLE + CASE regime WHEN 'policy_bottom' THEN 0.10 WHEN 'bull_trend' THEN 0.05 WHEN 'stock_game' THEN -0.05 ELSE 0 END", 0.45, 0.95)} + 1e-9, 3) AS conf,
   round(close * (1 + 0.0003::DOUBLE + 0.001::DOUBLE) + 1e-9, 3) AS entry FROM {name}1),
 {name}3 AS (SELECT *, round(least(max_position * (0.5::DOUBLE + conf * least(rr / 2, 1.0) * 0.5), 0.4, max_position / greatest(max_positions, 1)) + 1e-9, 4) AS position_pct,
-  coalesce(passed AND total_score >= 55 AND tradeable AND n >= 30 AND rr >= {least_rr} AND conf >= 0.45, false) AS generated FROM {name}2),
+  coalesce(passed AND total_score >= {score} AND tradeable AND n >= 30 AND rr >= {least_rr} AND conf >= {least_conf}, false) AS generated FROM {name}2),
 {name} AS (SELECT *, generated AND stop < entry AND entry < target AND (target - entry) / (entry - stop + 1e-8) >= 1.3 AND conf >= 0.45 AS valid FROM {name}3)"""
 
 
@@ -210,8 +212,8 @@ q AS (SELECT *, round(exit_raw - exit_raw * 0.0013::DOUBLE + 1e-9, 3) AS exit_pr
 l AS (
   SELECT symbol, CAST(0 AS BIGINT) AS nth, CAST(-1 AS BIGINT) AS free, CAST(100000 AS DOUBLE) AS cash, CAST(0 AS BIGINT) AS qty, CAST(0 AS DOUBLE) AS cash_in, false AS took FROM (SELECT DISTINCT symbol FROM q)
   UNION ALL
-  SELECT symbol, nth, CASE WHEN take THEN exit_i ELSE free END, CASE WHEN take THEN cash - lots * entry + lots * exit_price ELSE cash END, lots, cash - lots * entry, take
-  FROM (SELECT q.symbol, q.nth, l.free, l.cash, q.exit_i, q.entry, q.exit_price, CAST(floor(l.cash * q.position_pct / q.entry / 100) * 100 AS BIGINT) AS lots,
+  SELECT symbol, nth, CASE WHEN take THEN exit_i + (exit_reason = 'end_of_backtest')::INT ELSE free END, CASE WHEN take THEN cash - lots * entry + lots * exit_price ELSE cash END, lots, cash - lots * entry, take
+  FROM (SELECT q.symbol, q.nth, l.free, l.cash, q.exit_i, q.exit_reason, q.entry, q.exit_price, CAST(floor(l.cash * q.position_pct / q.entry / 100) * 100 AS BIGINT) AS lots,
     q.i >= l.free AND floor(l.cash * q.position_pct / q.entry / 100) * 100 >= 100 AND floor(l.cash * q.position_pct / q.entry / 100) * 100 * q.entry <= l.cash AS take
     FROM l JOIN q ON q.symbol = l.symbol AND q.nth = l.nth + 1)),
 le AS (SELECT q.*, l.qty AS quantity, l.cash_in, l.cash AS cash_out, (exit_price - entry) / entry * 100 AS pnl_pct, (exit_price - entry) / entry * 100 / 100 * entry * l.qty AS pnl FROM q JOIN l USING (symbol, nth) WHERE took)"""
@@ -232,6 +234,46 @@ mt AS (SELECT symbol, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS win
   round(avg(pnl_pct), 4) AS avg_trade_pct, round(avg(CASE WHEN exit_reason = 'stop_loss' THEN 100.0 ELSE 0 END), 4) AS stop_pct, round(avg(CASE WHEN exit_reason = 'target_reached' THEN 100.0 ELSE 0 END), 4) AS target_pct,
   round(avg(CASE WHEN exit_reason = 'trailing_stop' THEN 100.0 ELSE 0 END), 4) AS trail_pct, round(avg(CASE WHEN exit_reason = 'time_exit' THEN 100.0 ELSE 0 END), 4) AS time_pct FROM le GROUP BY 1)"""
 
+def account_parts(risk: bool) -> str:
+    """Accounts bar by bar over the candidates ``ac0`` of the styles ``sy``, and their trades ``acct``; with ``risk`` also the breaker, the pause after losses and adds."""
+    may = "AND NOT broken AND pause1 = 0" if risk else ""
+    peak, fall = "greatest(peak, total)", "(greatest(peak, total) - total) / greatest(peak, total)"
+    wants = "h_i IS NOT NULL AND NOT broken1 AND pause2 = 0 AND h_adds < 1 AND (close - h_entry) / h_entry >= 0.05" if risk else "false"
+    return f"""
+ab AS MATERIALIZED (SELECT sy.*, b.symbol, b.rn, b.high, b.low, b.close, coalesce(b.close / b.c1 - 1 <= -0.095, false) AS down, b.rn = max(b.rn) OVER (PARTITION BY sy.style, b.symbol) AS last,
+  q.entry AS c_entry, q.stop AS c_stop, q.target AS c_target, q.position_pct AS c_pct, q.signal_type AS c_type FROM b CROSS JOIN sy LEFT JOIN ac0 q ON q.style = sy.style AND q.symbol = b.symbol AND q.i = b.rn - 1),
+ac AS (
+  SELECT DISTINCT style, symbol, CAST(0 AS BIGINT) AS rn, CAST(100000 AS DOUBLE) AS cash, CAST(NULL AS BIGINT) AS h_i, CAST(NULL AS VARCHAR) AS h_type, CAST(NULL AS DOUBLE) AS h_entry, CAST(NULL AS DOUBLE) AS h_stop, CAST(NULL AS DOUBLE) AS h_target,
+    CAST(NULL AS BIGINT) AS h_qty, CAST(NULL AS DOUBLE) AS h_top, false AS h_trails, CAST(0 AS INTEGER) AS h_adds, CAST(NULL AS DOUBLE) AS h_in, CAST(100000 AS DOUBLE) AS peak, false AS broken, CAST(0 AS INTEGER) AS losses, CAST(0 AS INTEGER) AS pause,
+    CAST(0 AS DOUBLE) AS close, false AS last, CAST(NULL AS BIGINT) AS x_i, CAST(NULL AS VARCHAR) AS x_type, CAST(NULL AS DOUBLE) AS x_entry, CAST(NULL AS BIGINT) AS x_qty, CAST(0 AS INTEGER) AS x_adds, CAST(NULL AS DOUBLE) AS x_in, CAST(NULL AS DOUBLE) AS x_raw, CAST(NULL AS DOUBLE) AS x_price, CAST(NULL AS VARCHAR) AS x_reason, CAST(NULL AS DOUBLE) AS x_out
+  FROM ab
+  UNION ALL
+  SELECT style, symbol, rn, CASE WHEN adds THEN cash2 - more * price ELSE cash2 END, h_i, h_type, CASE WHEN adds THEN round(average + 1e-9, 3) ELSE h_entry END, CASE WHEN adds THEN round(average * (1 - least_stop) + 1e-9, 3) ELSE h_stop END, h_target,
+    CASE WHEN adds THEN h_qty + more ELSE h_qty END, h_top, h_trails, CASE WHEN adds THEN h_adds + 1 ELSE h_adds END, h_in, peak1, broken1, losses1, pause2, close, last, x_i, x_type, x_entry, x_qty, x_adds, x_in, x_raw, x_price, x_reason, x_out
+  FROM (SELECT *, coalesce(({wants}) AND more >= 100 AND more * price <= cash2, false) AS adds, (h_qty * h_entry + more * price) / (h_qty + more) AS average
+  FROM (SELECT *, CAST(floor(greatest(h_qty * h_entry * 0.5, close * 110) / price / 100) * 100 AS BIGINT) AS more, {peak} AS peak1, broken OR {fall} >= 0.08 AS broken1
+  FROM (SELECT *, close * (1 + 0.0003::DOUBLE + 0.001::DOUBLE) AS price, cash2 + coalesce(h_qty * close, 0) AS total, greatest(pause1 - 1, 0) AS pause2
+  FROM (SELECT * REPLACE (CASE WHEN takes THEN rn - 1 ELSE h_i END AS h_i, CASE WHEN takes THEN c_type ELSE h_type END AS h_type, CASE WHEN takes THEN c_entry ELSE h_entry END AS h_entry, CASE WHEN takes THEN c_stop ELSE h_stop END AS h_stop, CASE WHEN takes THEN c_target ELSE h_target END AS h_target,
+      CASE WHEN takes THEN lots ELSE h_qty END AS h_qty, CASE WHEN takes THEN c_entry ELSE h_top END AS h_top, CASE WHEN takes THEN false ELSE h_trails END AS h_trails, CASE WHEN takes THEN 0 ELSE h_adds END AS h_adds, CASE WHEN takes THEN cash1 - lots * c_entry ELSE h_in END AS h_in),
+    CASE WHEN takes THEN cash1 - lots * c_entry ELSE cash1 END AS cash2
+  FROM (SELECT *, coalesce(h_i IS NULL AND c_entry IS NOT NULL {may} AND lots >= 100 AND lots * c_entry <= cash1, false) AS takes
+  FROM (SELECT *, CAST(floor(cash1 * c_pct / c_entry / 100) * 100 AS BIGINT) AS lots
+  FROM (SELECT * REPLACE (CASE WHEN x_raw IS NULL THEN h_i END AS h_i, CASE WHEN x_raw IS NULL THEN h_qty END AS h_qty), CASE WHEN x_raw IS NOT NULL THEN x_out ELSE cash END AS cash1,
+    CASE WHEN x_raw IS NULL THEN losses WHEN x_price < x_entry THEN losses + 1 ELSE 0 END AS losses1, CASE WHEN x_raw IS NOT NULL AND x_price < x_entry AND losses + 1 >= 3 THEN 3 ELSE pause END AS pause1
+  FROM (SELECT * REPLACE (CASE WHEN seen AND profit >= be AND h_stop < h_entry THEN h_entry ELSE h_stop END AS h_stop), h_i AS x_i, h_type AS x_type, h_entry AS x_entry, h_qty AS x_qty, h_adds AS x_adds, h_in AS x_in, cash + h_qty * x_price AS x_out
+  FROM (SELECT *, round(x_raw - x_raw * 0.0013::DOUBLE + 1e-9, 3) AS x_price
+  FROM (SELECT *, CASE WHEN NOT seen THEN NULL WHEN low <= h_stop THEN h_stop WHEN rn - 1 - h_i >= hold THEN close WHEN h_trails AND low <= h_top * (1 - trail) THEN h_top * (1 - trail) WHEN close >= h_target THEN close END AS x_raw,
+    CASE WHEN NOT seen THEN NULL WHEN low <= h_stop THEN 'stop_loss' WHEN rn - 1 - h_i >= hold THEN 'time_exit' WHEN h_trails AND low <= h_top * (1 - trail) THEN 'trailing_stop' WHEN close >= h_target THEN 'target_reached' END AS x_reason
+  FROM (SELECT * REPLACE (CASE WHEN seen THEN greatest(h_top, high) ELSE h_top END AS h_top, h_trails OR (seen AND profit >= act) AS h_trails)
+  FROM (SELECT ab.*, cash, h_i, h_type, h_entry, h_stop, h_target, h_qty, h_top, h_trails, h_adds, h_in, peak, broken, losses, pause, coalesce(h_i IS NOT NULL AND NOT down AND ab.rn - 1 - h_i >= 3, false) AS seen, coalesce((ab.close - h_entry) / h_entry, 0) AS profit
+  FROM ac JOIN ab ON ab.style = ac.style AND ab.symbol = ac.symbol AND ab.rn = ac.rn + 1))))))))))))),
+at0 AS (
+  SELECT style, symbol, x_i AS i, x_type AS signal_type, x_qty AS quantity, x_adds AS adds, x_entry AS entry, rn - 1 AS exit_i, x_raw AS exit_raw, x_price AS exit_price, x_reason AS exit_reason, x_in AS cash_in, x_out AS cash_out FROM ac WHERE x_raw IS NOT NULL
+  UNION ALL
+  SELECT style, symbol, h_i, h_type, h_qty, h_adds, h_entry, rn - 1, close, net, 'end_of_backtest', h_in, cash + h_qty * net FROM (SELECT *, round(close - close * 0.0013::DOUBLE + 1e-9, 3) AS net FROM ac WHERE last AND h_i IS NOT NULL)),
+acct AS (SELECT *, (exit_price - entry) / entry * 100 AS pnl_pct, (exit_price - entry) / entry * 100 / 100 * entry * quantity AS pnl FROM at0)"""
+
+
 NEEDS = {
     "b": [], "t": ["b"], "e": ["t"], "bb": ["b"], "s": ["e", "bb"], "rg": ["b"], "rw": ["b"], "fa": ["rw"], "sd": ["b"], "pf": ["t"], "sg": ["pf", "rg", "fa"], "ca": ["pf", "rg", "fa"],
     "px": ["ca"], "le": ["px"], "eq": ["le"], "mt": ["eq"],
