@@ -139,7 +139,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def account_step(p: Preset, c: str, capital: float, risk: Risk | None) -> tuple[Column, Callable[[Column, Column], Column]]:
     """The empty account of a preset and its step over one bar: exit, entry, and with ``risk`` the breaker and adds."""
     no_position = "struct<i:bigint,signal_type:string,position_pct:double,cash_in:double,adds:int,entry:double,stop:double,target:double,quantity:bigint,top:double,trails:boolean>"
-    no_trades = "array<struct<i:bigint,signal_type:string,position_pct:double,entry:double,quantity:bigint,adds:int,cash_in:double,cash_out:double,exit_i:bigint,exit_raw:double,exit_price:double,exit_reason:string>>"
+    no_trades = "array<struct<i:bigint,signal_type:string,position_pct:double,entry:double,quantity:bigint,adds:int,cash_in:double,cash_out:double,exit_i:bigint,exit_date:date,exit_raw:double,exit_price:double,exit_reason:string>>"
     empty = {"i": F.lit(-1).cast("long"), "close": F.lit(0.0), "cash": F.lit(capital), "h": F.lit(None).cast(no_position), "trades": F.array().cast(no_trades)}
     if risk:
         empty |= {"peak": F.lit(capital), "broken": F.lit(False), "losses": F.lit(0), "pause": F.lit(0)}
@@ -152,7 +152,7 @@ def account_step(p: Preset, c: str, capital: float, risk: Risk | None) -> tuple[
     def closed(h: Column, cash: Column, x: Column, raw: Column, reason: Column) -> Column:
         price = settled(raw - raw * (p.commission + p.stamp_tax), 3)
         return let(price, lambda net: struct({k: h[k] for k in ("i", "signal_type", "position_pct", "entry", "quantity", "adds", "cash_in")} | {
-            "cash_out": cash + h["quantity"] * net, "exit_i": x["i"], "exit_raw": raw, "exit_price": net, "exit_reason": reason}))
+            "cash_out": cash + h["quantity"] * net, "exit_i": x["i"], "exit_date": x["date"], "exit_raw": raw, "exit_price": net, "exit_reason": reason}))
 
     def walked(h: Column, x: Column) -> Column:
         """The position after a look at its exits: ``h`` with top, trail and stop moved on, and price and reason of an exit."""

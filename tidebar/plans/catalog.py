@@ -11,6 +11,7 @@ from ..functions.series import by_date, lag, settled
 from ..operators import detectors, factors, indicators, metrics, monitoring, quality, registry, regime, strategy, trades, validation
 from ..sources import bars as src
 from ..streaming import bars as streaming
+from ..streaming import monitor
 from .sql import account_parts, query, rows, signal_parts
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,7 @@ QUERIES: dict[str, Build] = {}
 ORACLE: dict[str, str] = {}
 #: Queries whose plans read the bars in several branches.
 SHARED = set("""
-e7_calculate_all i6_signals sg9_actions sg10_scan tp7_pyramid_adds k3_scan_top k7_batch_actions a12_action_distribution e8_calculate_all_batch sg8_style_signals fa5_series_rsi v7_judge mo4_snapshot re5_recommended re6_rotation
+e7_calculate_all i6_signals sg9_actions sg10_scan tp7_pyramid_adds k3_scan_top k7_batch_actions a12_action_distribution e8_calculate_all_batch sg8_style_signals fa5_series_rsi v7_judge mo4_snapshot re5_recommended re6_rotation st3_live_monitor
 """.split())
 #: A limit that the test bars do reach.
 LOW_LIMIT = 0.03
@@ -335,6 +336,41 @@ def snapshot_of(b: DataFrame) -> DataFrame:
     return s.select("strategy_id", "status", "action", "rules", "sharpe", "max_dd", "consec_losses")
 
 
+def live_monitor(b: DataFrame) -> DataFrame:
+    """The trades of all accounts replayed through the live monitor in three periods."""
+    log = book(b).select(F.col("symbol").alias("strategy_id"), F.col("exit_date").cast("timestamp").alias("closed_at"), "i", "pnl", "pnl_pct")
+    found = monitor.replay(log, strategies_of(b), streaming.shared_folder(b.sparkSession, "st3"), ["1997-06-01", "1999-09-01"])
+    return found.withColumn("checked_at", F.to_date("checked_at"))
+
+
+def rolled(n: int, name: str) -> str:
+    """Rolling figures of the last ``n`` trades at each trade of ``lt``."""
+    return f"""{name}0 AS (SELECT a.strategy_id, a.nth, b.pnl, b.pnl_pct / 100 AS r, b.nth AS k, exp(sum(ln(1 + b.pnl_pct / 100)) OVER (PARTITION BY a.strategy_id, a.nth ORDER BY b.nth)) AS cum FROM lt a JOIN lt b ON b.strategy_id = a.strategy_id AND b.nth BETWEEN a.nth - {n - 1} AND a.nth),
+{name}1 AS (SELECT *, greatest(max(cum) OVER (PARTITION BY strategy_id, nth ORDER BY k), 1) AS peak FROM {name}0),
+{name}2 AS (SELECT strategy_id, nth, count(*) AS n, avg(r) AS mu, coalesce(stddev_samp(r), 1e-8) AS sd, avg((pnl > 0)::INT) AS win, arg_max(cum, k) AS cum, max((peak - cum) / peak * 100) AS dd FROM {name}1 GROUP BY 1, 2),
+{name} AS (SELECT strategy_id, nth, round(CASE WHEN sd > 1e-10 THEN mu / sd * sqrt(252.0 / n) ELSE 0 END, 4) AS sharpe, round(win, 4) AS win_rate, round((cum - 1) * 100, 4) AS ret, round(dd, 4) AS max_dd FROM {name}2)"""
+
+
+MONITOR = STRATS + """,
+lt AS MATERIALIZED (SELECT symbol AS strategy_id, exit_date AS t, i, row_number() OVER (PARTITION BY symbol ORDER BY exit_date, i) AS nth, pnl, pnl_pct FROM le),
+""" + rolled(20, "near") + "," + rolled(60, "far") + """,
+ck AS MATERIALIZED (SELECT lt.*, near.sharpe, near.win_rate, near.ret, near.max_dd, sr.status AS status0, sr.validation_sharpe AS vs, sr.degraded_since AS since0,
+    CAST(lt.nth - coalesce(max(CASE WHEN pnl > 0 THEN lt.nth END) OVER (PARTITION BY lt.strategy_id ORDER BY lt.nth), 0) AS BIGINT) AS streak, coalesce(lag(near.max_dd) OVER (PARTITION BY lt.strategy_id ORDER BY lt.nth), 0) AS dd_before, far.sharpe AS ls, far.max_dd AS ld
+  FROM lt JOIN near USING (strategy_id, nth) JOIN far USING (strategy_id, nth) JOIN sr USING (strategy_id) WHERE sr.status IN ('active', 'degraded')),
+rk AS (SELECT *, sharpe >= 0.3 AND win_rate >= 0.4 AND streak < 3 AS well,
+  array_to_string(list_filter([CASE WHEN nth >= 5 AND sharpe < 0 THEN 'R1' END, CASE WHEN nth >= 10 AND win_rate < 0.3 THEN 'R2' END, CASE WHEN nth >= 5 AND vs IS NOT NULL AND max_dd > 2 * CASE WHEN dd_before = 0 THEN 5 ELSE dd_before END THEN 'R3' END, CASE WHEN nth >= 5 AND streak >= 5 THEN 'R5' END], lambda q: q IS NOT NULL), ',') AS down,
+  array_to_string(list_filter([CASE WHEN nth >= 60 AND ls < 0 THEN 'E2' END, CASE WHEN ld > 20 THEN 'E3' END, CASE WHEN vs - sharpe > 1.5 THEN 'E4' END], lambda q: q IS NOT NULL), ',') AS outs FROM ck),
+mo AS (
+  SELECT strategy_id, CAST(0 AS BIGINT) AS nth, status, degraded_since AS since, CAST(NULL AS DATE) AS t, CAST(NULL AS BIGINT) AS i, CAST('' AS VARCHAR) AS action, CAST('' AS VARCHAR) AS rules FROM sr WHERE status IN ('active', 'degraded')
+  UNION ALL
+  SELECT strategy_id, CASE WHEN action = 'expire' THEN nth - 1 ELSE nth END, CASE action WHEN 'degrade' THEN 'degraded' WHEN 'recover' THEN 'active' WHEN 'retire' THEN 'retired' WHEN 'expire' THEN 'retired' ELSE status END,
+    CASE action WHEN 'degrade' THEN t WHEN 'recover' THEN NULL ELSE since END, CASE WHEN action = 'expire' THEN CAST(since + 60 AS DATE) ELSE t END, CASE WHEN action = 'expire' THEN NULL ELSE i END, CASE WHEN action = 'expire' THEN 'retire' ELSE action END,
+    CASE action WHEN 'degrade' THEN down WHEN 'retire' THEN concat_ws(',', CASE WHEN t >= since + 60 THEN 'E1' END, nullif(outs, '')) WHEN 'expire' THEN 'E1' ELSE '' END
+  FROM (SELECT rk.*, mo.status, mo.since, CASE WHEN mo.status = 'active' THEN CASE WHEN down <> '' THEN 'degrade' ELSE 'ok' END WHEN rk.t > mo.since + 60 THEN 'expire' WHEN well THEN 'recover' WHEN outs <> '' OR coalesce(rk.t >= mo.since + 60, false) THEN 'retire' ELSE 'ok' END AS action
+        FROM mo JOIN rk ON rk.strategy_id = mo.strategy_id AND rk.nth = mo.nth + 1 WHERE mo.status <> 'retired')),
+mx AS (SELECT strategy_id, nth, 'retired' AS status, CAST(since + 60 AS DATE) AS t, CAST(NULL AS BIGINT) AS i, 'retire' AS action, 'E1' AS rules FROM (SELECT * FROM mo QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY nth DESC, (action = 'retire') DESC) = 1) WHERE status = 'degraded' AND since + 60 < (SELECT max(t) FROM lt))"""
+on_bars("st3_live_monitor", live_monitor, query("le", """SELECT m.strategy_id, m.t AS checked_at, m.i, m.nth AS n, coalesce(sharpe, 0) AS sharpe, coalesce(win_rate, 0) AS win_rate, coalesce(ret, 0) AS ret, coalesce(max_dd, 0) AS max_dd, coalesce(streak, 0) AS consec_losses, action, rules, m.status
+  FROM (SELECT strategy_id, nth, status, t, i, action, rules FROM mo WHERE action <> '' UNION ALL SELECT * FROM mx) m LEFT JOIN ck ON ck.strategy_id = m.strategy_id AND ck.nth = m.nth""", MONITOR))
 SNAP = LOG + "," + rolling_sql(20, "rs") + "," + rolling_sql(60, "rl") + "," + STRATS + """,
 sn AS (SELECT sr.*, coalesce(rs.sharpe, 0) AS sharpe, coalesce(rs.win_rate, 0) AS win_rate, coalesce(rs.max_dd, 0) AS max_dd, coalesce(rs.consec_losses, 0) AS consec_losses, coalesce(rs.all_trades, 0) AS n, coalesce(rl.sharpe, 0) AS ls, coalesce(rl.max_dd, 0) AS ld
   FROM sr LEFT JOIN rs USING (strategy_id) LEFT JOIN rl USING (strategy_id) WHERE status IN ('active', 'degraded')),
@@ -399,6 +435,21 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
 register("st1_streamed_bars", streamed_bars, ORACLE["a14_bars_from_ticks"])
 
 
+def upserted_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches put in by key: all bars, late bars of some symbols, one of them again."""
+    b = src.bars_walk(spark, sf).select(*src.COLUMNS)
+    late = delta(b).where(F.substring("symbol", 6, 1).isin("1", "7"))
+    again = late.where(F.substring("symbol", 6, 1) == "7").withColumn("volume", F.col("volume") + 1)
+    t = streaming.BucketTable(spark, streaming.shared_folder(spark, "st2"), buckets=16)
+    for n, batch in enumerate((b, late, late, again)):
+        t.merge(batch, min(n, 1) if n < 3 else 2)  # the third is the second replayed
+    return t.read(b.schema)
+
+
+register("st2_keyed_upsert", upserted_bars, query("b", f"""SELECT symbol, date, open, high, low, close, volume + CASE WHEN substring(symbol, 6, 1) = '7' THEN 1 ELSE 0 END AS volume, amount FROM delta WHERE substring(symbol, 6, 1) IN ('1', '7')
+  UNION ALL SELECT {BARS} FROM b ANTI JOIN (SELECT symbol, date FROM delta WHERE substring(symbol, 6, 1) IN ('1', '7')) USING (symbol, date)""", DELTA))
+
+
 # Set operations, orders and slices
 EARLY, LATE = "date < '1995-03-01'", "date >= '2001-11-02'"
 on_bars("u1_union", lambda b: b.where(EARLY).select("symbol", "date").unionByName(b.where(LATE).select("symbol", "date")), query("b", f"SELECT symbol, date FROM b WHERE {EARLY} UNION ALL SELECT symbol, date FROM b WHERE {LATE}"))
