@@ -4,8 +4,8 @@ Alignment. A text is encoded by both tokenizers; the cumulative byte ends of eit
 from end to token index. The intersection of the two key sets, sorted, slices both id lists into groups: the
 smallest runs of tokens that cover the same bytes. Within a slice those token pairs are linked whose ranges end together.
 
-Reuse. A blank between two characters that are no white space ends a token on both sides in any context: the byte-level
-tokenizer begins a pre-token there and no piece of the other holds a blank behind another character (checked when the vocabulary is
+Reuse. In front of a blank or line feed between two characters that are no white space a token ends on both sides in any context: the byte-level
+tokenizer begins a pre-token there and no piece of the other holds a blank behind another character, or a line feed (checked when the vocabulary is
 loaded). So a text is cut at these borders, each distinct piece is aligned once per Python worker and kept in a bounded memo, and
 the groups of a text are those of its pieces in order. A text with a piece that either tokenizer does not spell byte for byte is
 encoded whole, which decides on the joined bytes.
@@ -21,26 +21,30 @@ count for themselves; other columns are ignored; empty tables give empty results
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import with_small_batches, written
 
-#: A block's texts have about so many code points at most (a longer text is a block of its own); entries of a worker's memo.
-BLOCK_CHARS, MEMO_PIECES = 4_000_000, 250_000
-#: Characters of a piece that the memo takes; longer ones are aligned each time.
-MEMO_CHARS = 200
+#: A block's texts have about so many code points at most (a longer text is a block of its own); entries of a worker's memo, besides a block's own.
+BLOCK_CHARS, MEMO_PIECES = 2_000_000, 200_000
 #: A link is kept as the integer a * B_IDS + b.
 B_IDS = 32_768
-BORDER = re.compile(r"(?<=\S)(?= \S)")
+BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Pieces that are laid end to end and aligned at once.
+RUN_PIECES = 4096
 NO_TOKENS = (0, 0, 0, "", b"")
 
 
@@ -58,16 +62,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def align(ids_a: list[int], ids_b: list[int], len_a: list[int], len_b: list[int]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Groups of two encodings of the same bytes: the ids of either side and the links, token lengths in bytes given."""
-    ends_a, ends_b = np.cumsum(len_a).tolist(), np.cumsum(len_b).tolist()
-    index_a, index_b = {end: i for i, end in enumerate(ends_a)}, {end: i for i, end in enumerate(ends_b)}
-    from_a = from_b = 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_a, to_b = index_a[end] + 1, index_b[end] + 1
-        # Only the last token of either side ends where the slice ends; ends inside a slice are never shared.
-        yield ids_a[from_a:to_a], ids_b[from_b:to_b], [(ids_a[to_a - 1], ids_b[to_b - 1])]
-        from_a, from_b = to_a, to_b
+def align(tokens_a: list[bytes], tokens_b: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    """Where the groups of two encodings of the same bytes end: in bytes, in tokens of A and in tokens of B."""
+    index_a = dict(zip(accumulate(map(len, tokens_a)), count(1)))
+    index_b = dict(zip(accumulate(map(len, tokens_b)), count(1)))
+    ends = sorted(index_a.keys() & index_b.keys())
+    return ends, [index_a[e] for e in ends], [index_b[e] for e in ends]
+
+
+def slices(text_a: list[str], text_b: list[str], to_a: list[int], to_b: list[int]) -> list[str]:
+    """The groups as text, from the decimal ids of either side."""
+    return [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+
+
+def links_of(ids_a: list[int], ids_b: list[int], to_a: list[int], to_b: list[int]) -> array:
+    """The links of each slice: its last tokens, as only they end together; ends inside a slice are never shared."""
+    return array("i", [ids_a[j - 1] * B_IDS + ids_b[m - 1] for j, m in zip(to_a, to_b)])
+
+
+def plain(p: str) -> bool:
+    """A piece that may stand between any others: one blank or line feed in front, no white space behind it and at the end."""
+    return len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()
 
 
 class Aligner:
@@ -88,44 +103,89 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if len(pieces) > B_IDS or max(self.bytes_a) >= 2**31 // B_IDS:
             raise ValueError("id pairs of these vocabularies do not fit an integer")
-        if any(re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("the second vocabulary joins words")
+        if any(re.search("[^▁]▁|\n", p) for p in pieces):
+            raise ValueError("the second vocabulary joins words or lines")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.memo_pieces, self.memo = memo_pieces, {}
+        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, [str(i) for i in range(len(pieces))]
+        self.memo_pieces, self.fresh, self.old = memo_pieces, {}, {}
+
+    def ids_b(self, shown: list[str]) -> list[list[int]]:
+        """Ids by B, which puts a blank in front itself; before a line feed that blank is a token of its own and is dropped."""
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in shown], num_threads=1)
+        return [ids if s[0] == " " else ids[1:] for s, ids in zip(shown, found)]
 
     def aligned(self, shown: list[str]) -> list[tuple | None]:
-        """Per string that begins with a blank: counts of A, B and groups, the group string and the links; None where the bytes differ."""
+        """Per string that begins with a blank or line feed: counts of A, B and groups, the group string and the links; None where the bytes differ."""
         out: list[tuple | None] = []
+        bytes_a, bytes_b, text_a, text_b = self.bytes_a, self.bytes_b, self.text_a, self.text_b
         all_a = self.a.encode_batch(shown, add_special_tokens=False)
-        all_b = self.b.encode([s[1:] for s in shown], num_threads=1)
+        all_b = self.ids_b(shown)
         for text, a, ids_b in zip(shown, all_a, all_b):
             ids_a, raw = a.ids, text.encode("utf-8", "surrogatepass")
-            tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+            tokens_a, tokens_b = [bytes_a[i] for i in ids_a], [bytes_b[i] for i in ids_b]
             if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
                 out.append(None)
                 continue
-            groups, links = [], []
-            for part_a, part_b, linked in align(ids_a, ids_b, list(map(len, tokens_a)), list(map(len, tokens_b))):
-                groups.append(",".join(map(str, part_a)) + "|" + ",".join(map(str, part_b)))
-                links += [x * B_IDS + y for x, y in linked]
-            out.append((len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, dtype=np.int32).tobytes()))
+            ends, to_a, to_b = align(tokens_a, tokens_b)
+            shape = ";".join(slices([text_a[i] for i in ids_a], [text_b[i] for i in ids_b], to_a, to_b))
+            out.append((len(ids_a), len(ids_b), len(ends), shape, links_of(ids_a, ids_b, to_a, to_b).tobytes()))
+        return out
+
+    def learn(self, pieces: set[str]) -> dict[str, tuple | None]:
+        """What is known of all these pieces. Of two generations the older is dropped once the newer is full, so pieces in use stay."""
+        if len(self.fresh) > self.memo_pieces // 2:
+            self.fresh, self.old = {}, self.fresh
+        known, missing = self.fresh, []
+        for p in pieces:
+            if p not in known:
+                if p in self.old:
+                    known[p] = self.old[p]
+                else:
+                    missing.append(p)
+        runs, others = [], []
+        for p in missing:
+            (runs if plain(p) else others).append(p)
+        for part, way in ((runs, self.aligned_run), (others, self.aligned)):
+            for at in range(0, len(part), RUN_PIECES):
+                known.update(zip(part[at : at + RUN_PIECES], way(part[at : at + RUN_PIECES])))
+        return known
+
+    def aligned_run(self, pieces: list[str]) -> list[tuple | None]:
+        """``aligned`` of plain pieces, laid end to end: a common end lies at every border, so one pair of dictionaries serves them all."""
+        text = "".join(pieces)
+        ids_a = [i for e in self.a.encode_batch(["".join(pieces[at : at + 64]) for at in range(0, len(pieces), 64)], add_special_tokens=False) for i in e.ids]
+        ids_b = list(chain.from_iterable(self.ids_b(pieces)))
+        tokens_a, tokens_b, raw = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], text.encode("utf-8", "surrogatepass")
+        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
+            return self.aligned(pieces)
+        ends, to_a, to_b = align(tokens_a, tokens_b)
+        place, links = dict(zip(ends, count(1))), links_of(ids_a, ids_b, to_a, to_b)
+        shapes = slices([self.text_a[i] for i in ids_a], [self.text_b[i] for i in ids_b], to_a, to_b)
+        out, at, border, n_a, n_b = [], 0, 0, 0, 0
+        for p in pieces:
+            border += len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))
+            upto = place.get(border)
+            if upto is None:
+                return self.aligned(pieces)
+            x, y = to_a[upto - 1], to_b[upto - 1]
+            out.append((x - n_a, y - n_b, upto - at, ";".join(shapes[at:upto]), links[at:upto].tobytes()))
+            at, n_a, n_b = upto, x, y
         return out
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """The same for whole texts, pieced together from the memo; texts without tokens give zeros."""
+        gc.disable()  # strings and tuples of numbers by the million and not one cycle: walking them again and again takes a third of the time
+        try:
+            return self.pieced(texts)
+        finally:
+            gc.enable()
+
+    def pieced(self, texts: list[str]) -> list[tuple]:
         split = [BORDER.split(" " + t) if t else [] for t in texts]
-        missing = list({p for pieces in split for p in pieces if p not in self.memo})
-        if len(self.memo) + len(missing) > self.memo_pieces:
-            self.memo.clear()
-            missing = list({p for pieces in split for p in pieces})
-        known, late = self.memo, {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for p, found in zip(part, self.aligned(part)):
-                (known if len(p) <= MEMO_CHARS else late)[p] = found
+        known = self.learn(set(chain.from_iterable(split)))
         out = []
         for text, pieces in zip(texts, split):
-            parts = [known[p] if p in known else late[p] for p in pieces]
+            parts = [known[p] for p in pieces]
             if None in parts:
                 out.append(self.aligned([" " + text])[0] or NO_TOKENS)
             elif parts:
@@ -200,7 +260,7 @@ def score_block(docs: pa.Table, weights: pa.Table) -> pa.Table:
     order = np.argsort(link)
     link, n, best = link[order], n[order], best[order].astype(np.int64)
     lists = docs.column("links").combine_chunks()
-    flat, lengths = lists.flatten().to_numpy(), np.array([len(x) for x in lists], dtype=np.int64) if len(lists) else np.zeros(0, np.int64)
+    flat, lengths = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
     at = np.searchsorted(link, flat)
     before = lambda v: np.concatenate([[0], np.cumsum(v)]).astype(np.int64)
     ends = before(lengths)
