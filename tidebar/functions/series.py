@@ -68,6 +68,55 @@ def signed_share(x: Column, scale: float) -> Column:
     return F.signum(x) * F.least(F.abs(x) / scale, F.lit(1.0))
 
 
+#: A weight below this part of the newest one is lost in a double.
+LOST = 1e-18
+
+
+def with_ema(df: DataFrame, series: dict[str, tuple[Column, float, Column]]) -> DataFrame:
+    """Adds exponential means ``name: (x, alpha, first)``: ``first`` at a symbol's first row, then ``alpha * x`` plus ``1 - alpha`` of the row before.
+
+    A scan by doubling: the sum over ``n`` rows with weights q**age and the same sum ``n`` rows earlier, times q**n, make the sum over ``2 * n`` rows. It ends
+    when the weight of an older row is lost in a double, so every value is a sum over a bounded number of rows (``ema_memory``) and no state is carried along.
+    """
+    df = df.withColumns({name: F.when(row_no() == 1, first).otherwise(x * alpha) for name, (x, alpha, first) in series.items()})
+    n = 1
+    while live := {name: (1 - alpha) ** n for name, (_, alpha, _) in series.items() if (1 - alpha) ** n >= LOST}:
+        df = df.withColumns({name: F.col(name) + F.coalesce(lag(name, n), F.lit(0.0)) * weight for name, weight in live.items()})
+        n *= 2
+    return df
+
+
+def ema_memory(alpha: float) -> int:
+    """Rows that an exponential mean looks back on."""
+    n = 1
+    while (1 - alpha) ** n >= LOST:
+        n *= 2
+    return n
+
+
+def by_segments(bars: DataFrame, op: Callable[[DataFrame], DataFrame], memory: int, bucket: Column, rows: int = 65_536) -> DataFrame:
+    """``op`` over segments of each symbol's series, so that one long series is the work of many tasks.
+
+    ``op`` maps bars to rows with ``symbol, date`` and looks back at most ``memory`` rows; each segment of ``rows`` rows gets that many rows in front,
+    whose results are dropped. Rows are numbered without a pass over a whole symbol: within ``bucket`` (any expression that rises with the date, a year say), plus
+    the counts of the buckets before.
+    """
+    rows = max(rows, memory)
+    sized = bars.withColumn("__bucket", bucket)
+    counts = sized.groupBy("symbol", "__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("symbol").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("symbol", "__bucket").orderBy("date")) - 1
+    placed = sized.withColumn("__at", place).join(counts.select("symbol", "__bucket", before.alias("__before")), ["symbol", "__bucket"]).withColumn("__at", F.col("__at") + F.col("__before"))
+    own = F.floor(F.col("__at") / rows)
+    both = F.when(F.col("__at") % rows >= rows - memory, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumn("__own", own).withColumn("__segment", F.explode(both))
+    # A segment stands for a symbol of its own; which rows are its own is looked up by the date where it begins.
+    key = F.concat_ws("#", F.col("__segment"), F.col("symbol"))
+    starts = spread.where("__segment = __own").groupBy(key.alias("symbol")).agg(F.min("date").alias("__from"))
+    out = op(spread.withColumn("symbol", key).select(*bars.columns))
+    return out.join(starts, "symbol").where(F.col("date") >= F.col("__from")).withColumn("symbol", F.expr("substring(symbol, instr(symbol, '#') + 1)")).drop("__from")
+
+
 BLOCK = 64  # bars that are folded as one array
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import by_date, row_no, change, fold_series, frame, lag, max_rows, mean_rows, min_rows, settled, strict
+from ..functions.series import by_date, by_segments, ema_memory, row_no, change, frame, lag, max_rows, mean_rows, min_rows, settled, strict, with_ema
 
 DAYS = 252
 
@@ -92,38 +92,54 @@ def rsi_windowed(bars: DataFrame) -> DataFrame:
     return with_rsi_window(d).select("symbol", "date", "rsi_window")
 
 
+def exponential_averages(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
+    """Exponential means with weight 2 / (p + 1), from the first close on."""
+    c = F.col("close")
+    return with_ema(bars, {f"ema{p}": (c, 2 / (p + 1), c) for p in periods}).select("symbol", "date", *[f"ema{p}" for p in periods])
+
+
+def with_wilder_rsi(df: DataFrame, name: str = "rsi14") -> DataFrame:
+    """Adds the RSI of the whole history by Wilder's recursion, 50 at the first bar."""
+    d, zero = F.coalesce(F.col("close") - lag("close"), F.lit(0.0)), F.lit(0.0)
+    out = with_ema(df.withColumn("__d", d), {"__gain": (F.greatest("__d", zero), 1 / 14, zero), "__loss": (F.greatest(-F.col("__d"), zero), 1 / 14, zero)})
+    return out.withColumn(name, F.when(row_no() == 1, 50.0).otherwise(100 - 100 / (1 + F.col("__gain") / (F.col("__loss") + 1e-10)))).drop("__d", "__gain", "__loss")
+
+
+#: The longest mean here has the weight 1 / 14; nine rows more are those of the stochastic range.
+RECURSIVE_MEMORY = ema_memory(1 / 14) + ema_memory(1 / 5) + 10
+
+
+def with_recursive(df: DataFrame) -> DataFrame:
+    """Adds EMA, MACD, Wilder RSI, KDJ and ATR to bars. All are exponential means, so they are scans over the symbol's one sort."""
+    c, zero = F.col("close"), F.lit(0.0)
+    b = with_wilder_rsi(df.withColumns({"__tr": true_range(), "__rsv": rsv()}))
+    b = with_ema(b, {"ema12": (c, 2 / 13, c), "ema26": (c, 2 / 27, c), "k": (F.col("__rsv"), 1 / 3, F.col("__rsv")), "atr14": (F.col("__tr"), 2 / 15, F.col("__tr"))})
+    b = b.withColumn("macd", F.col("ema12") - F.col("ema26"))
+    b = with_ema(b, {"signal": (F.col("macd"), 0.2, zero), "d": (F.col("k"), 1 / 3, F.col("k"))})
+    return b.withColumns({"hist": F.col("macd") - F.col("signal"), "j": 3 * F.col("k") - 2 * F.col("d")}).drop("__tr", "__rsv")
+
+
+RECURSIVE = ["ema12", "ema26", "macd", "signal", "hist", "rsi14", "k", "d", "j", "atr14"]
+
+
 def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """EMA, MACD, Wilder RSI, KDJ and ATR of each bar, all in one fold per symbol."""
-    inputs = bars.select(
-        "symbol", "date", F.col("close").alias("c"), true_range().alias("tr"), rsv().alias("rsv"), F.coalesce(F.col("close") - lag("close"), F.lit(0.0)).alias("d"))
-    ema = lambda old, x, a: a * x + (1 - a) * old
-
-    def begin(x: Column) -> Column:
-        zero = F.lit(0.0)
-        return F.struct(x["c"].alias("ema12"), x["c"].alias("ema26"), zero.alias("signal"), zero.alias("gain"), zero.alias("loss"), x["rsv"].alias("k"), x["rsv"].alias("d"), x["tr"].alias("atr"))
-
-    def step(s: Column, x: Column) -> Column:
-        e12, e26 = ema(s["ema12"], x["c"], 2 / 13), ema(s["ema26"], x["c"], 2 / 27)
-        k = ema(s["k"], x["rsv"], 1 / 3)
-        return F.struct(
-            e12.alias("ema12"), e26.alias("ema26"), ema(s["signal"], e12 - e26, 0.2).alias("signal"),
-            ema(s["gain"], F.greatest(x["d"], F.lit(0.0)), 1 / 14).alias("gain"), ema(s["loss"], F.greatest(-x["d"], F.lit(0.0)), 1 / 14).alias("loss"),
-            k.alias("k"), ema(s["d"], k, 1 / 3).alias("d"), ema(s["atr"], x["tr"], 2 / 15).alias("atr"))
-
-    s = fold_series(inputs, ["c", "tr", "rsv", "d"], begin, step)
-    rsi = 100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-10))
-    return s.select(
-        "symbol", "date", "ema12", "ema26", (F.col("ema12") - F.col("ema26")).alias("macd"), "signal", (F.col("ema12") - F.col("ema26") - F.col("signal")).alias("hist"),
-        F.when(row_no() == 1, 50.0).otherwise(rsi).alias("rsi14"), "k", "d", (3 * F.col("k") - 2 * F.col("d")).alias("j"), F.col("atr").alias("atr14"))
+    """EMA, MACD, Wilder RSI, KDJ and ATR of each bar."""
+    return with_recursive(bars).select("symbol", "date", *RECURSIVE)
+
+
+def recursive_by_segments(bars: DataFrame, bucket: Column, rows: int = 65_536) -> DataFrame:
+    """The same with every symbol's series cut into segments, for series too long for one task."""
+    return by_segments(bars.select("symbol", "date", "high", "low", "close"), recursive_indicators, RECURSIVE_MEMORY, bucket, rows)
 
 
 def calculate_all(bars: DataFrame) -> DataFrame:
     """All indicators in one wide row per bar."""
+    averages = [f"ma{p}" for p in (5, 20, 60, 120)]
     wide = bars.select(
-        "symbol", "date", "close", *[mean_rows("close", 1 - p).alias(f"ma{p}") for p in (5, 20, 60, 120)], mean_rows("volume", -19).alias("vol_ma20"),
+        "symbol", "date", "high", "low", "close", *[mean_rows("close", 1 - p).alias(f"ma{p}") for p in (5, 20, 60, 120)], mean_rows("volume", -19).alias("vol_ma20"),
         strict(F.stddev_samp("close").over(frame(-19)), 20).alias("sd"))
-    wide = wide.withColumn("bb_upper", F.col("ma20") + 2 * F.col("sd")).withColumn("bb_lower", F.col("ma20") - 2 * F.col("sd")).drop("sd")
-    return wide.join(recursive_indicators(bars), ["symbol", "date"])
+    wide = wide.withColumn("bb_upper", F.col("ma20") + 2 * F.col("sd")).withColumn("bb_lower", F.col("ma20") - 2 * F.col("sd"))
+    return with_recursive(wide).select("symbol", "date", "close", *averages, "vol_ma20", "bb_upper", "bb_lower", *RECURSIVE)
 
 
 def calculate_all_batch(bars: DataFrame) -> DataFrame:

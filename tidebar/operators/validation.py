@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +23,34 @@ def walk_windows(bars: DataFrame, train: int = TRAIN, valid: int = VALID, step:
     return w.select("symbol", F.col("w").cast("long").alias("w"), lo.alias("train_from"), (lo + train).alias("train_to"), (lo + train).alias("valid_from"), (lo + train + valid).alias("valid_to"))
 
 
-def window_metrics(windows: DataFrame, trades: DataFrame, curve: DataFrame) -> DataFrame:
-    """Trades, win rate, return and Sharpe inside and outside the sample of each window.
+def in_windows(rows: DataFrame, windows: DataFrame, train: int, valid: int, step: int) -> DataFrame:
+    """``rows`` (symbol, i, ...) once for every window part that holds them: adds ``w`` and ``part``.
+
+    Windows begin at multiples of ``step``, so the numbers of those around a row follow from its index; an equi-join then keeps those that the symbol has.
+    """
+    def around(part: str, start: int, length: int) -> Column:
+        lo, hi = F.greatest(F.lit(0), F.ceil((F.col("i") - start - length + 1) / step)).cast("int"), F.floor((F.col("i") - start) / step).cast("int")
+        none = F.array().cast("array<struct<part:string,w:bigint>>")
+        return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda w: F.struct(F.lit(part).alias("part"), w.cast("long").alias("w")))).otherwise(none)
+
+    spread = rows.withColumn("at", F.explode(F.concat(around("in", 0, train), around("out", train, valid)))).select(*rows.columns, "at.part", "at.w")
+    return spread.join(windows.select("symbol", "w"), ["symbol", "w"])
+
+
+def window_metrics(windows: DataFrame, trades: DataFrame, curve: DataFrame, train: int = TRAIN, valid: int = VALID, step: int = STEP) -> DataFrame:
+    """Trades, win rate, return and Sharpe inside and outside the sample of each window of ``walk_windows`` (of the same sizes).
 
-    Warm-up is read from the bars before a slice, so validation slices have trades. Windows meet bars by an equi-join on an exploded index.
+    Warm-up is read from the bars before a slice, so validation slices have trades.
     """
-    slices = windows.select("symbol", "w", F.explode(F.array(
-        F.struct(F.lit("in").alias("part"), F.col("train_from").alias("lo"), F.col("train_to").alias("hi")), F.struct(F.lit("out").alias("part"), F.col("valid_from").alias("lo"), F.col("valid_to").alias("hi")))).alias("s"))
-    points = slices.select("symbol", "w", "s.part", F.explode(F.sequence(F.col("s.lo"), F.col("s.hi") - 1)).alias("i")).join(curve.select("symbol", "i", "total"), ["symbol", "i"])
+    slices = windows.select("symbol", "w", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("part"))
+    points = in_windows(curve.select("symbol", "i", "total"), windows, train, valid, step)
     by = Window.partitionBy("symbol", "w", "part").orderBy("i")
     r = points.withColumn("r", F.col("total") / F.lag("total").over(by) - 1)
     eq = r.groupBy("symbol", "w", "part").agg(
         (F.max_by("total", "i") / F.min_by("total", "i") - 1).alias("ret"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"))
-    t = slices.join(trades.select("symbol", "i", "pnl"), "symbol").where("i >= s.lo and i < s.hi").groupBy("symbol", "w", "s.part").agg(
+    t = in_windows(trades.select("symbol", "i", "pnl"), windows, train, valid, step).groupBy("symbol", "w", "part").agg(
         F.count("*").alias("trades"), F.avg((F.col("pnl") > 0).cast("int")).alias("win_rate"))
-    both = slices.select("symbol", "w", "s.part").join(eq, ["symbol", "w", "part"], "left").join(t, ["symbol", "w", "part"], "left")
+    both = slices.join(eq, ["symbol", "w", "part"], "left").join(t, ["symbol", "w", "part"], "left")
     n = F.coalesce("trades", F.lit(0))
     sharpe = F.when((n > 0) & (F.col("sd") > 0), (F.col("mu") - 0.03 / 252) / F.col("sd") * (252**0.5)).otherwise(0.0)
     return both.select(
@@ -52,19 +70,63 @@ def t_statistics(rets: DataFrame, key: str = "symbol") -> DataFrame:
     return a.where("n > 1").select(key, "n", F.round("mu", 8).alias("mu"), F.round(t, 4).alias("tstat"), F.round(F.greatest(F.lit(0.0), 0.5 * (1 - F.tanh(t / (2**0.5)))), 4).alias("pvalue"))
 
 
-def bootstrap(rets: DataFrame, replicates: int = 200, key: str = "symbol", seed: int = 42) -> DataFrame:
-    """Bounds of the annual mean return: each row gets a hash-seeded Poisson(1) weight in each replicate, so no resample is built."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("date"), F.col("b"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    terms = [0.36787944117144233]
-    for k in range(1, 8):
-        terms.append(terms[-1] / k)
-    total, weight = 0.0, F.lit(0)
-    for p in terms:
+PRIME = 2**31 - 1
+
+
+def poisson_cuts(most: int = 8) -> list[int]:
+    """Where a uniform integer below PRIME passes the distribution of Poisson(1)."""
+    p, total, cuts = math.exp(-1), 0.0, []
+    for k in range(most):
         total += p
-        weight = weight + (u > total).cast("int")
-    rows = rets.where("r is not null").select(key, "date", "r", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("weight", weight)
-    means = rows.groupBy(key, "b").agg((F.sum(F.col("r") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0))).alias("m"))
-    return means.groupBy(key).agg(
+        cuts.append(int(total * PRIME))
+        p /= k + 1
+    return cuts
+
+
+POISSON_CUTS = poisson_cuts()
+#: Symbols whose sums a task holds, and rows that are weighed at once.
+HELD_KEYS, WEIGHED_ROWS = 256, 256
+
+
+def bootstrap(rets: DataFrame, replicates: int = 200, key: str = "symbol", seed: int = 42) -> DataFrame:
+    """Bounds of the annual mean return of returns (key, date, r): each row gets a Poisson(1) weight in each replicate, so no resample is built.
+
+    The weight of replicate k follows from ``(h1 * m(k) + h2) mod PRIME`` with two numbers h1, h2 out of the row's md5 (key, date, seed), which is independent between
+    rows and pairwise between replicates. Tasks keep sums of ``r * weight`` and ``weight`` per key and replicate as arrays and hand on one row a key; no row is
+    multiplied by the replicates.
+    """
+    h = F.md5(F.concat_ws("|", F.col(key), F.date_format("date", "yyyy-MM-dd"), F.lit(str(seed))))
+    number = lambda start: F.conv(F.substring(h, start, 7), 16, 10).cast("long")
+    rows = rets.where("r is not null").select(F.col(key).cast("string").alias("key"), "r", number(1).alias("h1"), number(8).alias("h2"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = (np.arange(1, replicates + 1, dtype=np.int64) * 48271 + 11) % PRIME
+        held: dict[str, list[np.ndarray]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([list(s) for s, _ in held.values()]), pa.array([list(w) for _, w in held.values()])], ["key", "total", "weight"])
+            held.clear()
+
+        for batch in batches:
+            keys, r, h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for at in range(0, len(keys), WEIGHED_ROWS):
+                part = slice(at, at + WEIGHED_ROWS)
+                u = (h1[part, None] * m + h2[part, None]) % PRIME
+                w = sum((u >= cut).astype(np.int8) for cut in POISSON_CUTS)
+                own = keys[part]
+                for k in dict.fromkeys(own):
+                    here = own == k
+                    total, weight = held.setdefault(k, [np.zeros(replicates), np.zeros(replicates, np.int64)])
+                    total += r[part][here] @ w[here]
+                    weight += w[here].sum(axis=0, dtype=np.int64)
+            if len(held) > HELD_KEYS:
+                yield from flushed()
+        yield from flushed()
+
+    parts = rows.mapInArrow(sums, "key string, total array<double>, weight array<bigint>")
+    each = parts.select("key", F.posexplode(F.arrays_zip("total", "weight"))).groupBy("key", "pos").agg((F.sum("col.total") / F.nullif(F.sum("col.weight"), F.lit(0))).alias("m"))
+    return each.groupBy(F.col("key").alias(key)).agg(
         F.round(F.percentile("m", 0.05) * 25200, 2).alias("ci_lo"), F.round(F.percentile("m", 0.95) * 25200, 2).alias("ci_hi"), F.round(F.avg((F.col("m") > 0).cast("int")), 3).alias("pos_rate"))
 
 

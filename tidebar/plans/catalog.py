@@ -19,7 +19,7 @@ QUERIES: dict[str, Build] = {}
 ORACLE: dict[str, str] = {}
 #: Queries whose plans read the bars in several branches.
 SHARED = set("""
-e7_calculate_all i6_signals sg9_actions sg10_scan tp7_pyramid_adds k3_scan_top k7_batch_actions a12_action_distribution e8_calculate_all_batch sg8_style_signals fa5_series_rsi v7_judge mo4_snapshot re5_recommended re6_rotation st3_live_monitor
+sg9_actions sg10_scan tp7_pyramid_adds k3_scan_top k7_batch_actions a12_action_distribution e8_calculate_all_batch sg8_style_signals v7_judge mo4_snapshot re5_recommended re6_rotation st3_live_monitor
 """.split())
 #: A limit that the test bars do reach.
 LOW_LIMIT = 0.03
@@ -87,6 +87,26 @@ def bodies(bars: DataFrame) -> DataFrame:
     return b.groupBy("symbol").agg(F.concat(F.lit('quote_x({"data":"'), F.array_join(F.sort_array(F.collect_list("line")), ";"), F.lit(';bad,row"});')).alias("body"))
 
 
+def spoilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies in which some lines are spoilt, by the day of the month: too short, no date, no price, no whole volume, without a volume."""
+    b = src.bars_walk(spark, sf)
+    day, text = F.dayofmonth("date"), F.date_format("date", "yyyyMMdd")
+    price = lambda c: F.format_string("%.4f", c)
+    whole = F.concat_ws(",", F.when(day == 3, F.lit("20011341")).otherwise(text), price("open"), F.when(day == 5, F.lit("n/a")).otherwise(price("high")), price("low"), price("close"), F.when(day == 7, F.lit("12.5")).otherwise(F.format_string("%.0f", "volume")), F.when(day == 9, price("amount")))
+    line = F.when(day == 2, F.concat_ws(",", text, price("open"))).when(day == 4, F.concat_ws(",", text, price("open"), price("high"), price("low"), price("close"))).otherwise(whole)
+    own = b.select("symbol", F.concat_ws("\u0001", text, line).alias("line"))
+    body = F.transform(F.sort_array(F.collect_list("line")), lambda x: F.element_at(F.split(x, "\u0001"), 2))
+    return own.groupBy("symbol").agg(F.concat(F.lit('quote_x({"data":"'), F.array_join(body, ";"), F.lit(';"});')).alias("body"))
+
+
+SPOILT = """sp AS (SELECT symbol, date, day(date) AS d, open, high, low, close, volume, CASE WHEN day(date) = 9 THEN amount ELSE 0 END AS amount,
+  CASE WHEN day(date) IN (2, 4) THEN 'fields' WHEN day(date) = 3 THEN 'date' WHEN day(date) = 5 THEN 'price' WHEN day(date) = 7 THEN 'volume' END AS reason FROM b)"""
+register("s9_strict_payload", lambda spark, sf: rounded(src.parse_strict(spoilt(spark, sf)).where("reason is null").drop("line", "reason"), 4),
+         query("b", "SELECT symbol, date, open, high, low, close, volume, round(amount + 1e-9, 4) AS amount FROM sp WHERE reason IS NULL", SPOILT))
+register("s9_quarantine", lambda spark, sf: src.parse_strict(spoilt(spark, sf)).where("reason is not null").groupBy("symbol", "reason").agg(F.count("*").alias("n"), F.max("line").alias("last_line")),
+         query("b", """SELECT symbol, reason, count(*) AS n, max(CASE d WHEN 2 THEN t || ',' || printf('%.4f', open) WHEN 4 THEN concat_ws(',', t, printf('%.4f', open), printf('%.4f', high), printf('%.4f', low), printf('%.4f', close))
+  ELSE concat_ws(',', CASE WHEN d = 3 THEN '20011341' ELSE t END, printf('%.4f', open), CASE WHEN d = 5 THEN 'n/a' ELSE printf('%.4f', high) END, printf('%.4f', low), printf('%.4f', close), CASE WHEN d = 7 THEN '12.5' ELSE printf('%.0f', volume) END) END) AS last_line
+  FROM (SELECT *, strftime(date, '%Y%m%d') AS t FROM sp) WHERE reason IS NOT NULL GROUP BY 1, 2""", SPOILT))
 register("s9_parse_payload", lambda spark, sf: src.parse_payloads(payloads(spark, sf)), query("b", "SELECT symbol, date, open, high, low, close, volume, 0.0::DOUBLE AS amount FROM b"))
 on_bars("p2_normalise_bars", lambda b: src.normalise_bars(b.select("symbol", "date", "close")),
         query("b", "SELECT symbol, date, close AS open, round(close * 1.005::DOUBLE + 1e-9, 6) AS high, round(close * 0.995::DOUBLE + 1e-9, 6) AS low, close, 1.0::DOUBLE AS volume, 0.0::DOUBLE AS amount FROM b"))
@@ -276,7 +296,12 @@ on_bars("v2_window_metrics", windows_of, query("eq", "SELECT * FROM wm", WINDOWS
 on_bars("v3_split_sample", validation.split_sample, query("b", "SELECT symbol, date, CASE WHEN rn <= floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE + 1e-9) THEN 'in' ELSE 'out' END AS part FROM b"))
 on_bars("v4_t_statistics", lambda b: validation.t_statistics(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r"))),
         query("b", "SELECT symbol, n, round(mu, 8) AS mu, round(t, 4) AS tstat, round(greatest(0, 0.5 * (1 - tanh(t / sqrt(2)))), 4) AS pvalue FROM (SELECT symbol, count(r) AS n, avg(r) AS mu, avg(r) / (stddev_samp(r) / sqrt(count(r)) + 1e-10) AS t FROM (SELECT symbol, close / c1 - 1 AS r FROM b) GROUP BY 1)").replace("round(mu, 8)", "round(round(mu, 8), 6)"))
-on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 2000))
+CUTS = ", ".join(map(str, validation.POISSON_CUTS))
+on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 2000), query("b", f"""SELECT symbol, round(quantile_cont(m, 0.05) * 25200, 2) AS ci_lo, round(quantile_cont(m, 0.95) * 25200, 2) AS ci_hi, round(avg((m > 0)::INT), 3) AS pos_rate
+  FROM (SELECT symbol, k, sum(r * w) / nullif(sum(w), 0) AS m FROM (SELECT symbol, k, r, {' + '.join(f'(u >= {c})::INT' for c in validation.POISSON_CUTS)} AS w FROM bu) GROUP BY 1, 2) GROUP BY 1""", f"""
+bh AS (SELECT symbol, close / c1 - 1 AS r, md5(symbol || '|' || strftime(date, '%Y-%m-%d') || '|42') AS h FROM b WHERE c1 IS NOT NULL),
+bi AS (SELECT symbol, r, ('0x' || substr(h, 1, 7))::BIGINT AS h1, ('0x' || substr(h, 8, 7))::BIGINT AS h2 FROM bh),
+bu AS (SELECT symbol, r, k, (h1 * ((k * 48271 + 11) % {validation.PRIME}) + h2) % {validation.PRIME} AS u FROM bi, range(1, 2001) t(k))"""))
 CONSIST = WINDOWS + """,
 vc AS (SELECT symbol, count(*) AS n_windows, CAST(sum(trades) AS BIGINT) AS out_trades, count(*) FILTER (trades >= 2) AS n_valid, round(coalesce(avg((ret_pct > 0)::INT) FILTER (trades >= 2), 0), 6) AS consistency,
   round(coalesce(avg(ret_pct) FILTER (trades >= 2), 0), 6) AS avg_out_ret, round(coalesce(avg(sharpe) FILTER (trades >= 2), 0), 6) AS avg_out_sharpe, round(coalesce(avg(win_rate) FILTER (trades >= 2), 0), 6) AS avg_out_win_rate FROM wm WHERE part = 'out' GROUP BY 1)"""
@@ -596,9 +621,8 @@ on_bars("re9_recorded_trades", lambda b: log_of(b).unionByName(log_of(b).groupBy
         query("le", "SELECT strategy_id, i, round(pnl, 6) AS pnl, round(pnl_pct, 6) AS pnl_pct FROM lg UNION ALL SELECT strategy_id, max(i) + 1, 0, 0 FROM lg GROUP BY 1", LOG))
 on_bars("re10_notes", lambda b: registry.with_notes(strategies_of(b).select("strategy_id", "status"), transitions_of(b).withColumnRenamed("to_status", "note")).select("strategy_id", "status", F.array_join("notes", ";").alias("notes")),
         query("b", "SELECT strategy_id, status, coalesce((SELECT string_agg(strftime(pos, '%Y-%m-%d') || ' ' || to_status, ';' ORDER BY pos, to_status) FROM tl WHERE tl.strategy_id = sr.strategy_id), '') AS notes FROM sr", TRANS + "," + STRATS))
-on_bars("fa5_series_rsi", lambda b: factors.score(b.join(indicators.recursive_indicators(b).select("symbol", "date", "rsi14"), ["symbol", "date"]), series="rsi14").select("symbol", "date", "rsi_w", "rsi", "reason", "total_score", "grade"),
-        query("fa e", "SELECT symbol, date, round(rsi_w, 6) AS rsi_w, rsi, reason, total_score, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM z3", """
-z1 AS (SELECT f3.*, rsi14 AS rsi_w FROM f3 JOIN i USING (symbol, date)),
-z2 AS (SELECT *, CASE WHEN rsi_w >= 50 AND rsi_w <= 65 THEN 1.0 WHEN rsi_w >= 45 AND rsi_w < 50 THEN 0.85 WHEN rsi_w > 65 AND rsi_w <= 72 THEN 0.75 WHEN rsi_w >= 40 AND rsi_w < 45 THEN 0.60 WHEN rsi_w > 72 AND rsi_w <= 80 THEN 0.50 WHEN rsi_w > 80 THEN 0.20 ELSE 0.35 END AS rsi,
-  CASE WHEN rn < 125 THEN 'short_history' WHEN vol20 < 1e5 THEN 'low_volume' WHEN close < m120 * (1 - 0.12) THEN 'below_cost' WHEN rsi_w < 20 THEN 'oversold' END AS reason FROM z1),
-z3 AS (SELECT *, CASE WHEN reason IS NULL THEN round(0.0::DOUBLE + momentum * 35 + turnover * 20 + trend * 20 + rsi * 10 + vol_price * 10 + cost * 5, 2) ELSE 0 END AS total_score FROM z2)"""[1:]))
+on_bars("fa5_series_rsi", lambda b: factors.score(indicators.with_wilder_rsi(b), series="rsi14").select("symbol", "date", "rsi_w", "rsi", "reason", "total_score", "grade"),
+        query("fs", "SELECT symbol, date, round(rsi_w, 6) AS rsi_w, rsi::DOUBLE AS rsi, reason, total_score, grade FROM fs"))
+on_bars("w3_exponential_averages", indicators.exponential_averages, query("b", f"SELECT symbol, date, {r6('ema5', 'ema10', 'ema20', 'ema60')} FROM em", """em AS (
+  SELECT symbol, date, rn, close AS ema5, close AS ema10, close AS ema20, close AS ema60 FROM b WHERE rn = 1
+  UNION ALL SELECT b.symbol, b.date, b.rn, """ + ", ".join(f"ema{p} + (b.close - ema{p}) * 2 / {p + 1}" for p in (5, 10, 20, 60)) + " FROM em JOIN b ON b.symbol = em.symbol AND b.rn = em.rn + 1)"))

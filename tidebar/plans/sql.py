@@ -138,6 +138,14 @@ f5 AS (SELECT *, reason IS NULL AS passed, CASE WHEN reason IS NULL THEN round(0
 fa AS MATERIALIZED (SELECT *, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM f5)"""
 
 
+PARTS["fs"] = """
+fs1 AS (SELECT f3.*, rsi14 AS rsi_w FROM f3 JOIN i USING (symbol, date)),
+fs2 AS (SELECT *, CASE WHEN rsi_w >= 50 AND rsi_w <= 65 THEN 1.0 WHEN rsi_w >= 45 AND rsi_w < 50 THEN 0.85 WHEN rsi_w > 65 AND rsi_w <= 72 THEN 0.75 WHEN rsi_w >= 40 AND rsi_w < 45 THEN 0.60 WHEN rsi_w > 72 AND rsi_w <= 80 THEN 0.50 WHEN rsi_w > 80 THEN 0.20 ELSE 0.35 END AS rsi,
+  CASE WHEN rn < 125 THEN 'short_history' WHEN vol20 < 1e5 THEN 'low_volume' WHEN close < m120 * (1 - 0.12) THEN 'below_cost' WHEN rsi_w < 20 THEN 'oversold' END AS reason FROM fs1),
+fs3 AS (SELECT *, reason IS NULL AS passed, CASE WHEN reason IS NULL THEN round(0.0::DOUBLE + momentum * 35 + turnover * 20 + trend * 20 + rsi * 10 + vol_price * 10 + cost * 5, 2) ELSE 0 END AS total_score FROM fs2),
+fs AS MATERIALIZED (SELECT *, CASE WHEN total_score >= 75 THEN 'A' WHEN total_score >= 60 THEN 'B' WHEN total_score >= 45 THEN 'C' ELSE 'D' END AS grade FROM fs3)"""
+
+
 def vr(a: str, b: str) -> str:
     return f"{a} / ({b} + 1e-8)"
 
@@ -185,11 +193,11 @@ def signal_parts(
 {name} AS (SELECT *, generated AND stop < entry AND entry < target AND (target - entry) / (entry - stop + 1e-8) >= 1.3 AND conf >= 0.45 AS valid FROM {name}3)"""
 
 
-PARTS["sg"] = "\nsgin AS (SELECT pf.*, pf.rn AS n, regime, max_position, max_positions, tradeable, total_score, passed, grade FROM pf JOIN rg USING (symbol, date) JOIN fa USING (symbol, date))," + signal_parts("sgin", "sg")
+PARTS["sg"] = "\nsgin AS (SELECT pf.*, pf.rn AS n, regime, max_position, max_positions, tradeable, total_score, passed, grade FROM pf JOIN rg USING (symbol, date) JOIN fs AS fa USING (symbol, date))," + signal_parts("sgin", "sg")
 
 PARTS["ca"] = """
 cin AS (SELECT b.symbol, b.date, b.rn - 1 AS i, pf.close, pf.atr, pf.low5, pf.prev_high, pf.high60, pf.vr, pf.ret5, pf.rn AS n, rg.regime, rg.max_position, rg.max_positions, rg.tradeable, fa.total_score, fa.passed
-  FROM b JOIN pf ON pf.symbol = b.symbol AND pf.rn = b.rn - 1 JOIN rg ON rg.symbol = b.symbol AND rg.rn = (b.rn - 1) // 10 * 10 JOIN fa ON fa.symbol = b.symbol AND fa.rn = (b.rn - 1) // 10 * 10
+  FROM b JOIN pf ON pf.symbol = b.symbol AND pf.rn = b.rn - 1 JOIN rg ON rg.symbol = b.symbol AND rg.rn = (b.rn - 1) // 10 * 10 JOIN fs AS fa ON fa.symbol = b.symbol AND fa.rn = (b.rn - 1) // 10 * 10
   WHERE b.rn - 1 >= 130 AND NOT coalesce(b.close / b.c1 - 1 >= 0.095, false)),""" + signal_parts("cin", "cs") + """,
 ca AS (SELECT symbol, date, i, entry, stop, target, position_pct, signal_type, conf AS confidence FROM cs WHERE valid)"""
 
@@ -275,7 +283,7 @@ acct AS (SELECT *, (exit_price - entry) / entry * 100 AS pnl_pct, (exit_price -
 
 
 NEEDS = {
-    "b": [], "t": ["b"], "e": ["t"], "bb": ["b"], "s": ["e", "bb"], "rg": ["b"], "rw": ["b"], "fa": ["rw"], "sd": ["b"], "pf": ["t"], "sg": ["pf", "rg", "fa"], "ca": ["pf", "rg", "fa"],
+    "b": [], "t": ["b"], "e": ["t"], "bb": ["b"], "s": ["e", "bb"], "rg": ["b"], "rw": ["b"], "fa": ["rw"], "sd": ["b"], "pf": ["t"], "fs": ["e", "fa"], "sg": ["pf", "rg", "fs"], "ca": ["pf", "rg", "fs"],
     "px": ["ca"], "le": ["px"], "eq": ["le"], "mt": ["eq"],
 }
 

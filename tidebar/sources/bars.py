@@ -163,3 +163,28 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return rows.select(
         "symbol", F.try_to_date(F.col("f")[0], "yyyyMMdd").alias("date"), number(2).alias("open"), number(3).alias("high"), number(4).alias("low"),
         number(5).alias("close"), number(6, 0.0).alias("volume"), number(7, 0.0).alias("amount")).where("date is not null and close is not null")
+
+
+STRICT_FIELDS = 6
+
+
+def parse_strict(payloads: DataFrame) -> DataFrame:
+    """Every line of JSONP bodies (symbol, body) as a bar, or with the ``reason`` why it is none.
+
+    A bar needs six fields: a date, four prices and a whole volume; a seventh is the amount, 0 without it. ``symbol, date, open, high, low, close, volume, amount, line, reason``:
+    ``reason`` is null for bars, else ``body`` (no data in it; the body is the line), ``fields``, ``date``, ``price``, ``volume`` or ``amount``, the first that applies. Blank lines are none.
+    Callers keep both sides: ``where("reason is null")`` are the bars, the rest the quarantine.
+    """
+    data = F.from_json(F.regexp_extract("body", r"(?s)" + PAYLOAD, 0), "data string")["data"]
+    lines = payloads.select("symbol", "body", data.alias("data")).select("symbol", F.col("data").isNull().alias("bare"), F.explode(F.when(F.col("data").isNull(), F.array("body")).otherwise(F.split("data", ";"))).alias("line"))
+    lines = lines.where("bare or trim(line) <> ''").withColumn("f", F.split("line", ","))
+    at = lambda i: F.try_element_at("f", F.lit(i))
+    prices = {c: at(k).try_cast("double") for k, c in enumerate(("open", "high", "low", "close"), 2)}
+    bad = lambda c: c.isNull() | F.isnan(c)
+    volume, amount = F.when(at(6).rlike(r"^\s*[+-]?[0-9]+\s*$"), at(6).try_cast("double")), F.coalesce(at(7).try_cast("double"), F.lit(0.0))
+    p = lines.select("symbol", "line", "bare", F.size("f").alias("n"), F.try_to_date(at(1), "yyyyMMdd").alias("date"), *[c.alias(n) for n, c in prices.items()], volume.alias("volume"), amount.alias("amount"), (at(7).isNotNull() & at(7).try_cast("double").isNull()).alias("no_amount"))
+    reason = (
+        F.when(F.col("bare"), "body").when(F.col("n") < STRICT_FIELDS, "fields").when(F.col("date").isNull(), "date").when(bad(F.col("open")) | bad(F.col("high")) | bad(F.col("low")) | bad(F.col("close")), "price")
+        .when(F.col("volume").isNull(), "volume").when(F.col("no_amount"), "amount")
+    )
+    return p.select(*COLUMNS, "line", reason.alias("reason"))
