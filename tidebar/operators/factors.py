@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import row_no, clamp, frame, lag, mean_rows, scaled
+from ..functions.series import row_no, clamp, frame, lag, mean_rows, scaled, settled
 from .indicators import with_rsi_window
 
 MIN_ROWS, MIN_VOLUME, BELOW_COST, OVERSOLD = 125, 1e5, 0.12, 20.0
@@ -89,6 +89,17 @@ def score(bars: DataFrame, keep: tuple[str, ...] = (), series: str | None = None
     return out.withColumn("grade", grade("total_score"))
 
 
+#: The labels of the report.
+REPORT = {"momentum": "动量", "turnover": "换手", "trend": "趋势", "rsi": "RSI", "vol_price": "量价", "cost": "成本"}
+
+
+def report_lines(scores: DataFrame) -> DataFrame:
+    """(symbol, date, line): each score as one line of text, or why it was filtered out; halves of the total go up, those of a part to the even number."""
+    parts = [F.format_string(f"{label}:%.0f", F.bround(F.round(F.col(c) * 100, 1), 0)) for c, label in REPORT.items()]
+    passed = F.concat(F.format_string("  %s [%s] 总分=%.1f | ", "symbol", "grade", settled(F.col("total_score"), 1)), F.concat_ws("  ", *parts))
+    return scores.select("symbol", "date", F.when(F.col("passed"), passed).otherwise(F.format_string("  %s: ❌ 过滤 (%s)", "symbol", "reason")).alias("line"))
+
+
 def grade(c: str) -> Column:
     x = F.col(c)
     return F.when(x >= 75, "A").when(x >= 60, "B").when(x >= 45, "C").otherwise("D")

@@ -201,6 +201,18 @@ def tall(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.unpivot(["symbol", "date"], names, "indicator_name", "value").where("value is not null")
 
 
+#: The value that each signal is read from.
+SIGNAL_VALUES = {"macd": "hist", "rsi14": "rsi14", "kdj": "j", "boll": "close"}
+
+
+def indicator_records(wide: DataFrame) -> DataFrame:
+    """(symbol, name, value, timestamp, signal) of each indicator at each bar of ``calculate_all``."""
+    said = signals(wide).select("symbol", "date", *[F.col(n).alias(f"{n}_signal") for n in SIGNAL_VALUES])
+    both = wide.select("symbol", "date", *dict.fromkeys(SIGNAL_VALUES.values())).join(said, ["symbol", "date"])
+    records = [F.struct(F.lit(n).alias("name"), F.col(v).alias("value"), F.date_format("date", "yyyy-MM-dd").alias("timestamp"), F.col(f"{n}_signal").alias("signal")) for n, v in SIGNAL_VALUES.items()]
+    return both.select("symbol", F.inline(F.array(*records)))
+
+
 def adjust_prices(bars: DataFrame, mode: str = "backward", low: float = 0.88, high: float = 1.12) -> DataFrame:
     """Prices adjusted for ex-days, which are opens outside (low, high) times the close before."""
     prev = lag("close")

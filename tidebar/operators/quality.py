@@ -65,6 +65,21 @@ def codes_in_text(docs: DataFrame, pattern: str) -> DataFrame:
     return found.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
+#: The prefixes of the codes of each exchange; of BJ all.
+EXCHANGES = {"SH": ["6"], "SZ": ["00", "300", "301"], "BJ": [""]}
+
+
+def exchange_codes(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, code, exchange, n): codes with an exchange's suffix, as ``600519.SH``, that the exchange's prefixes allow."""
+    found = texts.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(r"([0-9]{6}\.(?:SH|SZ|BJ))"), F.lit(1))).alias("hit"))
+    found = found.select(id_col, F.substring("hit", 1, 6).alias("code"), F.substring("hit", 8, 2).alias("exchange"))
+    fits = F.lit(False)
+    for name, prefixes in EXCHANGES.items():
+        for prefix in prefixes:
+            fits = fits | ((F.col("exchange") == name) & F.startswith(F.col("code"), F.lit(prefix)))
+    return found.where(fits).groupBy(id_col, "code", "exchange").agg(F.count("*").alias("n"))
+
+
 def link_texts(pages: DataFrame, pattern: str = r'href="([^"]*)"') -> DataFrame:
     """(page_id, link): the distinct link targets of each page."""
     return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))).alias("link"))

@@ -14,6 +14,13 @@ def strategy_id(name: Column, style: Column, params_json: Column) -> Column:
     return F.concat(F.substring(style, 1, 3), F.lit("_"), F.substring(F.md5(F.concat_ws(":", name, style, params_json)), 1, 8))
 
 
+def params_text(params: Column) -> Column:
+    """A string-to-JSON-value map as JSON text with sorted keys, one blank after each comma and colon."""
+    entries = F.array_sort(F.map_entries(params))
+    text = F.array_join(F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), e["value"])), ", ")
+    return F.concat(F.lit("{"), text, F.lit("}"))
+
+
 def allowed(a: Column, b: Column) -> Column:
     test = F.lit(False)
     for start, ends in EDGES.items():
@@ -57,6 +64,30 @@ def pool_summary(strategies: DataFrame) -> DataFrame:
     return strategies.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("strategy_id")), ",").alias("ids"))
 
 
+def pool_report(strategies: DataFrame) -> DataFrame:
+    """One row over all strategies: counts, the ids of active, degraded and retired ones, and the recommended one with its live Sharpe."""
+    ids = lambda status: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == status, F.col("strategy_id")))), ",").alias(f"{status}_ids")
+    counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in EDGES]
+    all_ = strategies.agg(F.count("*").alias("total"), *counts, ids("active"), ids("degraded"), ids("retired"))
+    best = recommended(strategies).join(strategies.select("strategy_id", "live_sharpe"), "strategy_id").agg(F.first("strategy_id").alias("best_id"), F.first("live_sharpe").alias("best_sharpe"))
+    return all_.join(best, F.lit(True))
+
+
+def record_trades(trades: DataFrame, path: str) -> DataFrame:
+    """Appends closed trades (``strategy_id, i, closed_at, pnl, pnl_pct, exit_reason``) to the log at ``path``: what it holds already by strategy and ``i`` is not put in again.
+
+    The log is what the monitor reads, as a table or as a stream. Only the log's keys are read for the check. Returns the log.
+    """
+    spark = trades.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    new = trades.dropDuplicates(["strategy_id", "i"])
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        new = new.join(spark.read.schema(trades.schema).parquet(path).select("strategy_id", "i"), ["strategy_id", "i"], "left_anti").select(*trades.columns)
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(trades.schema).parquet(path)
+
+
 def register_new(strategies: DataFrame, offered: DataFrame) -> DataFrame:
     """Strategies with the offered ones (name, style, params_json) added as candidates; known ids are skipped, of equal offers one is taken."""
     new = offered.select(strategy_id(F.col("name"), F.col("style"), F.col("params_json")).alias("strategy_id"), "name", "style", F.lit("candidate").alias("status"))

@@ -430,6 +430,12 @@ on_bars("re5_recommended", lambda b: registry.recommended(with_live(b)), query("
 on_bars("re6_rotation", lambda b: registry.rotation(with_live(b)), query("le", """SELECT strategy_id, round(coalesce(nullif(live_sharpe, 0), nullif(validation_sharpe, 0), 0) * 0.4 + coalesce(nullif(live_win_rate, 0), nullif(validation_win_rate, 0), 0) * 100 * 0.3 + coalesce(nullif(live_ret_pct, 0), nullif(validation_ret_pct, 0), 0) * 0.2
   + coalesce(validation_win_rate, 0) * 100 * 0.1, 4) AS score FROM lv WHERE status = 'active'""", LIVE))
 on_bars("re7_pool_summary", lambda b: registry.pool_summary(strategies_of(b)), query("b", "SELECT status, count(*) AS n, string_agg(strategy_id, ',' ORDER BY strategy_id) AS ids FROM sr GROUP BY 1", STRATS))
+on_bars("re7_pool_report", lambda b: registry.pool_report(with_live(b)), query("le", """SELECT *, (SELECT strategy_id FROM pk) AS best_id, (SELECT live_sharpe FROM pk) AS best_sharpe FROM (SELECT count(*) AS total, """
+        + ", ".join(f"count(*) FILTER (status = '{x}') AS n_{x}" for x in registry.EDGES) + ", " + ", ".join(f"coalesce(string_agg(strategy_id, ',' ORDER BY strategy_id) FILTER (status = '{x}'), '') AS {x}_ids" for x in ("active", "degraded", "retired")) + " FROM lv)",
+        LIVE + """, pk AS (SELECT strategy_id, live_sharpe FROM (SELECT *, CASE status WHEN 'active' THEN coalesce(live_sharpe, nullif(validation_sharpe, 0), -999) ELSE coalesce(nullif(live_sharpe, 0), -999) END AS pick FROM lv WHERE status IN ('active', 'degraded'))
+  ORDER BY CASE status WHEN 'active' THEN 1 ELSE 2 END, pick DESC, strategy_id LIMIT 1)"""))
+register("f10_sorted_params", lambda spark, sf: src.read_table(spark, sf, "part").select("p_partkey", registry.strategy_id(F.col("p_name"), F.col("p_brand"), registry.params_text(F.create_map(F.lit("stop"), F.lit("0.05"), F.lit("hold"), F.col("p_size").cast("string")))).alias("id")),
+         "SELECT p_partkey, substring(p_brand, 1, 3) || '_' || substring(md5(p_name || ':' || p_brand || ':' || '{\"hold\": ' || p_size || ', \"stop\": 0.05}'), 1, 8) AS id FROM part")
 register("f10_strategy_id", lambda spark, sf: src.read_table(spark, sf, "part").select("p_partkey", registry.strategy_id(F.col("p_name"), F.col("p_brand"), F.to_json(F.struct("p_size"))).alias("id")),
          "SELECT p_partkey, substring(p_brand, 1, 3) || '_' || substring(md5(p_name || ':' || p_brand || ':' || '{\"p_size\":' || p_size || '}'), 1, 8) AS id FROM part")
 
@@ -439,6 +445,18 @@ register("f7_trading_days", lambda spark, sf: quality.trading_days(src.read_tabl
          + ", ".join(f"'{h}'" for h in quality.HOLIDAYS) + ") AS open FROM d) SELECT day, open, max(CASE WHEN open THEN day END) OVER (ORDER BY day ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS last_open FROM o")
 register("f8_codes_in_text", lambda spark, sf: quality.codes_in_text(src.read_table(spark, sf, "documents"), r"[0-9]{6}"),
          "SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{6}')) AS code FROM documents) GROUP BY 1, 2")
+def noted(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on parts that name codes of several exchanges, some of them not the exchange's own."""
+    p = src.read_table(spark, sf, "part")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.col("p_partkey"), F.lit(n)) + 1).cast("int"))
+    code = F.concat(pick(["60", "68", "00", "30", "43", "83", "90"], 7), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit("."), pick(["SH", "SZ", "BJ", "HK"], 4))
+    return p.select("p_partkey", F.concat_ws(" ", "p_name", code, F.lit("300750.SZ,300750.SZ"), code).alias("text"))
+
+
+register("f8_exchange_codes", lambda spark, sf: quality.exchange_codes(noted(spark, sf), "p_partkey"), """
+WITH c AS (SELECT p_partkey, (['60', '68', '00', '30', '43', '83', '90'])[p_partkey % 7 + 1] || lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS code, (['SH', 'SZ', 'BJ', 'HK'])[p_partkey % 4 + 1] AS exchange FROM part)
+SELECT p_partkey, code, exchange, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM c UNION ALL SELECT p_partkey, '300750', 'SZ' FROM part UNION ALL SELECT p_partkey, '300750', 'SZ' FROM part)
+WHERE (exchange = 'SH' AND code LIKE '6%') OR (exchange = 'SZ' AND (code LIKE '00%' OR code LIKE '300%' OR code LIKE '301%')) OR exchange = 'BJ' GROUP BY 1, 2, 3""")
 register("f9_links", lambda spark, sf: quality.link_texts(src.read_table(spark, sf, "pages")), "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
 register("f11_json_field", lambda spark, sf: src.read_table(spark, sf, "events").groupBy("event_type", F.from_json("props", "k long")["k"].alias("k")).agg(F.count("*").alias("n")),
          "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -617,8 +635,16 @@ def validated_log(b: DataFrame) -> DataFrame:
 
 on_bars("re8_validation_log", validated_log, query("b", """SELECT strategy_id, pos AS "at", to_status FROM tl UNION ALL
   SELECT strategy_id, DATE '2002-01-01', CASE WHEN validation_sharpe > 0 THEN 'active' ELSE 'retired' END FROM sr WHERE validation_sharpe IS NOT NULL AND status <> CASE WHEN validation_sharpe > 0 THEN 'active' ELSE 'retired' END""", TRANS + "," + STRATS))
-on_bars("re9_recorded_trades", lambda b: log_of(b).unionByName(log_of(b).groupBy("strategy_id").agg((F.max("i") + 1).alias("i"), F.lit(0.0).alias("pnl"), F.lit(0.0).alias("pnl_pct"))),
-        query("le", "SELECT strategy_id, i, round(pnl, 6) AS pnl, round(pnl_pct, 6) AS pnl_pct FROM lg UNION ALL SELECT strategy_id, max(i) + 1, 0, 0 FROM lg GROUP BY 1", LOG))
+def recorded(b: DataFrame) -> DataFrame:
+    """The trades put into a log in three steps, of which the second overlaps both others."""
+    t = kept(book(b).select(F.col("symbol").alias("strategy_id"), "i", F.col("exit_date").alias("closed_at"), "pnl", "pnl_pct", "exit_reason"), "trades")
+    path = streaming.shared_folder(b.sparkSession, "log")
+    for part in ("i < 300", "i between 250 and 420", "i >= 380"):
+        log = registry.record_trades(t.where(part), path)
+    return log
+
+
+on_bars("re9_recorded_trades", recorded, query("le", "SELECT symbol AS strategy_id, i, exit_date AS closed_at, round(pnl, 6) AS pnl, round(pnl_pct, 6) AS pnl_pct, exit_reason FROM le"))
 on_bars("re10_notes", lambda b: registry.with_notes(strategies_of(b).select("strategy_id", "status"), transitions_of(b).withColumnRenamed("to_status", "note")).select("strategy_id", "status", F.array_join("notes", ";").alias("notes")),
         query("b", "SELECT strategy_id, status, coalesce((SELECT string_agg(strftime(pos, '%Y-%m-%d') || ' ' || to_status, ';' ORDER BY pos, to_status) FROM tl WHERE tl.strategy_id = sr.strategy_id), '') AS notes FROM sr", TRANS + "," + STRATS))
 on_bars("fa5_series_rsi", lambda b: factors.score(indicators.with_wilder_rsi(b), series="rsi14").select("symbol", "date", "rsi_w", "rsi", "reason", "total_score", "grade"),
@@ -626,3 +652,7 @@ on_bars("fa5_series_rsi", lambda b: factors.score(indicators.with_wilder_rsi(b),
 on_bars("w3_exponential_averages", indicators.exponential_averages, query("b", f"SELECT symbol, date, {r6('ema5', 'ema10', 'ema20', 'ema60')} FROM em", """em AS (
   SELECT symbol, date, rn, close AS ema5, close AS ema10, close AS ema20, close AS ema60 FROM b WHERE rn = 1
   UNION ALL SELECT b.symbol, b.date, b.rn, """ + ", ".join(f"ema{p} + (b.close - ema{p}) * 2 / {p + 1}" for p in (5, 10, 20, 60)) + " FROM em JOIN b ON b.symbol = em.symbol AND b.rn = em.rn + 1)"))
+on_bars("fa9_report_lines", lambda b: factors.report_lines(factors.last_bars(factors.score(b))), query("fa", "SELECT symbol, date, CASE WHEN passed THEN '  ' || symbol || ' [' || grade || '] 总分=' || printf('%.1f', round(total_score + 1e-9, 1)) || ' | ' || concat_ws('  ', "
+        + ", ".join(f"'{label}:' || printf('%.0f', round({c} * 100, 1))" for c, label in factors.REPORT.items()) + ") ELSE '  ' || symbol || ': ❌ 过滤 (' || reason || ')' END AS line FROM (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"))
+on_bars("i8_indicator_records", lambda b: indicators.indicator_records(indicators.calculate_all(b)), query("s", "SELECT symbol, name, round(value, 6) AS value, strftime(date, '%Y-%m-%d') AS timestamp, signal FROM ("
+        + " UNION ALL ".join(f"SELECT i.symbol, i.date, '{n}' AS name, i.{v} AS value, s.{n} AS signal FROM i JOIN s USING (symbol, date)" for n, v in indicators.SIGNAL_VALUES.items()) + ")"))

@@ -107,12 +107,12 @@ def scan_symbols(bars: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:
-    """Last write wins by key: delta over base, and inside the delta the greatest ``order`` (without one, of the rows' contents)."""
-    rank = order if order is not None else F.xxhash64(*delta.columns)
-    both = base.withColumn("__from", F.lit(0)).withColumn("__rank", F.lit(None).cast("double")).unionByName(
-        delta.withColumn("__from", F.lit(1)).withColumn("__rank", rank.cast("double")))
-    w = Window.partitionBy(*key).orderBy(F.desc("__from"), F.desc("__rank"))
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__from", "__rank")
+    """Last write wins by key: delta over base, and inside the delta the row with the greatest ``order`` (without one, the greatest by its other columns in turn)."""
+    rest = [c for c in delta.columns if c not in key]
+    rank = order if order is not None else F.struct(*rest) if rest else F.lit(0)
+    both = base.withColumn("__from", F.lit(0)).unionByName(delta.withColumn("__from", F.lit(1)))
+    w = Window.partitionBy(*key).orderBy(F.desc("__from"), rank.desc())
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__from")
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
@@ -129,7 +129,7 @@ def incremental(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 #: Column headers of Chinese vendors.
-VENDOR_NAMES = {"\u65e5\u671f": "date", "\u5f00\u76d8": "open", "\u6700\u9ad8": "high", "\u6700\u4f4e": "low", "\u6536\u76d8": "close", "\u6210\u4ea4\u91cf": "volume", "\u6210\u4ea4\u989d": "amount"}
+VENDOR_NAMES = {"日期": "date", "开盘": "open", "最高": "high", "最低": "low", "收盘": "close", "成交量": "volume", "成交额": "amount"}
 
 
 def from_vendor(rows: DataFrame, after: str | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def from_vendor(rows: DataFrame, after: str | None = None) -> DataFrame:
 def upsert_analysis(base: DataFrame, results: DataFrame, analyst: str, fields: list[str]) -> DataFrame:
     """Results stored as JSON by (analyst, symbol, date); a new result replaces the old one."""
     new = results.select(F.lit(analyst).alias("analyst"), "symbol", "date", F.to_json(F.struct(*fields)).alias("body"))
-    return upsert(base, new, ["analyst", "symbol", "date"], F.xxhash64("body"))
+    return upsert(base, new, ["analyst", "symbol", "date"], F.col("body"))
 
 
 def save_results(rows: DataFrame, trades: DataFrame, summary: DataFrame, path: str) -> None:
