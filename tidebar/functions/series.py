@@ -37,6 +37,12 @@ def mean_rows(c: str | Column, lo: int, hi: int = 0) -> Column:
     return strict(F.avg(c).over(frame(lo, hi)), 1 - lo)
 
 
+def with_means(df: DataFrame, frames: dict[str, tuple[str, int, int]], row: str = "rn") -> DataFrame:
+    """Adds strict means ``name: (column, lo, hi)``. Spark evaluates a frame once for each time that it is written, so formulas should read these columns."""
+    raw = df.withColumns({name: F.avg(c).over(frame(lo, hi)) for name, (c, lo, hi) in frames.items()})
+    return raw.withColumns({name: F.when(F.col(row) >= 1 - lo, F.col(name)) for name, (_, lo, _) in frames.items()})
+
+
 def max_rows(c: str | Column, lo: int, hi: int = 0) -> Column:
     return strict(F.max(c).over(frame(lo, hi)), 1 - lo)
 

@@ -5,40 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import row_no, clamp, frame, lag, mean_rows, scaled, settled
+from ..functions.series import row_no, clamp, frame, lag, scaled, settled, with_means
 from .indicators import with_rsi_window
 
 MIN_ROWS, MIN_VOLUME, BELOW_COST, OVERSOLD = 125, 1e5, 0.12, 20.0
 WEIGHTS = {"momentum": 35.0, "turnover": 20.0, "trend": 20.0, "rsi": 10.0, "vol_price": 10.0, "cost": 5.0}
 
 
+#: Strict means that the factors read.
+MEANS = {
+    "m5": ("close", -4, 0), "m20": ("close", -19, 0), "m60": ("close", -59, 0), "ma120": ("close", -119, 0), "v5": ("volume", -4, 0), "v5_before": ("volume", -9, -5), "v10": ("volume", -9, 0),
+    "v10_before": ("volume", -19, -10), "v20": ("volume", -19, 0),
+}
+
+
 def past_return(n: int) -> Column:
-    return F.coalesce(F.col("close") / lag("close", n) - 1, F.lit(0.0))
+    return F.coalesce(F.col("close") / F.col(f"c{n}") - 1, F.lit(0.0))
+
+
+def volume_ratio() -> Column:
+    return F.col("v10") / (F.col("v10_before") + 1e-8)
 
 
 def momentum() -> Column:
-    support = F.when(row_no() >= 20, clamp(0.5 + (mean_rows("volume", -9) / (mean_rows("volume", -19, -10) + 1e-8) - 1) * 0.5)).otherwise(0.5)
+    support = F.when(F.col("rn") >= 20, clamp(0.5 + (volume_ratio() - 1) * 0.5)).otherwise(0.5)
     base = 0.25 * scaled(past_return(5), -0.08, 0.08) + 0.45 * scaled(past_return(20), -0.15, 0.15) + 0.30 * scaled(past_return(60), -0.30, 0.30)
     return clamp(base + F.when(support > 0.6, 0.05).when(support < 0.4, -0.05).otherwise(0.0))
 
 
 def turnover() -> Column:
-    ratio = mean_rows("volume", -9) / (mean_rows("volume", -19, -10) + 1e-8)
+    ratio = volume_ratio()
     level = (
         F.when((ratio >= 1.2) & (ratio <= 2.5), F.least(F.lit(1.0), 0.5 + (ratio - 1.2) / 2.6))
         .when(ratio > 2.5, F.greatest(F.lit(0.3), 1 - (ratio - 2.5) * 0.15)).otherwise(F.greatest(F.lit(0.0), ratio / 1.2 * 0.5))
     )
-    rising = mean_rows("volume", -4) > mean_rows("volume", -9, -5) * 1.05
-    return F.when(row_no() >= 20, F.when(rising, F.least(F.lit(1.0), level + 0.1)).otherwise(level)).otherwise(0.5)
+    rising = F.col("v5") > F.col("v5_before") * 1.05
+    return F.when(F.col("rn") >= 20, F.when(rising, F.least(F.lit(1.0), level + 0.1)).otherwise(level)).otherwise(0.5)
 
 
 def trend() -> Column:
-    c, m5, m20, m60 = F.col("close"), mean_rows("close", -4), mean_rows("close", -19), mean_rows("close", -59)
+    c, m5, m20, m60 = F.col("close"), F.col("m5"), F.col("m20"), F.col("m60")
     base = (
         0.25 * (c > m5).cast("int") + 0.25 * (m5 > m20).cast("int") + 0.20 * (m20 > m60).cast("int") + 0.15 * (c > m20).cast("int") + 0.15 * (c > m60).cast("int")
     )
     away = (c - m20) / (m20 + 1e-8)
-    return F.when(row_no() >= 120, F.when((away >= 0.02) & (away <= 0.08), F.least(F.lit(1.0), base + 0.05)).otherwise(base)).otherwise(0.5)
+    return F.when(F.col("rn") >= 120, F.when((away >= 0.02) & (away <= 0.08), F.least(F.lit(1.0), base + 0.05)).otherwise(base)).otherwise(0.5)
 
 
 def rsi_band(x: Column) -> Column:
@@ -49,30 +60,36 @@ def rsi_band(x: Column) -> Column:
 
 
 def vol_price() -> Column:
-    """Needs ``up_with`` and ``down_with``: rises and falls on rising volume, as 0 or 1."""
-    return F.when(row_no() >= 11, clamp(0.5 + 0.5 * (F.sum(F.col("up_with") - F.col("down_with")).over(frame(-9))) / 10)).otherwise(0.5)
+    return F.when(F.col("rn") >= 11, clamp(0.5 + 0.5 * F.col("with_volume") / 10)).otherwise(0.5)
 
 
 def cost() -> Column:
-    m = mean_rows("close", -119)
+    m = F.col("ma120")
     x = (F.col("close") - m) / (m + 1e-8)
     band = (
         F.when((x >= 0.05) & (x <= 0.20), 1.0).when((x > 0.20) & (x <= 0.35), 0.70).when(x > 0.35, 0.30)
         .when((x >= 0) & (x < 0.05), 0.85).when((x >= -0.05) & (x < 0), 0.60).otherwise(0.20)
     )
-    return F.when(row_no() >= 120, band).otherwise(0.5)
+    return F.when(F.col("rn") >= 120, band).otherwise(0.5)
 
 
 def parts(bars: DataFrame, keep: tuple[str, ...] = (), series: str | None = None) -> DataFrame:
-    """The six factors (0 to 1), the RSI they use and the first failed filter of every bar. RSI is the windowed one, or the column ``series``."""
+    """The six factors (0 to 1), the RSI they use and the first failed filter of every bar. RSI is the windowed one, or the column ``series``.
+
+    Each frame is a column of its own that the formulas read.
+    """
     dc, dv = F.col("close") - lag("close"), F.col("volume") - lag("volume")
     b = bars.select(
-        "symbol", "date", "close", "volume", *keep, *([series] if series else []), F.coalesce(dc, F.lit(0.0)).alias("d"), F.coalesce(((dc > 0) & (dv > 0)).cast("int"), F.lit(0)).alias("up_with"),
-        F.coalesce(((dc < 0) & (dv > 0)).cast("int"), F.lit(0)).alias("down_with"))
-    b = b.withColumn("rsi_w", F.col(series)) if series else with_rsi_window(b, "rsi_w")
+        "symbol", "date", "close", "volume", F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), *([F.col(series).alias("rsi_w")] if series else []), row_no().alias("rn"),
+        F.coalesce(dc, F.lit(0.0)).alias("d"), dv.alias("dv"))
+    b = b if series else with_rsi_window(b, "rsi_w")
+    # Days that rise on rising volume less those that fall on it.
+    signed = F.when(F.col("dv") > 0, F.signum("d")).otherwise(0.0)
+    b = with_means(b.withColumn("signed", signed), MEANS).withColumns({**{f"c{n}": lag("close", n) for n in (5, 20, 60)}, "with_volume": F.sum("signed").over(frame(-9))})
+    vol20 = F.when(F.col("rn") >= 20, F.col("v20")).otherwise(F.col("volume"))
     b = b.select(
-        "symbol", "date", "close", "volume", *keep, row_no().alias("rn"), "rsi_w", F.when(row_no() >= 20, mean_rows("volume", -19)).otherwise(F.col("volume")).alias("vol20"),
-        mean_rows("close", -119).alias("ma120"), momentum().alias("momentum"), turnover().alias("turnover"), trend().alias("trend"), vol_price().alias("vol_price"), cost().alias("cost"))
+        "symbol", "date", "close", "volume", *[F.col("kept")[k].alias(k) for k in keep], "rn", "rsi_w", vol20.alias("vol20"), "ma120", momentum().alias("momentum"), turnover().alias("turnover"), trend().alias("trend"),
+        vol_price().alias("vol_price"), cost().alias("cost"))
     fail = (
         F.when(F.col("rn") < MIN_ROWS, "short_history").when(F.col("vol20") < MIN_VOLUME, "low_volume")
         .when(F.col("close") < F.col("ma120") * (1 - BELOW_COST), "below_cost").when(F.col("rsi_w") < OVERSOLD, "oversold")

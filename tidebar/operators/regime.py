@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import row_no, clamp, frame, lag, mean_rows, signed_share
+from ..functions.series import row_no, clamp, frame, lag, signed_share, with_means
 
 MIN_ROWS = 130
 #: Greatest position and number of positions by regime.
@@ -21,20 +21,26 @@ def lookup(values: dict, key: str | Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(key) if isinstance(key, str) else key]
 
 
+#: Strict means that the scores read.
+MEANS = {
+    "m20": ("close", -19, 0), "m60": ("close", -59, 0), "m120": ("close", -119, 0), "v_now": ("volume", -9, 0), "v_base": ("volume", -29, -10), "v_before": ("volume", -19, -10),
+}
+
+
 def past_return(n: int) -> Column:
-    return F.coalesce(F.col("close") / lag("close", n) - 1, F.lit(0.0))
+    return F.coalesce(F.col("close") / F.col(f"c{n}") - 1, F.lit(0.0))
 
 
 def trend_score() -> Column:
-    c, m20, m60, m120 = F.col("close"), mean_rows("close", -19), mean_rows("close", -59), mean_rows("close", -119)
+    c, m20, m60, m120 = F.col("close"), F.col("m20"), F.col("m60"), F.col("m120")
     holds = lambda test: F.coalesce(test, F.lit(False)).cast("int")
     base = 0.30 * holds(c > m20) + 0.25 * holds(c > m60) + 0.20 * holds(c > m120) + 0.25 * holds((m20 > m60) & (m60 > m120))
-    slope = (c - lag("close", 19)) / (lag("close", 19) + 1e-8)
+    slope = (c - F.col("c19")) / (F.col("c19") + 1e-8)
     return clamp(base + F.when(slope > 0.05, 0.1).when(slope < -0.05, -0.1).otherwise(0.0))
 
 
 def volume_score() -> Column:
-    now, base, before = mean_rows("volume", -9), mean_rows("volume", -29, -10), mean_rows("volume", -19, -10)
+    now, base, before = F.col("v_now"), F.col("v_base"), F.col("v_before")
     ratio = now / (base + 1e-8)
     level = (
         F.when(ratio >= 1.5, F.least(F.lit(1.0), 0.5 + 0.5 * F.least(ratio - 1, F.lit(1.0))))
@@ -42,29 +48,27 @@ def volume_score() -> Column:
     )
     trend = (now - before) / (before + 1e-8)
     moved = F.when(trend > 0.1, F.least(F.lit(1.0), level + 0.05)).when(trend < -0.1, F.greatest(F.lit(0.0), level - 0.05)).otherwise(level)
-    return F.when(row_no() >= 30, moved).otherwise(0.5)
+    return F.when(F.col("rn") >= 30, moved).otherwise(0.5)
 
 
 def momentum_score() -> Column:
     return clamp(0.5 + 0.20 * signed_share(past_return(5), 0.05) + 0.30 * signed_share(past_return(20), 0.10) + 0.20 * signed_share(past_return(60), 0.20))
 
 
-def breadth_score() -> Column:
-    return F.avg((F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-8)).over(frame(-19))
-
-
 def risk_score() -> Column:
-    """Needs the column ``day_ret``, the return over one row with a small constant in its denominator."""
-    ret = F.col("close") / F.coalesce(lag("close", 19), F.first("close").over(frame(-19))) - 1
-    vol = F.when(row_no() >= 31, F.stddev_pop("day_ret").over(frame(-28)) * (252**0.5)).otherwise(0.0)
+    ret = F.col("close") / F.coalesce("c19", "c_first") - 1
+    vol = F.when(F.col("rn") >= 31, F.col("spread") * (252**0.5)).otherwise(0.0)
     return F.when(ret < -0.08, 0.1).when(ret > 0.15, 0.8).otherwise(clamp(0.7 - vol * 0.5, 0.1, 0.9))
 
 
 def scores(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    b = bars.withColumn("day_ret", (F.col("close") - lag("close")) / (lag("close") + 1e-8))
-    return b.select(
-        "symbol", "date", *keep, row_no().alias("rn"), trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"),
-        breadth_score().alias("breadth"), risk_score().alias("risk"))
+    """The five scores of every bar. Each frame is a column of its own that the formulas read."""
+    c = F.col("close")
+    b = bars.select("symbol", "date", "close", "volume", F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), ((c - F.col("low")) / (F.col("high") - F.col("low") + 1e-8)).alias("at"), ((c - lag("close")) / (lag("close") + 1e-8)).alias("day_ret"))
+    b = with_means(b.withColumn("rn", row_no()), MEANS).withColumns({
+        **{f"c{n}": lag("close", n) for n in (5, 19, 20, 60)}, "c_first": F.first("close").over(frame(-19)), "breadth": F.avg("at").over(frame(-19)), "spread": F.stddev_pop("day_ret").over(frame(-28))})
+    back = [F.col("kept")[k].alias(k) for k in keep]
+    return b.select("symbol", "date", *back, "rn", trend_score().alias("trend"), volume_score().alias("vol"), momentum_score().alias("mom"), "breadth", risk_score().alias("risk"))
 
 
 def classify(s: DataFrame) -> DataFrame:
