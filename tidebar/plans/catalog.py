@@ -362,10 +362,10 @@ def snapshot_of(b: DataFrame) -> DataFrame:
 
 
 def live_monitor(b: DataFrame) -> DataFrame:
-    """The trades of all accounts replayed through the live monitor in three periods."""
+    """The trades of all accounts replayed through the live monitor in three periods; -1 stands for the index where no trade made the check."""
     log = book(b).select(F.col("symbol").alias("strategy_id"), F.col("exit_date").cast("timestamp").alias("closed_at"), "i", "pnl", "pnl_pct")
     found = monitor.replay(log, strategies_of(b), streaming.shared_folder(b.sparkSession, "st3"), ["1997-06-01", "1999-09-01"])
-    return found.withColumn("checked_at", F.to_date("checked_at"))
+    return found.withColumns({"checked_at": F.to_date("checked_at"), "i": F.coalesce("i", F.lit(-1).cast("long"))})
 
 
 def rolled(n: int, name: str) -> str:
@@ -394,7 +394,7 @@ mo AS (
   FROM (SELECT rk.*, mo.status, mo.since, CASE WHEN mo.status = 'active' THEN CASE WHEN down <> '' THEN 'degrade' ELSE 'ok' END WHEN rk.t > mo.since + 60 THEN 'expire' WHEN well THEN 'recover' WHEN outs <> '' OR coalesce(rk.t >= mo.since + 60, false) THEN 'retire' ELSE 'ok' END AS action
         FROM mo JOIN rk ON rk.strategy_id = mo.strategy_id AND rk.nth = mo.nth + 1 WHERE mo.status <> 'retired')),
 mx AS (SELECT strategy_id, nth, 'retired' AS status, CAST(since + 60 AS DATE) AS t, CAST(NULL AS BIGINT) AS i, 'retire' AS action, 'E1' AS rules FROM (SELECT * FROM mo QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY nth DESC, (action = 'retire') DESC) = 1) WHERE status = 'degraded' AND since + 60 < (SELECT max(t) FROM lt))"""
-on_bars("st3_live_monitor", live_monitor, query("le", """SELECT m.strategy_id, m.t AS checked_at, m.i, m.nth AS n, coalesce(sharpe, 0) AS sharpe, coalesce(win_rate, 0) AS win_rate, coalesce(ret, 0) AS ret, coalesce(max_dd, 0) AS max_dd, coalesce(streak, 0) AS consec_losses, action, rules, m.status
+on_bars("st3_live_monitor", live_monitor, query("le", """SELECT m.strategy_id, m.t AS checked_at, coalesce(m.i, -1) AS i, m.nth AS n, coalesce(sharpe, 0) AS sharpe, coalesce(win_rate, 0) AS win_rate, coalesce(ret, 0) AS ret, coalesce(max_dd, 0) AS max_dd, coalesce(streak, 0) AS consec_losses, action, rules, m.status
   FROM (SELECT strategy_id, nth, status, t, i, action, rules FROM mo WHERE action <> '' UNION ALL SELECT * FROM mx) m LEFT JOIN ck ON ck.strategy_id = m.strategy_id AND ck.nth = m.nth""", MONITOR))
 SNAP = LOG + "," + rolling_sql(20, "rs") + "," + rolling_sql(60, "rl") + "," + STRATS + """,
 sn AS (SELECT sr.*, coalesce(rs.sharpe, 0) AS sharpe, coalesce(rs.win_rate, 0) AS win_rate, coalesce(rs.max_dd, 0) AS max_dd, coalesce(rs.consec_losses, 0) AS consec_losses, coalesce(rs.all_trades, 0) AS n, coalesce(rl.sharpe, 0) AS ls, coalesce(rl.max_dd, 0) AS ld
