@@ -127,7 +127,7 @@ def bootstrap(rets: DataFrame, replicates: int = 200, key: str = "symbol", seed:
     parts = rows.mapInArrow(sums, "key string, total array<double>, weight array<bigint>")
     each = parts.select("key", F.posexplode(F.arrays_zip("total", "weight"))).groupBy("key", "pos").agg((F.sum("col.total") / F.nullif(F.sum("col.weight"), F.lit(0))).alias("m"))
     return each.groupBy(F.col("key").alias(key)).agg(
-        F.round(F.percentile("m", 0.05) * 25200, 2).alias("ci_lo"), F.round(F.percentile("m", 0.95) * 25200, 2).alias("ci_hi"), F.round(F.avg((F.col("m") > 0).cast("int")), 3).alias("pos_rate"))
+        settled(F.percentile("m", 0.05) * 25200, 2).alias("ci_lo"), settled(F.percentile("m", 0.95) * 25200, 2).alias("ci_hi"), settled(F.avg((F.col("m") > 0).cast("int")), 3).alias("pos_rate"))
 
 
 def consistency(metrics: DataFrame) -> DataFrame:

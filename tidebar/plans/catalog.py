@@ -297,7 +297,7 @@ on_bars("v3_split_sample", validation.split_sample, query("b", "SELECT symbol, d
 on_bars("v4_t_statistics", lambda b: validation.t_statistics(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r"))),
         query("b", "SELECT symbol, n, round(mu, 8) AS mu, round(t, 4) AS tstat, round(greatest(0, 0.5 * (1 - tanh(t / sqrt(2)))), 4) AS pvalue FROM (SELECT symbol, count(r) AS n, avg(r) AS mu, avg(r) / (stddev_samp(r) / sqrt(count(r)) + 1e-10) AS t FROM (SELECT symbol, close / c1 - 1 AS r FROM b) GROUP BY 1)").replace("round(mu, 8)", "round(round(mu, 8), 6)"))
 CUTS = ", ".join(map(str, validation.POISSON_CUTS))
-on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 2000), query("b", f"""SELECT symbol, round(quantile_cont(m, 0.05) * 25200, 2) AS ci_lo, round(quantile_cont(m, 0.95) * 25200, 2) AS ci_hi, round(avg((m > 0)::INT), 3) AS pos_rate
+on_bars("v5_bootstrap", lambda b: validation.bootstrap(b.select("symbol", "date", (F.col("close") / lag("close") - 1).alias("r")), 2000), query("b", f"""SELECT symbol, round(quantile_cont(m, 0.05) * 25200 + 1e-9, 2) AS ci_lo, round(quantile_cont(m, 0.95) * 25200 + 1e-9, 2) AS ci_hi, round(avg((m > 0)::INT) + 1e-9, 3) AS pos_rate
   FROM (SELECT symbol, k, sum(r * w) / nullif(sum(w), 0) AS m FROM (SELECT symbol, k, r, {' + '.join(f'(u >= {c})::INT' for c in validation.POISSON_CUTS)} AS w FROM bu) GROUP BY 1, 2) GROUP BY 1""", f"""
 bh AS (SELECT symbol, close / c1 - 1 AS r, md5(symbol || '|' || strftime(date, '%Y-%m-%d') || '|42') AS h FROM b WHERE c1 IS NOT NULL),
 bi AS (SELECT symbol, r, ('0x' || substr(h, 1, 7))::BIGINT AS h1, ('0x' || substr(h, 8, 7))::BIGINT AS h2 FROM bh),
