@@ -287,16 +287,57 @@ def test_toxicity_calibrates_on_rows_of_its_own(spark, monkeypatch):
     assert seen["learnt"] == {r["text"] for r in rows} - apart and seen["calibrated"] == len(apart) > 50
 
 
+def members_of(spark, p, t):
+    return spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens double, p array<double>").repartition(4)
+
+
+def plain_least_squares(p, w, goal, ridge, steps=200_000):
+    """Projected gradient of fixed length on all rates at once, by the definition of the objective."""
+    scale, r = np.maximum(w @ p, 1e-3), np.ones(len(w))
+    for _ in range(steps):
+        r = np.maximum(0.0, r - 0.9 * (p @ (((r * w) @ p - goal) / scale) + ridge * (r - 1)))
+    return r
+
+
+@pytest.mark.parametrize("ridge", [1e-2, 2e-3])
+def test_mixing_finds_the_optimum(spark, ridge):
+    rng = np.random.default_rng(2)
+    p, t = rng.dirichlet([0.3, 0.3, 0.1], 300), rng.integers(0, 400, 300).astype(float)
+    w, goal = t / t.sum(), np.array([0.75, 0.2, 0.05])
+    members = members_of(spark, p, t)
+    _, (at,) = mixing.moments(members, [np.zeros(3)])
+    assert np.allclose(at.mass, w @ p)
+    m, _ = mixing.descend(members, goal, np.maximum(w @ p, 1e-3), ridge, np.zeros(3), at)
+    wanted = plain_least_squares(p, w, goal, ridge, 20_000)
+    assert (wanted == 0).any() and np.abs(mixing.rates_at(p, m) - wanted).max() < 1e-5
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(2)
-    p = rng.dirichlet([0.3, 0.3, 0.1], 500)
-    t = rng.integers(1, 400, 500).astype(float)
-    members = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens double, p array<double>")
-    goal = {"a": 0.6, "b": 0.3, "c": 0.1}
-    steps = mixing.fit_rates(members, ["a", "b", "c"], goal)
-    r = np.array([x["rate"] for x in members.select(mixing.rate_of(F.col("p"), steps).alias("rate")).collect()])
-    assert (r >= 0).all() and np.abs((r * t) @ p / t.sum() - np.array([0.6, 0.3, 0.1])).max() < 0.01
-    assert np.allclose(r, mixing.follow(p, steps)[0])
+    p, t = rng.dirichlet([0.3, 0.3, 0.1], 500), rng.integers(1, 400, 500).astype(float)
+    members, w = members_of(spark, p, t), t / t.sum()
+    for goal in ([0.6, 0.3, 0.1], [0.9, 0.09, 0.01], [0.02, 0.03, 0.95]):
+        m = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", goal)), strict=True)
+        r = mixing.rates_at(p, m)
+        got = members.select(mixing.rate_of(F.col("p"), m).alias("rate")).collect()
+        assert np.allclose(sorted(r), sorted(x["rate"] for x in got))
+        assert (r >= 0).all() and (np.abs((r * w) @ p - goal) <= mixing.TOLERANCE * np.array(goal)).all()
+        # Of the rates that meet the targets they are the nearest to 1: other ones are farther.
+        step = rng.normal(size=500)
+        free = (p * w[:, None])[r > 0]
+        step = np.where(r > 0, step, 0.0)
+        step[r > 0] -= free @ np.linalg.lstsq(free.T @ free, free.T @ step[r > 0], rcond=None)[0]
+        other = np.maximum(0.0, r + 1e-3 * step)
+        assert np.allclose((other * w) @ p, (r * w) @ p, atol=1e-6) and (w * (other - 1) ** 2).sum() > (w * (r - 1) ** 2).sum() - 1e-7
+
+
+def test_targets_out_of_reach(spark):
+    members = members_of(spark, np.array([[0.5, 0.5]] * 20), np.arange(20.0))
+    with pytest.raises(ValueError, match="no rates meet the targets"):
+        mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1}, strict=True)
+    r = mixing.rates_at(np.array([[0.5, 0.5]]), mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1}))
+    assert 0.9 < r[0] < 1.1
+    assert mixing.fit_rates(members.limit(0), ["a", "b"], {"a": 1.0}) is None and mixing.fit_rates(members, ["a"], {"a": 1.0}) is None
 
 
 def test_a_domain_without_target_keeps_its_share():
@@ -312,3 +353,6 @@ def test_mixing_repeats_and_drops(spark):
     mixed = mixing.mix(docs, labels)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rates)
     assert mixing.rates(docs.limit(0), labels).count() == 0
+    assert {r["rate"] for r in mixing.rates(docs, labels.limit(0)).collect()} == {1.0}
+    empty = docs_of(spark, [None, "", *[r["text"] for r in docs.select("text").limit(40).collect()]])
+    assert mixing.rates(empty, labels).where("tokens = 0 and rate >= 0").count() == 2

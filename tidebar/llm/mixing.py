@@ -7,26 +7,31 @@ of labelled rows (``SAMPLE_ROWS``).
 
 Rates. With token shares ``w_i`` and posteriors ``p_i``, the nonnegative rates ``r_i`` minimise
 
-    1/2 sum_d (sum_i r_i w_i p_id - target_d)^2 / s_d + RIDGE/2 sum_i w_i (r_i - 1)^2,
+    1/2 sum_d (sum_i r_i w_i p_id - target_d)^2 / s_d + ridge/2 sum_i w_i (r_i - 1)^2,
 
-where ``s_d`` is the present share of domain d. Projected gradient steps (with momentum) solve it: a step needs one number per domain from
-all documents, a pre-aggregated sum; the rates of all documents follow from the list of these
-numbers by a closed fold over it, so no state but a few numbers per step is kept and a lost executor costs no step.
-The ridge makes the solution unique and keeps rates near 1 where the targets allow it. Steps end when every domain's total is within
-``TOLERANCE`` of its target, relatively, or when the totals stand still (``STILL``): then the least squares are solved and the
-targets are out of reach. If neither comes within ``STEPS``, that is an error.
+where ``s_d`` is the present share of domain d. The gradient at document i is ``p_i`` times one number per domain, so gradients add up in
+a vector ``m`` of one multiplier per domain, and the rates are the projection ``max(0, 1 + p_i . m)`` of what they add up to (projected gradient with
+lazy projection). A step needs sums of a few numbers from all documents: the totals, and the second moments of the documents
+with positive rates, by which the gradient is scaled (this makes the steps few). Several lengths of a step are tried in the same pass; the best is taken.
+Nothing but ``m`` is kept between steps, whatever their number, and a lost executor costs no step.
+
+Steps end when the gradient is nothing but rounding (``SETTLED``); if that takes more than ``STEPS``, it is an error. ``RIDGE`` is so small that
+the rates meet the targets well within ``TOLERANCE`` where any nonnegative rates can, and are then those nearest to 1. Targets that no
+rates can meet (a share of 0 with posteriors above 0, or texts that are all alike) are found by a total beyond ``TOLERANCE`` at the optimum. ``rates``
+then raises an error with the figures if it is ``strict``, and both operators else settle for the compromise under ``FAR_RIDGE``, which keeps rates near 1.
 
 Effect. A document is taken ``floor(rate + u)`` times, where ``u`` is a uniform hash of its id, so the
 expected number of copies is its rate.
 
 Edge cases. Null and empty texts have no tokens; their rate follows their posterior like any other. Domains
 without labelled rows are left out and the targets rescaled; a domain without a target keeps its present share; with fewer than two domains, or no tokens at all, all rates are
-1. Null ids hash as null. Repeated rows count each. Extra columns are kept by ``mix`` and ignored by ``rates``.
+1. Ties among domains go to the first by name. Null ids hash as null. Repeated rows count each. Extra columns are kept by ``mix`` and ignored by ``rates``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import with_small_batches, written
 from .toxicity import WORDS, learn_lexicon
 
-SAMPLE_ROWS, RIDGE, STEPS, TOLERANCE, STILL = 20_000, 0.002, 100, 0.005, 1e-5
+SAMPLE_ROWS, RIDGE, FAR_RIDGE, STEPS, TOLERANCE, SETTLED = 20_000, 1e-6, 2e-3, 60, 0.005, 1e-9
+#: Lengths of a step that one pass tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.005)
 #: Target shares of the token total, by domain.
 TARGETS = {"high": 0.85, "low": 0.12, "toxic": 0.03}
 PREFIX = "__mixing_"
@@ -102,8 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Domain
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     marks = labels.where("doc_id is not null").select("doc_id", domain.alias("domain")).where("domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
     share = min(1.0, rows / max(1, marks.count()))
-    picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "domain", (F.col("domain") == "toxic").cast("int").alias("toxic"))
+    # At most about ``rows`` ids, so they can go to every task in place of all texts to them.
+    picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(share * (1 << 53)))
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "domain", (F.col("domain") == "toxic").cast("int").alias("toxic"))
     sample = written(sample, "mixing-sample")
     domains = sorted(r["domain"] for r in sample.groupBy("domain").count().where("count >= 2").collect())
     if len(domains) < 2:
@@ -126,87 +134,101 @@ def goals(domains: list[str], targets: dict[str, float], present: np.ndarray) ->
     return np.where(named, wanted * rest / wanted.sum() if wanted.sum() > 0 else present, present)
 
 
-def follow(p: np.ndarray, steps: list[tuple[list[float], float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors ``p`` (rows) after the steps, and the points of the next gradient.
-
-    A step is (gradient per domain, step length, momentum).
-    """
-    r = y = np.ones(len(p))
-    for gradient, length, momentum in steps:
-        after = np.maximum(0.0, y - length * (p @ np.asarray(gradient) + RIDGE * (y - 1)))
-        r, y = after, after + momentum * (after - r)
-    return r, y
+def rates_at(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` (rows) at the multipliers."""
+    return np.maximum(0.0, 1.0 + p @ m)
 
 
-def rate_of(p: Column, steps: list[tuple[list[float], float, float]]) -> Column:
-    """The rate after the steps, as a fold over them."""
-    if not steps:
+def rate_of(p: Column, m: np.ndarray | None) -> Column:
+    """The rate at the multipliers; 1 without any."""
+    if m is None:
         return F.lit(1.0)
-    rows = F.array(*[F.struct(F.array(*[F.lit(float(g)) for g in grad]).alias("g"), F.lit(float(eta)).alias("eta"), F.lit(float(mom)).alias("mom")) for grad, eta, mom in steps])
-    begin = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    return F.greatest(F.lit(0.0), sum((p[k] * float(x) for k, x in enumerate(m)), F.lit(1.0)))
 
-    def step(s: Column, k: Column) -> Column:
-        slope = F.aggregate(F.zip_with(p, k["g"], lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) + RIDGE * (s["y"] - 1.0)
-        r = F.greatest(F.lit(0.0), s["y"] - k["eta"] * slope)
-        return F.struct(r.alias("r"), (r + k["mom"] * (r - s["r"])).alias("y"))
 
-    return F.aggregate(rows, begin, step, lambda s: s["r"])
+@dataclass
+class Moments:
+    """Sums over all documents at one vector of multipliers, as shares of the token total."""
 
+    half: float  # half the squared rates
+    mass: np.ndarray  # expected tokens by domain
+    second: np.ndarray  # second moments of the posteriors where rates are positive
 
-def moments(members: DataFrame, d: int, steps: list[tuple[list[float], float, float]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """Token total, and per domain the expected tokens at the rates and at the points of the next gradient.
+
+def moments(members: DataFrame, points: list[np.ndarray]) -> tuple[float, list[Moments]]:
+    """Token total, and the moments at each of the points, in one pass.
 
     Each task sums its rows; only sums of a few numbers leave it.
     """
+    d = len(points[0])
+    width = 1 + d + d * d
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, at_rate, at_point = 0.0, np.zeros(d), np.zeros(d)
+        total, sums = 0.0, np.zeros((len(points), width))
         for batch in batches:
             if len(batch):
                 t, p = batch["tokens"].to_numpy(dtype=float), np.stack(batch["p"].to_numpy())
-                r, y = follow(p, steps)
-                total, at_rate, at_point = total + t.sum(), at_rate + (r * t) @ p, at_point + (y * t) @ p
-        yield pd.DataFrame({"k": range(2 * d + 1), "v": [total, *at_rate, *at_point]})
+                total += t.sum()
+                for k, m in enumerate(points):
+                    r = rates_at(p, m)
+                    sums[k] += np.concatenate([[t @ (r * r) / 2], (r * t) @ p, ((p.T * (t * (r > 0))) @ p).ravel()])
+        yield pd.DataFrame({"k": range(1 + sums.size), "v": [total, *sums.ravel()]})
 
     got = {r["k"]: r["v"] for r in members.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    v = np.array([got.get(k, 0.0) for k in range(2 * d + 1)])
-    return v[0], v[1 : d + 1], v[d + 1 :]
+    total = got.get(0, 0.0)
+    v = np.array([got.get(1 + k, 0.0) for k in range(len(points) * width)]).reshape(len(points), width) / (total or 1.0)
+    return total, [Moments(x[0], x[1 : d + 1], x[d + 1 :].reshape(d, d)) for x in v]
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> list[tuple[list[float], float, float]]:
-    """The steps of the projected gradient over ``tokens, p`` rows."""
-    d = len(domains)
-    total, _, mass = moments(members, d, [])
-    if d < 2 or total <= 0:
-        return []
-    point = mass / total
-    goal = goals(domains, targets, point)
-    scale = np.maximum(point, 1e-3)
-    steps: list[tuple[list[float], float, float]] = []
-    t, last = 1.0, None
+def descend(members: DataFrame, goal: np.ndarray, scale: np.ndarray, ridge: float, m: np.ndarray, at: Moments) -> tuple[np.ndarray, Moments]:
+    """Multipliers of the least squares, from ``m`` with its moments."""
+    value = lambda m, x: m @ goal - x.half - ridge / 2 * (scale * m) @ m
     for _ in range(STEPS):
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        # The scaled moment matrix has eigenvalues of at most 1, as posteriors sum to 1.
-        steps.append((((point - goal) / scale).tolist(), 1 / (1 + RIDGE), (t - 1) / after))
-        t = after
-        _, mass, ahead = moments(members, d, steps)
-        point = ahead / total
-        if (np.abs(mass / total - goal) <= TOLERANCE * goal).all() or (last is not None and np.abs(mass - last).max() <= STILL * total):
-            return steps
-        last = mass
-    raise RuntimeError(f"the rates did not settle in {STEPS} steps: totals {mass / total}, targets {goal}")
+        slope = goal - at.mass - ridge * scale * m
+        if np.abs(slope).max() <= SETTLED:
+            return m, at
+        ahead = np.linalg.solve(at.second + ridge * np.diag(scale), slope)
+        points = [m + length * ahead for length in LENGTHS]
+        _, found = moments(members, points)
+        values = [value(q, x) for q, x in zip(points, found)]
+        best = int(np.argmax(values))
+        if values[best] <= value(m, at):  # no length gains anything: what is left is rounding
+            if np.abs(slope).max() <= 1e3 * SETTLED:
+                return m, at
+            break
+        m, at = points[best], found[best]
+    raise RuntimeError(f"the rates did not settle in {STEPS} steps: totals {at.mass}, targets {goal}")
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], strict: bool = False) -> np.ndarray | None:
+    """The multipliers of the domains over ``tokens, p`` rows; None where all rates are 1."""
+    d = len(domains)
+    m = np.zeros(d)
+    if d < 2:
+        return None
+    total, (at,) = moments(members, [m])
+    if total <= 0:
+        return None
+    goal = goals(domains, targets, at.mass)
+    scale = np.maximum(at.mass, 1e-3)
+    near, reached = descend(members, goal, scale, RIDGE, m, at)
+    if (np.abs(reached.mass - goal) <= TOLERANCE * goal).all():
+        return near
+    if strict:
+        raise ValueError(f"no rates meet the targets: of {dict(zip(domains, goal.tolist()))} the nearest totals are {dict(zip(domains, reached.mass.tolist()))}")
+    return descend(members, goal, scale, FAR_RIDGE, m, at)[0]
 
 
 def copies_of(rate: Column, key: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, strict: bool = False) -> DataFrame:
     """One row per document: ``doc_id, tokens, domain, p_<domain>..., rate, copies``."""
     model = train(docs, labels)
     scored = model.with_posteriors(docs.select("doc_id", "text"))
     members = written(scored.select("doc_id", F.col(PREFIX + "tokens").alias("tokens"), F.col(PREFIX + "p").alias("p")), "posteriors")
-    rate = rate_of(F.col("p"), fit_rates(members, model.domains, targets or TARGETS))
+    rate = rate_of(F.col("p"), fit_rates(members.select("tokens", "p"), model.domains, targets or TARGETS, strict))
     top = F.array_position("p", F.array_max("p")).cast("int")
     return members.withColumn("rate", rate).select(
         "doc_id", F.col("tokens").cast("long").alias("tokens"), F.element_at(F.array(*[F.lit(d) for d in model.domains]), top).alias("domain"),
@@ -214,12 +236,12 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents, each as often as its rate says, with their columns unchanged."""
+    """The documents, each as often as its rate says, with their columns unchanged. Texts are profiled once."""
     model = train(docs, labels)
-    columns = docs.columns
-    scored = model.with_posteriors(docs)
-    members = written(model.with_posteriors(docs.select("text")).select(F.col(PREFIX + "tokens").alias("tokens"), F.col(PREFIX + "p").alias("p")), "posteriors")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    scored = written(model.with_posteriors(docs).select(*columns, PREFIX + "tokens", PREFIX + "p"), "posteriors")
+    members = scored.select(F.col(PREFIX + "tokens").alias("tokens"), F.col(PREFIX + "p").alias("p"))
     rate = rate_of(F.col(PREFIX + "p"), fit_rates(members, model.domains, targets or TARGETS))
     taken = scored.withColumn(PREFIX + "copies", copies_of(rate, F.col("doc_id"))).where(F.col(PREFIX + "copies") > 0)
     repeated = taken.withColumn(PREFIX + "copy", F.explode(F.sequence(F.lit(1), F.col(PREFIX + "copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in columns])
+    return repeated.select(*columns)

@@ -24,7 +24,7 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), strict=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
