@@ -275,16 +275,63 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs.withColumn("score", F.lit(1)), labels).columns == [*docs.columns, "score"]
 
 
-def test_toxicity_calibrates_on_rows_of_its_own(spark, monkeypatch):
-    docs, labels, _ = toxic_corpus(spark)
-    seen, learn, fit = {}, toxicity.learn_lexicon, toxicity.IsotonicRegression.fit
-    monkeypatch.setattr(toxicity, "learn_lexicon", lambda df, *a: seen.update(learnt={r["text"] for r in df.select("text").collect()}) or learn(df, *a))
-    monkeypatch.setattr(toxicity.IsotonicRegression, "fit", lambda self, df, *a: seen.update(calibrated=df.count()) or fit(self, df, *a))
-    toxicity.train(docs, labels)
-    rows = toxicity.labelled_sample(docs, labels, 20_000).collect()
-    apart = {r["text"] for r in rows if r["part"] == 0}
-    assert {r["part"] for r in rows} == {0, 1, 2, 3, 4}
-    assert seen["learnt"] == {r["text"] for r in rows} - apart and seen["calibrated"] == len(apart) > 50
+def test_toxicity_calibrates_out_of_part(spark, monkeypatch):
+    """No part is judged by a lexicon or by trees that have seen its rows, whatever the size; every row is judged."""
+    for n, few in ((600, 0), (60, 2)):
+        docs, labels, toxic = toxic_corpus(spark, n)
+        if few:  # only two toxic rows are left, so some parts are the only ones with any
+            keep = [i for i in range(n) if toxic[i] and zlib.crc32(str(i).encode()) % 5][:few]
+            labels = labels.withColumn("toxic", F.col("doc_id").isin(keep).cast("int"))
+        seen, best, grow, fit = {"lexicons": [], "grown": []}, toxicity.best_terms, toxicity.grow, toxicity.IsotonicRegression.fit
+        monkeypatch.setattr(toxicity, "best_terms", lambda counts, *a: seen["lexicons"].append({r["part"] for r in counts.select("part").distinct().collect()}) or best(counts, *a))
+        monkeypatch.setattr(toxicity, "grow", lambda rows, *a: seen["grown"].append(rows.count()) or grow(rows, *a))
+        monkeypatch.setattr(toxicity.IsotonicRegression, "fit", lambda self, df, *a: seen.update(calibrated=df.count()) or fit(self, df, *a))
+        toxicity.train(docs, labels, rounds=3)
+        monkeypatch.undo()
+        parts = [r["part"] for r in toxicity.labelled_sample(docs, labels, 20_000).collect()]
+        assert set(parts) == {0, 1, 2, 3, 4} and seen["calibrated"] == len(parts)
+        assert seen["lexicons"] == [*[set(parts) - {k} for k in range(5)], set(parts)]
+        assert sorted(seen["grown"]) == sorted([len(parts), *[len(parts) - parts.count(k) for k in range(5)]])
+
+
+def test_toxicity_lexicon_against_plain_counts(spark):
+    docs, labels, _ = toxic_corpus(spark, 300)
+    sample = toxicity.labelled_sample(docs, labels, 20_000)
+    texts = {r["text"]: r for r in sample.collect()}
+    counts = toxicity.term_counts(sample.unionByName(sample))  # copies of a text count once
+    for part in range(5):
+        got = {r["term"]: (r["n"], r["toxic"]) for r in counts.where(F.col("part") == part).collect()}
+        own = [r for r in texts.values() if r["part"] == part]
+        assert got[""] == (len(own), sum(r["toxic"] for r in own))
+        having = [r for r in own if any(w.startswith("grob") and len(w) > 4 for w in r["text"].split())]
+        assert got.get("grob*", (0, 0)) == (len(having), sum(r["toxic"] for r in having))
+    assert {"grob*", "wicht"} <= set(toxicity.best_terms(counts))
+    assert toxicity.best_terms(counts.limit(0)) == {} and toxicity.best_terms(counts.withColumn("toxic", F.lit(0))) == {}
+
+
+def test_toxicity_features_by_hand():
+    lexicon = {"wicht": 0.9, "grob*": 0.7}
+    of = lambda text: dict(zip(toxicity.FEATURES, toxicity.text_features(text, [lexicon], [{}])[0]))
+    log = np.log1p
+    zero = dict.fromkeys(toxicity.FEATURES, 0.0)
+    cases = {
+        "": {},
+        "abc": {"log_words": log(1)},
+        "12 345": {"punctuation": 5 / 6 - 1 / 6, "digits": 5 / 6},  # no letter counts as one
+        "Wicht": {"hits": log(1), "density": 1, "top_weight": 0.9, "capitals": 1 / 5, "log_words": log(1)},
+        "grobian und wicht": {"hits": log(2), "density": 2 / 3, "top_weight": 0.9, "log_words": log(3)},
+        "you wicht": {"hits": log(1), "density": 1 / 2, "top_weight": 0.9, "second_person": 1 / 2, "near_second_person": 1 / 2, "log_words": log(2)},
+        "you a b c d e wicht": {"hits": log(1), "density": 1 / 7, "top_weight": 0.9, "second_person": 1 / 7, "log_words": log(7)},
+        "HEY DU!": {"second_person": 1 / 2, "capitals": 1, "shouted": 1, "exclamations": 1 / 7, "punctuation": 1 / 7, "log_words": log(2)},
+        "w1cht": {"hidden_density": 1 / 2, "punctuation": 1 / 5, "digits": 1 / 5, "mixed": 1 / 2, "log_words": log(2)},
+        "sooo gut": {"stretched": 1 / 2, "log_words": log(2)},
+        "\u00c4RGER \U0001d400": {"capitals": 1, "shouted": 1 / 2, "log_words": log(2)},
+    }
+    for text, wanted in cases.items():
+        got = of(text)
+        assert got == pytest.approx(zero | wanted), text
+    two = toxicity.text_features("you wicht", [{}, lexicon], [{}, {}])
+    assert two[1] == list(of("you wicht").values()) and two[0][0] == 0
 
 
 def members_of(spark, p, t):
