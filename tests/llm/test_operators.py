@@ -270,11 +270,25 @@ def test_toxicity_on_held_out_rows(spark):
     held = [i for i in got if got[i]["held_out"]]
     assert len(held) > 80 and held == [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == toxic[i] for i in held]) > 0.97
+    crossed = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels, cross_fit=True).collect()}
+    assert np.mean([crossed[i] == toxic[i] for i in held]) > 0.97
     odd = docs_of(spark, [None, "", "x" * 200_000])
     assert {r["score"] for r in toxicity.score_documents(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity.drop_toxic(docs.withColumn("score", F.lit(1)), labels).columns == [*docs.columns, "score"]
 
 
+def test_toxicity_calibrates_on_rows_of_its_own(spark, monkeypatch):
+    docs, labels, _ = toxic_corpus(spark)
+    seen, learn, fit = {}, toxicity.learn_lexicon, toxicity.IsotonicRegression.fit
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda df, *a: seen.update(learnt={r["text"] for r in df.select("text").collect()}) or learn(df, *a))
+    monkeypatch.setattr(toxicity.IsotonicRegression, "fit", lambda self, df, *a: seen.update(calibrated=df.count()) or fit(self, df, *a))
+    toxicity.train(docs, labels)
+    rows = toxicity.labelled_sample(docs, labels, 20_000).collect()
+    apart = {r["text"] for r in rows if r["part"] == 0}
+    assert {r["part"] for r in rows} == {0, 1, 2, 3, 4}
+    assert seen["learnt"] == {r["text"] for r in rows} - apart and seen["calibrated"] == len(apart) > 50
+
+
 def test_toxicity_calibrates_out_of_part(spark, monkeypatch):
     """No part is judged by a lexicon or by trees that have seen its rows, whatever the size; every row is judged."""
     for n, few in ((600, 0), (60, 2)):
@@ -286,7 +300,7 @@ def test_toxicity_calibrates_out_of_part(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "best_terms", lambda counts, *a: seen["lexicons"].append({r["part"] for r in counts.select("part").distinct().collect()}) or best(counts, *a))
         monkeypatch.setattr(toxicity, "grow", lambda rows, *a: seen["grown"].append(rows.count()) or grow(rows, *a))
         monkeypatch.setattr(toxicity.IsotonicRegression, "fit", lambda self, df, *a: seen.update(calibrated=df.count()) or fit(self, df, *a))
-        toxicity.train(docs, labels, rounds=3)
+        toxicity.train(docs, labels, rounds=3, cross_fit=True)
         monkeypatch.undo()
         parts = [r["part"] for r in toxicity.labelled_sample(docs, labels, 20_000).collect()]
         assert set(parts) == {0, 1, 2, 3, 4} and seen["calibrated"] == len(parts)

@@ -2,9 +2,11 @@
 
 Learning. Labels come from the label table, texts from the documents. A bounded sample of labelled
 rows (``SAMPLE_ROWS``, by hash of the id; the whole table if it is smaller) gives the lexicon, the
-trees and the calibration. Lexicon and trees are learned from all of the sample. The calibration never sees a row that grew the trees
-which judge it: the sample is dealt into ``PARTS`` parts (by hash of the text, so copies stay together), each part is judged by a lexicon and trees
-of the other parts, and the isotonic fit takes these margins of all rows. Where the other parts hold one class alone, their margin is its share. The lexicon holds words
+trees and the calibration. The sample is dealt into ``PARTS`` parts (by hash of the text, so copies stay together). With ``cross_fit`` lexicon and trees
+are learned from all of it, and the calibration never sees a row that grew the trees which judge it: each part is judged by a lexicon and trees
+of the other parts, and the isotonic fit takes these margins of all rows, alike at every size. Where the other parts hold one class alone, their margin is its share.
+Without it, four parts make the lexicon and grow the trees, the fifth calibrates them (a sample too small for both classes in a
+part, or for ``CALIBRATING`` rows of each in the calibrating one, is used whole there, which flatters the trees). The lexicon holds words
 and word beginnings whose share of toxic texts, shrunk to the base rate, is high; exact copies of a
 text count once there.
 
@@ -40,8 +42,8 @@ from .common import crc_mod, with_small_batches, written
 
 #: Bounds of the sample and of the lexicon; folds of the id's crc32 (fold 0 is held out).
 SAMPLE_ROWS, LEXICON_TERMS, FOLDS = 20_000, 1_500, 5
-#: Parts of the sample of which each is judged by what the others teach.
-PARTS = 5
+#: Parts of the sample; rows of each class that the calibrating part needs to stand alone where it is not cross-fitted.
+PARTS, CALIBRATING = 5, 10
 NEAR, SURPRISE = 5, 12.0
 STEMS = (4, 5, 6)
 #: Second-person words of the corpus languages.
@@ -223,22 +225,34 @@ def out_of_part(ready: DataFrame, rounds: int, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = 15, depth: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = 15, depth: int = 3, cross_fit: bool = False) -> ToxicityModel:
     sample = written(labelled_sample(docs, labels, rows), "toxicity-sample")
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return ToxicityModel({}, constant=float(next(iter(classes), 0)))
-    counts = written(term_counts(sample), "toxicity-terms")
-    lexicons = [best_terms(counts.where(F.col("part") != k)) for k in range(PARTS)] + [best_terms(counts)]
+    both = lambda df, least=1: [r["count"] >= least for r in df.groupBy("toxic").count().collect()] == [True, True]
+    if cross_fit:
+        counts = written(term_counts(sample), "toxicity-terms")
+        lexicons = [best_terms(counts.where(F.col("part") != k)) for k in range(PARTS)] + [best_terms(counts)]
+    else:
+        learnt = sample.where("part != 0")
+        lexicons = [learn_lexicon(learnt if both(learnt) else sample)]
     ready = written(with_features(sample.select(F.col("toxic").cast("double").alias("toxic"), "part", "text").repartition(4), lexicons).drop("text"), "toxicity-features")
-    trees = grow(ready.select("toxic", F.col(f"{VECTOR}_{PARTS}").alias(VECTOR)), rounds, depth)
+    own = ready.select("toxic", "part", F.col(f"{VECTOR}_{len(lexicons) - 1}").alias(VECTOR))
+    grown = own if cross_fit or not both(own.where("part != 0")) else own.where("part != 0")
+    trees = grow(grown, rounds, depth)
+    if cross_fit:
+        judged = out_of_part(ready, rounds, depth)
+    else:
+        tested = own.where("part = 0")
+        judged = margins(trees, tested if both(tested, CALIBRATING) else own).select(PREFIX + "margin", "toxic")
     calibration = IsotonicRegression(featuresCol=PREFIX + "margin", labelCol="toxic", predictionCol=PREFIX + "calibrated")
-    return ToxicityModel(lexicons[-1], trees, calibration.fit(out_of_part(ready, rounds, depth)))
+    return ToxicityModel(lexicons[-1], trees, calibration.fit(judged))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, cross_fit: bool = False) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
-    scored = train(docs, labels).with_score(docs.select("doc_id", "text"))
+    scored = train(docs, labels, cross_fit=cross_fit).with_score(docs.select("doc_id", "text"))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
