@@ -153,3 +153,24 @@ def test_rows_without_candidates_or_bars(spark):
     assert trades.account_trades(trades.accounts(spark.createDataFrame(series(30, 1, 0.0), ROW))).collect() == []
     assert trades.accounts(spark.createDataFrame([], ROW)).collect() == []
     assert trades.exits(spark.createDataFrame([], ROW)).collect() == []
+
+
+def test_accounts_walk_the_sorted_bars_in_batches(spark):
+    rows = series(90, 5, 0.4) + series(61, 6, 0.4, symbol="z") + series(1, 7, 1.0, symbol="a")
+    shuffled = random.Random(3).sample(rows, len(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        states = trades.accounts(spark.createDataFrame(shuffled, ROW), risk=trades.Risk())
+        got = traded(states)
+        plan = states._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [t for s in "saz" for t in loop([r for r in rows if r[0] == s], BASE, trades.Risk())]
+    assert sorted(got) == sorted(want) and len(want) >= 3
+    assert "Aggregate" not in plan
+
+
+def test_a_bar_without_prices_closes_nothing(spark):
+    rows = [bar(0, 100.0), bar(1, 100.0, c=(100.0, 94.0, 150.0, 0.15, "t", 0.75)), *[bar(k, None) for k in range(2, 7)], bar(7, 93.0)]
+    t = trades.account_trades(trades.accounts(spark.createDataFrame(rows, ROW))).collect()
+    assert [(r["i"], r["exit_i"], r["exit_reason"]) for r in t] == [(1, 7, "stop_loss")]
