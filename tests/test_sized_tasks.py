@@ -32,3 +32,10 @@ def test_merges_are_dealt_over_tasks_of_bounded_size(spark, tmp_path, monkeypatc
         assert got.rdd.getNumPartitions() == 10
         assert got.count() == 1000 + (50 if name == "s10_upsert_bars" else 0)
     assert catalog.QUERIES["s11_insert_ignore"](spark, sf).rdd.getNumPartitions() == 20
+
+
+def test_frames_that_regime_and_score_read_are_computed_once(spark, tmp_path):
+    sf = table(spark, tmp_path)
+    plan = catalog.QUERIES["tp1_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    long_means = [line for line in plan.splitlines() if "Window [" in line for _ in range(line.count("RowFrame, -119, currentrow$()"))]
+    assert len(long_means) == 1
