@@ -1,5 +1,6 @@
 """Sharding, source divergence and tokenizer alignment against brute force, on odd rows too."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -232,3 +233,13 @@ def test_alignment_keeps_groups_and_survives_a_full_memo(spark):
 
 def test_alignment_of_an_empty_table(spark):
     assert tokalign.crosswalk(spark.createDataFrame([], SCHEMA), *tokalign.default_tokenizers()).collect() == []
+
+
+def test_words_one_blank_apart_are_cut_without_the_pattern(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for letters in ("abé \n\t\r\x85　\x1c", "ab é\n", "abcdefgh \n") for _ in range(2000)]
+    assert all(tokalign.pieces_of(t) == tokalign.BORDER.split(" " + t) for t in texts)
+    monkeypatch.setattr(tokalign, "BORDER", None)
+    path_a, path_b = tokalign.default_tokenizers()
+    assert tokalign.pieces_of("a cat\nsat down") == [" a", " cat", "\nsat", " down"]
+    assert tokalign.Aligner(path_a, path_b).documents(["a cat\nsat down"])[0][0] > 0

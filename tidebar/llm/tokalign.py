@@ -24,7 +24,6 @@ from __future__ import annotations
 import gc
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import accumulate, chain, count
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import with_small_batches, written
 
 #: A block's texts have about so many code points at most (a longer text is a block of its own); entries of a worker's memo, besides a block's own.
-BLOCK_CHARS, MEMO_PIECES = 2_000_000, 200_000
+BLOCK_CHARS, MEMO_PIECES = 2_000_000, 400_000
 #: A link is kept as the integer a * B_IDS + b.
 B_IDS = 32_768
 BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -66,18 +65,22 @@ def align(tokens_a: list[bytes], tokens_b: list[bytes]) -> tuple[list[int], list
     """Where the groups of two encodings of the same bytes end: in bytes, in tokens of A and in tokens of B."""
     index_a = dict(zip(accumulate(map(len, tokens_a)), count(1)))
     index_b = dict(zip(accumulate(map(len, tokens_b)), count(1)))
-    ends = sorted(index_a.keys() & index_b.keys())
-    return ends, [index_a[e] for e in ends], [index_b[e] for e in ends]
+    ends = [e for e in index_a if e in index_b]  # in order, as the ends of A rise
+    return ends, list(map(index_a.__getitem__, ends)), list(map(index_b.__getitem__, ends))
 
 
 def slices(text_a: list[str], text_b: list[str], to_a: list[int], to_b: list[int]) -> list[str]:
     """The groups as text, from the decimal ids of either side."""
-    return [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+    return [
+        f"{text_a[i]}|{text_b[k]}" if j - i == 1 == m - k else ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
+        for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)
+    ]
 
 
-def links_of(ids_a: list[int], ids_b: list[int], to_a: list[int], to_b: list[int]) -> array:
+def links_of(ids_a: list[int], ids_b: list[int], to_a: list[int], to_b: list[int]) -> bytes:
     """The links of each slice: its last tokens, as only they end together; ends inside a slice are never shared."""
-    return array("i", [ids_a[j - 1] * B_IDS + ids_b[m - 1] for j, m in zip(to_a, to_b)])
+    last = lambda ids, to: np.array(ids, dtype=np.int32)[np.array(to, dtype=np.int64) - 1]
+    return (last(ids_a, to_a) * np.int32(B_IDS) + last(ids_b, to_b)).tobytes()
 
 
 def plain(p: str) -> bool:
@@ -85,6 +88,16 @@ def plain(p: str) -> bool:
     return len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()
 
 
+def pieces_of(text: str) -> list[str]:
+    """Blank + text, cut at its borders. Where words stand one blank or line feed apart throughout, they are the pieces; a split by the pattern tries every character."""
+    words = text.split()
+    if " ".join(words) != text.replace("\n", " "):
+        return BORDER.split(" " + text)
+    if "\n" in text:
+        return [w if w[0] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
+    return [" " + w for w in words]
+
+
 class Aligner:
     """Both tokenizers with their token bytes, and the memo of aligned pieces."""
 
@@ -118,7 +131,7 @@ class Aligner:
         """Per string that begins with a blank or line feed: counts of A, B and groups, the group string and the links; None where the bytes differ."""
         out: list[tuple | None] = []
         bytes_a, bytes_b, text_a, text_b = self.bytes_a, self.bytes_b, self.text_a, self.text_b
-        all_a = self.a.encode_batch(shown, add_special_tokens=False)
+        all_a = self.a.encode_batch_fast(shown, add_special_tokens=False)
         all_b = self.ids_b(shown)
         for text, a, ids_b in zip(shown, all_a, all_b):
             ids_a, raw = a.ids, text.encode("utf-8", "surrogatepass")
@@ -128,7 +141,7 @@ class Aligner:
                 continue
             ends, to_a, to_b = align(tokens_a, tokens_b)
             shape = ";".join(slices([text_a[i] for i in ids_a], [text_b[i] for i in ids_b], to_a, to_b))
-            out.append((len(ids_a), len(ids_b), len(ends), shape, links_of(ids_a, ids_b, to_a, to_b).tobytes()))
+            out.append((len(ids_a), len(ids_b), len(ends), shape, links_of(ids_a, ids_b, to_a, to_b)))
         return out
 
     def learn(self, pieces: set[str]) -> dict[str, tuple | None]:
@@ -153,24 +166,21 @@ class Aligner:
     def aligned_run(self, pieces: list[str]) -> list[tuple | None]:
         """``aligned`` of plain pieces, laid end to end: a common end lies at every border, so one pair of dictionaries serves them all."""
         text = "".join(pieces)
-        ids_a = [i for e in self.a.encode_batch(["".join(pieces[at : at + 64]) for at in range(0, len(pieces), 64)], add_special_tokens=False) for i in e.ids]
+        all_a = self.a.encode_batch_fast(["".join(pieces[at : at + 64]) for at in range(0, len(pieces), 64)], add_special_tokens=False)
+        ids_a = list(chain.from_iterable([e.ids for e in all_a]))
         ids_b = list(chain.from_iterable(self.ids_b(pieces)))
-        tokens_a, tokens_b, raw = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], text.encode("utf-8", "surrogatepass")
+        tokens_a, tokens_b, raw = list(map(self.bytes_a.__getitem__, ids_a)), list(map(self.bytes_b.__getitem__, ids_b)), text.encode("utf-8", "surrogatepass")
         if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
             return self.aligned(pieces)
         ends, to_a, to_b = align(tokens_a, tokens_b)
-        place, links = dict(zip(ends, count(1))), links_of(ids_a, ids_b, to_a, to_b)
-        shapes = slices([self.text_a[i] for i in ids_a], [self.text_b[i] for i in ids_b], to_a, to_b)
-        out, at, border, n_a, n_b = [], 0, 0, 0, 0
-        for p in pieces:
-            border += len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))
-            upto = place.get(border)
-            if upto is None:
-                return self.aligned(pieces)
-            x, y = to_a[upto - 1], to_b[upto - 1]
-            out.append((x - n_a, y - n_b, upto - at, ";".join(shapes[at:upto]), links[at:upto].tobytes()))
-            at, n_a, n_b = upto, x, y
-        return out
+        borders = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        upto = np.searchsorted(ends, borders, side="right")
+        if not np.array_equal(np.array(ends)[upto - 1], borders):
+            return self.aligned(pieces)
+        shapes, links = slices(list(map(self.text_a.__getitem__, ids_a)), list(map(self.text_b.__getitem__, ids_b)), to_a, to_b), links_of(ids_a, ids_b, to_a, to_b)
+        n_a, n_b = (np.diff(np.array(to)[upto - 1], prepend=0).tolist() for to in (to_a, to_b))
+        cuts = [0, *upto.tolist()]
+        return [(x, y, j - i, ";".join(shapes[i:j]), links[4 * i : 4 * j]) for x, y, i, j in zip(n_a, n_b, cuts, cuts[1:])]
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """The same for whole texts, pieced together from the memo; texts without tokens give zeros."""
@@ -181,11 +191,11 @@ class Aligner:
             gc.enable()
 
     def pieced(self, texts: list[str]) -> list[tuple]:
-        split = [BORDER.split(" " + t) if t else [] for t in texts]
+        split = [pieces_of(t) if t else [] for t in texts]
         known = self.learn(set(chain.from_iterable(split)))
         out = []
         for text, pieces in zip(texts, split):
-            parts = [known[p] for p in pieces]
+            parts = list(map(known.__getitem__, pieces))
             if None in parts:
                 out.append(self.aligned([" " + text])[0] or NO_TOKENS)
             elif parts:
