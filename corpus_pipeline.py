@@ -36,8 +36,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining document."""
-    return bpe.encode_documents(docs, bpe.default_tokenizer(), memo_pieces=MEMO_PIECES).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    """Token ids of every remaining document. Memos end with a task, as the workers of an executor may be more than its cores."""
+    return bpe.encode_documents(docs, bpe.default_tokenizer(), memo_pieces=MEMO_PIECES, keep_memos=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [

@@ -77,3 +77,25 @@ def test_run_over_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
     unlabelled = tables(spark, tmp_path / "unlabelled", docs.limit(40), labels.limit(0))
     assert 0 < corpus_pipeline.run(spark, unlabelled).count() <= 40
+
+
+def test_encoder_leaves_the_worker_with_its_work(spark):
+    """A Python worker that turns to other work after encoding holds no tokenizer and no memos any more."""
+    from tidebar.llm import bpe
+
+    docs = spark.createDataFrame([(i, f"word{i} and more words") for i in range(40)], "doc_id long, text string").repartition(4)
+    one, two = (bpe.encode_documents(docs, bpe.default_tokenizer(), memo_pieces=1000, **how).where("n_tokens > 0").collect() for how in ({}, {"keep_memos": False}))
+    assert len(one) == 40 and sorted(one) == sorted(two)
+
+    def held(batches):
+        import gc
+
+        import pandas as pd
+
+        from tidebar.llm.bpe import Encoder
+
+        gc.collect()
+        for batch in batches:
+            yield pd.DataFrame({"n": [sum(isinstance(x, Encoder) for x in gc.get_objects())] * len(batch)})
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 16).mapInPandas(held, "n long").collect()} == {0}

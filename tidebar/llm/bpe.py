@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_small_batches
+from .common import give_back_memory, with_small_batches
 
 #: Chunks have 2 ** CUT_BITS code points on average; the rolling hash sees 2 ** WINDOW_BITS.
 CUT_BITS, WINDOW_BITS = 9, 4
@@ -148,37 +149,56 @@ class Encoder:
             )
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+class WorkerEncoder:
+    """An encoder as it travels in a broadcast: a Python worker opens it at its first text, its tasks share the memos, and Spark
+    drops it there with the broadcast as soon as the worker turns to other work.
 
+    Spark deals tasks in turn to all idle workers of an executor, which may be more than its cores. Where memory is scarce ``close``
+    at the end of a task leaves tokenizers and memos in the busy ones alone, at the price of opening one a task.
+    """
+
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+        self.path, self.memo_pieces = path, memo_pieces
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(self.path, self.memo_pieces)
 
-def encoder(path: str, memo_pieces: int = MEMO_PIECES) -> Encoder:
-    """The Python worker's encoder: tasks that run in one worker after another share its memos."""
-    key = (path, memo_pieces)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, memo_pieces)
-    return _ENCODERS[key]
+    def close(self) -> None:
+        self.__dict__.pop("encoder", None)
+        give_back_memory()
 
 
 def encode_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = False,
-    memo_pieces: int = MEMO_PIECES,
+    memo_pieces: int = MEMO_PIECES, keep_memos: bool = True,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and on demand ``ids`` (array of int) and ``decoded`` (the text read back)."""
+    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and on demand ``ids`` (array of int) and ``decoded`` (the text read back).
+
+    ``keep_memos``: a worker keeps tokenizer and memos from one task to the next.
+    """
+
+    shared = docs.sparkSession.sparkContext.broadcast(WorkerEncoder(tokenizer_path, memo_pieces))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tok = encoder(tokenizer_path, memo_pieces)
-        for texts in batches:
-            rows = list(tok.encode([t if isinstance(t, str) else "" for t in texts]))
-            out = pd.DataFrame({
-                "n_tokens": [ids.count(",") + 1 if ids else 0 for ids, _ in rows],
-                "ids_sha256": [sha256(ids.encode()).hexdigest() for ids, _ in rows],
-                "decoded_sha256": [sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows],
-            })
-            if keep_ids:
-                out["ids"] = [np.fromstring(ids, dtype=np.int32, sep=",") for ids, _ in rows]
-            if keep_text:
-                out["decoded"] = [back for _, back in rows]
-            yield out
+        tok = shared.value.encoder
+        try:
+            for texts in batches:
+                rows = list(tok.encode([t if isinstance(t, str) else "" for t in texts]))
+                out = pd.DataFrame({
+                    "n_tokens": [ids.count(",") + 1 if ids else 0 for ids, _ in rows],
+                    "ids_sha256": [sha256(ids.encode()).hexdigest() for ids, _ in rows],
+                    "decoded_sha256": [sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows],
+                })
+                if keep_ids:
+                    out["ids"] = [np.fromstring(ids, dtype=np.int32, sep=",") for ids, _ in rows]
+                if keep_text:
+                    out["decoded"] = [back for _, back in rows]
+                yield out
+        finally:
+            tok = rows = out = texts = None
+            if not keep_memos:
+                shared.value.close()
 
     # The id stays in the JVM, as pandas has no null integers.
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")

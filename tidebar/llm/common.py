@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,16 @@ def with_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back_memory() -> None:
+    """Returns what this Python worker has freed to the system, which it else keeps as long as it lives: Arrow's pool, and the heap where the C library can trim it."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, LOWER)
