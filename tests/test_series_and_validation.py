@@ -84,3 +84,30 @@ def test_bootstrap_equals_explicit_weights(spark):
         assert got[s]["ci_lo"] == pytest.approx(np.percentile(means, 5) * 25200, abs=0.006) and got[s]["ci_hi"] == pytest.approx(np.percentile(means, 95) * 25200, abs=0.006)
         assert got[s]["pos_rate"] == pytest.approx(np.mean(np.array(means) > 0), abs=6e-4)
         assert abs(np.mean(weights) - 1) < 0.02 and abs(np.var(weights) - 1) < 0.05
+
+
+def test_slices_of_windows_equal_loops_and_copy_no_points(spark):
+    rng = random.Random(8)
+    rows = [(s, i, round(100_000 * (1 + 0.05 * rng.random()), 2) if (s, i) != ("s", 300) and not (s == "t" and 200 <= i < 330) else None if s == "s" else 100_000.0) for s, n in (("s", 700), ("t", 460), ("u", 131), (None, 340)) for i in range(130, n)]
+    curve = spark.createDataFrame(rng.sample(rows, len(rows)), "symbol string, i long, total double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "61")
+    try:
+        slices = validation.slice_metrics(curve)
+        got = {(r["symbol"], r["w"], r["part"]): (r["ret"], r["mu"], r["sd"]) for r in slices.collect()}
+        assert "Generate" not in slices._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for s in ("s", "t", "u", None):
+        own = {i: x for name, i, x in rows if name == s}
+        for w in range(14):
+            for part, lo, hi in (("in", w * 50, w * 50 + 200), ("out", w * 50 + 200, w * 50 + 330)):
+                at = [own[i] for i in range(lo, hi) if i in own]
+                if at:
+                    r = [b / a - 1 for a, b in zip(at, at[1:]) if a and b]
+                    ret = at[-1] / at[0] - 1 if at[0] and at[-1] else None
+                    want[s, w, part] = (ret, np.mean(r) if r else None, np.std(r, ddof=1) if len(r) > 1 else None)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == tuple(x if x is None else pytest.approx(float(x), abs=1e-12) for x in values), key
+    assert got["t", 0, "out"][2] == 0.0
