@@ -123,3 +123,11 @@ def test_rows_that_lost_their_order_are_an_error(spark):
     for read in (trades.exits, trades.accounts):
         with pytest.raises(Exception, match="not in order"):
             read(rows).collect()
+
+
+def test_a_symbol_without_a_name_has_an_account_too(spark):
+    rows = walk(700, 1, "a") + walk(900, 4, "d", sigma=0.02)
+    named = trades.accounts(trades.candidate_rows(spark.createDataFrame(rows, BAR)), risk=trades.Risk())
+    null = trades.accounts(trades.candidate_rows(spark.createDataFrame([(None if r[0] == "a" else r[0], *r[1:]) for r in rows], BAR)), risk=trades.Risk())
+    read = lambda states: sorted((r["symbol"] or "a", r["i"], r["cash"], str(r["h"]), str(r["trades"])) for r in states.collect())
+    assert read(null) == read(named) and any(r[4] != "[]" for r in read(named) if r[0] == "a")
